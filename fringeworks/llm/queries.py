@@ -1,10 +1,16 @@
 """The queries of this package, by name, and their SQL where SQL can express them."""
 
-from . import op08_packing, op09_byte_bpe
+from . import op01_line_dedup, op02_license_scan, op04_topk_cover_tree, op05_quality_rules, op07_html_text, op08_packing, op09_byte_bpe, op10_quality_crf
 
 QUERIES = {
+    "op1_line_dedup": op01_line_dedup.query,
+    "op2_license_scan": op02_license_scan.query,
+    "op4_topk_cover_tree": op04_topk_cover_tree.query,
+    "op5_quality_rules": op05_quality_rules.query,
+    "op7_html_text": op07_html_text.query,
     "op8_packing": op08_packing.query,
     "op9_byte_bpe": op09_byte_bpe.query,
+    "op10_quality_crf": op10_quality_crf.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": op01_line_dedup.SQL, "op4_topk_cover_tree": op04_topk_cover_tree.SQL}
