@@ -71,8 +71,8 @@ def uv_cell(metres: str, freq: str, cell: float, oversample: int, size: int, wav
     scaled = F.col(metres) / cell if wavelengths else F.col(freq) * F.col(metres) / (C_LIGHT * cell)
     i = nint(scaled)
     frac = nint(oversample * (i - scaled))
-    low = frac < 0
-    return (F.when(low, i + 1).otherwise(i) + size // 2).cast("int"), F.when(low, frac + oversample).otherwise(frac).cast("int")
+    turn = F.when(frac < 0, 1).when(frac >= oversample, -1).otherwise(0)
+    return (i + turn + size // 2).cast("int"), (frac + turn * oversample).cast("int")
 
 
 def on_grid(iu: str, iv: str, support: int, nu: int, nv: int) -> Column:

@@ -97,13 +97,15 @@ def w_plane_gaussian(spark, sf):
 _SU, _SV = f"(freq * u / ({C!r} * 30.0))", f"(freq * v / ({C!r} * 30.0))"
 
 
-def _cell_sql(s: str) -> tuple[str, str]:
+def cell_sql(s: str, oversample: int, half: int) -> tuple[str, str]:
+    """(cell, fraction) of a scaled coordinate."""
     i = nint_sql(s)
-    f = nint_sql(f"(8 * ({i} - {s}))")
-    return f"CAST(CASE WHEN {f} < 0 THEN {i} + 1 ELSE {i} END + 128 AS INTEGER)", f"CAST(CASE WHEN {f} < 0 THEN {f} + 8 ELSE {f} END AS INTEGER)"
+    f = nint_sql(f"({oversample} * ({i} - {s}))")
+    turn = f"(CASE WHEN {f} < 0 THEN 1 WHEN {f} >= {oversample} THEN -1 ELSE 0 END)"
+    return f"CAST({i} + {turn} + {half} AS INTEGER)", f"CAST({f} + {turn} * {oversample} AS INTEGER)"
 
 
-@query("uv_cell_index", ctes("vis") + f", c AS (SELECT {_cell_sql(_SU)[0]} AS iu, {_cell_sql(_SU)[1]} AS fracu, {_cell_sql(_SV)[0]} AS iv, {_cell_sql(_SV)[1]} AS fracv FROM vis) SELECT iu, iv, fracu, fracv, iu - 3 > 0 AND iu + 3 < 256 AND iv - 3 > 0 AND iv + 3 < 256 AS inside, count(*) AS n_rows FROM c GROUP BY iu, iv, fracu, fracv")
+@query("uv_cell_index", ctes("vis") + f", c AS (SELECT {cell_sql(_SU, 8, 128)[0]} AS iu, {cell_sql(_SU, 8, 128)[1]} AS fracu, {cell_sql(_SV, 8, 128)[0]} AS iv, {cell_sql(_SV, 8, 128)[1]} AS fracv FROM vis) SELECT iu, iv, fracu, fracv, iu - 3 > 0 AND iu + 3 < 256 AND iv - 3 > 0 AND iv + 3 < 256 AS inside, count(*) AS n_rows FROM c GROUP BY iu, iv, fracu, fracv")
 def uv_cell_index(spark, sf):
     (iu, fu), (iv, fv) = P.uv_cell("u", "freq", 30.0, 8, 256), P.uv_cell("v", "freq", 30.0, 8, 256)
     rows = table(spark, sf, "vis").select(iu.alias("iu"), iv.alias("iv"), fu.alias("fracu"), fv.alias("fracv"))
