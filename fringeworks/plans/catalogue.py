@@ -1,6 +1,6 @@
 """All queries of the catalogue."""
 
-from . import imaging, rows  # noqa: F401
+from . import arrays, imaging, rows  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
