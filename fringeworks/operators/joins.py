@@ -15,7 +15,7 @@ def asof(left: DataFrame, right: DataFrame, by: dict[str, str], left_time: str,
 
     Both sides are laid into one sequence per key and the last right row is
     carried over: one shuffle on the key, no fan-out, state of one row. With
-    forward it is the first right row after the time. A hot key is one sorted
+    forward it is the first right row at or after the time. A hot key is one sorted
     stream; salt_asof splits it by time.
     """
     keys = list(by)
@@ -27,7 +27,7 @@ def asof(left: DataFrame, right: DataFrame, by: dict[str, str], left_time: str,
     order = [F.asc("_t"), F.asc("_s")]
     window = Window.partitionBy(*at).orderBy(*order)
     if forward:
-        window = Window.partitionBy(*at).orderBy(F.desc("_t"), F.desc("_s"))
+        window = Window.partitionBy(*at).orderBy(F.desc("_t"), F.asc("_s"))
     found = both.withColumn("_f", F.last("_r", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
     return found.where("_s = 1").select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in columns], F.col("_f._time").alias(right_time if right_time not in left.columns else f"{right_time}_r"))
 
