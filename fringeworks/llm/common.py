@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -71,6 +72,11 @@ class Scratch:
             fs, p = _fs_path(self.spark, path)
             fs.delete(p, True)
 
+    def free(self) -> None:
+        """Shuffle files of finished steps go when the driver's collector meets their plans; this asks it to run now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _end(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

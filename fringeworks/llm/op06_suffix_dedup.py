@@ -13,8 +13,10 @@ same rounds run over sampled positions:
 2. Rows are sorted by seed, then by the name of the doubled length, the whole
    stretch of the run's strings. A seed of one document is unique: it is
    dropped. A stretch that a smaller document has is covered in full.
-3. Runs whose seed is shared, but not the whole stretch, are ranked at last by
-   every LENGTH-byte string they hold.
+3. Of runs whose seed is shared, but not the whole stretch, each half is ranked
+   by the HALF bytes from or up to its seed that all its strings hold; halves
+   unique to a document are dropped.
+4. What is left is ranked by every LENGTH-byte string.
 
 Names are hashed locally, since doubling a hash needs no sort; Spark sorts what
 must be compared. Sorted rows stream through the tasks: state is one
@@ -38,9 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, same
 
-LENGTH, SEED = 50, 16
+LENGTH, SEED = 50, 20
 #: Seeds in a LENGTH-byte string; no run is longer.
 REACH = LENGTH - SEED + 1
+#: Places before the seed, from which a string belongs to the left half; bytes that all strings of a half hold.
+LEFT = REACH // 2
+HALF = LENGTH - LEFT
 #: Bytes hashed at a time: the working arrays stay in the processor's cache.
 CHUNK = 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,6 +78,29 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
+def _names(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """2 bytes, and the names of SEED, 16 and 32 bytes, at every position."""
+    p1 = data.astype(np.uint64)
+    p2 = p1[:-1] | p1[1:] << np.uint64(8)
+    p4 = p2[:-2] | p2[2:] << np.uint64(16)
+    p8 = p4[:-4] | p4[4:] << np.uint64(32)
+    h16 = _pair(p8[:-8], p8[8:])
+    n = len(data) - SEED + 1
+    return p2, _pair(h16[:n], p4[16 : 16 + n]), h16, _pair(h16[:-16], h16[16:])
+
+
+def _place_of_least(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first minimum of every width neighbours."""
+    at = np.arange(len(h))
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = at[:-step], at[step:]
+        at = np.where(h[a] <= h[b], a, b)
+        size += step
+    return at
+
+
 def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(seed, name of the stretch, text number, first position, positions) of the runs of texts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -80,15 +108,10 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if len(data) < LENGTH or sizes.max() < LENGTH:
         z = np.zeros(0, np.int64)
         return z.view(np.uint64), z.view(np.uint64), z, z, z
-    p1 = data.astype(np.uint64)
-    p2 = p1[:-1] | p1[1:] << np.uint64(8)
-    p4 = p2[:-2] | p2[2:] << np.uint64(16)
-    p8 = p4[:-4] | p4[4:] << np.uint64(32)
-    h16 = _pair(p8[:-8], p8[8:])
-    h32 = _pair(h16[:-16], h16[16:])
+    p2, seeds, h16, h32 = _names(data)
     n = len(data) - LENGTH + 1
     name = _pair(h32[:n], _pair(h16[32 : 32 + n], p2[48 : 48 + n]))
-    least = _least(h16, REACH)
+    least = _least(seeds, REACH)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     at = np.flatnonzero(text_of[:n] == text_of[LENGTH - 1 :])
     seed, doc = least[at], text_of[at]
@@ -207,18 +230,50 @@ def _ranked(it):
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(kind)], ["doc", "span", "kind"])
 
 
+def _windows_of(raw: bytes, spans: list[int]) -> tuple[int, np.ndarray]:
+    """(tag, ascending positions) of the strings of the spans that belong to this text."""
+    tag = _tag(raw)
+    s = np.array([x & 0x3FFFFFFFFF for x in spans if x >> 38 == tag], np.int64)
+    n = (s & 63) + 1
+    return tag, np.unique(np.repeat((s >> 6) - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+
+
+def _halves(it):
+    """Tied runs cut into halves of one seed, named by the HALF bytes that the half's strings share."""
+    for b in it:
+        ids, texts, spans = b.column(0).to_pylist(), _raw(b.column(1)), b.column(2).to_pylist()
+        out = [[], [], []]
+        for doc, raw, own in zip(ids, texts, spans, strict=True):
+            tag, at = _windows_of(raw, own)
+            if not len(at):
+                continue
+            _, seeds, h16, h32 = _names(np.frombuffer(raw, np.uint8))
+            seed = _place_of_least(seeds, REACH)[at]
+            left = seed - at >= LEFT
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(at) != 1) | (np.diff(seed) != 0) | (left[1:] != left[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(at)))
+            start = np.where(left[first], seed[first] - LEFT, seed[first])
+            name = _pair(h32[start], h16[start + HALF - 16])
+            name ^= left[first].astype(np.uint64)  # a left and a right half are never the same strings
+            for col, x in zip(out, (name.view(np.int64), np.full(len(first), doc, np.int64), _span(np.int64(tag), at[first], n)), strict=True):
+                col.append(x)
+        if out[0]:
+            g, d, s = (np.concatenate(x) for x in out)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(d), pa.array(s)], ["g", "c", "doc", "span"])
+
+
 def _strings(it):
     """Every LENGTH-byte string of the tied runs, named by 128 bits."""
     for b in it:
         ids, texts, spans = b.column(0).to_pylist(), _raw(b.column(1)), b.column(2).to_pylist()
         for doc, raw, own in zip(ids, texts, spans, strict=True):
-            tag = _tag(raw)
-            at = sorted({p for s in own if s >> 38 == tag for p in range(s >> 6 & 0xFFFFFFFF, (s >> 6 & 0xFFFFFFFF) + (s & 63) + 1)})
+            tag, at = _windows_of(raw, own)
             for k in range(0, len(at), 100_000):
                 part = at[k : k + 100_000]
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in part]), "<i8").reshape(-1, 2)
-                spans_out = _span(np.int64(tag), np.array(part, np.int64), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(len(part), doc, np.int64)), pa.array(spans_out)], ["g", "c", "doc", "span"])
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in part.tolist()]), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(len(part), doc, np.int64)), pa.array(_span(np.int64(tag), part, 1))], ["g", "c", "doc", "span"])
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -231,13 +286,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc, spans: the runs of each document that smaller documents cover."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     keyed = _keyed(docs)
+
+    def of(rows: DataFrame, work) -> DataFrame:
+        """work over the texts that have rows, with their spans."""
+        spans = rows.groupBy("doc").agg(F.collect_set("span").alias("spans"))
+        return keyed.join(spans, "doc").select("doc", "text", "spans").mapInArrow(work, "g long, c long, doc long, span long")
+
     ranked = scratch.save(_sorted(keyed.mapInArrow(_positions, "g long, c long, doc long, span long")))
-    tied = ranked.where("kind = 1").groupBy("doc").agg(F.collect_set("span").alias("spans"))
-    strings = keyed.join(tied, "doc").select("doc", "text", "spans").mapInArrow(_strings, "g long, c long, doc long, span long")
-    last = scratch.save(_sorted(strings).where("kind = 0").select("doc", "span"))
-    spark.sparkContext._jvm.System.gc()
+    scratch.free()
+    halves = scratch.save(_sorted(of(ranked.where("kind = 1"), _halves)).select("doc", "span"))
+    scratch.free()
+    last = scratch.save(_sorted(of(halves, _strings)).where("kind = 0").select("doc", "span"))
+    scratch.drop(halves)
+    scratch.free()
     return ranked.where("kind = 0").select("doc", "span").unionByName(last).groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
 
