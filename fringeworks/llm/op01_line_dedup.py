@@ -74,10 +74,11 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with repeated lines removed from text, and the columns _fw_lines, _fw_removed."""
     key = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.coalesce("text", F.lit("")).alias("_text"))
     starts = covered_starts(key, size)
+    starts = starts.select(F.col("_id").alias("_fw_sid"), F.col("_th").alias("_fw_sth"), F.col("starts").alias("_fw_starts"))
     named = docs.withColumns({"_fw_id": F.col("doc_id").cast("long"), "_fw_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = named.join(starts, same(F.col("_fw_id"), F.col("_id")) & (F.col("_fw_th") == F.col("_th")), "left")
+    joined = named.join(starts, same(F.col("_fw_id"), F.col("_fw_sid")) & (F.col("_fw_th") == F.col("_fw_sth")), "left")
     others = [c for c in docs.columns if c != "text"]
-    joined = joined.select(*others, "text", F.col("starts").alias("_fw_starts"))
+    joined = joined.select(*others, "text", "_fw_starts")
     schema = joined.drop("_fw_starts")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields] + ["`_fw_lines` long", "`_fw_removed` long"])
 

@@ -13,7 +13,8 @@ The k best of the union are the answer; its rows per query are bounded by k
 times the number of data blocks.
 
 Vectors are floor(SCALE * x) in double precision, so that products of moderate
-whole numbers are exact; larger ones are computed with Python's integers.
+whole numbers are exact; larger ones are computed with Python's integers, and
+scores beyond a long are held at its ends.
 Vectors that are null, empty, or hold null or non-finite components take no
 part. Vectors of unlike lengths never meet. Ties go to the smaller id. Repeated
 rows are candidates of their own, but never of a query with the same id.
@@ -33,9 +34,10 @@ from .common import tune
 
 SCALE, K, EVERY = 1024, 10, 100
 #: Rows of a block; leaves of the tree.
-DATA_BLOCK, QUERY_BLOCK, LEAF, FAN = 2048, 1024, 128, 8
+DATA_BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF, FAN = 2048, 1024, 128, 32, 8
 #: Whole numbers below this have exact products and sums in doubles.
 EXACT = 2.0**53
+_LONG = 2**63 - 1
 
 
 class CoverTree:
@@ -49,14 +51,14 @@ class CoverTree:
 
     __slots__ = ("children", "centre", "norm", "radius", "rows")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray | None = None):
         self.rows = rows
         points = x[rows]
         self.centre = points[0] if centre is None else centre
         gap = np.sqrt(((points - self.centre) ** 2).sum(1))
         self.radius, self.norm = float(gap.max()), float(np.sqrt((self.centre**2).sum()))
         self.children: list[CoverTree] = []
-        if len(rows) <= LEAF or self.radius == 0:
+        if len(rows) <= leaf or self.radius == 0:
             return
         centres, best, owner = [points[0]], np.sqrt(((points - points[0]) ** 2).sum(1)), np.zeros(len(rows), int)
         while best.max() > self.radius / 2 and len(centres) < FAN:
@@ -66,29 +68,29 @@ class CoverTree:
             best = np.minimum(best, d)
             centres.append(new)
         if len(centres) > 1:
-            self.children = [CoverTree(x, rows[owner == i], c) for i, c in enumerate(centres) if (owner == i).any()]
+            self.children = [CoverTree(x, rows[owner == i], leaf, c) for i, c in enumerate(centres) if (owner == i).any()]
 
 
 def dual_tree_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
-    """Rows (score, id) of the k best of x for each q, and the number of leaf pairs computed."""
+    """Rows (score, id) of the k best of x for each q, and the number of products computed."""
     best_s = np.full((len(q), k), -np.inf)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
     if not len(q) or not len(x):
         return [np.zeros((0, 2), np.int64) for _ in q], 0
-    roots = CoverTree(q, np.arange(len(q))), CoverTree(x, np.arange(len(x)))
+    roots = CoverTree(q, np.arange(len(q)), QUERY_LEAF), CoverTree(x, np.arange(len(x)), LEAF)
 
     def bound(a: CoverTree, b: CoverTree) -> float:
         # a hair above, for the rounding of the roots
         return float(a.centre @ b.centre) * 1.0 + (a.norm * b.radius + a.radius * b.norm + a.radius * b.radius) * (1 + 1e-9) + 1e-6
 
-    leaves, n = 0, 0
+    products, n = 0, 0
     heap = [(-bound(*roots), 0, *roots)]
     while heap:
         top, _, a, b = heapq.heappop(heap)
         if -top < best_s[a.rows, k - 1].min():
             continue
         if not a.children and not b.children:
-            leaves += 1
+            products += len(a.rows) * len(b.rows)
             s = q[a.rows] @ x[b.rows].T
             s[q_ids[a.rows][:, None] == x_ids[b.rows][None]] = -np.inf
             alls = np.hstack([best_s[a.rows], s])
@@ -103,14 +105,14 @@ def dual_tree_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.nd
                 n += 1
                 if (u := bound(c, d)) >= best_s[c.rows, k - 1].min():
                     heapq.heappush(heap, (-u, n, c, d))
-    return [np.stack([s[np.isfinite(s)].astype(np.int64), i[np.isfinite(s)]], 1) for s, i in zip(best_s, best_i, strict=True)], leaves
+    return [np.stack([s[np.isfinite(s)].astype(np.int64), i[np.isfinite(s)]], 1) for s, i in zip(best_s, best_i, strict=True)], products
 
 
 def _plain_topk(q, q_ids, x, x_ids, k):
     """The same by whole products in Python's integers, for components too large for exact doubles."""
     out = []
     for v, own in zip(q, q_ids, strict=True):
-        rows = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), int(i)) for w, i in zip(x, x_ids, strict=True) if i != own)
+        rows = sorted((-max(-_LONG, min(_LONG, sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))), int(i)) for w, i in zip(x, x_ids, strict=True) if i != own)
         out.append([(-s, i) for s, i in rows[:k]])
     return out
 
