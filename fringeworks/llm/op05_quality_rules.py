@@ -93,8 +93,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _transformed() -> list:
     """Logarithms of rates per word, of word length; a rate's logarithm is of one plus ten times it."""
-    n = F.col("n_words").cast("double")
-    return [F.log(F.col("word_chars") / n), F.log1p(10 * F.col("n_symbols") / n), F.log1p(10 * F.col("n_dup_lines") / n), F.log1p(10 * F.col("n_repeat_words") / n)]
+    n = F.greatest("n_words", F.lit(1)).cast("double")
+    return [F.log(F.greatest("word_chars", F.lit(1)) / n), F.log1p(10 * F.col("n_symbols") / n), F.log1p(10 * F.col("n_dup_lines") / n), F.log1p(10 * F.col("n_repeat_words") / n)]
 
 
 def _estimates(stats: DataFrame, keys: list[str], scratch: Scratch, most: int | None = None) -> DataFrame:
