@@ -13,10 +13,13 @@ frequent tokens within a group are indexed. g follows from a size class that
 both sets' sizes may belong to.
 
 Candidates are verified twice. First every indexed entry meets the least set of
-its bucket, which is linear in the index and settles groups of near copies.
-Then, for buckets whose sets are still in several components, the pairs across
-components are formed, cut by size and by the number of shared prefix tokens
-(an exact bound), and verified on whole sets.
+its bucket, which is linear in the index and settles most groups of near copies.
+Then buckets whose sets are still in several components are opened. For single
+tokens, whose buckets are small, pairs across components are formed, cut by size
+and by the number of shared prefix tokens (an exact bound), and verified on
+whole sets. Combinations would show such pairs dozens of times each: there the
+components that open buckets join are scanned in blocks, the sets outside the
+largest component against all, by an index of their tokens; no pair is a row.
 
 The order of tokens decides only how large buckets get: counts come from blocks
 of documents that hold a token at least MIN_LOCAL times, summed over all. They
@@ -31,7 +34,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ from .graph import components
 
 WORDS = 5
 #: Tokens that a block counts at once; documents of a block that must hold a token; sum from which it is frequent.
-BLOCK_TOKENS, MIN_LOCAL, FREQUENT = 2_000_000, 3, 16
+BLOCK_TOKENS, MIN_LOCAL, FREQUENT = 4_000_000, 2, 16
+#: Sets of a block of the scan: those looked for, and those looked through.
+SOUGHT_BLOCK, SCANNED_BLOCK = 512, 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -53,50 +57,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes, ascending within each text; their number per text)."""
-    seen: dict[bytes, int] = {}
-    hashes, sizes = [], []
-    for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        for w in words:
-            if w not in seen:
-                seen[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(np.fromiter((seen[w] for w in words), np.uint64, len(words)))
-        sizes.append(len(words))
-        if len(seen) > 500_000:
-            seen.clear()
-    n = np.array(sizes, np.int64)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    if not len(h):
-        return h, np.zeros(len(texts), np.int64)
-    short = np.repeat(n < WORDS, n)
-    doc = np.repeat(np.arange(len(n)), n)
-    out_h, out_d = [], []
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at a time: the working arrays stay in the processor's cache.
+CHUNK = 1 << 17
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of every word, in order; number of words of each text): sums over a word of mixed (place, byte) numbers."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    gap = _SPACE[data]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    at = np.flatnonzero(first)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
+    if not len(at):
+        return np.zeros(0, np.uint64), counts
+    place = np.arange(at[0], len(data))
+    place -= np.repeat(at, np.diff(np.append(at, len(data))))
+    v = _mix((place << 8).view(np.uint64) + data[at[0] :] + np.uint64(1))
+    v[gap[at[0] :]] = 0
+    return _mix(np.add.reduceat(v, at - at[0])), counts
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """Ascending distinct shingle hashes of each text."""
+    h, n = word_hashes(texts)
+    whole = np.zeros(0, np.uint64)
     if len(h) >= WORDS:
         m = len(h) - WORDS + 1
-        whole = doc[:m] == doc[WORDS - 1 :]
-        s = np.full(m, 5, np.uint64)
+        whole = np.full(m, 5, np.uint64)
         for k in range(WORDS):
-            s = _mix(s * np.uint64(31) + h[k : k + m])
-        out_h.append(s[whole])
-        out_d.append(doc[:m][whole])
-    if short.any():
-        at = np.flatnonzero((n > 0) & (n < WORDS))
-        begins = np.cumsum(n) - n
-        for i in at:
-            s = np.array([100 + n[i]], np.uint64)
-            for k in range(n[i]):
-                s = _mix(s * np.uint64(31) + h[begins[i] + k : begins[i] + k + 1])
-            out_h.append(s)
-            out_d.append(np.array([i]))
-    s, d = np.concatenate(out_h), np.concatenate(out_d)
-    order = np.argsort(s, kind="stable")
-    order = order[np.argsort(d[order], kind="stable")]
-    s, d = s[order], d[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return s[new], np.bincount(d[new], minlength=len(n))
+            whole = _mix(whole * np.uint64(31) + h[k : k + m])
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= WORDS:
+            s = np.sort(whole[at : at + k - WORDS + 1])
+            new = s[1:] != s[:-1]
+            if not new.all():
+                s = s[np.concatenate([[True], new])]
+        else:
+            s = np.array([100 + k] if k else [], np.uint64)
+            for x in h[at : at + k]:
+                s = _mix(s * np.uint64(31) + x)
+        out.append(s)
+        at += k
+    return out
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, ascending within each text; their number per text)."""
+    out, part, size = [], [], 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        if part and size + len(raw) > CHUNK:
+            out += _hashed(part)
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        out += _hashed(part)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array([len(x) for x in out], np.int64)
 
 
 def set_ids(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -283,17 +305,68 @@ def _verified(it):
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def whole_sets(names: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sid, tokens) of the sets in names (sid), made again from the texts; a few others may slip in."""
+    wanted = texts.sparkSession.sparkContext.broadcast(slot_table(names, "sid"))
+    sets = scratch.save(texts.mapInArrow(_sets(wanted), "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    wanted.destroy()
+    return sets
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set names, those that are similar, on whole sets."""
-    spark = texts.sparkSession
-    ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s")))
-    wanted = spark.sparkContext.broadcast(slot_table(ends, "s"))
-    sets = texts.mapInArrow(_sets(wanted), "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
     left = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b").select("a", "b", "x", "y")
-    out = scratch.save(both.mapInArrow(_verified, "a long, b long"))
-    wanted.destroy()
-    return out
+    return both.mapInArrow(_verified, "a long, b long")
+
+
+def _scan(t: pa.Table) -> pa.Table:
+    """Links of a block's sought sets to its scanned sets of other components: one for each component."""
+    sought = t.column("sought").to_numpy(zero_copy_only=False)
+    sid, label = t.column("sid").to_numpy(), t.column("label").to_numpy()
+    tokens = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("tokens")]
+    xs, ys = np.flatnonzero(sought), np.flatnonzero(~sought)
+    out: dict[tuple[int, int], int] = {}
+    if len(xs) and len(ys):
+        owner = np.repeat(np.arange(len(xs)), [len(tokens[i]) for i in xs])
+        every = np.concatenate([tokens[i] for i in xs])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        size, mine = np.array([len(tokens[i]) for i in xs]), label[xs]
+        for j in ys:
+            y = tokens[j]
+            low, high = np.searchsorted(every, y), np.searchsorted(every, y, side="right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(xs))
+            for i in np.flatnonzero((100 * common >= 75 * (size + len(y) - common)) & (mine != label[j])):
+                out.setdefault((int(sid[xs[i]]), int(label[j])), int(sid[j]))
+    return pa.table({"a": pa.array([k[0] for k in out], pa.int64()), "b": pa.array(list(out.values()), pa.int64())})
+
+
+def scan_groups(still: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, sid, label, sought) of the sets in open buckets (sig, sid, label): groups are components joined by buckets.
+
+    All but the largest component of a group are sought in the whole group.
+    """
+    low = still.groupBy("sig").agg(F.min("label").alias("low"))
+    bridges = still.select("sig", "label").distinct().join(low, "sig").where("label <> low").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()
+    groups = components(bridges, scratch)
+    members = still.select("sid", "label").distinct().join(groups.select(F.col("id").alias("label"), F.col("label").alias("grp")), "label")
+    members = scratch.save(members)
+    largest = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
+    return members.join(largest, "grp").select("grp", "sid", "label", (F.col("label") != F.col("top")).alias("sought"))
+
+
+def scanned(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a group, block against block."""
+    sizes = members.groupBy("grp").agg(F.ceil(F.count_if("sought") / SOUGHT_BLOCK).cast("int").alias("nx"), F.ceil(F.count(F.lit(1)) / SCANNED_BLOCK).cast("int").alias("ny"))
+    m = members.join(sizes, "grp").join(sets, "sid")
+    block = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = m.where("sought").select("grp", block("nx").alias("xb"), every("ny").alias("yb"), F.lit(True).alias("sought"), "sid", "label", "tokens")
+    y = m.select("grp", every("nx").alias("xb"), block("ny").alias("yb"), F.lit(False).alias("sought"), "sid", "label", "tokens")
+    return x.unionByName(y).groupBy("grp", "xb", "yb").applyInArrow(_scan, "a long, b long")
 
 
 def _possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -329,22 +402,33 @@ def document_components(docs: DataFrame) -> DataFrame:
     entries = texts.mapInArrow(_index(table), "sig long, sid long, nq long")
     shared = scratch.save(entries.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_buckets, "sig long, sid long, rep long, nq long"))
     table.destroy()
-    spark.sparkContext._jvm.System.gc()
+    scratch.free()
     sizes = shared.where("nq IS NOT NULL").groupBy("sid").agg(F.max("nq").alias("nq")).select("sid", F.shiftright("nq", 32).alias("n"), F.col("nq").bitwiseAND(F.lit(0xFFFFFFFF)).alias("q"))
     sizes = scratch.save(sizes)
     entries = shared.where("nq IS NULL").select("sig", "sid", "rep")
     stars = entries.where("sid <> rep").groupBy(F.col("rep").alias("a"), F.col("sid").alias("b")).agg(*_counts())
-    links = verified(scratch.save(_possible(stars, sizes)), texts, scratch)
+    pairs = scratch.save(_possible(stars, sizes))
+    sets = whole_sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))), texts, scratch)
+    links = scratch.save(verified(pairs, sets))
+    scratch.drop(sets)
     labels = components(links, scratch)
+    scratch.free()
     # buckets whose sets are in several components
     named = entries.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select("sig", "sid", F.coalesce("label", "sid").alias("label"))
     named = scratch.save(named)
+    scratch.drop(shared)
     parts = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    still = named.join(parts, "sig").join(sizes.select("sid", "n"), "sid")
-    still = scratch.save(still)
-    left, right = (still.select("sig", F.col("sid").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}")) for e in "ab")
-    across = left.join(right, "sig").where("la < lb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").groupBy("a", "b").agg(*_counts())
-    more = verified(scratch.save(_possible(across, sizes)), texts, scratch)
+    still = scratch.save(named.join(parts, "sig"))
+    scratch.drop(named)
+    combo = F.col("sig").bitwiseAND(F.lit(1)) == 1
+    left, right = (still.where(~combo).join(sizes.select("sid", "n"), "sid").select("sig", F.col("sid").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n{e}")) for e in "ab")
+    across = left.join(right, "sig").where("la < lb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("singles"), F.lit(0).alias("combos"))
+    pairs = scratch.save(_possible(across, sizes))
+    members = scratch.save(scan_groups(still.where(combo), scratch))
+    names = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(members.select("sid"))
+    sets = whole_sets(names, texts, scratch)
+    more = scratch.save(verified(pairs, sets).unionByName(scanned(members, sets)))
+    scratch.drop(sets)
     if more.limit(1).count():
         labels = components(links.unionByName(more), scratch)
     rows = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n").alias("n_shingles"))
