@@ -70,7 +70,13 @@ def w_kernels(cell: float, n_planes: int, w_max: float, support: int = 5, oversa
 
 
 def kernel_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    df = spark.createDataFrame(rows, KERNEL_SCHEMA)
+    import pyarrow as pa
+
+    # an Arrow table becomes a local relation: no tasks, and Spark knows its size
+    kinds = [pa.int32()] * 5 + [pa.float64()] * 2
+    names = [x.split()[0] for x in KERNEL_SCHEMA.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    df = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names), KERNEL_SCHEMA)
     return F.broadcast(df) if len(rows) <= KERNEL_ROWS else df
 
 

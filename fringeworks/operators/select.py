@@ -66,13 +66,18 @@ def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
     return F.when(inside, plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
 
 
-def uv_cell(metres: str, freq: str, cell: float, oversample: int, size: int, wavelengths: bool = False) -> tuple[Column, Column]:
-    """(cell, fraction): nearest cell of size cells and the oversampling step 0..oversample-1."""
-    scaled = F.col(metres) / cell if wavelengths else F.col(freq) * F.col(metres) / (C_LIGHT * cell)
-    i = nint(scaled)
-    frac = nint(oversample * (i - scaled))
-    turn = F.when(frac < 0, 1).when(frac >= oversample, -1).otherwise(0)
-    return (i + turn + size // 2).cast("int"), (frac + turn * oversample).cast("int")
+def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavelengths: bool = False, freq: str = "freq") -> DataFrame:
+    """Adds iu, iv (nearest cell of size cells) and fracu, fracv (oversampling step 0..oversample-1) for u and v.
+
+    One column per step: Spark keeps projections apart whose columns are used
+    again, so no step is computed twice.
+    """
+    for c in "uv":
+        scaled = F.col(c) / cell if wavelengths else F.col(freq) * F.col(c) / (C_LIGHT * cell)
+        df = df.withColumn("_s", scaled).withColumn("_i", nint("_s")).withColumn("_f", nint(oversample * (F.col("_i") - F.col("_s"))))
+        df = df.withColumn("_t", F.when(F.col("_f") < 0, 1).when(F.col("_f") >= oversample, -1).otherwise(0))
+        df = df.withColumns({f"i{c}": (F.col("_i") + F.col("_t") + size // 2).cast("int"), f"frac{c}": (F.col("_f") + F.col("_t") * oversample).cast("int")}).drop("_s", "_i", "_f", "_t")
+    return df
 
 
 def on_grid(iu: str, iv: str, support: int, nu: int, nv: int) -> Column:

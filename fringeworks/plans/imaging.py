@@ -26,8 +26,7 @@ _BOX = f", s AS (SELECT *, {_I} AS gu, {_J} AS gv, 1.0 / (sigma * sigma) AS wt F
 
 def _samples(spark, sf, support: int = 0, oversample: int = 1):
     """Unflagged samples with their cells on a 64 x 64 grid of 50-wavelength cells, off-grid ones left out."""
-    (iu, fu), (iv, fv) = (P.uv_cell(c, "freq", 50.0, oversample, 64, wavelengths=True) for c in "uv")
-    rows = table(spark, sf, "vis").where("NOT flag AND sigma > 0").withColumns({"iu": iu, "iv": iv, "fracu": fu, "fracv": fv, "plane": F.lit(0)})
+    rows = P.with_uv_cells(table(spark, sf, "vis").where("NOT flag AND sigma > 0").withColumn("plane", F.lit(0)), 50.0, oversample, 64, wavelengths=True)
     return rows.where(P.on_grid("iu", "iv", support, 64, 64))
 
 

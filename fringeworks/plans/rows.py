@@ -107,8 +107,7 @@ def cell_sql(s: str, oversample: int, half: int) -> tuple[str, str]:
 
 @query("uv_cell_index", ctes("vis") + f", c AS (SELECT {cell_sql(_SU, 8, 128)[0]} AS iu, {cell_sql(_SU, 8, 128)[1]} AS fracu, {cell_sql(_SV, 8, 128)[0]} AS iv, {cell_sql(_SV, 8, 128)[1]} AS fracv FROM vis) SELECT iu, iv, fracu, fracv, iu - 3 > 0 AND iu + 3 < 256 AND iv - 3 > 0 AND iv + 3 < 256 AS inside, count(*) AS n_rows FROM c GROUP BY iu, iv, fracu, fracv")
 def uv_cell_index(spark, sf):
-    (iu, fu), (iv, fv) = P.uv_cell("u", "freq", 30.0, 8, 256), P.uv_cell("v", "freq", 30.0, 8, 256)
-    rows = table(spark, sf, "vis").select(iu.alias("iu"), iv.alias("iv"), fu.alias("fracu"), fv.alias("fracv"))
+    rows = P.with_uv_cells(table(spark, sf, "vis").select("u", "v", "freq"), 30.0, 8, 256)
     return rows.groupBy("iu", "iv", "fracu", "fracv").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("inside", P.on_grid("iu", "iv", 3, 256, 256))
 
 

@@ -19,8 +19,7 @@ def samples(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(rng.uniform(-6, 6)), float(rng.uniform(-6, 6)), float(rng.normal()), float(rng.normal())) for i in range(200)]
     df = spark.createDataFrame(rows, "row_id int, u double, v double, re double, im double").withColumns({"freq": F.lit(1.0), "k": F.lit(0)})
-    (iu, fu), (iv, fv) = (P.uv_cell(c, "freq", 1.0, 4, 32, wavelengths=True) for c in "uv")
-    return df.select("*", F.lit(0).alias("plane"), iu.alias("iu"), fu.alias("fracu"), iv.alias("iv"), fv.alias("fracv"))
+    return P.with_uv_cells(df.withColumn("plane", F.lit(0)), 1.0, 4, 32, wavelengths=True)
 
 
 def test_degridding_is_the_adjoint_of_gridding(spark, samples):
