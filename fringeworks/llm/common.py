@@ -7,6 +7,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -74,8 +75,10 @@ class Scratch:
 
     def free(self) -> None:
         """Shuffle files of finished steps go when the driver's collector meets their plans; this asks it to run now."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # files go in the background, after the first run has found the plans
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def _end(self) -> None:
         try:
