@@ -69,19 +69,22 @@ def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
 def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavelengths: bool = False, freq: str = "freq") -> DataFrame:
     """Adds iu, iv (nearest cell of size cells) and fracu, fracv (oversampling step 0..oversample-1) for u and v.
 
-    One column per step: Spark keeps projections apart whose columns are used
-    again, so no step is computed twice.
+    A step below 0 or beyond the last moves to the neighbouring cell. Every
+    expression uses its input once or twice only: filters on the cells are
+    pushed down as copies of it, and long methods are not compiled.
     """
+    out = {}
     for c in "uv":
-        scaled = F.col(c) / cell if wavelengths else F.col(freq) * F.col(c) / (C_LIGHT * cell)
-        df = df.withColumn("_s", scaled).withColumn("_i", nint("_s")).withColumn("_f", nint(oversample * (F.col("_i") - F.col("_s"))))
-        df = df.withColumn("_t", F.when(F.col("_f") < 0, 1).when(F.col("_f") >= oversample, -1).otherwise(0))
-        df = df.withColumns({f"i{c}": (F.col("_i") + F.col("_t") + size // 2).cast("int"), f"frac{c}": (F.col("_f") + F.col("_t") * oversample).cast("int")}).drop("_s", "_i", "_f", "_t")
-    return df
+        s = F.col(c) / cell if wavelengths else F.col(freq) * F.col(c) / (C_LIGHT * cell)
+        i = F.round(s)  # halves away from zero
+        f = F.round(oversample * (i - s))
+        out |= {f"i{c}": (i - F.floor(f / oversample) + size // 2).cast("int"), f"frac{c}": F.pmod(f, F.lit(float(oversample))).cast("int")}
+    return df.withColumns(out)
 
 
 def on_grid(iu: str, iv: str, support: int, nu: int, nv: int) -> Column:
-    return (F.col(iu) - support > 0) & (F.col(iu) + support < nu) & (F.col(iv) - support > 0) & (F.col(iv) + support < nv)
+    """Strictly inside by the support on both axes."""
+    return F.col(iu).between(support + 1, nu - support - 1) & F.col(iv).between(support + 1, nv - support - 1)
 
 
 def taylor_weight(freq: str, ref: float, order: int) -> Column:
