@@ -88,13 +88,20 @@ def register_kernel(name: str, make: Callable[..., list[tuple]]) -> None:
     KERNELS[name] = make
 
 
+def _with_kernel(samples: DataFrame, kernel: DataFrame) -> DataFrame:
+    """Samples joined with their kernel cells by one whole-number key: Spark's quickest hash table."""
+    key = (F.col("plane").cast("long") * 1024 + F.col("fracu")) * 1024 + F.col("fracv")
+    cells = kernel.select(key.alias("_kernel"), "du", "dv", "wt_re", "wt_im")
+    return samples.withColumn("_kernel", key).join(cells, "_kernel").drop("_kernel")
+
+
 def gridded(samples: DataFrame, kernel: DataFrame, value: Cx, weight: Column, keys: list[str], psf: bool = True) -> DataFrame:
     """Sums over cells (keys, gu, gv): visibility, unit response and weights in one pass.
 
     samples have plane, fracu, fracv, iu, iv. One shuffle, of partial sums.
     """
     s = samples.withColumns({"_re": value.re, "_im": value.im, "_wt": weight}).select(*keys, "plane", "fracu", "fracv", "iu", "iv", "_re", "_im", "_wt")
-    j = s.join(kernel, ["plane", "fracu", "fracv"])
+    j = _with_kernel(s, kernel)
     k = Cx.of("wt_re", "wt_im") * F.col("_wt")
     v = Cx.of("_re", "_im") * k
     aggs = [F.sum(v.re).alias("re"), F.sum(v.im).alias("im")]
@@ -106,7 +113,8 @@ def gridded(samples: DataFrame, kernel: DataFrame, value: Cx, weight: Column, ke
 
 def degridded(samples: DataFrame, kernel: DataFrame, grid: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
     """For each sample, the sum over its cells of kernel * conj(grid)."""
-    s = samples.select(*row, *[k for k in keys if k not in row], "plane", "fracu", "fracv", "iu", "iv").join(kernel, ["plane", "fracu", "fracv"])
+    s = samples.select(*row, *[k for k in keys if k not in row], "plane", "fracu", "fracv", "iu", "iv")
+    s = _with_kernel(s, kernel)
     s = s.withColumns({"gu": F.col("iu") + F.col("du"), "gv": F.col("iv") + F.col("dv")})
     v = Cx.of("wt_re", "wt_im") * Cx.of("re", "im").conj()
     return s.join(grid.select(*keys, "gu", "gv", "re", "im"), [*keys, "gu", "gv"]).groupBy(*row).agg(F.sum(v.re).alias("re"), F.sum(v.im).alias("im"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import C_LIGHT, nint, separation
+from ..functions.scalar import C_LIGHT, separation
 
 
 def split_rows(vis: DataFrame, begin: float | None = None, end: float | None = None, scans: Iterable[int] = (), fields: Iterable[int] = (), beams: Iterable[int] = ()) -> DataFrame:
@@ -61,9 +61,8 @@ def near_pointing(vis: DataFrame, lon: str, lat: str, ref: tuple[float, float],
 
 def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
     """Plane of a linear sampling; outside the planes -1 if clip, else an error in the job."""
-    plane = (nint(F.col(w) / scale) + (n - 1) // 2).cast("int")
-    inside = (plane >= 0) & (plane < n)
-    return F.when(inside, plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
+    plane = (F.round(F.col(w) / scale) + (n - 1) // 2).cast("int")
+    return F.when(plane.between(0, n - 1), plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
 
 
 def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavelengths: bool = False, freq: str = "freq") -> DataFrame:
