@@ -4,16 +4,20 @@ For each language and source, the minimum covariance determinant gives a
 robust centre and covariance of transformed statistic vectors; a document is
 rejected when its Mahalanobis distance is beyond the threshold.
 
-The determinant is minimised by concentration steps from two deterministic
-beginnings (median and scaled median deviation; mean and covariance of the half
-nearest to the median in the largest share). A step is two grouped aggregates
-over all documents of a group: the h-th smallest distance, then sums over those
-within it. A group is never gathered: a hot source is pre-aggregated where it
-lies, and what moves is a few sums per group and task. Scales have floors, as
-most texts show none of some faults and half a group may agree exactly.
+The determinant is minimised by concentration steps on the (n + DIM + 1) / 2
+nearest rows from two deterministic beginnings (median and scaled median
+deviation; mean and covariance of the half whose largest scaled deviation from
+the median is least). Both run until the determinant falls no further, and the
+smaller one counts, so that up to nearly half of a group may be outliers. A step
+is two grouped aggregates over all documents of a group: the h-th smallest
+distance, then sums over those within it. A group is never gathered: a hot
+source is pre-aggregated where it lies, and what moves is a few sums per group
+and task. Scales have floors, as most texts show none of some faults and half a
+group may agree exactly.
 
 Groups of fewer than MIN_GROUP documents use their language's estimate, and
-languages of fewer the estimate of all documents. Only documents that pass the
+languages of fewer the estimate of all documents; estimates that no document
+uses are not made. Only documents that pass the
 base rules take part. Null text is empty: base_failed. Null language or source
 is a group of its own. Repeated rows count each, and get equal results.
 """
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, documents, same
 
 MIN_WORDS, MIN_GROUP, STEPS = 50, 40, 4
-#: Share of a group that the concentrated half holds.
-SHARE = 0.75
+#: STEPS is the least number of steps, then the logarithm of the determinant must fall by TOLERANCE for another one.
+TOLERANCE = 1e-3
+#: Share of a group that the concentrated half holds, besides the (DIM + 1) / 2 rows on top.
+SHARE = 0.5
 #: Squared distance beyond which a text is rejected: far outside chi-square with 4 degrees of freedom (0.9999: 23.5).
 LIMIT = 40.0
 #: Least standard deviation of each transformed statistic.
@@ -97,25 +103,61 @@ def _transformed() -> list:
     return [F.log(F.greatest("word_chars", F.lit(1)) / n), F.log1p(10 * F.col("n_symbols") / n), F.log1p(10 * F.col("n_dup_lines") / n), F.log1p(10 * F.col("n_repeat_words") / n)]
 
 
-def _estimates(stats: DataFrame, keys: list[str], scratch: Scratch, most: int | None = None) -> DataFrame:
-    """keys, _n, _m (mean), _p (flat inverse covariance): the estimate of each group of at least MIN_GROUP rows."""
+def _half(column: str):
+    """The h-th smallest value of a column, h = (n + DIM + 1) / 2, from a list of percentiles; within n / 1000 below h (never under n / 2) for groups of 1,000 rows or more."""
+    n = F.max("_n")
+    shares = [SHARE + k / 1000 for k in range(1 + 500 * (DIM + 1) // MIN_GROUP)]
+    at = F.floor((F.floor((n + DIM + 1) / 2) / n - SHARE) * 1000).cast("int") + 1
+    return F.element_at(F.percentile_approx(column, shares, 10_000), F.greatest(at, F.lit(1)))
+
+
+def _concentrated_on(near: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """by, _n, _m, _p, _ld (logarithm of the determinant) of the rows of least _d in each group."""
+    x = [f"_x{i}" for i in range(DIM)]
+    cut = scratch.save(near.groupBy(*by).agg(_half("_d").alias("_cut")))
+    near = _joined(near, cut, by).where(F.col("_d") <= F.col("_cut"))
+    sums = near.groupBy(*by).agg(F.max("_n").alias("_n"), F.count(F.lit(1)).cast("double").alias("_k"), F.array(*[F.sum(F.col(c)) for c in x]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in x for b in x]).alias("_q"))
+    out = scratch.save(_inverted(sums, by))
+    scratch.drop(cut)
+    return out
+
+
+def _estimates(stats: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """keys, _n, _m (mean), _p (flat inverse covariance), _ld: the estimate of each group of at least MIN_GROUP rows."""
     x = [f"_x{i}" for i in range(DIM)]
     med = [F.percentile_approx(c, 0.5, 2000).alias(f"_c{i}") for i, c in enumerate(x)]
     groups = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *med).where(F.col("_n") >= MIN_GROUP)
     groups = scratch.save(groups)
     joined = _joined(stats, groups, keys)
-    mad = [F.percentile_approx(F.abs(F.col(c) - F.col(f"_c{i}")), 0.5, 2000).alias(f"_d{i}") for i, c in enumerate(x)]
-    spread = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(DIM)], *mad)
-    est = spread.select(*keys, "_n", F.array(*[f"_c{i}" for i in range(DIM)]).alias("_m"), F.flatten(F.array(*[F.array(*[(1 / F.pow(F.greatest(1.4826 * F.col(f"_d{i}"), F.lit(FLOORS[i])), 2) if i == j else F.lit(0.0)) for j in range(DIM)]) for i in range(DIM)])).alias("_p"))
-    est = scratch.save(est)
-    for _ in range(STEPS):
-        near = _joined(stats, est, keys).withColumn("_d", distance(x))
-        cut = near.groupBy(*keys).agg(F.percentile_approx("_d", SHARE, 2000).alias("_cut"))
-        cut = scratch.save(cut)
-        near = _joined(near, cut, keys).where(F.col("_d") <= F.col("_cut"))
-        sums = near.groupBy(*keys).agg(F.max("_n").alias("_n"), F.count(F.lit(1)).cast("double").alias("_k"), F.array(*[F.sum(F.col(c)) for c in x]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in x for b in x]).alias("_q"))
-        est = scratch.save(_inverted(sums, keys))
-    return est
+    mad = [F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"_c{i}")), 0.5, 2000), F.lit(FLOORS[i])).alias(f"_s{i}") for i, c in enumerate(x)]
+    spread = scratch.save(joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(DIM)], *mad))
+    by = [*keys, "_start"]
+    none = F.lit(float("inf")).alias("_ld")
+    first = spread.select(*keys, F.lit(0).alias("_start"), "_n", F.array(*[f"_c{i}" for i in range(DIM)]).alias("_m"), F.flatten(F.array(*[F.array(*[(1 / F.pow(f"_s{i}", F.lit(2)) if i == j else F.lit(0.0)) for j in range(DIM)]) for i in range(DIM)])).alias("_p"), none)
+    largest = F.greatest(*[F.abs(F.col(c) - F.col(f"_c{i}")) / F.col(f"_s{i}") for i, c in enumerate(x)])
+    second = _concentrated_on(_joined(stats, spread, keys).withColumns({"_d": largest, "_start": F.lit(1)}), by, scratch)
+    est, settled, step = scratch.save(first.unionByName(second.withColumn("_ld", none))), [], 0
+    names = ("_n", "_m", "_p", "_ld")
+    while True:
+        step += 1
+        new = _concentrated_on(_joined(stats, est, keys).withColumn("_d", distance(x)), by, scratch)
+        old = est.select(*by, F.struct(*names).alias("_old"))
+        more = F.lit(step < STEPS) | (F.col("_ld") < F.col("_old._ld") - TOLERANCE)
+        both = _joined(new, old, by).withColumn("_more", more)
+        both = both.select(*by, "_more", F.when(F.col("_more") | (F.col("_ld") <= F.col("_old._ld")), F.struct(*names)).otherwise(F.col("_old")).alias("_e"))
+        both = scratch.save(both.select(*by, "_more", "_e.*"))
+        going, n = both.agg(F.count_if("_more"), F.count(F.lit(1))).first()
+        if going < n:
+            settled.append(both.where(~F.col("_more")).drop("_more"))
+        est = both.where("_more").drop("_more")
+        if not going:
+            break
+        est = scratch.save(est) if going < n else est
+    out = settled[0] if settled else est
+    for one in settled[1:]:
+        out = out.unionByName(one)
+    best = out.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("_ld", "_start")).alias("_e"))
+    return scratch.save(best.select(*keys, "_e.*"))
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,9 +211,21 @@ def _inverted(sums: DataFrame, keys: list[str]) -> DataFrame:
             if b.num_rows:
                 k, s, q = (np.array(b.column(i).to_pylist(), float) for i in (n_keys + 1, n_keys + 2, n_keys + 3))
                 m, p = concentrated(k, s, q)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_keys + 1)), pa.array(list(m), pa.list_(pa.float64())), pa.array(list(p.reshape(len(p), -1)), pa.list_(pa.float64()))], [*keys, "_n", "_m", "_p"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_keys + 1)), pa.array(list(m), pa.list_(pa.float64())), pa.array(list(p.reshape(len(p), -1)), pa.list_(pa.float64())), pa.array(-np.linalg.slogdet(p)[1])], [*keys, "_n", "_m", "_p", "_ld"])
 
-    return sums.select(*keys, "_n", "_k", "_s", "_q").mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ("," if keys else "") + " _n long, _m array<double>, _p array<double>")
+    types = dict(sums.dtypes)
+    return sums.select(*keys, "_n", "_k", "_s", "_q").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", _n long, _m array<double>, _p array<double>, _ld double")
+
+
+def _named(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+
+
+def _same_keys(keys: list[str]):
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & same(F.col(k), F.col(f"_g_{k}"))
+    return cond
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -180,22 +234,20 @@ def judged(docs: DataFrame) -> DataFrame:
     stats = scratch.save(base_stats(docs).withColumns({f"_x{i}": c for i, c in enumerate(_transformed())}))
     own = stats.where(~F.col("base_failed"))
     x = [f"_x{i}" for i in range(DIM)]
-    levels = [["lang", "source"], ["lang"], []]
-    out = stats
+    levels = [["lang", "source"], ["lang"], ["_all"]]
+    own = own.withColumn("_all", F.lit(""))
+    out, lone = stats.withColumn("_all", F.lit("")), own
     for at, keys in enumerate(levels):
-        if keys:
-            est = _estimates(own, keys, scratch)
-        else:
-            est = _estimates(own.withColumn("_all", F.lit("")), ["_all"], scratch)
-            out = out.withColumn("_all", F.lit(""))
-            keys = ["_all"]
-        names = {k: f"_g_{k}" for k in keys}
-        est = est.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_m").alias(f"_m{at}"), F.col("_p").alias(f"_p{at}"))
-        cond = F.lit(True)
-        for k, n in names.items():
-            cond = cond & same(F.col(k), F.col(n))
-        out = out.join(est, cond, "left").drop(*names.values())
-    out = out.withColumns({"_m": F.coalesce("_m0", "_m1", "_m2"), "_p": F.coalesce("_p0", "_p1", "_p2")})
+        rows = own
+        if at:
+            if lone.isEmpty():
+                break
+            rows = own.join(_named(scratch.save(lone.select(*keys).distinct()), keys), _same_keys(keys), "left_semi")
+        est = _estimates(rows, keys, scratch)
+        named = _named(est.select(*keys, F.col("_m").alias(f"_m{at}"), F.col("_p").alias(f"_p{at}")), keys)
+        out = out.join(named, _same_keys(keys), "left").drop(*[f"_g_{k}" for k in keys])
+        lone = lone.join(named, _same_keys(keys), "left_anti")
+    out = out.withColumns({c: F.coalesce(*[f"{c}{i}" for i in range(len(levels)) if f"{c}{i}" in out.columns]) for c in ("_m", "_p")})
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.coalesce(distance(x), F.lit(0.0))))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= LIMIT))
 

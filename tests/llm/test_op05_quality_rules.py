@@ -100,6 +100,40 @@ def test_verdicts_are_those_of_the_steps_in_memory(make_docs, clash):
     assert not [d for d, _, kept in got if d in bad and kept]
 
 
+def converged(x):
+    """Both beginnings until the determinant falls no further, in memory; the smaller determinant's mean and inverse covariance."""
+    h = (len(x) + op.DIM + 1) // 2
+
+    def half(d):
+        y = x[d <= np.sort(d)[h - 1]]
+        (m,), (p,) = op.concentrated(np.array([float(len(y))]), y.sum(0)[None], (y.T @ y).reshape(1, -1))
+        return m, p
+
+    med = np.array([quantile(c, 0.5) for c in x.T])
+    s = np.maximum(1.4826 * np.array([quantile(np.abs(c - a), 0.5) for c, a in zip(x.T, med, strict=True)]), op.FLOORS)
+    found = []
+    for m, p in ((med, np.diag(1 / s**2)), half((np.abs(x - med) / s).max(1))):
+        for _ in range(100):
+            m, p = half(np.einsum("ni,ij,nj->n", x - m, p, x - m))
+        found.append((-np.linalg.slogdet(p)[1], m, p))
+    return min(found, key=lambda e: e[0])
+
+
+@pytest.mark.parametrize("n_bad", [53, 80, 88])
+def test_a_third_of_a_group_or_more_are_outliers(make_docs, n_bad):
+    rnd = random.Random(n_bad)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    rows = [(i, " ".join(word() + ("###" if i < n_bad and rnd.random() < 0.8 else "") for _ in range(rnd.randint(60, 90))), "en", "hot") for i in range(n_bad + 100)]
+    kept = {r.doc_id: (r.kept, r.distance, r._m, r._p) for r in op.judged(make_docs(rows)).collect()}
+    assert not [i for i in range(n_bad) if kept[i][0]]
+    assert sum(kept[i][0] for i in range(n_bad, n_bad + 100)) >= 98
+    stats = np.array([plain(r[1]) for r in rows], float)
+    x = np.stack([np.log(stats[:, 1] / stats[:, 0]), *(np.log1p(10 * stats[:, i] / stats[:, 0]) for i in (2, 3, 4))], 1)
+    best, m, p = converged(x)
+    assert -np.linalg.slogdet(np.array(kept[0][3]).reshape(4, 4))[1] <= best + 2 * op.TOLERANCE
+    assert np.allclose(kept[0][2], m, atol=0.05)
+
+
 def test_empty_table(make_docs):
     assert op.judged(make_docs([])).collect() == []
 
