@@ -141,7 +141,7 @@ def w_stack_image(spark, sf):
 
 @query("snapshot_planes")
 def snapshot_planes(spark, sf):
-    v = table(spark, sf, "vis").where("scan < 4").withColumn("time_s", F.floor(F.col("time_s") / 8640000) * 8640000.0)
+    v = table(spark, sf, "vis").withColumn("time_s", F.floor(F.col("time_s") / 8640000) * 8640000.0)
     return I.snapshot_segments(v, ["scan"], 60.0).select("scan", "time_s", "segment", rnd("a").alias("a"), rnd("b").alias("b"))
 
 
@@ -179,9 +179,9 @@ def regridded_image(spark, sf):
 
 @query("beamforming_weights")
 def beamforming_weights(spark, sf):
-    v = table(spark, sf, "vis_pol").where("NOT flag AND antenna1 < 12 AND antenna2 < 12").select("beam", "antenna1", "antenna2", "re", "im")
+    v = table(spark, sf, "vis_pol").where("NOT flag").select("beam", "antenna1", "antenna2", "re", "im")
     both = v.unionByName(v.select("beam", F.col("antenna2").alias("antenna1"), F.col("antenna1").alias("antenna2"), "re", (-F.col("im")).alias("im")))
-    return I.beamforming_weights(both, ["beam"], 12).withColumns({"w_re": rnd("w_re", 4), "w_im": rnd("w_im", 4)})
+    return I.beamforming_weights(both, ["beam"], 36).withColumns({"w_re": rnd("w_re", 4), "w_im": rnd("w_im", 4)})
 
 
 @query("baseline_solve")
@@ -206,7 +206,7 @@ def pointing_solve(spark, sf):
 @query("scan_calibration")
 def scan_calibration(spark, sf):
     """Scans are found, samples are averaged per scan and baseline, gains are solved per scan: independent keys."""
-    v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2 AND feed1 = feed2 AND scan < 4")
+    v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2 AND feed1 = feed2")
     z = Cx.of("re", "im")
     p = v.groupBy("scan", "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.count(F.lit(1)).cast("double").alias("mm_re"))
     return K.solved_gains(p, ["scan"], 36).withColumns({"g_re": rnd("g_re"), "g_im": rnd("g_im")})

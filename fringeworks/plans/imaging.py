@@ -327,7 +327,7 @@ def precondition_robust(spark, sf):
 
 @query("bandpass_solve")
 def bandpass_solve(spark, sf):
-    v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2 AND chan < 4")
+    v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2")
     model = Cx.of(F.lit(1.0), F.lit(0.2))
     z = model.conj() * Cx.of("re", "im")
     p = v.groupBy("chan", "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.sum(model.abs2()).alias("mm_re"))
@@ -336,7 +336,7 @@ def bandpass_solve(spark, sf):
 
 @query("delay_solve")
 def delay_solve(spark, sf):
-    v = table(spark, sf, "vis").where("NOT flag AND antenna1 < antenna2 AND antenna1 < 4")
+    v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2")
     z = Cx.of("re", "im") * S.delay_phasor("freq", F.col("antenna2") * 0.2)
     s = v.groupBy("antenna1", "antenna2", "chan").agg(F.avg(z.re).alias("re"), F.avg(z.im).alias("im"))
     return K.solved_delays(s, ["antenna1", "antenna2"], 1e6).withColumn("delay", rnd(F.col("delay") * 1e9, 3))
