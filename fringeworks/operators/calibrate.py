@@ -123,23 +123,40 @@ def antenna_delays(baselines: list[tuple[int, int, float]], reference: int) -> d
     return {a: float(x[i]) for a, i in at.items()}
 
 
-def baseline_offsets(phases: DataFrame, by: list[str], freq: float) -> DataFrame:
-    """Position errors (m) of antennas from phases (by, ha, dec, phase): sums of a 4-parameter linear fit, solved per antenna."""
-    import pandas as pd
-
+def _turns(step: Column) -> Column:
+    """Whole turns by which a step of phase is beyond half a turn either way."""
+    return F.when(step > 0, F.ceil((step - math.pi) / (2 * math.pi))).otherwise(F.floor((step + math.pi) / (2 * math.pi)))
+
+
+def _unwrapped_by_hour_angle(phases: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """phase without its turns along ha: counted inside narrow bins of ha, then over the bins of a key, so that no key is one task's."""
+    rows = phases.withColumn("_bin", F.floor(F.col("ha") * (bins / (2 * math.pi))))
+    inside = Window.partitionBy(*by, "_bin").orderBy("ha", "dec", "phase")
+    rows = rows.withColumn("_step", F.coalesce(_turns(F.col("phase") - F.lag("phase").over(inside)), F.lit(0)))
+    rows = rows.withColumn("_turn", F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("ha", "dec", "phase")
+    ends = rows.groupBy(*by, "_bin").agg(F.min(place)["phase"].alias("_first"), F.max(place)["phase"].alias("_last"), F.sum("_step").alias("_all"))
+    along = Window.partitionBy(*by).orderBy("_bin")
+    ends = ends.withColumn("_cross", F.coalesce(_turns(F.col("_first") - F.lag("_last").over(along)) + F.lag("_all").over(along), F.lit(0)))
+    ends = ends.select(*by, "_bin", F.sum("_cross").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"))
+    return rows.join(ends, [*by, "_bin"]).withColumn("phase", F.col("phase") - 2 * math.pi * (F.col("_turn") + F.col("_before")))
+
+
+def baseline_offsets(phases: DataFrame, by: list[str], freq: float, bins: int = 4096) -> DataFrame:
+    """Position errors (m) of antennas from phases (by, ha, dec, phase): grouped normal-equation sums of a 4-parameter linear fit, solved per antenna."""
     schema = ", ".join(f"{b} {dict(phases.dtypes)[b]}" for b in by) + ", dx double, dy double, dz double, offset double"
-
-    def run(key, pdf):
-        ha, dec = pdf["ha"].to_numpy(), pdf["dec"].to_numpy()
-        k = 2 * math.pi * freq / C_LIGHT
-        a = np.stack([k * np.cos(dec) * np.cos(ha), -k * np.cos(dec) * np.sin(ha), k * np.sin(dec), np.ones(len(ha))], 1)
-        order = np.argsort(ha)
-        y = np.empty(len(ha))
-        y[order] = np.unwrap(pdf["phase"].to_numpy()[order])
-        x = np.linalg.lstsq(a, y, rcond=None)[0]
-        return pd.DataFrame({**{b: [v] for b, v in zip(by, key, strict=True)}, "dx": [x[0]], "dy": [x[1]], "dz": [x[2]], "offset": [x[3]]})
-
-    return phases.groupBy(*by).applyInPandas(run, schema)
+    k = 2 * math.pi * freq / C_LIGHT
+    ha, dec = F.col("ha"), F.col("dec")
+    rows = _unwrapped_by_hour_angle(phases, by, bins).select(*by, "phase", (k * F.cos(dec) * F.cos(ha)).alias("_a0"), (-k * F.cos(dec) * F.sin(ha)).alias("_a1"), (k * F.sin(dec)).alias("_a2"), F.lit(1.0).alias("_a3"))
+    a = [f"_a{i}" for i in range(4)]
+    sums = rows.groupBy(*by).agg(F.array(*[F.sum(F.col(p) * F.col(q)) for p in a for q in a]).alias("_n"), F.array(*[F.sum(F.col(p) * F.col("phase")) for p in a]).alias("_y"))
+
+    def run(it):
+        for pdf in it:
+            x = [np.linalg.lstsq(np.array(list(n)).reshape(4, 4), np.array(list(y)), rcond=1e-12)[0] for n, y in zip(pdf["_n"], pdf["_y"], strict=True)]
+            yield pdf[by].assign(**{c: [v[i] for v in x] for i, c in enumerate(("dx", "dy", "dz", "offset"))})
+
+    return sums.mapInPandas(run, schema)
 
 
 def pointing_offsets(scans: DataFrame, by: list[str], fwhm: float) -> DataFrame:

@@ -188,7 +188,7 @@ def beamforming_weights(spark, sf):
 def baseline_solve(spark, sf):
     """Antenna positions recovered from phases that a known offset makes."""
     k = 2 * math.pi * 1.1e9 / S.C_LIGHT
-    t = table(spark, sf, "ts").where("event_id % 7 = 0").select("antenna", ((F.col("time_s") % 20000) / 20000 - 0.5).alias("ha"), (F.col("value") / 200 - 0.5).alias("dec"))
+    t = table(spark, sf, "ts").select("antenna", ((F.col("time_s") % 20000) / 20000 - 0.5).alias("ha"), (F.col("value") / 200 - 0.5).alias("dec"))
     phase = k * 0.01 * (F.col("antenna") % 3) * F.cos("dec") * F.cos("ha") + 0.2
     return K.baseline_offsets(t.withColumn("phase", phase), ["antenna"], 1.1e9).select("antenna", *[rnd(c, 5).alias(c) for c in ("dx", "dy", "dz", "offset")])
 
