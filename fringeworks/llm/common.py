@@ -17,16 +17,33 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Rows of one Arrow batch that Python sees at once; texts may be long.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch, unless the session says otherwise; bytes of text that Python works on at once.
+BATCH_ROWS, PIECE_BYTES = 1000, 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a Python worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches, so that a Python worker holds few texts at a time; a value that the caller set stays."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark
 
 
+def pieces(batches, column: int, limit: int = PIECE_BYTES):
+    """The batches cut into slices whose texts (a string column) have limit bytes together, or of one row."""
+    for b in batches:
+        text = b.column(column)
+        if not b.num_rows or text.nbytes <= limit:
+            yield b
+            continue
+        size = np.frombuffer(text.buffers()[1], "<i4", b.num_rows + 1, offset=4 * text.offset).astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, size[at] + limit, side="right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -37,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='fringeworks-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -50,19 +69,27 @@ def _fs_path(spark: SparkSession, path: str):
 class Scratch:
     """Tables written into the shared folder: they cut lineage and outlive executors.
 
-    drop() deletes one that is no longer needed; the rest go when the driver's
-    Python ends, since a lazy result may still read them.
+    drop() deletes one that is no longer needed. The rest serve lazy results:
+    release() deletes them when the caller has consumed these, and the end of
+    the driver's Python does so at the latest.
     """
 
+    open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fw-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self._end)
+        if not Scratch.open:
+            atexit.register(release)
+        Scratch.open.append(self)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """df as a written table. few: a quarter of the files, for tables much smaller than those they are made from."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
+        if few:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._fw_path = path
@@ -80,7 +107,7 @@ class Scratch:
             self.spark.sparkContext._jvm.System.gc()
             time.sleep(0.5)
 
-    def _end(self) -> None:
+    def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
                 fs, p = _fs_path(self.spark, self.root)
@@ -89,6 +116,12 @@ class Scratch:
             pass
 
 
+def release() -> None:
+    """Deletes the tables behind all results so far: for long sessions, once these are written or collected."""
+    while Scratch.open:
+        Scratch.open.pop().close()
+
+
 def same(a: Column, b: Column) -> Column:
     """Null-safe equality, usable as a join key."""
     return a.eqNullSafe(b)
@@ -102,17 +135,23 @@ def doc_key(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
-#: Slots of a membership table; its size is fixed, whatever the number of keys.
-SLOT_BITS = 24
+#: Bits of the number of slots of a membership table: eight slots a key between these bounds.
+SLOT_BITS = (16, 28)
 _BLOCK = 1 << 15
 
 
-def slot_table(df: DataFrame, key: str, value: str | None = None, bits: int = SLOT_BITS) -> np.ndarray:
-    """A fixed table of 2**bits bytes: slot key mod 2**bits holds the largest value (1..255) of its keys.
+def slot_bits(keys: int) -> int:
+    return min(max((8 * keys).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+
+
+def slot_table(df: DataFrame, key: str, value: str | None = None, bits: int | None = None) -> np.ndarray:
+    """A table of 2**bits bytes: slot key mod 2**bits holds the largest value (1..255) of its keys.
 
     Keys that share a slot share a value, so a lookup may overstate, never
-    understate. What reaches the driver is at most 2**bits bytes at any size of df.
+    understate. What reaches the driver is at most 2**28 bytes at any size of
+    df, a table in the shared folder whose rows are counted to choose bits.
     """
+    bits = bits or slot_bits(df.count())
     n = 1 << bits
     slots = df.select(F.expr(f"`{key}` & {n - 1}L").alias("s"), (F.lit(1) if value is None else F.col(value)).cast("int").alias("v"))
     slots = slots.groupBy("s").agg(F.max("v").alias("v"))
@@ -130,7 +169,7 @@ def slot_table(df: DataFrame, key: str, value: str | None = None, bits: int = SL
                     yield pa.RecordBatch.from_pydict({"b": pa.array([int(at[part[0]])], pa.int64()), "s": pa.array([(s[part] % _BLOCK).astype("<u2").tobytes()], pa.binary()), "v": pa.array([v[part].astype("u1").tobytes()], pa.binary())})
 
     out = np.zeros(n, "u1")
-    for b, s, v in slots.repartition(max(1, min(64, n // _BLOCK // 8)), F.expr(f"s div {_BLOCK}")).mapInArrow(blocks, "b long, s binary, v binary").toLocalIterator():
+    for b, s, v in slots.repartition(max(1, min(16, n // _BLOCK // 8)), F.expr(f"s div {_BLOCK}")).mapInArrow(blocks, "b long, s binary, v binary").collect():
         at = b * _BLOCK + np.frombuffer(s, "<u2").astype(np.int64)
         out[at] = np.maximum(out[at], np.frombuffer(v, "u1"))
     return out

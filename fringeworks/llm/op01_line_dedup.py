@@ -13,7 +13,8 @@ that Spark may split or broadcast. Texts move once, to meet their covered lines.
 
 Null texts stay null, with no lines. Texts of under three lines never change.
 A null doc_id sorts first. Rows that repeat doc_id and text are one document:
-each gets that document's result. Empty tables give no rows. Column names
+each gets that document's result. Very long texts are cut into lines whole, a few
+texts at a time. Empty tables give no rows. Column names
 starting with _fw_ are reserved; any other extra columns are kept.
 """
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents, same
+from .common import WORD, Scratch, documents, pieces, same
 
 WINDOW = 3
 
@@ -40,7 +41,7 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """_id, _th, pos, h1, h2: every window of the rows (_id, _th, _text)."""
 
     def run(it):
-        for b in it:
+        for b in pieces(it, 2):
             ids, ths, texts = (b.column(i).to_pylist() for i in range(3))
             out = [[], [], [], []]
             hashes = bytearray()
@@ -83,7 +84,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields] + ["`_fw_lines` long", "`_fw_removed` long"])
 
     def run(it):
-        for b in it:
+        for b in pieces(it, len(others)):
             n = len(others)
             texts, lines_n, removed = [], [], []
             for text, at in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):

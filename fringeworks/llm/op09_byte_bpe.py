@@ -7,6 +7,7 @@ are encoded one by one; decoding is the inverse mapping of the pieces.
 Null and empty texts have no ids and decode to nothing. Repeated rows each get
 their row; other columns of the input are ignored or, in with_tokens, kept.
 The stage is narrow: no shuffle, one row in and one out, a lost task is redone alone.
+Very long texts are encoded whole, a few at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import codec
-from .common import documents, tokenizer_path
+from .common import documents, pieces, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,7 +29,7 @@ def with_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def encode(it):
         own = codec(vocabulary)
-        for b in it:
+        for b in pieces(it, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
@@ -50,7 +51,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(it):
         own = codec(vocabulary)
-        for b in it:
+        for b in pieces(it, 1):
             rows = [own.digest(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x, _ in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for _, _, x in rows], pa.string())],

@@ -56,11 +56,11 @@ def fixture(seed):
     return rows
 
 
-@pytest.mark.parametrize("limits", [None, (2, 2)])
+@pytest.mark.parametrize("limits", [None, {"FREQUENT": 2}, {"FREQUENT": 1 << 40, "CROWD": 3}])
 def test_same_components_as_brute_force(make_docs, clash, monkeypatch, limits):
-    if limits:  # nearly every shared token is frequent: combinations carry the join
-        monkeypatch.setattr(op, "MIN_LOCAL", limits[0])
-        monkeypatch.setattr(op, "FREQUENT", limits[1])
+    """Frequent from two on, combinations carry the join; or no token is frequent until its bucket shows it."""
+    for name, value in (limits or {}).items():
+        monkeypatch.setattr(op, name, value)
     rows = fixture(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.document_components(make_docs(rows, clash)).collect()}
     assert got == brute(rows)
@@ -90,19 +90,51 @@ def test_similar_sets_share_a_signature():
             share = rng.random()
             is_frequent = lambda t, share=share: (t % np.uint64(1000)) < np.uint64(1000 * share)
 
-            def index(tokens):
+            def index(tokens, smaller):
                 cls = is_frequent(tokens)
                 order = np.lexsort((tokens, cls))
                 tokens, rare = tokens[order], int((~cls).sum())
                 k = len(tokens)
-                singles = set(tokens[: min(k // 4 + 1, rare)].tolist())
-                combos = {int(s) for part in op.combination_signatures(tokens, rare, k) for s in part} if k // 4 + 1 > rare else set()
+                prefix = k // 7 + 1 if smaller else k // 4 + 1
+                singles, combos = set(tokens[: min(prefix, rare)].tolist()), set()
+                if k // 4 + 1 > rare:
+                    for part, role in zip(*op.combination_signatures(tokens, rare, k), strict=True):
+                        combos |= set((part[role] if smaller else part).tolist())
                 return singles, combos
 
-            (a, b), (c, d) = index(x), index(y)
+            (a, b), (c, d) = index(x, n < m), index(y, m <= n)
             assert a & c or b & d, (n, m, share)
 
 
+def test_one_row_of_each_component_and_no_other_text_lost(make_docs, clash):
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    near = t[0] + " x"
+    rows = [(1, t[0]), (5, near), (5, t[1]), (6, t[2]), (6, t[3]), (None, t[0]), (None, t[4]), (None, t[4]), (9, t[3]), (7, None), (7, ""), (8, t[1]), (8, t[1])]
+    out = op.one_of_each(make_docs(rows, clash))
+    assert set(clash) <= set(out.columns)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, t[0]), (5, t[1]), (6, t[2]), (6, t[3]), (None, t[4]), (7, None), (7, "")], key=str)
+
+
+def test_sets_that_share_a_name_go_by_the_second():
+    tokens, n = op.shingle_sets(["a b c d e f", "g h i j k l", None])
+    first, second = op.set_ids(tokens, n)
+    again, _ = op.set_ids(tokens, n, first[:1])
+    assert again.tolist() == [second[0], first[1], 0] and len({*first.tolist(), *second.tolist()}) == 5
+
+
+def test_texts_are_cut_by_bytes_whole():
+    import pyarrow as pa
+
+    from fringeworks.llm.common import pieces
+
+    texts = ["a" * k for k in (3, 0, 50, 2, 2, 2)] + [None, "é" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["i", "t"]).slice(1)
+    got = list(pieces([batch, batch.slice(0, 0)], 1, 6))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts[1:]
+    assert all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b.column(1).to_pylist()) <= 6 for b in got)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op.query(spark, sf_dir).collect()} == brute(rows)
