@@ -23,6 +23,13 @@ must be compared. Sorted rows stream through the tasks: state is one
 document's rows of one seed, whatever the size of a group. Finished tables are
 written to the shared folder, so that shuffles can be freed.
 
+A passage that a large share of all documents hold would send all its rows to
+one task. Seeds that are so frequent in one of SAMPLE documents that they would
+fill a quarter of a task are dealt out by seed, stretch and document; each of
+their tasks then knows a part of the group only, so it covers what it can and
+passes its smallest rows on as tied. The last step ranks such rows once more,
+now few, each string in one task. The sample decides where rows go, nothing else.
+
 Null texts are empty. A null doc_id is smaller than any other. Rows with equal
 doc_id never remove from each other; rows that repeat a document get the same
 result. Texts under LENGTH bytes never change. Empty tables give no rows.
@@ -38,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, same
+from .common import Scratch, documents, pieces
 
 LENGTH, SEED = 50, 20
 #: Seeds in a LENGTH-byte string; no run is longer.
@@ -46,6 +53,8 @@ REACH = LENGTH - SEED + 1
 #: Places before the seed, from which a string belongs to the left half; bytes that all strings of a half hold.
 LEFT = REACH // 2
 HALF = LENGTH - LEFT
+#: One of so many documents tells which names are frequent; rows of a name among them, from which it is, at least.
+SAMPLE, LEAST_HOT = 64, 24
 #: Bytes hashed at a time: the working arrays stay in the processor's cache.
 CHUNK = 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -156,7 +165,7 @@ def _raw(column) -> list[bytes]:
 
 
 def _positions(it):
-    for b in it:
+    for b in pieces(it, 1):
         ids, texts = b.column(0).to_numpy(zero_copy_only=False), _raw(b.column(1))
         out = [[], [], [], []]
         for first, part in _chunks(texts):
@@ -174,11 +183,12 @@ class Ranked:
 
     A row is covered if a smaller document has its (g, c). The rows of the
     smallest document of each (g, c) are tied if their g has another such
-    document. Kept between batches: such rows of the last g while they are of
+    document; the rows of hot names always are. Kept between batches: such rows of the last g while they are of
     one document, else only those of its last c.
     """
 
-    def __init__(self):
+    def __init__(self, hot: np.ndarray | None = None):
+        self.hot = np.zeros(0, np.int64) if hot is None else hot
         self.rest = [np.zeros(0, np.int64) for _ in range(4)]
         self.told = np.zeros(0, bool)
         self.tied_g: int | None = None
@@ -198,7 +208,7 @@ class Ranked:
         covered = d > least
         g_at = np.flatnonzero(new_g)
         lengths = np.diff(np.append(g_at, n))
-        tied = np.minimum.reduceat(least, g_at) != np.maximum.reduceat(least, g_at)
+        tied = (np.minimum.reduceat(least, g_at) != np.maximum.reduceat(least, g_at)) | np.isin(g[g_at], self.hot)
         if self.tied_g is not None and g[0] == self.tied_g:
             tied[0] = True
         tell = ~covered & np.repeat(tied, lengths) & ~told
@@ -219,15 +229,18 @@ class Ranked:
         return d[out], s[out], np.where(covered[out], 0, 1).astype(np.int32)
 
 
-def _ranked(it):
-    own = Ranked()
-    for b in it:
-        d, s, kind = own.take([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+def _ranked(hot: np.ndarray):
+    def run(it):
+        own = Ranked(hot)
+        for b in it:
+            d, s, kind = own.take([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(kind)], ["doc", "span", "kind"])
+        d, s, kind = own.take([np.zeros(0, np.int64)] * 4, last=True)
         if len(d):
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(kind)], ["doc", "span", "kind"])
-    d, s, kind = own.take([np.zeros(0, np.int64)] * 4, last=True)
-    if len(d):
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(kind)], ["doc", "span", "kind"])
+
+    return run
 
 
 def _windows_of(raw: bytes, spans: list[int]) -> tuple[int, np.ndarray]:
@@ -240,7 +253,7 @@ def _windows_of(raw: bytes, spans: list[int]) -> tuple[int, np.ndarray]:
 
 def _halves(it):
     """Tied runs cut into halves of one seed, named by the HALF bytes that the half's strings share."""
-    for b in it:
+    for b in pieces(it, 1):
         ids, texts, spans = b.column(0).to_pylist(), _raw(b.column(1)), b.column(2).to_pylist()
         out = [[], [], []]
         for doc, raw, own in zip(ids, texts, spans, strict=True):
@@ -266,7 +279,7 @@ def _halves(it):
 
 def _strings(it):
     """Every LENGTH-byte string of the tied runs, named by 128 bits."""
-    for b in it:
+    for b in pieces(it, 1):
         ids, texts, spans = b.column(0).to_pylist(), _raw(b.column(1)), b.column(2).to_pylist()
         for doc, raw, own in zip(ids, texts, spans, strict=True):
             tag, at = _windows_of(raw, own)
@@ -276,8 +289,24 @@ def _strings(it):
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(len(part), doc, np.int64)), pa.array(_span(np.int64(tag), part, 1))], ["g", "c", "doc", "span"])
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("g").sortWithinPartitions("g", "c", "doc").mapInArrow(_ranked, "doc long, span long, kind int")
+def _hot_names(rows: DataFrame) -> list[int]:
+    """Names g of rows of the sampled documents that hold a quarter of a task's share of them: at most four a shuffle partition."""
+    share = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_HOT)
+    top = counts.orderBy(F.desc("k"), "g").limit(share).collect()
+    if not top:
+        return []
+    least = rows.count() / share
+    return [r.g for r in top if r.k >= least]
+
+
+def _sorted(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """doc, span, kind of the ranked rows; those of hot names are spread."""
+    to = F.col("g")
+    if hot:
+        part = F.pmod(F.xxhash64("doc"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        to = F.when(to.isin(hot), F.xxhash64("g", "c", part)).otherwise(to)
+    return rows.repartition(to).sortWithinPartitions("g", "c", "doc").mapInArrow(_ranked(np.array(hot, np.int64)), "doc long, span long, kind int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -288,20 +317,30 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     """doc, spans: the runs of each document that smaller documents cover."""
     scratch = Scratch(docs.sparkSession)
     keyed = _keyed(docs)
+    few = scratch.save(keyed.where(F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(SAMPLE)) == 0), few=True)
+    names = "g long, c long, doc long, span long"
 
-    def of(rows: DataFrame, work) -> DataFrame:
+    def of(spans: DataFrame, texts: DataFrame, work) -> DataFrame:
         """work over the texts that have rows, with their spans."""
-        spans = rows.groupBy("doc").agg(F.collect_set("span").alias("spans"))
-        return keyed.join(spans, "doc").select("doc", "text", "spans").mapInArrow(work, "g long, c long, doc long, span long")
+        spans = spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))
+        return texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(work, names)
 
-    ranked = scratch.save(_sorted(keyed.mapInArrow(_positions, "g long, c long, doc long, span long")))
+    hot = _hot_names(few.mapInArrow(_positions, names))
+    ranked = scratch.save(_sorted(keyed.mapInArrow(_positions, names), hot))
     scratch.free()
-    halves = scratch.save(_sorted(of(ranked.where("kind = 1"), _halves)).select("doc", "span"))
+    tied = ranked.where("kind = 1")
+    hot = _hot_names(of(tied, few, _halves))
+    halves = scratch.save(_sorted(of(tied, keyed, _halves), hot).select("doc", "span"))
     scratch.free()
-    last = scratch.save(_sorted(of(halves, _strings)).where("kind = 0").select("doc", "span"))
+    hot = _hot_names(of(halves, few, _strings))
+    last = scratch.save(_sorted(of(halves, keyed, _strings), hot))
     scratch.drop(halves)
     scratch.free()
-    return ranked.where("kind = 0").select("doc", "span").unionByName(last).groupBy("doc").agg(F.collect_set("span").alias("spans"))
+    found = ranked.where("kind = 0").select("doc", "span").unionByName(last.where("kind = 0").select("doc", "span"))
+    if hot:
+        again = scratch.save(_sorted(of(last.where("kind = 1"), keyed, _strings), []).where("kind = 0").select("doc", "span"), few=True)
+        found = found.unionByName(again)
+    return found.groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
 
 def removed_runs(raw: bytes, spans: list[int] | None) -> list[tuple[int, int]]:
@@ -337,7 +376,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others, "text").schema.fields)
 
     def run(it):
-        for b in it:
+        for b in pieces(it, len(others)):
             n, texts = len(others), []
             for text, spans in zip(b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist(), strict=True):
                 if spans and text is not None:
@@ -353,7 +392,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(it):
-        for b in it:
+        for b in pieces(it, 1):
             rows = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
