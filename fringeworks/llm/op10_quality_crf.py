@@ -4,13 +4,17 @@ Every line is labelled good or bad from features of itself and of its two
 neighbours; marginals of the good label, from forward-backward, are averaged
 with the lines' lengths as weights into the document's score.
 
-Learning: labels of at most TRAIN_DOCS documents (the least hashes of doc_id),
-at most TRAIN_LINES lines of each, a documented bound on what the driver
-gathers. Each line bears its document's label. Scoring is narrow: one scan,
-no shuffle, whole texts.
+Learning: whole texts of labelled documents in the order of a hash of doc_id,
+at most TRAIN_DOCS of them and TRAIN_LINES lines together (a document that
+would go beyond is left out), a documented bound on what the driver gathers.
+Each line bears its document's label. Of a doc_id with several texts the one of
+the least hash is learned from, however often rows repeat. Scoring is narrow:
+one scan, no shuffle, whole texts, a few megabytes of them at a time.
 
 Null and empty texts are scored as one empty line. Without labels every score
-is 0.5. A null doc_id is scored and is not held out. Repeated rows get equal scores.
+is 0.5. A null doc_id is scored and is not held out. Repeated rows get equal
+scores; a score of exactly 0.5 predicts 1. Empty tables give no rows. Extra
+columns are ignored or, in the pipeline, kept.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod3, documents
+from .common import PIECE_BYTES, Scratch, crc_mod3, documents, pieces
 
-TRAIN_DOCS, TRAIN_LINES = 1500, 100
+TRAIN_DOCS, TRAIN_LINES = 1500, 200_000
 #: Held out: documents whose crc32(doc_id) mod 3 is this.
 HELD_OUT = 1
 
@@ -116,44 +120,49 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.hstack([x, before, after, first[:, None], last[:, None], np.ones((len(x), 1))])
 
 
-def _lanes(counts: np.ndarray):
-    """For each step t, the rows of the t-th lines of the texts that have one, longest texts first."""
-    order = np.argsort(-counts, kind="stable")
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])[order]
-    sorted_counts = counts[order]
-    live = len(order)
-    for t in range(int(sorted_counts[0]) if len(counts) else 0):
-        while sorted_counts[live - 1] <= t:
-            live -= 1
-        yield start[:live] + t
+class Lanes:
+    """The t-th lines of the texts that have one, longest texts first: the rows of each step of the recursions."""
+
+    def __init__(self, counts: np.ndarray):
+        order = np.argsort(-counts, kind="stable")
+        self.start = (np.cumsum(counts) - counts)[order]
+        # at[t]: texts of more than t lines
+        self.at = len(counts) - np.searchsorted(counts[order][::-1], np.arange(int(counts.max(initial=0))), side="right")
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, t: int) -> np.ndarray:
+        return self.start[: self.at[t]] + t
 
 
 def forward_backward(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray, counts: np.ndarray):
     """Marginals (rows x 2) and summed pair marginals (2 x 2) and log normalisers; emit: rows x 2 scores."""
-    rows = list(_lanes(counts))
+    rows = Lanes(counts)
     alpha, beta = np.empty_like(emit), np.zeros_like(emit)
     norm = 0.0
-    for t, at in enumerate(rows):
+    for t in range(len(rows)):
+        at = rows[t]
         if t == 0:
             a = begin + emit[at]
         else:
-            p = alpha[rows[t - 1][: len(at)]]
+            p = alpha[at - 1]
             a = np.logaddexp(p[:, :1] + trans[0], p[:, 1:] + trans[1]) + emit[at]
         alpha[at] = a
     for t in range(len(rows) - 2, -1, -1):
-        at, nxt = rows[t][: len(rows[t + 1])], rows[t + 1]
+        nxt = rows[t + 1]
         q = emit[nxt] + beta[nxt]
-        beta[at] = np.stack([np.logaddexp(trans[s, 0] + q[:, 0], trans[s, 1] + q[:, 1]) for s in (0, 1)], 1)
+        beta[nxt - 1] = np.stack([np.logaddexp(trans[s, 0] + q[:, 0], trans[s, 1] + q[:, 1]) for s in (0, 1)], 1)
     both = alpha + beta
     z = np.logaddexp(both[:, 0], both[:, 1])
     marginal = np.exp(both - z[:, None])
     pairs = np.zeros((2, 2))
-    for t in range(1, len(rows)):
-        at, prev = rows[t], rows[t - 1][: len(rows[t])]
-        m = alpha[prev][:, :, None] + trans[None] + (emit[at] + beta[at])[:, None, :] - z[at][:, None, None]
-        pairs += np.exp(m).sum(0)
     if len(rows):
         norm = float(z[rows[0]].sum())
+        later = np.ones(len(emit), bool)
+        later[rows[0]] = False
+        at = np.flatnonzero(later)
+        pairs = np.exp(alpha[at - 1][:, :, None] + trans[None] + (emit[at] + beta[at])[:, None, :] - z[at][:, None, None]).sum(0)
     return marginal, pairs, norm
 
 
@@ -199,8 +208,16 @@ class Crf:
         return forward_backward(emit, self.trans, self.begin, counts)[0][:, 1]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
+        """Scores of UTF-8 texts, PIECE_BYTES or one text at a time."""
+        out, at = [np.zeros(0)], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+            out.append(self._scores(texts[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _scores(self, texts: list[bytes]) -> np.ndarray:
         x, size, counts = line_features(texts)
         p = self.line_marginals(x, counts)
         at = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -210,20 +227,29 @@ class Crf:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, line counts and labels of the bounded sample."""
+    scratch = Scratch(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod3("doc_id") != HELD_OUT))
     own = own.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
+    # at most TRAIN_DOCS rows of two numbers, so the broadcast is bounded
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(own), "_id")
+    one = picked.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text", "_y")).alias("r")).select("_id", "r._text", "r._y")
+    one = scratch.save(one.withColumn("_n", F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1), few=True)
+    taken, lines = [], 0
+    for r in one.select("_id", "_n").orderBy(F.xxhash64("_id"), "_id").collect():
+        if lines + r._n <= TRAIN_LINES:
+            taken.append(r._id)
+            lines += r._n
 
     def run(it):
-        for b in it:
+        for b in pieces(it, 1):
             ids, texts, ys = (b.column(i).to_pylist() for i in range(3))
-            heads = ["\n".join(t.split("\n", TRAIN_LINES)[:TRAIN_LINES]).encode("utf-8", "surrogatepass") for t in texts]
-            if heads:
-                x, _, counts = line_features(heads)
+            if texts:
+                x, _, counts = line_features([t.encode("utf-8", "surrogatepass") for t in texts])
                 parts = np.split(x.astype("<f4"), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "y", "x"])
 
-    rows = sorted(picked.select("_id", "_text", "_y").mapInArrow(run, "id long, y int, x binary").collect())
+    rows = sorted(one.where(F.col("_id").isin(taken)).select("_id", "_text", "_y").mapInArrow(run, "id long, y int, x binary").collect())
+    scratch.close()
     xs = [np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float) for r in rows]
     return (np.vstack(xs) if xs else np.zeros((0, N_FEATURES))), np.array([len(x) for x in xs], np.int64), np.array([int(r.y == 1) for r in rows], np.int64)
 

@@ -59,10 +59,19 @@ def test_learns_without_held_out_rows_and_scores_all(spark, make_docs, clash):
     for d in (0, 1, 2, 3):
         assert by[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
     x, counts, y = op.training_rows(docs, labels)
-    assert len(y) == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, _, _ in rows) + (zlib.crc32(b"0") % 3 != 1)
+    assert len(y) == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, _, _ in rows)  # doc 0 has two texts: one of them
     assert counts.sum() == len(x)
 
 
+def test_training_is_bounded_by_documents_and_lines(spark, make_docs, monkeypatch):
+    ids = [d for d in range(60) if zlib.crc32(str(d).encode()) % 3 != 1]
+    docs = make_docs([(d, "one line\n" * 9) for d in ids] * 3)
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in ids], "doc_id long, quality int, toxic int")
+    assert op.training_rows(docs, labels)[1].tolist() == [10] * len(ids)
+    monkeypatch.setattr(op, "TRAIN_LINES", 105)
+    assert op.training_rows(docs, labels)[1].tolist() == [10] * 10
+
+
 def test_without_labels_and_without_rows(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs([(1, "x"), (2, None)])
