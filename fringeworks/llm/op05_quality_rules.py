@@ -19,25 +19,29 @@ Groups of fewer than MIN_GROUP documents use their language's estimate, and
 languages of fewer the estimate of all documents; estimates that no document
 uses are not made. Only documents that pass the
 base rules take part. Null text is empty: base_failed. Null language or source
-is a group of its own. Repeated rows count each, and get equal results.
+is a group of its own. Repeated rows count each, and get equal results; equal
+distances are judged alike. Very long texts are counted whole, a few at a time.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents, same
+from .common import WORD, Scratch, documents, pieces, same
 
 MIN_WORDS, MIN_GROUP, STEPS = 50, 40, 4
 #: STEPS is the least number of steps, then the logarithm of the determinant must fall by TOLERANCE for another one.
 TOLERANCE = 1e-3
 #: Share of a group that the concentrated half holds, besides the (DIM + 1) / 2 rows on top.
 SHARE = 0.5
-#: Squared distance beyond which a text is rejected: far outside chi-square with 4 degrees of freedom (0.9999: 23.5).
-LIMIT = 40.0
+#: Share of clean texts of a normal group that may be rejected; LIMIT follows from it by the chi-square distribution.
+REJECTED_SHARE = 4.3e-8
 #: Least standard deviation of each transformed statistic.
 FLOORS = (0.12, 0.12, 0.25, 0.25)
 DIM = 4
@@ -85,7 +89,7 @@ def base_stats(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the five counts and base_failed."""
 
     def run(it):
-        for b in it:
+        for b in pieces(it, 3):
             rows = np.array([text_stats(t or "") for t in b.column(3).to_pylist()], np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(rows[:, i].copy()) for i in range(5))], ["doc_id", "lang", "source", *_COUNTS])
 
@@ -180,19 +184,29 @@ def distance(x: list[str]):
     return out
 
 
-#: Of a normal sample cut at the central SHARE in 4 dimensions, the covariance falls short by this factor.
-def consistency(share: float = SHARE, dim: int = DIM) -> float:
-    """share / P(chi2 with dim+2 degrees <= q), q the share-quantile of chi2 with dim degrees; dim even."""
-    import math
+def _chi2_below(v: float, k: int) -> float:
+    """Distribution function of chi-square with an even number k of degrees of freedom."""
+    return 1 - math.exp(-v / 2) * sum((v / 2) ** i / math.factorial(i) for i in range(k // 2))
 
-    def cdf(v: float, k: int) -> float:
-        return 1 - math.exp(-v / 2) * sum((v / 2) ** i / math.factorial(i) for i in range(k // 2))
 
-    low, high = 0.0, 200.0
+def _chi2_quantile(above: float, k: int) -> float:
+    """The value that a share above of chi-square exceeds."""
+    low, high = 0.0, 400.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid, dim) < share else (low, mid)
-    return share / cdf(low, dim + 2)
+        tail = math.exp(-mid / 2) * sum((mid / 2) ** i / math.factorial(i) for i in range(k // 2))
+        low, high = (mid, high) if tail > above else (low, mid)
+    return low
+
+
+#: Squared distance beyond which a text is rejected.
+LIMIT = _chi2_quantile(REJECTED_SHARE, DIM)
+
+
+#: Of a normal sample cut at the central SHARE in 4 dimensions, the covariance falls short by this factor.
+def consistency(share: float = SHARE, dim: int = DIM) -> float:
+    """share / P(chi2 with dim+2 degrees <= q), q the share-quantile of chi2 with dim degrees; dim even."""
+    return share / _chi2_below(_chi2_quantile(1 - share, dim), dim + 2)
 
 
 def concentrated(k: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
