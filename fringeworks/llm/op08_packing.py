@@ -5,9 +5,10 @@ loss-bearing tokens. Of the examples that still fit, the one whose demand has
 the largest dot product with what the sequence has left is placed next, both
 measured in shares of the capacity. When nothing fits whole, one example is
 cut to fill the sequence; its rest waits for the next. An example longer than
-a sequence first gives up whole sequences. What is left at the end of a
-partition is laid into sequences whose lengths are powers of two, which need
-no padding.
+a sequence first gives up whole sequences. A sequence that can take no more
+before it is full, because its segments or its loss-bearing tokens are spent or
+the partition ends, is laid out anew in sequences whose lengths are powers of
+two, which need no padding.
 
 Packing is local to a partition of the input: no shuffle, memory for one block
 of examples, sequence ids made of partition and counter. A partition's rows
@@ -15,6 +16,9 @@ and sequences come from one task, so a lost task is redone alone.
 
 Null text is empty: an example of the end token only. Repeated rows are
 examples of their own. A null doc_id stays null. An empty table gives no rows.
+Of equal demands the first example goes first; of equal dot products the least
+demand. Very long texts are tokenised whole, one at a time. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import PATTERN, read_ranks
-from .common import documents, tokenizer_path
+from .common import documents, pieces, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END_ID = 2048, 1
@@ -75,26 +79,38 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Packer:
-    """Places examples (key, tokens, loss); out gathers (key, start, length, sequence, offset)."""
+    """Places examples (key, tokens, loss); out gathers (key, start, length, sequence, offset) of finished sequences, open those of the one at hand."""
 
     def __init__(self, capacity: int, max_segments: int, max_loss: int, first_sequence: int = 0):
         self.full = np.array([capacity, max_segments, max_loss], float)
         self.next = first_sequence
         self.out: list[tuple] = []
-        self._open()
+        self.open: list[tuple] = []
+        self.left = self.full.copy()
 
     def _new(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def _open(self) -> None:
-        self.sequence, self.left = self._new(), self.full.copy()
-
     def _place(self, key, start: int, length: int, loss: float) -> None:
-        self.out.append((key, start, length, self.sequence, int(self.full[0] - self.left[0])))
+        self.open.append((key, start, length))
         self.left -= (length, 1, loss)
         if self.left[0] < 1 or self.left[1] < 1:
-            self._open()
+            self.finish()
+
+    def finish(self) -> None:
+        """Ends the open sequence: as it is if full, else as sequences of power-of-two lengths."""
+        total = sum(n for _, _, n in self.open)
+        sizes = [total] if total == int(self.full[0]) else [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
+        room = at = seq = 0
+        for key, start, length in self.open:
+            while length:
+                if not room:
+                    seq, room, at = self._new(), sizes.pop(0), 0
+                size = min(length, room)
+                self.out.append((key, start, size, seq, at))
+                start, length, room, at = start + size, length - size, room - size, at + size
+        self.open, self.left = [], self.full.copy()
 
     @staticmethod
     def _loss(sums, a: int, b: int) -> float:
@@ -112,6 +128,8 @@ class Packer:
             at = 0
             while n - at >= cap:
                 size = self._within(sums, at, n, cap, self.full[2])
+                if size < cap:  # its loss-bearing tokens fill a sequence sooner
+                    break
                 self.out.append((key, at, size, self._new(), 0))
                 at += size
             if at < n:
@@ -133,13 +151,14 @@ class Packer:
         while todo:
             fits = live & (kinds <= self.left).all(1)
             whole = bool(fits.any())
-            k = int(np.argmax(np.where(fits, shares @ (self.left / self.full), -1.0) if whole else np.where(live, kinds[:, 0], -1.0)))
+            worth = np.where(fits, shares @ (self.left / self.full), -1.0) if whole else np.where(live, kinds[:, 0], -1.0)
+            k = min(np.flatnonzero(worth == worth.max()).tolist(), key=names.__getitem__)
             i = waiting[names[k]][-1]
             key, _, n, sums = rest[i]
             a = start[i]
             size = n - a if whole else self._within(sums, a, n, self.left[0], self.left[2])
             if size < 1:  # no loss-bearing token fits any more
-                self._open()
+                self.finish()
                 continue
             waiting[names[k]].pop()
             live[k] = bool(waiting[names[k]])
@@ -157,24 +176,6 @@ class Packer:
             waiting[name].append(i)
             live[row[name]] = True
 
-    def finish(self) -> None:
-        """Lays the open sequence out anew, in sequences of power-of-two lengths."""
-        last, mine = self.sequence, sorted((x for x in self.out if x[3] == self.sequence), key=lambda x: x[4])
-        if not mine:
-            return
-        self.out = [x for x in self.out if x[3] != last]
-        total = sum(x[2] for x in mine)
-        sizes = [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
-        seq, room, at = last, sizes.pop(0), 0
-        for key, start, length, _, _ in mine:
-            while length:
-                if not room:
-                    seq, room, at = self._new(), sizes.pop(0), 0
-                size = min(length, room)
-                self.out.append((key, start, size, seq, at))
-                start, length, room, at = start + size, length - size, room - size, at + size
-        self._open()
-
 
 def pack_examples(examples: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """Packs rows (key long, ids array<int>, loss array<boolean> or null for all) of instruction data.
@@ -200,12 +201,9 @@ def pack_examples(examples: DataFrame, capacity: int = CAPACITY, max_segments: i
                     items.append((n, len(x), loss[n]))
                     n += 1
             packer.block(items)
-            open_rows = [r for r in packer.out if r[3] == packer.sequence]
-            packer.out = [r for r in packer.out if r[3] != packer.sequence]
             if packer.out:
                 yield emit()
-            packer.out = open_rows
-            keep = {r[0] for r in open_rows}
+            keep = {r[0] for r in packer.open}
             ids, loss = {k: v for k, v in ids.items() if k in keep}, {}
         packer.finish()
         if packer.out:
@@ -233,14 +231,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
             """Packs the block; only the open sequence stays."""
             nonlocal items, size, kept
             packer.block(items)
-            stay = [r for r in packer.out if r[3] == packer.sequence]
-            done = [r for r in packer.out if r[3] != packer.sequence]
-            out = emit(done) if done else None
-            packer.out, items, size = stay, [], 0
-            kept = {k: kept[k] for k in {r[0] for r in stay}}
+            out = emit(packer.out) if packer.out else None
+            packer.out, items, size = [], [], 0
+            kept = {k: kept[k] for k in {r[0] for r in packer.open}}
             return out
 
-        for b in it:
+        for b in pieces(it, 1):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = own.encode(text or "")
                 ids.append(end_id)

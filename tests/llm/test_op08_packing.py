@@ -80,6 +80,67 @@ def test_packer_keeps_all_limits(limits):
     assert all(seen[k] == n for k, n, _ in items) and all((u <= limits).all() for u in used.values())
 
 
+def by_hand(items, full):
+    """The placements of the rule, example by example: every choice looks at all that wait."""
+    full, left, out, wait, cuts = np.array(full, float), np.array(full, float), [], [], 0
+    for i, (key, n, sums) in enumerate(items):
+        at = 0
+        while n - at >= full[0] and sums[at + int(full[0])] - sums[at] <= full[2]:
+            at += int(full[0])
+        if at < n:
+            wait.append([i, key, at, n, sums])
+    segments = []
+    while wait:
+        ask = [(float(n - a), 1.0, float(s[n] - s[a])) for _, _, a, n, s in wait]
+        fit = [j for j, d in enumerate(ask) if all(d <= left)]
+        if fit:
+            j = min(fit, key=lambda j: (-sum(np.array(ask[j]) / full * (left / full)), ask[j], wait[j][0]))
+        else:
+            j = min(range(len(wait)), key=lambda j: (-ask[j][0], ask[j], wait[j][0]))
+        _, key, a, n, s = wait[j]
+        size = n - a if fit else max(k for k in range(0, min(n - a, int(left[0])) + 1) if s[a + k] - s[a] <= left[2])
+        if size:
+            segments.append((key, a, size))
+            left = left - (size, 1, s[a + size] - s[a])
+            cuts -= 1
+            wait[j][0], wait[j][2] = cuts, a + size
+            if a + size == n:
+                wait.pop(j)
+        if not size or left[0] < 1 or left[1] < 1:
+            left = full.copy()
+    return segments
+
+
+class Recorded(op.Packer):
+    def _place(self, key, start, length, loss):
+        self.log = [*getattr(self, "log", []), (key, start, length)]
+        super()._place(key, start, length, loss)
+
+
+@pytest.mark.parametrize("limits", [(64, 4, 64), (64, 4, 16), (256, 16, 128)])
+def test_choices_are_those_of_the_dot_product_rule(limits):
+    """Powers of two as capacities: shares and products are exact."""
+    rng = np.random.default_rng(1)
+    items = []
+    for k in range(150):
+        n = int(rng.integers(1, 100))
+        items.append((k, n, np.concatenate([[0], np.cumsum(rng.random(n) < 0.3)])))
+    p = Recorded(*limits)
+    p.block(items)
+    p.finish()
+    assert p.log == by_hand(items, limits)
+    total = defaultdict(int)
+    for _, _, n, seq, _ in p.out:
+        total[seq] += n
+    assert all(t == limits[0] or t & (t - 1) == 0 for t in total.values())
+
+
+def test_many_short_examples_need_no_padding(make_docs):
+    docs = [(i, "a b c") for i in range(500)]
+    out = op.pack_documents(make_docs(docs).coalesce(1), PATH).collect()
+    assert checked(out, docs) == 0
+
+
 def test_instruction_data_with_loss_masks(spark):
     rows = [(i, list(range(n)), [k % 3 == 0 for k in range(n)] if i % 2 else None) for i, n in enumerate([5, 2500, 0, 700, 64, 1])]
     df = spark.createDataFrame(rows, "key long, ids array<int>, loss array<boolean>").coalesce(1)
