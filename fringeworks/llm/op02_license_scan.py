@@ -1,17 +1,27 @@
 """License scans by patience alignment against templates.
 
-Anchors are words unique to both the text region and the template; the longest
+Anchors are words unique to both the text window and the template; the longest
 increasing subsequence of their places is kept and the gaps between are aligned
 in the same way. Coverage is the share of template words that are aligned.
 
-Two exact tests spare most texts the alignment. A text can only reach the
-threshold if it holds one of any m + 1 template words, m being how many may be
-missing; and if the template words that it holds at all are enough. The scan is
-narrow: one row in, a row out for every license found, no shuffle.
-
-A license is reported once per document, by its region of best coverage, the
-first at a tie. Null and empty texts give no rows, nor do texts without a
-match. Repeated rows are reported each. A null doc_id stays null.
+A license is found where aligned words of a template lie within SPAN times its
+length plus SLACK words of the text (so many may be inserted) and cover enough
+of it. Windows twice as long follow at half their length, so every such stretch
+lies whole in one of them, wherever it is and however far the words are apart.
+
+Exact tests spare most texts and windows the alignment. A text can only reach
+the threshold if it holds one of any m + 1 template words, m being how many may
+be missing; and a text or window only if the template words that it holds at
+all are enough. The scan is narrow: one row in, a row out for every license
+found, no shuffle.
+
+A license is reported once per document, by its window of best coverage, the
+first at a tie. Where templates resemble each other, a license whose words lie
+for the larger part in the stretch of a better covered one is not reported; at
+equal coverage both are. Null and empty texts give no rows, nor do texts
+without a match; empty tables none. Repeated rows are reported each. A null
+doc_id stays null. Very long texts are scanned whole, one at a time. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces
 
 #: Least share of a template's words.
 COVERAGE = 0.8
-#: Words between two template words in one region, at most.
-GAP = 12
+#: Words of the text that an alignment may span: SPAN times the template's and SLACK more.
+SPAN, SLACK = 2, 12
 #: License notices as their publishers word them.
 TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "mit": "Released under the MIT License.",
@@ -120,22 +135,24 @@ class Scanner:
             keys.update(by_length[: missing + 1])
         # a substring test never misses a word
         self.keys = sorted(k for k in keys if not any(o != k and o in k for o in keys))
-        words = Counter(w for c in self.count.values() for w in c)
-        self.loose = {w for w in words if len(w) <= 3 and w.isalpha()} - {"mit", "gnu", "mpl"}
 
     def least(self, t: list[str]) -> int:
         return max(1, -(-int(self.coverage * 1000) * len(t) // 1000))
 
-    def regions(self, words: list[str], t: list[str], own: Counter) -> list[tuple[int, int]]:
-        """Stretches where template words other than short ones follow within GAP, widened by the template's length at most."""
-        out: list[list[int]] = []
-        for i, w in enumerate(words):
-            if w in own and w not in self.loose:
-                if out and i - out[-1][1] <= GAP:
-                    out[-1][1] = i
-                else:
-                    out.append([i, i])
-        return [(max(0, a - len(t)), min(len(words), b + len(t) + 1)) for a, b in out]
+    def windows(self, words: list[str], t: list[str], own: Counter) -> list[tuple[int, int]]:
+        """Windows of twice the span that hold enough of the template's words, every span of the text whole in one."""
+        at = [i for i, w in enumerate(words) if w in own]
+        span, least, out, i = self.span(t), self.least(t), [], 0
+        while i < len(at):
+            a = at[i]
+            end = bisect_left(at, a + 2 * span, i)
+            if end - i >= least and sum((Counter(words[p] for p in at[i:end]) & own).values()) >= least:
+                out.append((a, at[end - 1] + 1))
+            i = max(i + 1, bisect_left(at, a + span, i))
+        return out
+
+    def span(self, t: list[str]) -> int:
+        return SPAN * len(t) + SLACK
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(license, coverage, matched, template words, first word, last word) of every license found."""
@@ -149,21 +166,31 @@ class Scanner:
             if sum(n for w, n in own.items() if w in have) < least:
                 continue
             best = None
-            for a, b in self.regions(words, t, own):
-                pairs = align(words[a:b], t)
-                pairs = self._dense(pairs, len(t))
+            for a, b in self.windows(words, t, own):
+                pairs = self._dense(align(words[a:b], t), self.span(t))
+                if (rest := len(t) - len(pairs)) and pairs:  # words may have gone to chance places far off: once more, close by
+                    lo, hi = max(0, a + pairs[0][0] - rest), a + pairs[-1][0] + 1 + rest
+                    near = self._dense(align(words[lo:hi], t), self.span(t))
+                    if len(near) > len(pairs):
+                        a, pairs = lo, near
                 if len(pairs) >= least and (best is None or len(pairs) > best[2]):
                     best = (name, len(pairs) / len(t), len(pairs), len(t), a + pairs[0][0], a + pairs[-1][0])
             if best:
                 found.append(best)
-        return found
+        return [x for x in found if not any(self._outdone(x, y) for y in found)]
+
+    @staticmethod
+    def _outdone(x, y) -> bool:
+        """Whether y covers its template better and most of x's stretch."""
+        shared = min(x[5], y[5]) - max(x[4], y[4]) + 1
+        return y[1] > x[1] and 2 * shared > x[5] - x[4] + 1
 
     @staticmethod
-    def _dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-        """The longest run of pairs whose places in the text span at most 2 n + GAP words."""
+    def _dense(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
+        """The longest run of pairs whose places in the text lie within span words."""
         best, i = (0, 0), 0
         for j in range(len(pairs)):
-            while pairs[j][0] - pairs[i][0] > 2 * n + GAP:
+            while pairs[j][0] - pairs[i][0] >= span:
                 i += 1
             if j + 1 - i > best[1] - best[0]:
                 best = (i, j + 1)
@@ -176,7 +203,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     def run(it):
         own = Scanner(templates, coverage)
-        for b in it:
+        for b in pieces(it, 1):
             rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x in own.scan(t)]
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 4]
