@@ -1,25 +1,27 @@
-"""HTML extraction: markup structure first, nearest-URL page differencing for what structure leaves open.
-
-A page is cut into blocks of text. Containers that are never main text (menus,
-headers, footers, sidebars, forms, scripts, adverts, notices, reader comments)
-go by their tags, roles and class names. Where the page marks its article, the
-article's other blocks are the text. Where it does not, the page is paired with
-the page of the nearest URL path on its host, their lines are aligned by
-longest common subsequence, and the lines they share are deleted.
-
-Differencing alone cannot give the right text: menus and adverts differ from
-page to page, and articles do repeat on a host. It therefore decides only about
-blocks that no markup settles.
+"""HTML extraction: nearest-URL page differencing, with markup to veto and to clear what differs.
+
+A page is cut into blocks of text, its lines. Every page is paired with the
+page of the nearest URL path on its host, their lines are aligned by longest
+common subsequence, and the lines they share are deleted. Markup then has two
+says. Blocks of a marked article stay though they are shared, since articles do
+repeat on a host. And blocks that no other page shares go if they stand in a
+container that is never main text (menus, headers, footers, sidebars, forms,
+adverts, notices, reader comments, told by tags, roles and class names) or
+outside the article of a page that marks one, since menus and adverts may
+differ from page to page. Scripts and styles are no text at all. Every row says
+how many blocks each rule took.
 
 Neighbours: distinct (host, path) pairs are sorted over the cluster and
 numbered; each page meets the pairs just before and after its own on its host
 and takes the one with the longer common beginning (the former at a tie). Of
 pages with the same path the smallest page_id stands for all, so copies of one
-page are never differenced against each other. Only line hashes of pages with
-open blocks move; html is read once and never shuffled.
+page are never differenced against each other. Line hashes move to find the
+neighbours; then every page's text meets them in one shuffle, for which html is
+parsed a second time: that moves and stores less than keeping the text.
 
 Null html is empty text; null or odd URLs have the host "" and what is left as
-path. Repeated rows get equal results; empty tables give no rows.
+path. Repeated rows get equal results; very long pages are parsed whole; empty
+tables give no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, same, tune
+from .common import Scratch, pieces, same, tune
 
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "object", "title")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*(?:>|\Z)(?:.*?</\1\s*>|.*\Z)|<([!/?]?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!/?][^>]*(?:>|\Z)", re.S | re.I)
@@ -65,10 +67,14 @@ def _boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[bool], bool]:
-    """(blocks outside boilerplate containers, whether each is in the article, whether the page marks one)."""
+#: What a block is: free, part of a marked article, or inside a container that is never main text.
+FREE, ARTICLE, SHELL = 0, 1, 2
+
+
+def blocks(page: str) -> tuple[list[str], list[int], bool]:
+    """(blocks of text, what each is, whether the page marks an article)."""
     out: list[str] = []
-    inside: list[bool] = []
+    kinds: list[int] = []
     part: list[str] = []
     skip, depth, article, marked, at = "", 0, 0, False, 0
 
@@ -78,10 +84,10 @@ def blocks(page: str) -> tuple[list[str], list[bool], bool]:
             part.clear()
             if text:
                 out.append(text)
-                inside.append(article > 0)
+                kinds.append(SHELL if skip else ARTICLE if article else FREE)
 
     for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
+        if m.start() > at:
             part.append(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
@@ -91,12 +97,15 @@ def blocks(page: str) -> tuple[list[str], list[bool], bool]:
         if m[2] and not closing:
             continue
         if skip:
+            if tag not in _INLINE:
+                end()
             if skip == "head" and tag == "body" or skip in ("p", "li") and tag not in _INLINE and tag not in _VOID:
                 depth = 0  # it is closed by what follows
             elif tag == skip and not attributes.endswith("/"):
                 depth += -1 if closing else 1
             if depth > 0:
                 continue
+            end()
             skip = ""
             if closing and tag not in ("article", "main"):
                 continue
@@ -109,43 +118,58 @@ def blocks(page: str) -> tuple[list[str], list[bool], bool]:
         if tag in _VOID:
             continue
         if _boilerplate(tag, attributes) and not (tag == "header" and article):
+            end()
             if not attributes.endswith("/"):
                 skip, depth = tag, 1
-            end()
             continue
         if tag in ("article", "main"):
             article, marked = article + 1, True
-    if not skip and at < len(page):
+    if at < len(page):
         part.append(page[at:])
     end()
-    return out, inside, marked
+    return out, kinds, marked
+
+
+#: Pairs of equal lines up to which their places are listed; beyond, bit vectors give a subsequence of the same length.
+LISTED = 1 << 16
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b.
-
-    Hunt and Szymanski's: an increasing subsequence over the matching places.
-    A line that both have very often is matched by its k-th occurrences alone.
-    """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    places: dict[int, list[int]] = {}
-    for j in range(head, len(b) - tail):
-        places.setdefault(b[j], []).append(j)
+    """Places in a of a longest common subsequence of a and b, ascending."""
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+            out.append(i0)
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+            out.append(i1)
+        if i0 == i1 or j0 == j1:
+            continue
+        places: dict[int, list[int]] = {}
+        for j in range(j0, j1):
+            places.setdefault(b[j], []).append(j)
+        if i1 - i0 == 1 or sum(len(places.get(x, ())) for x in a[i0:i1]) <= LISTED:
+            out += _listed(a, i0, i1, places)
+            continue
+        # halves of a, and where b is best parted between them
+        mid = (i0 + i1) // 2
+        head = _prefix_lengths(a[i0:mid], b[j0:j1])
+        tail = _prefix_lengths(a[mid:i1][::-1], b[j0:j1][::-1])[::-1]
+        j = j0 + int(np.argmax(head + tail))
+        todo += [(i0, mid, j0, j), (mid, i1, j, j1)]
+    return sorted(out)
+
+
+def _listed(a: list[int], i0: int, i1: int, places: dict[int, list[int]]) -> list[int]:
+    """Hunt and Szymanski: a longest increasing subsequence over the listed places."""
     ends: list[int] = []
     nodes: list[tuple] = []  # (place in a, previous node)
     top: list[int] = []
-    count: dict[int, int] = {}
-    for i in range(head, len(a) - tail):
-        js = places.get(a[i], ())
-        if len(js) > 512:
-            k = count[a[i]] = count.get(a[i], -1) + 1
-            js = js[k : k + 1]
-        for j in reversed(js):
+    for i in range(i0, i1):
+        for j in reversed(places.get(a[i], ())):
             k = bisect_left(ends, j)
             nodes.append((i, top[k - 1] if k else -1))
             if k == len(ends):
@@ -153,32 +177,49 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
                 top.append(len(nodes) - 1)
             else:
                 ends[k], top[k] = j, len(nodes) - 1
-    middle, at = [], top[-1] if top else -1
+    out, at = [], top[-1] if top else -1
     while at >= 0:
-        middle.append(nodes[at][0])
+        out.append(nodes[at][0])
         at = nodes[at][1]
-    return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
+    return out
+
+
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each beginning of b, by one bit a line of b."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if u := v & masks.get(x, 0):
+            v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
 
+def _hash(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, text (of pages with a marked article, or none open), lines and hashes of open blocks."""
+
+def parsed(pages: DataFrame, text: bool) -> DataFrame:
+    """page_id, url, host, path, hashes of all lines; with text also what each line is, whether the page marks an article, and the lines that may stay."""
 
     def run(it):
-        for b in it:
-            ids, urls, htmls = (b.column(i).to_pylist() for i in range(3))
-            text, lines, hashes = [], [], []
-            for page in htmls:
-                out, inside, marked = blocks(page or "")
-                if marked:
-                    out = [x for x, keep in zip(out, inside, strict=True) if keep]
-                is_open = bool(out) and not marked
-                text.append(None if is_open else " ".join(out))
-                lines.append(out if is_open else None)
-                hashes.append([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in out] if is_open else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "url", "text", "lines", "hashes"])
+        for b in pieces(it, 2):
+            hashes, kinds, marks, lines = [], [], [], []
+            for page in b.column(2).to_pylist():
+                out, kind, marked = blocks(page or "")
+                hashes.append(np.array([_hash(x) for x in out], "<i8").tobytes())
+                if text:
+                    kinds.append(bytes(kind))
+                    marks.append(marked)
+                    lines.append([x if k == ARTICLE or k == FREE and not marked else "" for x, k in zip(out, kind, strict=True)])
+            more = [pa.array(kinds, pa.binary()), pa.array(marks, pa.bool_()), pa.array(lines, pa.list_(pa.string()))] if text else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.binary()), *more], ["page_id", "url", "hashes", "kinds", "marked", "lines"][: 3 + len(more)])
 
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    out = raw.mapInArrow(run, "page_id long, url string, text string, lines array<string>, hashes array<long>")
+    out = raw.mapInArrow(run, "page_id long, url string, hashes binary" + (", kinds binary, marked boolean, lines array<string>" if text else ""))
     url = F.coalesce("url", F.lit(""))
     return out.withColumns({"host": F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), r"/+$", "")})
 
@@ -194,7 +235,7 @@ def neighbours(table: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int64)), pa.array(np.arange(n, n + b.num_rows))], ["host", "path", "hashes", "part", "place"])
             n += b.num_rows
 
-    ordered = scratch.save(ordered.mapInArrow(number, "host string, path string, hashes array<long>, part long, place long"))
+    ordered = scratch.save(ordered.mapInArrow(number, "host string, path string, hashes binary, part long, place long"))
     # one number a partition: as many rows as there were partitions
     sizes = sorted((r.part, r.n) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     offset, base = [], 0
@@ -209,28 +250,44 @@ def neighbours(table: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "before", "after")
 
 
+def kept_lines(lines: list[str], kinds: bytes, marked: bool, shared: set[int]) -> tuple[list[str], int, int, int]:
+    """(lines that stay, number of lines that differencing, markup took; number of shared lines that an article kept)."""
+    out, differenced, by_markup, vetoed = [], 0, 0, 0
+    for i, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
+        if kind == ARTICLE:
+            vetoed += i in shared
+            out.append(line)
+        elif i in shared:
+            differenced += 1
+        elif kind == SHELL or marked:
+            by_markup += 1
+        else:
+            out.append(line)
+    return out, differenced, by_markup, vetoed
+
+
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page, and the numbers of kept_lines()."""
     scratch = Scratch(pages.sparkSession)
-    table = scratch.save(parsed(pages))
-    settled = table.where("text IS NOT NULL").select("page_id", "url", "text")
-    still = table.where("text IS NULL")
-    near = neighbours(table.select("page_id", "url", "host", "path", "hashes"), scratch)
-    pairs = still.join(near, same(F.col("host"), F.col("_host")) & same(F.col("path"), F.col("_path")), "left")
+    near = scratch.save(neighbours(scratch.save(parsed(pages, False)), scratch))
+    scratch.free()
+    pairs = parsed(pages, True).join(near, same(F.col("host"), F.col("_host")) & same(F.col("path"), F.col("_path")), "left")
 
     def run(it):
-        for b in it:
-            ids, urls, paths, lines, hashes, befores, afters = (b.column(i).to_pylist() for i in range(7))
-            text = []
-            for path, own, h, x, y in zip(paths, lines, hashes, befores, afters, strict=True):
-                alike = lambda z: -1 if z is None or z["hashes"] is None else len(os.path.commonprefix([path, z["path"]]))
-                other = x if alike(x) >= alike(y) else y
-                gone = set(common_lines(h, other["hashes"])) if alike(other) >= 0 else ()
-                text.append(" ".join([t for i, t in enumerate(own) if i not in gone]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
-    opened = pairs.select("page_id", "url", "path", "lines", "hashes", "before", "after").mapInArrow(run, "page_id long, url string, text string")
-    return settled.unionByName(opened).withColumn("n_chars", F.length("text").cast("long"))
+        for b in pieces(it, 1):
+            rows = []
+            for path, own, kinds, marked, lines, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 9)), strict=True):
+                alike = lambda z, path=path: -1 if z is None else len(os.path.commonprefix([path, z["path"]]))
+                other, shared = x if alike(x) >= alike(y) else y, set()
+                if other is not None:
+                    shared = set(common_lines(*(np.frombuffer(h, "<i8").tolist() for h in (own, other["hashes"]))))
+                out, *counts = kept_lines(lines, kinds, marked, shared)
+                rows.append((" ".join(out), *counts))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(cols[0]), pa.string()), *(pa.array(list(c), pa.int64()) for c in cols[1:])], ["page_id", "url", "text", "n_differenced", "n_by_markup", "n_vetoed"])
+
+    out = pairs.select("page_id", "url", "path", "hashes", "kinds", "marked", "lines", "before", "after").mapInArrow(run, "page_id long, url string, text string, n_differenced long, n_by_markup long, n_vetoed long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_differenced", "n_by_markup", "n_vetoed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

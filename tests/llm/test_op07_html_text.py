@@ -67,6 +67,37 @@ def test_longest_common_subsequence():
         assert all(a[i] in it for i in at)
 
 
+def test_many_equal_lines_are_aligned_as_exactly(monkeypatch):
+    """One line nine times in ten: places are too many to list, bit vectors find as long a subsequence."""
+    rnd = random.Random(4)
+    for n, listed in ((700, None), (60, 5), (33, 0)):
+        if listed is not None:
+            monkeypatch.setattr(op, "LISTED", listed)
+        a, b = ([0 if rnd.random() < 0.9 else rnd.randrange(1, 40) for _ in range(n)] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        at = op.common_lines(a, b)
+        it = iter(b)
+        assert len(at) == row[-1] and at == sorted(set(at)) and all(a[i] in it for i in at)
+
+
+def test_which_rule_takes_a_block(spark):
+    html = "<nav><p>menu</p><p>{0}</p></nav><div>shared</div><article><p>{0}</p><p>quote</p></article><div>odd {0}</div>"
+    df = spark.createDataFrame([page(i, f"http://h/{i}", html.format(w)) for i, w in enumerate("ab")], "page_id long, url string, html string, lines string, hashes string")
+    for r in op.extracted(df).collect():
+        w = "ab"[r.page_id]
+        assert (r.text, r.n_differenced, r.n_by_markup, r.n_vetoed) == (f"{w} quote", 2, 2, 1)
+
+
+def test_differencing_takes_blocks_of_the_given_pages(spark, sf_dir):
+    r = op.query(spark, sf_dir).agg({"n_differenced": "sum", "n_by_markup": "sum"}).first()
+    assert r[0] > 0 and r[1] > 0
+
+
 def test_query_gives_each_article(spark, sf_dir):
     """The words of an article are those of the document it was made of, after its heading."""
     docs = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
