@@ -54,11 +54,51 @@ def test_large_components_stay_exact(spark):
 def test_blocks_and_empty_tables(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
-    monkeypatch.setattr(op, "DATA_BLOCK", 30)
-    monkeypatch.setattr(op, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(op, "LEAST_BLOCK", 30)
+    monkeypatch.setattr(op, "MOST_BLOCK", 30)
+    monkeypatch.setattr(op, "QUERIES", 40)
+    monkeypatch.setattr(op, "SAMPLE", 50)
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
 
 
+def test_scores_beyond_a_long_and_fractions_below_the_largest_doubles(spark):
+    rows = [(i, [x, 1.0]) for i, x in enumerate([2.0**60, 2.0**61, 2.0**61, -(2.0**61), -(2.0**62), 2.0**42 + 0.0009765625 / 4, -(2.0**41) - 0.000244140625])]
+    df = spark.createDataFrame([*rows, (99, [1.7e308, 0.0])], "vec_id long, embedding array<double>")
+    v = op.vectors(df, "vec_id", "embedding")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in op.top_k(v, v, 7).orderBy("query_id", "rank").collect()]
+    from fractions import Fraction
+    from math import floor
+
+    own = {i: [floor(Fraction(y) * 1024) for y in x] for i, x in rows}
+    want = []
+    for i, q in own.items():
+        s = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in own.items() if j != i)
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(s)]
+    assert got == want
+
+
+def test_levels_cover_their_points_by_centres_apart():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3))
+    todo = [op.CoverTree(x, np.arange(600), 8)]
+    while todo:
+        node = todo.pop()
+        gap = lambda c, rows: np.sqrt(((x[rows] - c) ** 2).sum(1))
+        assert gap(node.centre, node.rows).max() <= node.radius
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            level = max(c.radius for c in node.children)
+            centres = np.array([c.centre for c in node.children])
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[np.triu_indices(len(centres), 1)]
+            assert len(node.children) <= op.FAN and apart.min() >= level
+            todo += node.children
+
+
+def test_a_vector_that_a_third_of_all_rows_share(spark):
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 17), 1.0]) for i in range(300)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_query_is_the_sql(spark, duck, sf_dir):
     assert rows_of(op.query(spark, sf_dir).toPandas()) == rows_of(duck.sql(op.SQL).df())
