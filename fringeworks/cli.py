@@ -14,6 +14,7 @@ from .functions.complexcols import Cx
 from .operators import aggregates as A
 from .operators import calibrate as K
 from .operators import joins as J
+from .operators import ordered as O  # noqa: E741
 from .operators import select as P
 from .operators import simulate as M
 from .sources import parset as C
@@ -48,16 +49,16 @@ def calibrated(spark: SparkSession, p: dict) -> DataFrame:
 
 
 def noisy(spark: SparkSession, p: dict) -> DataFrame:
-    return M.with_noise(store.read_vis(spark, p["dataset"]), float(p["rms"]), int(p.get("seed", 1)))
+    v = store.read_vis(spark, p["dataset"])
+    names = [c for c in ("ms", "scan", "time_s", "antenna1", "antenna2", "feed1", "chan", "pol") if c in v.columns]
+    return M.with_noise(v, float(p["rms"]), int(p.get("seed", 1)), F.xxhash64(*names).bitwiseAND(F.lit((1 << 62) - 1)))
 
 
 def scans(spark: SparkSession, p: dict) -> DataFrame:
     """Scan numbers from an interval file; rows outside are flagged and carry the previous number."""
-    from pyspark.sql import Window
-
     v = J.first_interval(store.read_vis(spark, p["dataset"]).drop("scan"), text.read_scans(spark, p["scans"]), "time_s", [], "start_s", "end_s", "scan")
-    w = Window.partitionBy("feed1").orderBy("time_s").rowsBetween(Window.unboundedPreceding, 0)
-    return v.withColumns({"flag": F.col("flag") | F.col("scan").isNull(), "scan": F.coalesce(F.last("scan", ignorenulls=True).over(w), F.lit(0))})
+    v = O.last_seen(v, ["feed1"], ["time_s"], F.floor(F.col("time_s") / J.BUCKET), F.col("scan"), "_carried")
+    return v.withColumns({"flag": F.col("flag") | F.col("scan").isNull(), "scan": F.coalesce("_carried", F.lit(0))}).drop("_carried")
 
 
 def cube_statistics(spark: SparkSession, p: dict) -> DataFrame:

@@ -188,3 +188,44 @@ def frequency_channel(freq, first: float, step: float, n: int) -> Column:
         return F.lit(0)
     k = nint((_col(freq) - first) / step)
     return F.when((k >= 0) & (k < n), k).otherwise(-1).cast("int")
+
+
+#: The galactic pole of J2000 (right ascension, declination) and the longitude of the celestial pole, degrees.
+GALACTIC = (192.85948, 27.12825, 122.93192)
+
+
+def galactic(lon, lat) -> tuple[Column, Column]:
+    """Galactic longitude and latitude (radians) of a J2000 direction."""
+    a, d = _col(lon) - math.radians(GALACTIC[0]), _col(lat)
+    pole = math.radians(GALACTIC[1])
+    b = F.asin(F.sin(d) * math.sin(pole) + F.cos(d) * math.cos(pole) * F.cos(a))
+    turn = math.radians(GALACTIC[2]) - F.atan2(F.cos(d) * F.sin(a), F.sin(d) * math.cos(pole) - F.cos(d) * math.sin(pole) * F.cos(a))
+    return F.pmod(turn, F.lit(TWO_PI)), b
+
+
+def time_text(seconds) -> Column:
+    """Seconds since MJD 0 as 17-Nov-1858/00:00:00.0."""
+    tenths = F.floor(_col(seconds) * 10 + 0.5).cast("long")
+    day, rest = F.floor(tenths / 864000).cast("int"), F.pmod(tenths, F.lit(864000))
+    date = F.date_format(F.date_add(F.to_date(F.lit("1858-11-17")), day), "dd-MMM-yyyy")
+    return F.format_string("%s/%02d:%02d:%02d.%d", date, F.floor(rest / 36000), F.floor(rest / 600) % 60, F.floor(rest / 10) % 60, rest % 10)
+
+
+def direction_text(lon, lat) -> Column:
+    """A direction (radians) as hh:mm:ss.ss and +dd.mm.ss.ss."""
+    hours = F.pmod(F.floor(F.pmod(_col(lon), F.lit(TWO_PI)) * (12 / math.pi * 360000) + 0.5).cast("long"), F.lit(24 * 360000))
+    angle = F.floor(F.abs(_col(lat)) * (180 / math.pi * 360000) + 0.5).cast("long")
+    parts = lambda n: [F.floor(n / 360000), F.floor(n / 6000) % 60, F.floor(n / 100) % 60, n % 100]
+    return F.format_string("%02d:%02d:%02d.%02d %s%02d.%02d.%02d.%02d", *parts(hours), F.when(_col(lat) < 0, "-").otherwise("+"), *parts(angle))
+
+
+def beam_spectrum_removed(terms: list, log_beam) -> list[Column]:
+    """Taylor terms 0 to 2 of images seen through a beam whose width goes with wavelength, without the beam's own spectrum.
+
+    Such a beam is exp(L (1 + x)^2) at the relative frequency offset x, L its
+    logarithm at the reference: relative to the reference 1 + 2 L x + (L + 2 L^2) x^2.
+    """
+    t0, t1, t2 = map(_col, terms)
+    big = _col(log_beam)
+    first = t1 - 2 * big * t0
+    return [t0, first, t2 - 2 * big * first - (big + 2 * big * big) * t0]

@@ -36,17 +36,51 @@ def advice(stats: DataFrame, dish: float = 12.0) -> DataFrame:
     return stats.select((F.degrees(1 / (6 * F.greatest("max_u", "max_v"))) * 3600).alias("cell_arcsec"), F.degrees(1.7 * 1.2 * wave / dish).alias("field_deg"))
 
 
+#: Accuracy of the first pass of quantiles(): its ranks are right to a share of 1 / ACCURACY.
+ACCURACY = 1000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """by and the exact quantiles of value, linear between neighbours as SQL's; nulls and NaN left out.
+
+    A sketch brackets each quantile by values that hold its ranks for certain;
+    then values below are counted and only those inside the bracket are ranked,
+    as distinct values with their numbers. No group is ordered as a whole.
+    """
+    v = rows.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    wide = 2.0 / ACCURACY
+    names = list(shares)
+    ends = [F.percentile_approx("_v", [max(0.0, shares[n] - wide), min(1.0, shares[n] + wide)], 4 * ACCURACY).alias(f"_e{i}") for i, n in enumerate(names)]
+    low, high = ([F.when((F.col("_n") < 4 * ACCURACY) | F.lit(shares[n] - wide <= 0), F.col("_low")).otherwise(F.col(f"_e{i}")[0]) for i, n in enumerate(names)], [F.when((F.col("_n") < 4 * ACCURACY) | F.lit(shares[n] + wide >= 1), F.col("_high")).otherwise(F.col(f"_e{i}")[1]) for i, n in enumerate(names)])
+    bounds = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), *ends)
+    one = F.array(*[F.struct(F.lit(n).alias("_q"), (F.lit(shares[n]) * (F.col("_n") - 1)).alias("_at"), a.alias("_a"), z.alias("_z")) for n, a, z in zip(names, low, high, strict=True)])
+    bounds = bounds.select(*by, F.explode(one).alias("_b")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_b.*")
+    cond = F.lit(True)
+    for i, k in enumerate(by):
+        cond &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # nothing above the bracket is needed; all that is below counts as one value
+    near = v.join(bounds, cond).where("_v <= _z").withColumn("_v", F.when(F.col("_v") >= F.col("_a"), F.col("_v")))
+    counts = near.groupBy(*by, "_q", "_at", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v"))
+    ranked = counts.withColumns({"_last": F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_next": F.lead("_v").over(w)})
+    floor, part = F.floor("_at"), F.col("_at") - F.floor("_at")
+    hit = ranked.where((F.col("_last") >= floor) & (F.col("_last") - F.col("_m") < floor))
+    out = hit.withColumn("_x", F.when((part > 0) & (F.col("_last") == floor), F.col("_v") + part * (F.col("_next") - F.col("_v"))).otherwise(F.col("_v")))
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == n, F.col("_x"))).alias(n) for n in names])
+
+
 def image_statistics(pixels: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Moments, quantiles and the median deviation from the median, NaN left out. Two grouped passes."""
+    """Moments, quantiles and the median deviation from the median, NaN left out."""
     rows = pixels.where(~F.isnan(value))
     v = F.col(value)
-    first = rows.groupBy(*by).agg(F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_pop(v).alias("std"), F.avg(v).alias("mean"), F.percentile(v, 0.01).alias("onepc"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"))
+    first = rows.groupBy(*by).agg(F.sqrt(F.avg(v * v)).alias("rms"), F.stddev_pop(v).alias("std"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"))
+    first = first.join(quantiles(rows, by, v, {"onepc": 0.01, "median": 0.5}), by)
     med = first.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("median").alias("_median"))
     cond = F.lit(True)
     for b in by:
         cond &= F.col(b) == F.col(f"_{b}")
-    mad = rows.join(med, cond).groupBy(*by).agg(F.percentile(F.abs(v - F.col("_median")), 0.5).alias("madfm"))
-    return first.join(mad, by)
+    mad = quantiles(rows.join(med, cond), by, F.abs(v - F.col("_median")), {"madfm": 0.5})
+    return first.join(mad, by).select(*by, "rms", "std", "mean", "onepc", "median", "max", "min", "madfm")
 
 
 def bad_channels(stats: DataFrame, threshold: float) -> DataFrame:
@@ -116,16 +150,6 @@ def solved(normal: dict[tuple[str, str], float], parameters: list[str]) -> list[
     return np.linalg.lstsq(a, b, rcond=None)[0].tolist()
 
 
-def islands(rows: DataFrame, by: list[str], order: list[str], breaks: list[tuple[str, float | None]]) -> DataFrame:
-    """Adds island: consecutive rows per group until a column changes (None) or steps by more than the limit."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    cut = F.lag(F.lit(1)).over(w).isNull()
-    for c, limit in breaks:
-        step = F.col(c) - F.lag(c).over(w) if limit is not None else None
-        cut |= (F.abs(step) > limit) if limit is not None else (F.col(c) != F.lag(c).over(w))
-    return rows.withColumn("_cut", F.coalesce(cut, F.lit(True)).cast("int")).withColumn("island", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_cut")
-
-
 def entropy(pixels: DataFrame, by: list[str]) -> DataFrame:
     """-sum(v log v) / sum(v) + log(number of pixels) over positive pixels."""
     v = F.col("value")

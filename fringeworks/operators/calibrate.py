@@ -54,7 +54,7 @@ def preaveraged(rows: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by, F.col("a.pol").alias("pol"), F.col("b.pol").alias("pol2")).agg(F.sum(measured.re).alias("vm_re"), F.sum(measured.im).alias("vm_im"), F.sum(partner.re).alias("mm_re"), F.sum(partner.im).alias("mm_im"))
 
 
-def solve_gains(products: np.ndarray, power: np.ndarray, iterations: int = 40) -> np.ndarray:
+def solve_gains(products: np.ndarray, power: np.ndarray, iterations: int = 200) -> np.ndarray:
     """Antenna gains g with products[i, j] ~ power[i, j] g_i conj(g_j): alternating least squares, phases to the first antenna."""
     n = len(products)
     g = np.ones(n, complex)
@@ -66,11 +66,11 @@ def solve_gains(products: np.ndarray, power: np.ndarray, iterations: int = 40) -
     live = np.flatnonzero(power.sum(1) > 0)
     if len(live) and abs(g[live[0]]) > 0:
         g = g * np.conj(g[live[0]]) / abs(g[live[0]])
-    return g
+    return np.where(power.sum(1) > 0, g, 1.0)
 
 
-def solved_gains(products: DataFrame, by: list[str], n_antennas: int) -> DataFrame:
-    """Gains per (by, antenna) from baseline products (antenna1, antenna2, vm_re, vm_im, mm_re): independent keys side by side."""
+def solved_gains(products: DataFrame, by: list[str], n_antennas: int, least: float = 0.0) -> DataFrame:
+    """Gains per (by, antenna) from baseline products (antenna1, antenna2, vm_re, vm_im, mm_re): independent keys side by side; amplitudes under least are not valid."""
     import pandas as pd
 
     schema = ", ".join(f"{b} {dict(products.dtypes)[b]}" for b in by) + (", " if by else "") + "antenna int, g_re double, g_im double, valid boolean"
@@ -86,7 +86,7 @@ def solved_gains(products: DataFrame, by: list[str], n_antennas: int) -> DataFra
         np.fill_diagonal(v, 0)
         np.fill_diagonal(p, 0)
         g = solve_gains(v, p)
-        return pd.DataFrame({**{k: [x] * n_antennas for k, x in zip(by, key, strict=True)}, "antenna": np.arange(n_antennas, dtype="int32"), "g_re": g.real, "g_im": g.imag, "valid": p.sum(1) > 0})
+        return pd.DataFrame({**{k: [x] * n_antennas for k, x in zip(by, key, strict=True)}, "antenna": np.arange(n_antennas, dtype="int32"), "g_re": g.real, "g_im": g.imag, "valid": (p.sum(1) > 0) & (np.abs(g) >= least)})
 
     return products.groupBy(*by).applyInPandas(run, schema)
 

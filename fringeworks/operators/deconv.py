@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame
 
 @dataclass
 class Control:
-    """When to stop: targets of the largest residual, iterations, divergence."""
+    """When to stop: targets of the largest residual, iterations, divergence.
+
+    With deep, reaching the targets begins a deep phase: only pixels that hold
+    components already are searched, down to deep.
+    """
 
     max_iterations: int = 100
     gain: float = 0.1
@@ -24,12 +28,16 @@ class Control:
     deep: float = 0.0
     diverging: float = 2.0
     first: float | None = field(default=None)
+    is_deep: bool = False
 
     def cause(self, iteration: int, peak: float) -> str | None:
         peak = abs(peak)
         if self.first is None:
             self.first = peak
-        if peak <= max(self.absolute, self.fraction * self.first) or peak == 0:
+        target = self.deep if self.is_deep else max(self.absolute, self.fraction * self.first)
+        if peak <= target and not self.is_deep and 0 < self.deep < target and peak > 0:
+            self.is_deep, target = True, self.deep
+        if peak <= target or peak == 0:
             return "CONVERGED"
         if peak > self.diverging * self.first:
             return "DIVERGED"
@@ -59,8 +67,13 @@ def hogbom(dirty: np.ndarray, psf: np.ndarray, control: Control, weight: np.ndar
     residual, model, i = dirty.astype(float).copy(), np.zeros(dirty.shape), 0
     while True:
         at = peak_of(residual, weight)
+        was_deep = control.is_deep
+        if control.is_deep:
+            at = peak_of(residual, (model != 0) * (1.0 if weight is None else weight))
         if cause := control.cause(i, residual[at]):
             return model, residual, cause
+        if control.is_deep and not was_deep:
+            continue  # the phase begins: search again, among pixels with components
         model[at] += control.gain * residual[at]
         subtract_shifted(residual, psf, at, control.gain * residual[at])
         i += 1
@@ -107,7 +120,7 @@ def multi_term(dirty: list[np.ndarray], psf: list[np.ndarray], scales: list[floa
     centre = (shape[0] // 2, shape[1] // 2)
     coupling = [np.array([[c[t + u][centre] for u in range(n_terms)] for t in range(n_terms)]) for c in cross]
     inverse = [np.linalg.pinv(c) for c in coupling]
-    i = 0
+    i, mask = 0, np.zeros(shape, bool)
     while True:
         seen = [[project(r, b) for r in residual] for b in basis]
         coeff = [np.tensordot(inv, np.array(s), 1) for inv, s in zip(inverse, seen, strict=True)]
@@ -117,10 +130,13 @@ def multi_term(dirty: list[np.ndarray], psf: list[np.ndarray], scales: list[floa
             worth = [sum(c[t] * s[t] for t in range(n_terms)) for c, s in zip(coeff, seen, strict=True)]
         else:
             worth = [np.abs(s[0]) / math.sqrt(abs(k[0, 0])) for s, k in zip(seen, coupling, strict=True)]
+        if control.is_deep:
+            worth = [np.where(mask, w, 0) for w in worth]
         best = int(np.argmax([w.max() for w in worth]))
         at = peak_of(worth[best])
-        if cause := control.cause(i, max(np.abs(residual[0]).max(), 0)):
+        if cause := control.cause(i, np.abs(residual[0][mask] if control.is_deep and mask.any() else residual[0]).max()):
             return model, residual, cause
+        mask[at] = True
         spot = np.zeros(shape)
         spot[at] = 1.0
         shown = project(spot, basis[best])
@@ -148,17 +164,55 @@ def fista(dirty: np.ndarray, psf: np.ndarray, threshold: float, iterations: int
     return x
 
 
-def maximum_entropy(dirty: np.ndarray, psf: np.ndarray, sigma: float, prior: float, iterations: int = 60) -> np.ndarray:
-    """Positive image of largest entropy that fits the dirty image: damped multiplicative steps."""
-    model = np.full(dirty.shape, max(prior, 1e-12))
+def maximum_entropy(dirty: np.ndarray, psf: np.ndarray, sigma: float, scale: float, iterations: int = 60, kind: str = "emptiness", flux: float | None = None, tolerance: float = 0.3) -> tuple[np.ndarray, float]:
+    """(image, its root mean square misfit): the most entropic image that fits the dirty image to sigma.
+
+    Newton steps with a diagonal Hessian on J = H - alpha * chi2 / 2 - beta * flux.
+    H is the information entropy -sum m log(m / (e * scale)) of a positive image,
+    or the emptiness -scale * sum log cosh(m / scale). alpha grows while the
+    misfit is above sigma and shrinks below it; beta does so for a wanted flux.
+    """
     transfer = np.fft.fft2(np.fft.ifftshift(psf))
-    alpha = 1.0 / (sigma * sigma * float((np.abs(transfer) ** 2).max()))
+    volume = float(psf[psf > 0.1].sum())
+    seen = lambda m: dirty - np.fft.ifft2(transfer * np.fft.fft2(m)).real
+    back = lambda r: np.fft.ifft2(np.conj(transfer) * np.fft.fft2(r)).real
+    positive = kind == "information"
+    model = np.full(dirty.shape, scale)
+    alpha, beta, target = 0.0, 0.0, sigma * sigma * dirty.size
     for _ in range(iterations):
-        residual = dirty - np.fft.ifft2(transfer * np.fft.fft2(model)).real
-        pull = np.fft.ifft2(np.conj(transfer) * np.fft.fft2(residual)).real
-        step = np.clip(alpha * sigma * sigma * pull - 0.01 * np.log(model / prior), -0.5, 0.5)
-        model = model * np.exp(step)
-    return model
+        residual = seen(model)
+        chi2 = float((residual * residual).sum())
+        if positive:
+            grad_h, curve = -np.log(model / scale), 1 / model
+        else:
+            grad_h, curve = -np.tanh(model / scale), np.maximum(1 / np.cosh(np.clip(model / scale, -30, 30)) ** 2, 1e-3) / scale
+        grad_c = back(residual)
+        if alpha == 0:
+            # a model without a gradient of its own, as at the start of an entropy, begins at a tenth
+            alpha = float(np.sqrt(max((grad_h * grad_h).sum(), 0.01 * dirty.size) / max((grad_c * grad_c).sum(), 1e-300)))
+        if chi2 > target:
+            alpha *= 1.2
+        elif chi2 < 0.8 * target:
+            alpha /= 1.2
+        if flux is not None:
+            beta += 0.1 * (float(model.sum()) - flux) / max(abs(flux), 1e-12)
+        step = (grad_h + alpha * grad_c - beta) / (curve + alpha * volume * volume)
+        # within the range where the quadratic form holds, and never uphill beyond it
+        limit = tolerance * max(float(np.abs(model).max()), scale)
+        step = np.clip(step, -limit, limit)
+        if positive:
+            step = np.maximum(step, -tolerance * model)
+        length, old = 1.0, float(grad_h.ravel() @ step.ravel() + alpha * (grad_c.ravel() @ step.ravel()))
+        trial = model + step
+        new_h = -np.log(np.maximum(trial, 1e-300) / scale) if positive else -np.tanh(trial / scale)
+        new = float(new_h.ravel() @ step.ravel() + alpha * (back(seen(trial)).ravel() @ step.ravel()))
+        if old > 0 and new < old:
+            length = min(1.0 if new >= 0 else old / (old - new), 1.0)
+        model = model + length * step
+        if positive:
+            model = np.maximum(model, 1e-6 * scale)
+    residual = seen(model)
+    return model, float(np.sqrt((residual * residual).mean()))
 
 
 def robust_filter(psf: np.ndarray, dirty: np.ndarray, robustness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +222,19 @@ def robust_filter(psf: np.ndarray, dirty: np.ndarray, robustness: float) -> tupl
     return _filtered(psf, dirty, f)
 
 
-def wiener_filter(psf: np.ndarray, dirty: np.ndarray, noise_power: float) -> tuple[np.ndarray, np.ndarray]:
-    """conj(T) / (|T|^2 + noise) with T the transform of the psf scaled to unit peak of the transform."""
-    t = np.fft.fft2(np.fft.ifftshift(psf))
+def wiener_filter(psf: np.ndarray, dirty: np.ndarray, noise_power: float | None = None, robustness: float | None = None, taper: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """conj(T) / (|T|^2 + noise) with T the transform of the psf scaled to unit peak of the transform.
+
+    The noise power is given, or follows from a robustness as 10^(4 r). taper is
+    the width (pixels, half maximum) of a Gaussian that smooths T in the image first.
+    """
+    if (noise_power is None) == (robustness is None):
+        raise ValueError("either a noise power or a robustness")
+    noise = noise_power if robustness is None else 10.0 ** (4 * robustness)
+    shape = psf if taper is None else psf * gaussian_beam(psf.shape, taper, taper, 0.0)
+    t = np.fft.fft2(np.fft.ifftshift(shape))
     t = t / np.abs(t).max()
-    return _filtered(psf, dirty, np.conj(t) / (np.abs(t) ** 2 + noise_power))
+    return _filtered(psf, dirty, np.conj(t) / (np.abs(t) ** 2 + noise))
 
 
 def gaussian_taper(psf: np.ndarray, dirty: np.ndarray, fwhm: float) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +282,11 @@ def restored(model: np.ndarray, residual: np.ndarray, beam: tuple[float, float,
     return fft_convolve(model, gaussian_beam(model.shape, *beam)) + residual
 
 
-def per_plane(planes: DataFrame, keys: list[str], n: int, work, columns: list[str]) -> DataFrame:
+def per_plane(planes: DataFrame, keys: list[str], n: int, work, columns: list[str], names: list[str]) -> DataFrame:
     """Runs work({column: n x n array}) -> {name: n x n array} for every plane of pixels (keys, x, y, columns)."""
     import pandas as pd
 
-    probe = work({c: np.eye(n) if i else np.eye(n) for i, c in enumerate(columns)})
-    schema = ", ".join(f"{k} {dict(planes.dtypes)[k]}" for k in keys) + ", x int, y int, " + ", ".join(f"{c} double" for c in probe)
+    schema = ", ".join(f"{k} {dict(planes.dtypes)[k]}" for k in keys) + ", x int, y int, " + ", ".join(f"{c} double" for c in names)
 
     def run(key, pdf):
         arrays = {}
@@ -235,6 +296,6 @@ def per_plane(planes: DataFrame, keys: list[str], n: int, work, columns: list[st
             arrays[c] = a
         out = work(arrays)
         x, y = np.indices((n, n))
-        return pd.DataFrame({**{k: [v] * n * n for k, v in zip(keys, key, strict=True)}, "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), **{c: a.ravel() for c, a in out.items()}})
+        return pd.DataFrame({**{k: [v] * n * n for k, v in zip(keys, key, strict=True)}, "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), **{c: out[c].ravel() for c in names}})
 
     return planes.groupBy(*keys).applyInPandas(run, schema)

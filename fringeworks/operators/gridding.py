@@ -69,15 +69,46 @@ def w_kernels(cell: float, n_planes: int, w_max: float, support: int = 5, oversa
     return rows
 
 
-def kernel_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    import pyarrow as pa
+class Kernel:
+    """Kernel rows, as a table to join with and as dense arrays for Arrow batches."""
+
+    def __init__(self, spark: SparkSession, rows: list[tuple]):
+        self.spark, self.rows = spark, rows
+        #: One cell of weight 1 for plane 0: nothing to look up.
+        self.is_box = [tuple(map(float, r)) for r in rows] == [(0, 0, 0, 0, 0, 1, 0)]
+        self.is_small = len(rows) <= KERNEL_ROWS
+
+    def frame(self) -> DataFrame:
+        import pyarrow as pa
+
+        # an Arrow table becomes a local relation: no tasks, and Spark knows its size
+        kinds = [pa.int32()] * 5 + [pa.float64()] * 2
+        names = [x.split()[0] for x in KERNEL_SCHEMA.split(", ")]
+        columns = list(zip(*self.rows, strict=True)) or [()] * 7
+        df = self.spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names), KERNEL_SCHEMA)
+        return F.broadcast(df) if self.is_small else df
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each plane and step or -1, weights by row and cell, which cells are there, (du, dv) of the cells)."""
+        whole = np.array([r[:5] for r in self.rows], np.int64).reshape(-1, 5)
+        weight = np.array([complex(r[5], r[6]) for r in self.rows])
+        keys, at = np.unique(whole[:, :3], axis=0, return_inverse=True)
+        cells, cell = np.unique(whole[:, 3:], axis=0, return_inverse=True)
+        lookup = np.full(whole[:, :3].max(axis=0, initial=0) + 1, -1, np.int64)
+        lookup[tuple(keys.T)] = np.arange(len(keys))
+        table, there = np.zeros((len(keys), len(cells)), complex), np.zeros((len(keys), len(cells)), bool)
+        table[at.ravel(), cell.ravel()], there[at.ravel(), cell.ravel()] = weight, True
+        return lookup, table, there, cells
 
-    # an Arrow table becomes a local relation: no tasks, and Spark knows its size
-    kinds = [pa.int32()] * 5 + [pa.float64()] * 2
-    names = [x.split()[0] for x in KERNEL_SCHEMA.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    df = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names), KERNEL_SCHEMA)
-    return F.broadcast(df) if len(rows) <= KERNEL_ROWS else df
+
+def kernel_table(spark: SparkSession, rows: list[tuple]) -> Kernel:
+    return Kernel(spark, rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files are fewer: one large row group would be one task's."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
 #: Name -> maker of kernel rows: the extension point for other gridders.
@@ -88,47 +119,146 @@ def register_kernel(name: str, make: Callable[..., list[tuple]]) -> None:
     KERNELS[name] = make
 
 
-def _with_kernel(samples: DataFrame, kernel: DataFrame) -> DataFrame:
+def _with_kernel(samples: DataFrame, kernel: Kernel) -> DataFrame:
     """Samples joined with their kernel cells by one whole-number key: Spark's quickest hash table."""
     key = (F.col("plane").cast("long") * 1024 + F.col("fracu")) * 1024 + F.col("fracv")
-    cells = kernel.select(key.alias("_kernel"), "du", "dv", "wt_re", "wt_im")
+    cells = kernel.frame().select(key.alias("_kernel"), "du", "dv", "wt_re", "wt_im")
     return samples.withColumn("_kernel", key).join(cells, "_kernel").drop("_kernel")
 
 
-def gridded(samples: DataFrame, kernel: DataFrame, value: Cx, weight: Column, keys: list[str], psf: bool = True) -> DataFrame:
+_SUMS = ("re", "im", "psf_re", "psf_im", "weight")
+#: Additions of a batch of samples that NumPy makes at once.
+ADDITIONS = 1 << 20
+
+
+def _batch_sums(kernel: Kernel, keys: list[str], schema: str):
+    """Arrow batches of samples (keys, plane, fracu, fracv, iu, iv, _re, _im, _wt) summed over their cells: a batch leaves a row for each cell that it touches."""
+    import pyarrow as pa
+
+    lookup, table, there, cells = kernel.dense()
+    n_keys, shape = len(keys), np.array(lookup.shape)
+
+    def sums(at: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(distinct places, the values' sums there)."""
+        low = int(at.min())
+        width = int(at.max()) - low + 1
+        if width <= 4 * len(at):
+            n = np.bincount(at - low, minlength=width)
+            hit = np.flatnonzero(n)
+            return hit + low, [np.bincount(at - low, v, width)[hit] for v in values]
+        hit, inverse = np.unique(at, return_inverse=True)
+        return hit, [np.bincount(inverse, v, len(hit)) for v in values]
+
+    def run(it):
+        for whole in it:
+            for lo in range(0, whole.num_rows, max(1, ADDITIONS // max(1, len(cells)))):
+                b = whole.slice(lo, max(1, ADDITIONS // max(1, len(cells))))
+                code = np.zeros(b.num_rows, np.int64)
+                for i in range(n_keys):
+                    d = b.column(i).dictionary_encode(null_encoding="encode")
+                    code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+                _, first, code = np.unique(code, return_index=True, return_inverse=True)
+                place = np.stack([b.column(n_keys + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+                known = ((place >= 0) & (place < shape)).all(1)
+                row = np.full(b.num_rows, -1, np.int64)
+                row[known] = lookup[tuple(place[known].T)]
+                s = np.flatnonzero(row >= 0)
+                if not len(s):
+                    continue
+                iu, iv = (b.column(n_keys + i).to_numpy(zero_copy_only=False).astype(np.int64)[s] for i in (3, 4))
+                re, im, wt = (b.column(n_keys + i).to_numpy(zero_copy_only=False)[s] for i in (5, 6, 7))
+                gu, gv = iu[:, None] + cells[None, :, 0], iv[:, None] + cells[None, :, 1]
+                u0, v0 = int(gu.min()), int(gv.min())
+                nu, nv = int(gu.max()) - u0 + 1, int(gv.max()) - v0 + 1
+                k = table[row[s]] * wt[:, None]
+                v = (re + 1j * im)[:, None] * k
+                on = there[row[s]].ravel()
+                at = ((code.ravel()[s][:, None] * nu + gu - u0) * nv + gv - v0).ravel()[on]
+                hit, out = sums(at, [x.ravel()[on] for x in (v.real, v.imag, k.real, k.imag, k.real)])
+                of = pa.array(first[hit // (nu * nv)])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(n_keys)), pa.array((hit // nv % nu + u0).astype(np.int32)), pa.array((hit % nv + v0).astype(np.int32)), *(pa.array(x) for x in out)], [*keys, "gu", "gv", *_SUMS])
+
+    return run
+
+
+def gridded(samples: DataFrame, kernel: Kernel, value: Cx, weight: Column, keys: list[str], psf: bool = True) -> DataFrame:
     """Sums over cells (keys, gu, gv): visibility, unit response and weights in one pass.
 
     samples have plane, fracu, fracv, iu, iv. One shuffle, of partial sums.
+    Kernels of up to KERNEL_ROWS rows go to the tasks as arrays, and a batch of
+    samples leaves one row a cell; larger ones are joined. A box needs neither.
     """
     s = samples.withColumns({"_re": value.re, "_im": value.im, "_wt": weight}).select(*keys, "plane", "fracu", "fracv", "iu", "iv", "_re", "_im", "_wt")
-    j = _with_kernel(s, kernel)
-    k = Cx.of("wt_re", "wt_im") * F.col("_wt")
+    names = [n for n in _SUMS if psf or not n.startswith("psf")]
+    if kernel.is_small and not kernel.is_box:
+        types = dict(s.dtypes)
+        schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["gu int, gv int"] + [f"{n} double" for n in _SUMS])
+        full = s.where("_re IS NOT NULL AND _im IS NOT NULL AND _wt IS NOT NULL").select(*keys, "plane", "fracu", "fracv", "iu", "iv", *[F.col(c).cast("double").alias(c) for c in ("_re", "_im", "_wt")])
+        cells = full.mapInArrow(_batch_sums(kernel, keys, schema), schema)
+        return cells.groupBy(*keys, "gu", "gv").agg(*[F.sum(n).alias(n) for n in names])
+    if kernel.is_box:
+        j = s.where("plane = 0 AND fracu = 0 AND fracv = 0").select(*keys, F.col("iu").alias("gu"), F.col("iv").alias("gv"), "_re", "_im", "_wt")
+        k = Cx.of("_wt")
+    else:
+        j = _with_kernel(s, kernel).withColumns({"gu": F.col("iu") + F.col("du"), "gv": F.col("iv") + F.col("dv")})
+        k = Cx.of("wt_re", "wt_im") * F.col("_wt")
     v = Cx.of("_re", "_im") * k
-    aggs = [F.sum(v.re).alias("re"), F.sum(v.im).alias("im")]
-    if psf:
-        aggs += [F.sum(k.re).alias("psf_re"), F.sum(k.im).alias("psf_im")]
-    aggs.append(F.sum(k.re).alias("weight"))
-    return j.groupBy(*keys, (F.col("iu") + F.col("du")).alias("gu"), (F.col("iv") + F.col("dv")).alias("gv")).agg(*aggs)
-
-
-def degridded(samples: DataFrame, kernel: DataFrame, grid: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
-    """For each sample, the sum over its cells of kernel * conj(grid)."""
-    s = samples.select(*row, *[k for k in keys if k not in row], "plane", "fracu", "fracv", "iu", "iv")
-    s = _with_kernel(s, kernel)
-    s = s.withColumns({"gu": F.col("iu") + F.col("du"), "gv": F.col("iv") + F.col("dv")})
+    columns = dict(zip(_SUMS, (v.re, v.im, k.re, k.im, k.re), strict=True))
+    return j.groupBy(*keys, "gu", "gv").agg(*[F.sum(columns[n]).alias(n) for n in names])
+
+
+def degridded(samples: DataFrame, kernel: Kernel, grid: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """For each sample, the sum over its cells of kernel * conj(grid).
+
+    Samples of one cell and step get one value, so the fan-out is over distinct
+    bins and the samples only look theirs up. A sample without any cell is left out.
+    """
+    at = [*keys, "plane", "fracu", "fracv", "iu", "iv"]
+    bins = _with_kernel(samples.select(*at).distinct(), kernel)
+    bins = bins.withColumns({"gu": F.col("iu") + F.col("du"), "gv": F.col("iv") + F.col("dv")})
     v = Cx.of("wt_re", "wt_im") * Cx.of("re", "im").conj()
-    return s.join(grid.select(*keys, "gu", "gv", "re", "im"), [*keys, "gu", "gv"]).groupBy(*row).agg(F.sum(v.re).alias("re"), F.sum(v.im).alias("im"))
+    values = bins.join(grid.select(*keys, "gu", "gv", "re", "im"), [*keys, "gu", "gv"]).groupBy(*at).agg(F.sum(v.re).alias("re"), F.sum(v.im).alias("im"))
+    return samples.select(*row, *[c for c in at if c not in row]).join(values, at).select(*row, "re", "im")
+
+
+#: Pixels of a direct image, at most; phases that NumPy works out at once.
+PIXELS, PHASES = 1 << 20, 1 << 20
 
 
 def direct_image(samples: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """The direct sum over samples (u, v in wavelengths, re, im) for a short list of pixels (x, y, l, m).
+    """The direct sum over samples (u, v in wavelengths, re, im) for a list of pixels (x, y, l, m), divided by their number.
 
-    The pixel list is broadcast: it is made by the caller and small by design.
-    Samples are summed per pixel on the map side.
+    The pixel list goes to the tasks, so it must not have more than PIXELS rows.
+    A batch of samples leaves one row a pixel and key.
     """
-    phase = 2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m"))
-    term = F.col("re") * F.cos(phase) + F.col("im") * F.sin(phase)
-    return samples.crossJoin(F.broadcast(pixels)).groupBy(*keys, "x", "y").agg((F.sum(term) / F.count(F.lit(1))).alias("value"))
+    import pyarrow as pa
+
+    px = pixels.select("x", "y", "l", "m").limit(PIXELS + 1).collect()
+    if len(px) > PIXELS:
+        raise ValueError("too many pixels for a direct image: grid and transform instead")
+    x, y = (pa.array([r[i] for r in px], pa.int32()) for i in (0, 1))
+    lm = np.array([(r[2], r[3]) for r in px], float).reshape(-1, 2)
+    n_keys, types = len(keys), dict(samples.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["x int, y int, s double, n long"])
+
+    def run(it):
+        for b in it:
+            code = np.zeros(b.num_rows, np.int64)
+            for i in range(n_keys):
+                d = b.column(i).dictionary_encode(null_encoding="encode")
+                code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+            uv, re, im = np.stack([b.column(n_keys + i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1), *(b.column(n_keys + i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            for c in np.unique(code):
+                rows, total = np.flatnonzero(code == c), np.zeros(len(lm))
+                for lo in range(0, len(rows), max(1, PHASES // max(1, len(lm)))):
+                    r = rows[lo : lo + max(1, PHASES // max(1, len(lm)))]
+                    phase = 2 * math.pi * (uv[r] @ lm.T)
+                    total += re[r] @ np.cos(phase) + im[r] @ np.sin(phase)
+                of = pa.array(np.full(len(lm), rows[0]))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(n_keys)), x, y, pa.array(total), pa.array(np.full(len(lm), len(rows)))], [*keys, "x", "y", "s", "n"])
+
+    s = samples.where("u IS NOT NULL AND v IS NOT NULL AND re IS NOT NULL AND im IS NOT NULL").select(*keys, *[F.col(c).cast("double").alias(c) for c in ("u", "v", "re", "im")])
+    return s.mapInArrow(run, schema).groupBy(*keys, "x", "y").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 def dense(pdf, n: int, gu: str = "gu", gv: str = "gv", re: str = "re", im: str = "im") -> np.ndarray:
@@ -139,23 +269,60 @@ def dense(pdf, n: int, gu: str = "gu", gv: str = "gv", re: str = "re", im: str =
     return grid
 
 
-def images_of(grid: DataFrame, keys: list[str], n: int, columns: tuple[str, str] = ("re", "im"), correct: Callable[[int], np.ndarray] | None = None) -> DataFrame:
-    """Transforms each key's cells to an n x n image: one bounded plane per task; scaled by n*n, origin in the middle."""
-    schema = ", ".join(f"{k} {dict(grid.dtypes)[k]}" for k in keys) + ", x int, y int, value double"
-    re, im = columns
+def images_of(grid: DataFrame, keys: list[str], n: int, planes: dict[str, tuple[str, str]] | None = None, correct: Callable[[int], np.ndarray] | None = None) -> DataFrame:
+    """Transforms each key's cells to n x n images, scaled by n*n, origin in the middle: one bounded plane per task.
+
+    planes names the images and the columns of their cells, {"value": ("re", "im")} by default.
+    """
+    planes = planes or {"value": ("re", "im")}
+    schema = ", ".join(f"{k} {dict(grid.dtypes)[k]}" for k in keys) + ", x int, y int, " + ", ".join(f"{p} double" for p in planes)
 
     def run(key, pdf):
         import pandas as pd
 
-        image = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(dense(pdf, n, re=re, im=im)))).real * n * n
-        if correct is not None:
-            c = correct(n)
-            image = np.where(np.outer(c, c) > 1e-12, image / np.maximum(np.outer(c, c), 1e-12), 0.0)
-        x, y = np.indices(image.shape)
-        return pd.DataFrame({**dict(zip(keys, ([k] * image.size for k in key), strict=True)), "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "value": image.ravel()})
+        x, y = np.indices((n, n))
+        out = {**dict(zip(keys, ([k] * n * n for k in key), strict=True)), "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32")}
+        for name, (re, im) in planes.items():
+            image = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(dense(pdf, n, re=re, im=im)))).real * n * n
+            out[name] = tapered(image, correct).ravel()
+        return pd.DataFrame(out)
 
     return grid.groupBy(*keys).applyInPandas(run, schema)
 
 
+def tapered(image: np.ndarray, correct: Callable[[int], np.ndarray] | None) -> np.ndarray:
+    """The image divided by the transform of the gridding kernel, 0 where that is 0."""
+    if correct is None:
+        return image
+    c = np.outer(correct(len(image)), correct(len(image)))
+    return np.where(c > 1e-12, image / np.maximum(c, 1e-12), 0.0)
+
+
+def grid_of(image: np.ndarray, correct: Callable[[int], np.ndarray] | None = None) -> np.ndarray:
+    """The grid that a model image is degridded from: divided by the kernel's transform, then transformed.
+
+    It is the inverse of the transform of images_of, up to the factor n*n.
+    """
+    return np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(tapered(image, correct))))
+
+
+def grids_of(images: DataFrame, keys: list[str], n: int, value: str = "value", correct: Callable[[int], np.ndarray] | None = None) -> DataFrame:
+    """Cells (keys, gu, gv, re, im) of model images (keys, x, y, value); an empty model gives no cells."""
+    schema = ", ".join(f"{k} {dict(images.dtypes)[k]}" for k in keys) + ", gu int, gv int, re double, im double"
+
+    def run(key, pdf):
+        import pandas as pd
+
+        image = np.zeros((n, n))
+        image[pdf["x"].to_numpy(), pdf["y"].to_numpy()] = pdf[value].to_numpy()
+        if not image.any():
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        z = grid_of(image, correct)
+        u, v = np.indices((n, n))
+        return pd.DataFrame({**dict(zip(keys, ([k] * n * n for k in key), strict=True)), "gu": u.ravel().astype("int32"), "gv": v.ravel().astype("int32"), "re": z.real.ravel(), "im": z.imag.ravel()})
+
+    return images.groupBy(*keys).applyInPandas(run, schema)
+
+
 def spheroidal_correction(n: int) -> np.ndarray:
     return np.array([spheroidal_value(abs(i - n // 2) / (n // 2)) for i in range(n)])

@@ -43,15 +43,41 @@ def composite(pattern: Callable[[], np.ndarray], cell: float, wavelength: float,
 PATTERNS: dict[str, Callable[..., np.ndarray]] = {"disk": disk, "tapered": tapered}
 
 
+def aw_kernel_rows(patterns: dict[int, np.ndarray], w_planes: list[float], field: float, support: int, oversample: int = 4) -> list[tuple]:
+    """AW-projection: plane feed * len(w_planes) + k holds the feed's power pattern times the phase screen of w_planes[k] (wavelengths) over a field of that many radians."""
+    out = {}
+    for feed, p in patterns.items():
+        n = len(p)
+        x = (np.arange(n) - n // 2) * field / n
+        r2 = np.minimum(x[:, None] ** 2 + x[None] ** 2, 1.0)
+        for k, w in enumerate(w_planes):
+            out[feed * len(w_planes) + k] = (p, np.exp(-2j * math.pi * w * (1 - np.sqrt(1 - r2))))
+    return _kernel_rows(out, support, oversample)
+
+
 def a_kernel_rows(patterns: dict[int, np.ndarray], support: int, oversample: int = 4) -> list[tuple]:
     """Kernel rows per plane (here: feed): the autocorrelation of the illumination, unit sum per oversampling step."""
+    return _kernel_rows({plane: (p, 1.0) for plane, p in patterns.items()}, support, oversample)
+
+
+def rotated(pattern: np.ndarray, angle: float) -> np.ndarray:
+    """The pattern turned by an angle, as a feed on an alt-az mount sees it: nearest cells."""
+    n = len(pattern)
+    i, j = np.indices(pattern.shape) - n // 2
+    c, s = math.cos(angle), math.sin(angle)
+    x, y = np.rint(c * i + s * j).astype(int) + n // 2, np.rint(c * j - s * i).astype(int) + n // 2
+    inside = (x >= 0) & (x < n) & (y >= 0) & (y < n)
+    return np.where(inside, pattern[np.clip(x, 0, n - 1), np.clip(y, 0, n - 1)], 0)
+
+
+def _kernel_rows(patterns: dict[int, tuple], support: int, oversample: int) -> list[tuple]:
     rows = []
-    for plane, p in patterns.items():
+    for plane, (p, screen) in patterns.items():
         n = len(p)
         padded = np.zeros((n * oversample, n * oversample), complex)
         at = (n * oversample - n) // 2
         power = np.abs(np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(p)))) ** 2
-        padded[at : at + n, at : at + n] = power / power.max()
+        padded[at : at + n, at : at + n] = power / power.max() * screen
         k = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(padded)))
         c = n * oversample // 2
         for fu in range(oversample):

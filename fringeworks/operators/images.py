@@ -34,6 +34,54 @@ def oversampled(image: np.ndarray, factor: int) -> np.ndarray:
     return np.fft.ifft2(np.fft.ifftshift(big)).real * factor * factor
 
 
+def radially_smeared(image: np.ndarray, steps: int = 10, width: float = 0.005) -> np.ndarray:
+    """The image as if its transform were averaged along the radius: 2 * steps + 1 scales within width / 2 either way, on a grid twice as large."""
+    n, m = image.shape
+    big = np.zeros((2 * n, 2 * m), complex)
+    big[n // 2 : n // 2 + n, m // 2 : m // 2 + m] = image
+    z = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(big)))
+    i, j = np.indices(z.shape)
+    out = np.zeros_like(z)
+    for k in range(-steps, steps + 1):
+        scale = 1 + k / (2 * steps + 1) * width
+        x, y = np.trunc(n + (i - n + 0.5) * scale).astype(int), np.trunc(m + (j - m + 0.5) * scale).astype(int)
+        inside = (x >= 0) & (y >= 0) & (x < 2 * n) & (y < 2 * m)
+        out += np.where(inside, z[np.clip(x, 0, 2 * n - 1), np.clip(y, 0, 2 * m - 1)], 0) / (2 * steps + 1)
+    return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(out))).real[n // 2 : n // 2 + n, m // 2 : m // 2 + m]
+
+
+def regridded(pixels: DataFrame, by: list[str], shift_x: str, shift_y: str, values: list[str]) -> DataFrame:
+    """Images (by, x, y, values) moved by fractions of pixels, linear between neighbours: each pixel goes to the four around its new place, which is one grouped sum."""
+    fx, fy = F.col(shift_x) - F.floor(shift_x), F.col(shift_y) - F.floor(shift_y)
+    four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("c")) for i in (0, 1) for j in (0, 1)])
+    out = pixels.select(*by, (F.col("x") + F.floor(shift_x)).alias("_x"), (F.col("y") + F.floor(shift_y)).alias("_y"), *values, F.explode(four).alias("_f")).where("_f.c > 0")
+    return out.groupBy(*by, (F.col("_x") + F.col("_f.i")).cast("int").alias("x"), (F.col("_y") + F.col("_f.j")).cast("int").alias("y")).agg(*[F.sum(F.col(v) * F.col("_f.c")).alias(v) for v in values])
+
+
+def extracted_spectra(vis: DataFrame, by: list[str], n_chan: int, padding: int = 1, transform: bool = False) -> DataFrame:
+    """by, place, re, im: mean spectra with flagged channels as 0, padded on both sides, or their transforms to lags.
+
+    A spectrum is bounded by n_chan; a block of them goes to NumPy at once.
+    """
+    good = ~F.col("flag")
+    cells = vis.groupBy(*by, "chan").agg(F.coalesce(F.avg(F.when(good, F.col("re"))), F.lit(0.0)).alias("re"), F.coalesce(F.avg(F.when(good, F.col("im"))), F.lit(0.0)).alias("im"))
+    rows = cells.groupBy(*by).agg(F.collect_list("chan").alias("c"), F.collect_list("re").alias("re"), F.collect_list("im").alias("im"))
+    n = n_chan * padding
+    types = dict(vis.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in by] + ["at array<struct<place: int, re: double, im: double>>"])
+
+    def run(it):
+        for pdf in it:
+            z = np.zeros((len(pdf), n), complex)
+            for k, (c, re, im) in enumerate(zip(pdf["c"], pdf["re"], pdf["im"], strict=True)):
+                z[k, np.asarray(c) + (n - n_chan) // 2] = np.asarray(re) + 1j * np.asarray(im)
+            if transform:
+                z = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(z, axes=1), axis=1), axes=1)
+            yield pdf[by].assign(at=[[{"place": i, "re": v.real, "im": v.imag} for i, v in enumerate(row)] for row in z])
+
+    return rows.mapInPandas(run, schema).select(*by, F.inline("at"))
+
+
 def sensitivity_loss(before: np.ndarray, after: np.ndarray) -> float:
     """Loss of sensitivity when a filter turns one PSF into another: from the amplitudes of their transforms."""
     w, v = np.abs(np.fft.fft2(before)), np.abs(np.fft.fft2(after))
@@ -73,9 +121,7 @@ def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float =
     """
     import pandas as pd
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("chan")
-        t, y = pdf["chan"].to_numpy(float), pdf["value"].to_numpy(float)
+    def fitted(t: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = y.copy()
         size = block or len(t)
         step = size // 2 if interleave and block else size
@@ -93,9 +139,19 @@ def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float =
                     fit = v - np.polyval(np.polyfit(x[use], v[use], order), x)
                     edge = step // 2 if interleave and block and a else 0
                     out[part.start + edge : part.stop] = fit[edge:]
-        return pd.DataFrame({"x": key[0], "y": key[1], "chan": t.astype("int32"), "value": out})
-
-    return pixels.groupBy("x", "y").applyInPandas(run, "x int, y int, chan int, value double")
+        return out
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for x, y, cells in zip(pdf["x"], pdf["y"], pdf["cells"], strict=True):
+                t, v = np.array([c["chan"] for c in cells], float), np.array([c["value"] for c in cells], float)
+                out.append(pd.DataFrame({"x": x, "y": y, "chan": t.astype("int32"), "value": fitted(t, v)}))
+            if out:
+                yield pd.concat(out)
+
+    cells = pixels.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("chan", "value"))).alias("cells"))
+    return cells.mapInPandas(run, "x int, y int, chan int, value double")
 
 
 def beamforming_weights(samples: DataFrame, by: list[str], n: int) -> DataFrame:

@@ -9,69 +9,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O  # noqa: E741
 
-def asof(left: DataFrame, right: DataFrame, by: dict[str, str], left_time: str, right_time: str, columns: list[str], forward: bool = False) -> DataFrame:
+#: Seconds of a bucket of time, within which rows of one key are ordered in one task.
+BUCKET = 86400.0
+
+
+def asof(left: DataFrame, right: DataFrame, by: dict[str, str], left_time: str, right_time: str, columns: list[str], forward: bool = False, bucket: float = BUCKET) -> DataFrame:
     """left with the columns (and time) of the last row of right at or before its time; null if there is none.
 
-    Both sides are laid into one sequence per key and the last right row is
-    carried over: one shuffle on the key, no fan-out, state of one row. With
-    forward it is the first right row at or after the time. A hot key is one sorted
-    stream; salt_asof splits it by time.
+    Both sides are laid into one sequence per key and bucket of time and the last
+    right row is carried over, across buckets by a row each: one shuffle of the
+    rows, no fan-out, state of one row, and no task has more than a key's
+    bucket. With forward it is the first right row at or after the time.
     """
     keys = list(by)
+    sign = -1.0 if forward else 1.0
     payload = F.struct(*[F.col(c) for c in columns], F.col(right_time).alias("_time"))
-    side = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l"))
-    other = right.select(*[F.col(by[k]).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).cast("double").alias("_t"), F.lit(0).alias("_s"), payload.alias("_r"))
+    side = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (sign * F.col(left_time)).cast("double").alias("_t"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l"))
+    other = right.where(F.col(right_time).isNotNull()).select(*[F.col(by[k]).alias(f"_k{i}") for i, k in enumerate(keys)], (sign * F.col(right_time)).cast("double").alias("_t"), F.lit(0).alias("_s"), payload.alias("_r"))
     both = side.unionByName(other, allowMissingColumns=True)
-    at = [f"_k{i}" for i in range(len(keys))]
-    order = [F.asc("_t"), F.asc("_s")]
-    window = Window.partitionBy(*at).orderBy(*order)
-    if forward:
-        window = Window.partitionBy(*at).orderBy(F.desc("_t"), F.asc("_s"))
-    found = both.withColumn("_f", F.last("_r", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    return found.where("_s = 1").select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in columns], F.col("_f._time").alias(right_time if right_time not in left.columns else f"{right_time}_r"))
+    found = O.last_seen(both, [f"_k{i}" for i in range(len(keys))], ["_t", "_s"], F.floor(F.col("_t") / bucket), F.col("_r"), "_f").where("_s = 1")
+    return found.select("_l.*", *[F.when(F.col("_l")[left_time].isNotNull(), F.col(f"_f.{c}")).alias(c) for c in columns], F.when(F.col("_l")[left_time].isNotNull(), F.col("_f._time")).alias(right_time if right_time not in left.columns else f"{right_time}_r"))
 
 
-def first_interval(left: DataFrame, intervals: DataFrame, time: str, keys: list[str], start: str, end: str, value: str) -> DataFrame:
-    """left with value of the first interval (by its value) that holds the time, else null.
+def first_interval(left: DataFrame, intervals: DataFrame, time: str, keys: list[str], start: str, end: str, value: str, bucket: float = BUCKET) -> DataFrame:
+    """left with value of the first interval (by its value) of its keys that holds the time, bounds included; else null.
 
-    Intervals are cut at each other's bounds into disjoint pieces that know
-    their first interval, so the join is an as-of join whatever their number.
+    Intervals are dealt out to the buckets of time that they touch and cut there,
+    at each other's bounds, into pieces that know their first interval. A row
+    finds its piece in its own bucket: one shuffle of the rows by keys and
+    bucket, and bounds meet intervals within a bucket only.
     """
-    edges = intervals.select(F.col(start).alias("_e")).unionByName(intervals.select(F.col(end).alias("_e"))).distinct()
-    # closed intervals: a bound is a piece of its own, and so is what lies between two bounds
-    pieces = edges.select(F.col("_e").alias("_from"), F.lit(0).alias("_open")).unionByName(edges.select(F.col("_e").alias("_from"), F.lit(1).alias("_open")))
-    inside = (F.col(start) <= F.col("_from")) & F.when(F.col("_open") == 1, F.col(end) > F.col("_from")).otherwise(F.col(end) >= F.col("_from"))
-    owners = pieces.join(intervals, inside, "left").groupBy("_from", "_open").agg(F.min(value).alias(value))
-    exact = owners.where("_open = 0").select(F.col("_from").alias("_x"), F.col(value).alias("_at"))
-    after = owners.where("_open = 1").select(F.lit(0).alias("_one"), F.col("_from"), F.col(value).alias("_after"))
-    out = asof(left.withColumn("_zero", F.lit(0)), after, {"_zero": "_one"}, time, "_from", ["_after"])
-    out = out.join(exact, F.col(time) == F.col("_x"), "left")
-    return out.withColumn(value, F.when(F.col("_x").isNotNull(), F.col("_at")).otherwise(F.col("_after"))).drop("_zero", "_after", "_from", "_x", "_at")
+    at = lambda x: F.floor(x / bucket)
+    i = intervals.select(*keys, F.col(start).cast("double").alias("_a"), F.col(end).cast("double").alias("_z"), F.col(value).alias("_v")).where("_a <= _z")
+    i = i.withColumn("_b", F.explode(F.sequence(at(F.col("_a")), at(F.col("_z")))))
+    # a bound is a piece of its own (before the rows at that time), and so is what follows it (after them)
+    first, last = F.greatest(F.col("_a"), F.col("_b") * bucket), F.col("_z")
+    edges = i.select(*keys, "_b", F.explode(F.array(first, last)).alias("_t")).where(at(F.col("_t")) == F.col("_b")).distinct().select(*keys, "_b", "_t", F.explode(F.array(F.lit(0), F.lit(2))).alias("_s"))
+    own = i.withColumnsRenamed({k: f"_i_{k}" for k in keys} | {"_b": "_ib"})
+    cond = F.col("_b") == F.col("_ib")
+    for k in keys:
+        cond &= F.col(k).eqNullSafe(F.col(f"_i_{k}"))
+    inside = (F.col("_a") <= F.col("_t")) & F.when(F.col("_s") == 2, F.col("_z") > F.col("_t")).otherwise(F.col("_z") >= F.col("_t"))
+    pieces = edges.join(own, cond & inside, "left").groupBy(*keys, "_b", "_t", "_s").agg(F.struct(F.min("_v").alias("v")).alias("_r"))
+    rows = left.select(*keys, at(F.col(time).cast("double")).alias("_b"), F.col(time).cast("double").alias("_t"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l"))
+    both = rows.unionByName(pieces, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_f", F.last("_r", ignorenulls=True).over(w)).where("_s = 1").select("_l.*", F.when(F.col("_t").isNotNull(), F.col("_f.v")).alias(value))
+
+
+def time_clusters(times: DataFrame, tolerance: float, bucket: float = BUCKET) -> DataFrame:
+    """time_s, cluster: the first time of the run of times of which each is within tolerance of the one before."""
+    t = O.previous(times.select("time_s").distinct(), [], ["time_s"], F.floor(F.col("time_s") / bucket), ["time_s"])
+    begins = F.when(F.col("_prev").isNull() | (F.col("time_s") - F.col("_prev.time_s") > tolerance), F.col("time_s"))
+    return O.last_seen(t.withColumn("_begins", begins).drop("_prev"), [], ["time_s"], F.floor(F.col("time_s") / bucket), F.col("_begins"), "cluster").select("time_s", "cluster")
 
 
 def merge_channels(parts: list[DataFrame], n_chans: list[int], keys: list[str], tolerance: float = 1.0) -> DataFrame:
-    """Tables side by side in frequency: (keys, bucket, chan) with data or, where a table lacks the row, 0 and flagged.
+    """Tables side by side in frequency: (time_s, keys, chan) with data or, where a table lacks the row, 0 and flagged.
 
-    The row frame is the union of all tables' rows; each table fills its block
-    of channels. Times agree within tolerance by bucket.
+    Times of all tables that follow each other within tolerance are one
+    integration, at the first of them. The frame is the union of all tables'
+    rows; each table fills its block of channels.
     """
-    offset, frames = 0, []
+    offset, data, times = 0, None, None
     for df, n in zip(parts, n_chans, strict=True):
-        frames.append((df.withColumn("bucket", F.floor(F.col("time_s") / tolerance)).withColumn("chan", F.col("chan") + offset), offset, n))
+        one = df.select("time_s", *keys, (F.col("chan") + offset).alias("chan"), "re", "im", "flag")
+        data, times = (one, one.select("time_s")) if data is None else (data.unionByName(one), times.unionByName(one.select("time_s")))
         offset += n
-    rows = None
-    for df, _, _ in frames:
-        one = df.select("bucket", *keys).distinct()
-        rows = one if rows is None else rows.unionByName(one)
-    rows = rows.distinct()
-    frame = rows.withColumn("chan", F.explode(F.sequence(F.lit(0), F.lit(offset - 1))))
-    data = None
-    for df, _, _ in frames:
-        one = df.groupBy("bucket", *keys, "chan").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.min("flag").alias("flag"))
-        data = one if data is None else data.unionByName(one)
-    out = frame.join(data, ["bucket", *keys, "chan"], "left")
-    return out.select("bucket", *keys, "chan", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"), F.coalesce("flag", F.lit(True)).alias("flag"))
+    data = data.join(time_clusters(times, tolerance), "time_s").withColumn("time_s", F.col("cluster"))
+    data = data.groupBy("time_s", *keys, "chan").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.min("flag").alias("flag"))
+    # a row's channels come together, then each channel of the frame finds its own
+    cells = data.groupBy("time_s", *keys).agg(F.map_from_entries(F.collect_list(F.struct("chan", F.struct("re", "im", "flag")))).alias("_m"))
+    out = cells.withColumn("chan", F.explode(F.sequence(F.lit(0), F.lit(offset - 1)))).withColumn("_c", F.col("_m")[F.col("chan")])
+    return out.select("time_s", *keys, "chan", F.coalesce("_c.re", F.lit(0.0)).alias("re"), F.coalesce("_c.im", F.lit(0.0)).alias("im"), F.coalesce("_c.flag", F.lit(True)).alias("flag"))
 
 
 def both_antennas(vis: DataFrame, gains: DataFrame, extra: list[str] = (), columns: dict[str, tuple[str, str]] | None = None, how: str = "left") -> DataFrame:

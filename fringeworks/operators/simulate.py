@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,17 +22,50 @@ def observed_rows(spark: SparkSession, antennas: DataFrame, n_cycles: int, degre
     return rows.withColumns({"u": F.sin(h) * x + F.cos(h) * y, "v": -F.sin(d) * F.cos(h) * x + F.sin(d) * F.sin(h) * y + F.cos(d) * z, "w": F.cos(d) * F.cos(h) * x - F.cos(d) * F.sin(h) * y + F.sin(d) * z})
 
 
-def with_noise(vis: DataFrame, sigma: float, seed: int) -> DataFrame:
-    """Gaussian noise on both parts; autocorrelations get real noise only."""
+#: A prime, so that squares and products below it fit a long.
+_PRIME = 2147483647
+
+
+def _rounds(key, seed: int, times, plus, modulo):
+    """Three rounds of x -> x * x + c modulo a prime, on key and seed."""
+    x = modulo(plus(times(modulo(key), 48271), 1000003 * seed + 12345))
+    for c in (seed + 918273, 546372, 112358 + 7 * seed):
+        x = modulo(plus(times(x, x), c))
+    return x
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) that follows from a whole-number key and a seed: a replayed task draws the same."""
+    modulo = lambda x: F.pmod(x.cast("long"), F.lit(_PRIME))
+    return _rounds(key, seed, lambda a, b: a * b, lambda a, b: a + b, modulo) / float(_PRIME)
+
+
+def uniform_sql(key: str, seed: int) -> str:
+    """The same for DuckDB; key is at least 0."""
+    text = lambda op: lambda a, b: f"({a} {op} {b})"
+    modulo = lambda x: f"(CAST({x} AS BIGINT) % {_PRIME})"
+    x = modulo(f"{modulo(key)} * 48271 + {1000003 * seed + 12345}")
+    for c in (seed + 918273, 546372, 112358 + 7 * seed):
+        x = f"list_transform([{x}], lambda x: (x * x + {c}) % {_PRIME})[1]"
+    return f"({x} / {float(_PRIME)!r})"
+
+
+def with_noise(vis: DataFrame, sigma: float, seed: int, key: Column) -> DataFrame:
+    """Gaussian noise on both parts, drawn from a row's key; autocorrelations get real noise only."""
     auto = F.col("antenna1") == F.col("antenna2")
-    return vis.withColumns({"re": F.col("re") + sigma * F.randn(seed), "im": F.when(auto, F.col("im")).otherwise(F.col("im") + sigma * F.randn(seed + 1))})
+    size, turn = sigma * F.sqrt(-2 * F.log(1 - uniform(key, seed))), 2 * math.pi * uniform(key, seed + 1)
+    return vis.withColumns({"re": F.col("re") + size * F.cos(turn), "im": F.when(auto, F.col("im")).otherwise(F.col("im") + size * F.sin(turn))})
 
 
-def random_gains(spark: SparkSession, n_antennas: int, n_beams: int, low: float, high: float, seed: int) -> DataFrame:
-    """Gains of uniform amplitude and phase for every antenna, beam and diagonal polarisation."""
-    rows = spark.range(n_antennas * n_beams * 2, numPartitions=1)
-    amp, phase = low + (high - low) * F.rand(seed), 6.283185307179586 * F.rand(seed + 1)
-    return rows.select(F.floor(F.col("id") / (2 * n_beams)).cast("int").alias("antenna"), (F.floor(F.col("id") / 2) % n_beams).cast("int").alias("beam"), F.when(F.col("id") % 2 == 0, "g11").otherwise("g22").alias("kind"), (amp * F.cos(phase)).alias("re"), (amp * F.sin(phase)).alias("im"))
+def random_gains(spark: SparkSession, n_antennas: int, n_beams: int, low: float, high: float, seed: int, leakage: float = 0.0) -> DataFrame:
+    """antenna, beam, kind, re, im: gains of amplitudes from low to high, leakages up to leakage, all of any phase."""
+    kinds = F.element_at(F.array(*map(F.lit, ("g11", "g22", "d12", "d21"))), (F.col("id") % 4 + 1).cast("int"))
+    rows = spark.range(n_antennas * n_beams * 4)
+    gain, turn = F.col("id") % 4 < 2, 2 * math.pi * uniform(F.col("id"), seed + 1)
+    u = uniform(F.col("id"), seed)
+    amp = F.when(gain, low + (high - low) * u).otherwise(leakage * u)
+    unit = F.floor(F.col("id") / 4)
+    return rows.select(F.floor(unit / n_beams).cast("int").alias("antenna"), (unit % n_beams).cast("int").alias("beam"), kinds.alias("kind"), (amp * F.cos(turn)).alias("re"), (amp * F.sin(turn)).alias("im"))
 
 
 def channel_sigma(diameter1, diameter2, largest: float, rms: float):

@@ -21,7 +21,7 @@ from ..operators import simulate as M
 from ..sources import text as T
 from ..sources.driver_tables import ctes, table
 from ..streaming import solutions as Z
-from .imaging import _planes, _samples
+from .imaging import _DELAY, _known_products, _planes, _samples, kernel_grid_sql, known_gain_sql  # noqa: F401
 from .registry import query, r
 
 
@@ -33,7 +33,7 @@ def _clean(spark, sf, work):
         model, residual = work(a["dirty"] / k, a["psf"] / k)
         return {"model": model, "residual": residual}
 
-    return D.per_plane(_planes(spark, sf), ["pol"], 64, safe, ["dirty", "psf"]).withColumns({c: rnd(c) for c in ("model", "residual")})
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, safe, ["dirty", "psf"], ["model", "residual"]).withColumns({c: rnd(c) for c in ("model", "residual")})
 
 
 @query("clean_multi_scale")
@@ -66,14 +66,14 @@ def deconvolve_fista(spark, sf):
 @query("deconvolve_entropy")
 def deconvolve_entropy(spark, sf):
     def work(dirty, psf):
-        model = D.maximum_entropy(np.maximum(dirty, 0), psf, 0.1 * float(np.abs(dirty).max()), 1e-3, 20)
+        model, _ = D.maximum_entropy(dirty, psf, 0.1 * float(np.abs(dirty).max()), 0.02 * float(np.abs(dirty).max()), 30)
         return model, dirty - D.fft_convolve(model, psf)
 
     return _clean(spark, sf, work)
 
 
 def _filtered(spark, sf, work):
-    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"])
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["psf", "dirty"])
 
 
 @query("precondition_wiener")
@@ -109,13 +109,14 @@ def psf_beam_fit(spark, sf):
     return out.select("pol", *[rnd(c, 4).alias(c) for c in ("major", "minor", "angle", "loss")])
 
 
-@query("grid_a_projection")
+_AKERNEL = L.a_kernel_rows({f: L.offset(L.tapered(32, 1.0, 12.0, 2.0), 1.0, 0.01 * f, 0.0, 0.25) for f in range(7)}, 2, 4)
+
+
+@query("grid_a_projection", kernel_grid_sql(_AKERNEL, "feed1", 2))
 def grid_a_projection(spark, sf):
     """Kernels keyed by feed: the autocorrelation of its illumination."""
-    patterns = {f: L.offset(L.tapered(32, 1.0, 12.0, 2.0), 1.0, 0.01 * f, 0.0, 0.25) for f in range(7)}
-    kernel = L.a_kernel_rows(patterns, 2, 4)
     rows = _samples(spark, sf, 2, 4).withColumn("plane", F.col("feed1"))
-    g = G.gridded(rows, G.kernel_table(spark, kernel), Cx.of("re", "im").conj(), P.noise_weight("sigma"), ["pol"], psf=False)
+    g = G.gridded(rows, G.kernel_table(spark, _AKERNEL), Cx.of("re", "im").conj(), P.noise_weight("sigma"), ["pol"], psf=False)
     return g.select("pol", "gu", "gv", *[rnd(c).alias(c) for c in ("re", "im", "weight")])
 
 
@@ -174,7 +175,7 @@ def regridded_image(spark, sf):
         u, v = c * (x - 32) - s * (y - 32) + 32, s * (x - 32) + c * (y - 32) + 32
         return {"linear": I.regrid(a["dirty"], u, v), "nearest": I.regrid(a["dirty"], u, v, "nearest")}
 
-    return D.per_plane(_planes(spark, sf).select("pol", "x", "y", "dirty"), ["pol"], 64, work, ["dirty"]).withColumns({c: rnd(c) for c in ("linear", "nearest")})
+    return D.per_plane(_planes(spark, sf).select("pol", "x", "y", "dirty"), ["pol"], 64, work, ["dirty"], ["linear", "nearest"]).withColumns({c: rnd(c) for c in ("linear", "nearest")})
 
 
 @query("beamforming_weights")
@@ -184,7 +185,7 @@ def beamforming_weights(spark, sf):
     return I.beamforming_weights(both, ["beam"], 36).withColumns({"w_re": rnd("w_re", 4), "w_im": rnd("w_im", 4)})
 
 
-@query("baseline_solve")
+@query("baseline_solve", ctes("ts") + " SELECT DISTINCT antenna, round(0.01 * (antenna % 3), 5) AS dx, 0.0 AS dy, 0.0 AS dz, 0.2 AS \"offset\" FROM ts")
 def baseline_solve(spark, sf):
     """Antenna positions recovered from phases that a known offset makes."""
     k = 2 * math.pi * 1.1e9 / S.C_LIGHT
@@ -193,7 +194,7 @@ def baseline_solve(spark, sf):
     return K.baseline_offsets(t.withColumn("phase", phase), ["antenna"], 1.1e9).select("antenna", *[rnd(c, 5).alias(c) for c in ("dx", "dy", "dz", "offset")])
 
 
-@query("pointing_solve")
+@query("pointing_solve", f"SELECT DISTINCT CAST(s_suppkey % 36 AS INTEGER) AS antenna, {r('(s_suppkey % 36) * 0.002', 5)} AS off_x, {r('(s_suppkey % 36) * -0.001', 5)} AS off_y, 3.0 AS peak FROM supplier")
 def pointing_solve(spark, sf):
     """Five-point offsets per antenna, recovered from a round beam."""
     five = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0.0, 0.0), (0.5, 0.0), (-0.5, 0.0), (0.0, 0.5), (0.0, -0.5))])).alias("p")
@@ -203,27 +204,34 @@ def pointing_solve(spark, sf):
     return K.pointing_offsets(a.withColumn("amp", amp), ["antenna"], 1.0).select("antenna", *[rnd(c, 5).alias(c) for c in ("off_x", "off_y", "peak")])
 
 
-@query("scan_calibration")
+@query("scan_calibration", ctes("vis") + known_gain_sql("vis", "scan", "NOT flag AND antenna1 <> antenna2 AND feed1 = feed2"))
 def scan_calibration(spark, sf):
-    """Scans are found, samples are averaged per scan and baseline, gains are solved per scan: independent keys."""
+    """Samples of a calibrator averaged per scan and baseline, gains solved per scan: the gains that made them."""
     v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2 AND feed1 = feed2")
-    z = Cx.of("re", "im")
-    p = v.groupBy("scan", "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.count(F.lit(1)).cast("double").alias("mm_re"))
-    return K.solved_gains(p, ["scan"], 36).withColumns({"g_re": rnd("g_re"), "g_im": rnd("g_im")})
+    return K.solved_gains(_known_products(v, ["scan"], "scan"), ["scan"], 36).withColumns({"g_re": rnd("g_re", 5), "g_im": rnd("g_im", 5)})
+
 
+_KEY = "(event_id * 4 + pol)"
 
-@query("noise_added", None)
+
+@query("noise_added", ctes("ts", "vis_pol") + f""", u AS (SELECT beam, pol, antenna1 = antenna2 AS auto, {M.uniform_sql(_KEY, 11)} AS a, {M.uniform_sql(_KEY, 12)} AS b FROM (SELECT *, row_id AS event_id FROM vis_pol)),
+n AS (SELECT beam, pol, 0.1 * sqrt(-2 * ln(1 - a)) * cos({2 * math.pi!r} * b) AS re, CASE WHEN auto THEN 0.0 ELSE 0.1 * sqrt(-2 * ln(1 - a)) * sin({2 * math.pi!r} * b) END AS im FROM u)
+SELECT beam, pol, count(*) AS n_rows, {r('sum(re)', 4)} AS re, {r('sum(im)', 4)} AS im, {r('sqrt(avg(re * re))', 5)} AS rms FROM n GROUP BY beam, pol""")
 def noise_added(spark, sf):
-    """Statistics of seeded noise: counts per scan, and that autocorrelations have none on the imaginary part."""
-    v = table(spark, sf, "vis").withColumns({"im0": F.col("im")})
-    n = M.with_noise(v, 0.1, 11)
-    return n.groupBy("scan").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((F.col("antenna1") == F.col("antenna2")) & (F.col("im") != F.col("im0"))).alias("odd"))
+    """Noise that follows from a row's key and a seed, whatever the partitions; autocorrelations have none on the imaginary part."""
+    v = table(spark, sf, "vis_pol").withColumns({"re0": F.col("re"), "im0": F.col("im")})
+    n = M.with_noise(v, 0.1, 11, F.col("row_id") * 4 + F.col("pol"))
+    re, im = F.col("re") - F.col("re0"), F.col("im") - F.col("im0")
+    return n.groupBy("beam", "pol").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.sum(re), 4).alias("re"), rnd(F.sum(im), 4).alias("im"), rnd(F.sqrt(F.avg(re * re)), 5).alias("rms"))
 
 
-@query("random_gains", None)
+@query("random_gains", f"""WITH k AS (SELECT CAST(a AS INTEGER) AS antenna, CAST(b AS INTEGER) AS beam, p, (a * 2 + b) * 4 + p AS id FROM range(36) x(a), range(2) y(b), range(4) z(p)),
+u AS (SELECT *, {M.uniform_sql('id', 5)} AS a, {M.uniform_sql('id', 6)} AS t FROM k)
+SELECT 'gain.' || CASE p WHEN 0 THEN 'g11' WHEN 1 THEN 'g22' WHEN 2 THEN 'd12' ELSE 'd21' END || '.' || antenna || '.' || beam AS name, {r(f'CASE WHEN p < 2 THEN 0.8 + 0.4 * a ELSE 0.05 * a END * cos({2 * math.pi!r} * t)')} AS re, {r(f'CASE WHEN p < 2 THEN 0.8 + 0.4 * a ELSE 0.05 * a END * sin({2 * math.pi!r} * t)')} AS im FROM u""")
 def random_gains(spark, sf):
-    g = M.random_gains(spark, 36, 2, 0.8, 1.2, 5)
-    return g.withColumn("name", gain_name("kind", "antenna", "beam")).select("name", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).between(0.8, 1.2).alias("inside"))
+    """Gains between two amplitudes and leakages up to a third, of random phase."""
+    g = M.random_gains(spark, 36, 2, 0.8, 1.2, 5, leakage=0.05)
+    return g.select(gain_name("kind", "antenna", "beam").alias("name"), rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 @query("gain_file_round_trip", ctes("ts", "gains") + f" SELECT 'g11' AS kind, antenna, CAST(0 AS INTEGER) AS beam, {r('avg(g_re)')} AS re, {r('avg(g_im)')} AS im FROM gains GROUP BY antenna")
@@ -246,6 +254,13 @@ def stream_intervals(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_rows", "n_good", rnd("total", 3).alias("total"))
 
 
-@query("stream_scan_sessions")
+_CUT = "lag(event_id) OVER o IS NULL OR abs(t - lag(t) OVER o) > 1800 OR field <> lag(field) OVER o"
+
+
+@query("stream_scan_sessions", f"""WITH e AS (SELECT event_id, CAST(user_id % 7 AS INTEGER) AS beam, user_id % 36 % 3 AS field, epoch_us(ts) / 1e6 AS t FROM events),
+b AS (SELECT *, CASE WHEN {_CUT} THEN 1 ELSE 0 END AS cut FROM e WINDOW o AS (PARTITION BY beam ORDER BY t, event_id)), i AS (SELECT *, sum(cut) OVER (PARTITION BY beam ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT beam, {r('min(t)', 3)} AS begin_s, {r('max(t)', 3)} AS end_s, count(*) AS n FROM i GROUP BY beam, island""")
 def stream_scan_sessions(spark, sf):
-    return Z.drained(Z.scan_sessions(Z.event_stream(spark, sf)), "append").select("beam", rnd("begin_s", 3).alias("begin_s"), rnd("end_s", 3).alias("end_s"), "n")
+    """All scans of the stream at the end of its input: the closed ones, and of each beam the open one."""
+    out = Z.latest_scans(Z.drained(Z.scan_sessions(Z.event_stream(spark, sf)), "update"))
+    return out.select("beam", rnd("begin_s", 3).alias("begin_s"), rnd("end_s", 3).alias("end_s"), "n")

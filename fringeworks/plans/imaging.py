@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -26,7 +27,7 @@ _BOX = f", s AS (SELECT *, {_I} AS gu, {_J} AS gv, 1.0 / (sigma * sigma) AS wt F
 
 def _samples(spark, sf, support: int = 0, oversample: int = 1):
     """Unflagged samples with their cells on a 64 x 64 grid of 50-wavelength cells, off-grid ones left out."""
-    rows = P.with_uv_cells(table(spark, sf, "vis").where("NOT flag AND sigma > 0").withColumn("plane", F.lit(0)), 50.0, oversample, 64, wavelengths=True)
+    rows = P.with_uv_cells(G.spread(table(spark, sf, "vis").where("NOT flag AND sigma > 0")).withColumn("plane", F.lit(0)), 50.0, oversample, 64, wavelengths=True)
     return rows.where(P.on_grid("iu", "iv", support, 64, 64))
 
 
@@ -71,12 +72,23 @@ def grid_spheroidal(spark, sf):
     return g.select("pol", "gu", "gv", *[rnd(c, 5).alias(c) for c in ("re", "im", "weight")])
 
 
-@query("grid_w_projection")
+_WKERNEL = G.w_kernels(50.0, 5, 100.0, support=3, oversample=4, size=32)
+
+
+def kernel_grid_sql(rows, plane: str, support: int, where: str = "TRUE") -> str:
+    """The grid of a kernel of complex cells on 64 x 64 cells of 50 wavelengths, four steps a cell."""
+    k = "(VALUES " + ", ".join(f"({p},{fu},{fv},{du},{dv},{a!r}::DOUBLE,{b!r}::DOUBLE)" for p, fu, fv, du, dv, a, b in rows) + ") AS k(plane, fu, fv, du, dv, a, b)"
+    cells = ", ".join(f"{cell_sql(f'({c} / 50.0)', 4, 32)[i]} AS {n}{c}" for c in "uv" for i, n in ((0, "i"), (1, "f")))
+    inside = " AND ".join(f"i{c} BETWEEN {support + 1} AND {63 - support}" for c in "uv")
+    s = f", s AS (SELECT pol, re, -im AS im, 1.0 / (sigma * sigma) AS wt, {plane} AS plane, {cells} FROM vis WHERE NOT flag AND sigma > 0)"
+    return ctes("vis") + s + f" SELECT pol, iu + du AS gu, iv + dv AS gv, {r('sum(wt * (re * a - im * b))')} AS re, {r('sum(wt * (re * b + im * a))')} AS im, {r('sum(wt * a)')} AS weight FROM s JOIN {k} USING (plane) WHERE k.fu = s.fu AND k.fv = s.fv AND {inside} AND {where} GROUP BY pol, iu + du, iv + dv"
+
+
+@query("grid_w_projection", kernel_grid_sql(_WKERNEL, f"CAST({nint_sql('w / 50.0')} + 2 AS INTEGER)", 3))
 def grid_w_projection(spark, sf):
-    """Plane-dependent complex kernels; the kernel table is built on the driver, the rest is the same join and sum."""
-    kernel = G.w_kernels(50.0, 5, 100.0, support=3, oversample=4, size=32)
+    """Plane-dependent complex kernels; the kernel table is built on the driver, the rest is the same sum."""
     rows = _samples(spark, sf, 3, 4).withColumn("plane", P.w_plane("w", 50.0, 5, clip=True)).where("plane >= 0")
-    g = G.gridded(rows, G.kernel_table(spark, kernel), Cx.of("re", "im").conj(), P.noise_weight("sigma"), ["pol"], psf=False)
+    g = G.gridded(rows, G.kernel_table(spark, _WKERNEL), Cx.of("re", "im").conj(), P.noise_weight("sigma"), ["pol"], psf=False)
     return g.select("pol", "gu", "gv", *[rnd(c).alias(c) for c in ("re", "im", "weight")])
 
 
@@ -95,8 +107,7 @@ def sum_of_weights(spark, sf):
 
 @query("degrid_box", ctes("vis") + _BOX + f" SELECT s.scan, s.pol, count(*) AS n_rows, {r('sum(g.re)', 3)} AS re, {r('sum(-g.im)', 3)} AS im FROM s JOIN g USING (pol, gu, gv) GROUP BY s.scan, s.pol")
 def degrid_box(spark, sf):
-    rows = _samples(spark, sf).withColumn("row_id", F.monotonically_increasing_id())
-    out = G.degridded(rows.select("row_id", "scan", "pol", "plane", "fracu", "fracv", "iu", "iv"), G.kernel_table(spark, G.box_kernel()), _box_grid(spark, sf), ["pol"], ["row_id", "scan", "pol"])
+    out = G.degridded(_samples(spark, sf), G.kernel_table(spark, G.box_kernel()), _box_grid(spark, sf), ["pol"], ["scan", "pol"])
     return out.groupBy("scan", "pol").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("re"), 3).alias("re"), rnd(F.sum("im"), 3).alias("im"))
 
 
@@ -106,7 +117,7 @@ _PIX = ", px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i - 4
 @query("dft_image", ctes("vis") + _PIX + f" SELECT pol, x, y, {r(f'sum(re * cos({2 * math.pi!r} * (u * l + v * m)) + im * sin({2 * math.pi!r} * (u * l + v * m))) / count(*)')} AS value FROM vis, px WHERE NOT flag GROUP BY pol, x, y")
 def dft_image(spark, sf):
     px = spark.createDataFrame([(i, j, (i - 4) * 0.0005, (j - 4) * 0.0005) for i in range(8) for j in range(8)], "x int, y int, l double, m double")
-    return G.direct_image(table(spark, sf, "vis").where("NOT flag"), px, ["pol"]).withColumn("value", rnd("value"))
+    return G.direct_image(G.spread(table(spark, sf, "vis").where("NOT flag")), px, ["pol"]).withColumn("value", rnd("value"))
 
 
 COMPONENTS = [(float(i + 1), 0.001 * i - 0.003, 0.002 - 0.0007 * i, 0.002 + 0.0001 * i, 0.001, 0.3 * i, -0.7 if i % 2 else 0.0, 1.1e9) for i in range(8)]
@@ -123,7 +134,7 @@ def _components(spark):
 
 def _predicted(spark, sf, gaussian: bool):
     """Component models summed per distinct geometry: rows with equal u, v, w and frequency are predicted once."""
-    geo = table(spark, sf, "vis").where("scan = 3").groupBy("u", "v", "w", "freq").agg(F.count(F.lit(1)).alias("n"))
+    geo = G.spread(table(spark, sf, "vis")).groupBy("u", "v", "w", "freq").agg(F.count(F.lit(1)).alias("n"))
     z = S.point_source("freq", "u", "v", "w", "flux", "l", "m", "alpha", "f0")
     if gaussian:
         z = z * S.gaussian_taper("freq", "u", "v", "bmaj", "bmin", "bpa")
@@ -131,12 +142,12 @@ def _predicted(spark, sf, gaussian: bool):
     return one.select("u", "v", "w", "freq", "n", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
-@query("predict_points", ctes("vis") + _CV + f" SELECT u, v, w, freq, n, {r(f'sum({_FLUX} * cos({_PHASE}))')} AS re, {r(f'sum({_FLUX} * sin({_PHASE}))')} AS im FROM (SELECT u, v, w, freq, count(*) AS n FROM vis WHERE scan = 3 GROUP BY u, v, w, freq), c GROUP BY u, v, w, freq, n")
+@query("predict_points", ctes("vis") + _CV + f" SELECT u, v, w, freq, n, {r(f'sum({_FLUX} * cos({_PHASE}))')} AS re, {r(f'sum({_FLUX} * sin({_PHASE}))')} AS im FROM (SELECT u, v, w, freq, count(*) AS n FROM vis GROUP BY u, v, w, freq), c GROUP BY u, v, w, freq, n")
 def predict_points(spark, sf):
     return _predicted(spark, sf, False)
 
 
-@query("predict_gaussian", ctes("vis") + _CV + f" SELECT u, v, w, freq, n, {r(f'sum({_FLUX} * {_DECAY} * cos({_PHASE}))')} AS re, {r(f'sum({_FLUX} * {_DECAY} * sin({_PHASE}))')} AS im FROM (SELECT u, v, w, freq, count(*) AS n FROM vis WHERE scan = 3 GROUP BY u, v, w, freq), c GROUP BY u, v, w, freq, n")
+@query("predict_gaussian", ctes("vis") + _CV + f" SELECT u, v, w, freq, n, {r(f'sum({_FLUX} * {_DECAY} * cos({_PHASE}))')} AS re, {r(f'sum({_FLUX} * {_DECAY} * sin({_PHASE}))')} AS im FROM (SELECT u, v, w, freq, count(*) AS n FROM vis GROUP BY u, v, w, freq), c GROUP BY u, v, w, freq, n")
 def predict_gaussian(spark, sf):
     return _predicted(spark, sf, True)
 
@@ -197,7 +208,12 @@ def taper_sigmas(spark, sf):
     return spark.range(1, 40).select(F.col("id").cast("int").alias("fwhm"), rnd(S.taper_sigma(F.lit(512.0), F.col("id"))).alias("sigma"))
 
 
-@query("spheroidal_table", None)
+def _spheroidal_sql(end, p, q) -> str:
+    poly = lambda c: "(" + " + ".join(f"{x!r}::DOUBLE * pow(nu * nu - {end * end!r}::DOUBLE, {k})" for k, x in enumerate(c)) + ")"
+    return f"greatest({poly(p)} / {poly(q)}, 0.0)"
+
+
+@query("spheroidal_table", f"SELECT nu, {r('CASE WHEN nu < 0.75 THEN ' + _spheroidal_sql(*S.SPHEROIDAL[0]) + ' ELSE ' + _spheroidal_sql(*S.SPHEROIDAL[1]) + ' END')} AS value FROM (SELECT id / 100.0::DOUBLE AS nu FROM range(101) t(id))")
 def spheroidal_table(spark, sf):
     return spark.range(0, 101).select((F.col("id") / 100).alias("nu"), rnd(S.spheroidal(F.col("id") / 100)).alias("value"))
 
@@ -289,18 +305,24 @@ def simulate_rows(spark, sf):
     return out.select("cycle", "feed", "antenna1", "antenna2", rnd("u").alias("u"), rnd("v").alias("v"))
 
 
-@query("fft_dirty_image")
+#: The transform row by row, then column by column, as sums of 64 terms each.
+_TURN = f"{2 * math.pi / 64!r} * ((g.gu - 32) * (t.i - 32))"
+_FFT = f", rows AS (SELECT pol, t.i AS x, gv, sum(re * cos({_TURN}) - im * sin({_TURN})) AS re, sum(re * sin({_TURN}) + im * cos({_TURN})) AS im FROM g, range(64) t(i) GROUP BY pol, t.i, gv)"
+_BACK = f"{2 * math.pi / 64!r} * ((gv - 32) * (t.i - 32))"
+
+
+@query("fft_dirty_image", ctes("vis") + _BOX + _FFT + f" SELECT pol, CAST(x AS INTEGER) AS x, CAST(t.i AS INTEGER) AS y, {r(f'sum(re * cos({_BACK}) - im * sin({_BACK}))', 3)} AS value FROM rows, range(64) t(i) GROUP BY pol, x, t.i")
 def fft_dirty_image(spark, sf):
     g = _box_grid(spark, sf)
     return G.images_of(g, ["pol"], 64).withColumn("value", rnd("value", 3))
 
 
 def _planes(spark, sf):
+    """Dirty images and point spread functions (pol, x, y, dirty, psf), from one transform of the box grid."""
     g = _box_grid(spark, sf)
-    top = g.groupBy("pol").agg(F.sum("weight").alias("_t"))
-    g = g.join(top, "pol").select("pol", "gu", "gv", *[(F.col(c) / F.col("_t")).alias(c) for c in ("re", "im", "psf_re", "psf_im")])
-    dirty, psf = G.images_of(g, ["pol"], 64), G.images_of(g, ["pol"], 64, ("psf_re", "psf_im"))
-    return dirty.withColumnRenamed("value", "dirty").join(psf.withColumnRenamed("value", "psf"), ["pol", "x", "y"])
+    top = F.sum("weight").over(Window.partitionBy("pol"))  # a plane is bounded, and goes to one task anyway
+    g = g.withColumn("_t", top).select("pol", "gu", "gv", *[(F.col(c) / F.col("_t")).alias(c) for c in ("re", "im", "psf_re", "psf_im")])
+    return G.images_of(g, ["pol"], 64, {"dirty": ("re", "im"), "psf": ("psf_re", "psf_im")})
 
 
 @query("clean_hogbom")
@@ -312,7 +334,7 @@ def clean_hogbom(spark, sf):
         model, residual, _ = D.hogbom(a["dirty"] / k, a["psf"] / k, D.Control(60, 0.1))
         return {"model": model, "residual": residual, "restored": D.restored(model, residual, (3.0, 2.0, 0.3))}
 
-    out = D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"])
+    out = D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["model", "residual", "restored"])
     return out.withColumns({c: rnd(c) for c in ("model", "residual", "restored")})
 
 
@@ -322,22 +344,51 @@ def precondition_robust(spark, sf):
         psf, dirty = D.robust_filter(np.where(a["psf"].max() > 0, a["psf"], 1.0), a["dirty"], 0.5)
         return {"psf": psf, "dirty": dirty}
 
-    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"]).withColumns({c: rnd(c) for c in ("psf", "dirty")})
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["psf", "dirty"]).withColumns({c: rnd(c) for c in ("psf", "dirty")})
+
 
+#: Known gains of antennas and channels, which solves have to find again.
+_AMP, _ARG = "(1 + 0.01 * ({a} % 7) + 0.002 * {c})", "(0.05 * ({a} % 11) + 0.01 * {c})"
+_MODEL = (1.0, 0.2)
 
-@query("bandpass_solve")
+
+def known_gain(antenna: str, other) -> Cx:
+    a, c = F.col(antenna), F.col(other) if isinstance(other, str) else other
+    return Cx.polar(1 + 0.01 * (a % 7) + 0.002 * c, 0.05 * (a % 11) + 0.01 * c)
+
+
+def known_gain_sql(view: str, key: str, where: str) -> str:
+    """Every antenna's known gain per key, its phase relative to the first antenna that has data there; 1 without data."""
+    amp, arg = _AMP.format(a="g.antenna", c=f"g.{key}"), f"({_ARG.format(a='g.antenna', c=f'g.{key}')} - {_ARG.format(a='f.first', c=f'g.{key}')})"
+    live = f"live AS (SELECT DISTINCT {key}, antenna FROM (SELECT {key}, antenna1 AS antenna FROM {view} WHERE {where} UNION ALL SELECT {key}, antenna2 FROM {view} WHERE {where}))"
+    first = f"f AS (SELECT {key}, min(antenna) AS first FROM live GROUP BY {key}), g AS (SELECT f.{key}, CAST(k AS INTEGER) AS antenna FROM f, range(36) t(k))"
+    pick = lambda x, y: f"CASE WHEN l.antenna IS NULL THEN {y} ELSE {r(x, 5)} END"
+    return f", {live}, {first} SELECT g.{key}, g.antenna, {pick(f'{amp} * cos({arg})', '1.0')} AS g_re, {pick(f'{amp} * sin({arg})', '0.0')} AS g_im, l.antenna IS NOT NULL AS valid FROM g JOIN f USING ({key}) LEFT JOIN live l ON l.{key} = g.{key} AND l.antenna = g.antenna"
+
+
+def _known_products(v, keys, other):
+    """Products of a baseline for samples that the known gains make of the model."""
+    model = Cx.of(*map(F.lit, _MODEL))
+    z = model.conj() * (model * known_gain("antenna1", other) * known_gain("antenna2", other).conj())
+    return v.groupBy(*keys, "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.sum(model.abs2()).alias("mm_re"))
+
+
+@query("bandpass_solve", ctes("vis") + known_gain_sql("vis", "chan", "NOT flag AND antenna1 <> antenna2"))
 def bandpass_solve(spark, sf):
+    """Gains per channel from samples of a calibrator on the baselines of the table: the gains that made them."""
     v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2")
-    model = Cx.of(F.lit(1.0), F.lit(0.2))
-    z = model.conj() * Cx.of("re", "im")
-    p = v.groupBy("chan", "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.sum(model.abs2()).alias("mm_re"))
-    return K.solved_gains(p, ["chan"], 36).withColumns({"g_re": rnd("g_re"), "g_im": rnd("g_im")})
+    out = K.solved_gains(_known_products(v, ["chan"], "chan"), ["chan"], 36)
+    return out.withColumns({"g_re": rnd("g_re", 5), "g_im": rnd("g_im", 5)})
+
+
+_DELAY = "((antenna1 - antenna2) * 0.2 + 0.05 * (antenna1 % 3))"
 
 
-@query("delay_solve")
+@query("delay_solve", ctes("vis") + f", n AS (SELECT antenna1, antenna2, count(DISTINCT chan) AS n_chan FROM vis WHERE NOT flag AND antenna1 <> antenna2 GROUP BY antenna1, antenna2) SELECT antenna1, antenna2, CASE WHEN n_chan > 1 THEN {r(f'{_DELAY} * 1e9 / {C!r}', 3)} ELSE 0.0 END AS delay, n_chan FROM n")
 def delay_solve(spark, sf):
+    """Delays of baselines from the phase slopes over the channels that the table has: the delays that made them."""
     v = table(spark, sf, "vis").where("NOT flag AND antenna1 <> antenna2")
-    z = Cx.of("re", "im") * S.delay_phasor("freq", F.col("antenna2") * 0.2)
+    z = S.delay_phasor("freq", F.expr(_DELAY))
     s = v.groupBy("antenna1", "antenna2", "chan").agg(F.avg(z.re).alias("re"), F.avg(z.im).alias("im"))
     return K.solved_delays(s, ["antenna1", "antenna2"], 1e6).withColumn("delay", rnd(F.col("delay") * 1e9, 3))
 
@@ -443,9 +494,9 @@ def cube_merge(spark, sf):
     return out
 
 
-@query("nan_to_zero", ctes("image") + f" SELECT img, x, y, CASE WHEN x % 7 = 0 THEN 0.0 ELSE {r('value')} END AS value FROM image WHERE img < 3")
+@query("nan_to_zero", ctes("image") + f" SELECT img, x, y, CASE WHEN x % 7 = 0 THEN 0.0 ELSE {r('value')} END AS value FROM image")
 def nan_to_zero(spark, sf):
-    broken = table(spark, sf, "image").where("img < 3").withColumn("value", F.when(F.col("x") % 7 == 0, float("nan")).otherwise(F.col("value")))
+    broken = table(spark, sf, "image").withColumn("value", F.when(F.col("x") % 7 == 0, float("nan")).otherwise(F.col("value")))
     return broken.select("img", "x", "y", rnd(F.nanvl("value", F.lit(0.0))).alias("value"))
 
 
@@ -454,20 +505,20 @@ def image_clip(spark, sf):
     return table(spark, sf, "image").select("img", "x", "y", rnd(F.when(F.abs(F.col("x") - 32) < 24, F.col("value")).otherwise(0.0)).alias("value"))
 
 
-@query("scale_box", ctes("image") + f" SELECT img, x, y, {r('CASE WHEN x BETWEEN 12 AND 52 THEN value * 10 ELSE value END')} AS value FROM image WHERE img = 1")
+@query("scale_box", ctes("image") + f" SELECT img, x, y, {r('CASE WHEN x BETWEEN 12 AND 52 THEN value * 10 ELSE value END')} AS value FROM image")
 def scale_box(spark, sf):
-    return table(spark, sf, "image").where("img = 1").select("img", "x", "y", rnd(F.when(F.col("x").between(12, 52), F.col("value") * 10).otherwise(F.col("value"))).alias("value"))
+    return table(spark, sf, "image").select("img", "x", "y", rnd(F.when(F.col("x").between(12, 52), F.col("value") * 10).otherwise(F.col("value"))).alias("value"))
 
 
-@query("facet_merge", ctes("image") + f" SELECT CAST(img * 16 + x - 24 AS INTEGER) AS x, y, {r('value')} AS value FROM image WHERE img < 4 AND x BETWEEN 24 AND 39")
+@query("facet_merge", ctes("image") + f" SELECT CAST(img * 16 + x - 24 AS INTEGER) AS x, y, {r('value')} AS value FROM image WHERE x BETWEEN 24 AND 39")
 def facet_merge(spark, sf):
     """The middle of each facet, side by side."""
-    return table(spark, sf, "image").where("img < 4 AND x BETWEEN 24 AND 39").select((F.col("img") * 16 + F.col("x") - 24).alias("x"), "y", rnd("value").alias("value"))
+    return table(spark, sf, "image").where("x BETWEEN 24 AND 39").select((F.col("img") * 16 + F.col("x") - 24).alias("x"), "y", rnd("value").alias("value"))
 
 
-@query("padded_plane", ctes("image") + f" SELECT img, CAST(x + 32 AS INTEGER) AS x, y, {r('value')} AS value FROM image WHERE img = 2")
+@query("padded_plane", ctes("image") + f" SELECT img, CAST(x + 32 AS INTEGER) AS x, y, {r('value')} AS value FROM image")
 def padded_plane(spark, sf):
-    return table(spark, sf, "image").where("img = 2").select("img", (F.col("x") + 32).alias("x"), "y", rnd("value").alias("value"))
+    return table(spark, sf, "image").select("img", (F.col("x") + 32).alias("x"), "y", rnd("value").alias("value"))
 
 
 @query("contour_pixels", ctes("image") + ", p AS (SELECT img, y, x AS px, value AS pv FROM (SELECT *, row_number() OVER (PARTITION BY img, y ORDER BY value DESC, x) AS k FROM image) WHERE k = 1), c AS (SELECT i.img, i.y, i.x, CASE WHEN i.x < p.px THEN 'left' ELSE 'right' END AS side, abs(i.x - p.px) AS d FROM image i JOIN p USING (img, y) WHERE i.x <> p.px AND i.value < 0.2 * p.pv) SELECT img, y, side, x FROM (SELECT *, row_number() OVER (PARTITION BY img, y, side ORDER BY d) AS k FROM c) WHERE k = 1")
@@ -502,10 +553,10 @@ def hogbom_one_iteration(spark, sf):
     return j.select("img", "x", "y", rnd(F.col("value") - 0.1 * F.coalesce("w", F.lit(0.0)) * F.col("pv")).alias("residual"), F.when(at, rnd(0.1 * F.col("pv"))).otherwise(0.0).alias("model"))
 
 
-@query("restore_conv_direct", ctes("image") + _PSF + f" SELECT i.img, i.x + k.dx AS x, i.y + k.dy AS y, {r('sum(i.value * k.w)')} AS value FROM image i, k WHERE i.img < 4 AND i.x + k.dx BETWEEN 0 AND 63 GROUP BY i.img, i.x + k.dx, i.y + k.dy")
+@query("restore_conv_direct", ctes("image") + _PSF + f" SELECT i.img, i.x + k.dx AS x, i.y + k.dy AS y, {r('sum(i.value * k.w)')} AS value FROM image i, k WHERE i.x + k.dx BETWEEN 0 AND 63 GROUP BY i.img, i.x + k.dx, i.y + k.dy")
 def restore_conv_direct(spark, sf):
     """Convolution with a small kernel as a shifted fan-out and a sum."""
-    j = table(spark, sf, "image").where("img < 4").crossJoin(_psf(spark)).select("img", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("value") * F.col("w")).alias("v"))
+    j = table(spark, sf, "image").crossJoin(_psf(spark)).select("img", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("value") * F.col("w")).alias("v"))
     return j.where("x BETWEEN 0 AND 63").groupBy("img", "x", "y").agg(rnd(F.sum("v")).alias("value"))
 
 
@@ -516,10 +567,10 @@ def entropy_value(spark, sf):
     return both.select("img", rnd("entropy").alias("entropy"), rnd("emptiness", 5).alias("emptiness"))
 
 
-@query("strided_vectors", ctes("image") + f" SELECT a.img, a.y, a.x, {r('a.value + 2 * b.value')} AS value FROM image a JOIN image b ON a.img = b.img AND a.y = b.y AND b.x = 63 - a.x WHERE a.img = 0 AND a.x % 2 = 0")
+@query("strided_vectors", f"SELECT CAST(label AS INTEGER) AS img, CAST(vec_id AS INTEGER) AS y, CAST(p - 1 AS INTEGER) AS x, {r('CAST(e AS DOUBLE) + 2 * CAST(b AS DOUBLE)')} AS value FROM (SELECT label, vec_id, unnest(embedding) AS e, unnest(list_reverse(embedding)) AS b, generate_subscripts(embedding, 1) AS p FROM embeddings) WHERE p % 2 = 1")
 def strided_vectors(spark, sf):
     """Scaled add of a vector and its reverse, every second element: array functions, no join."""
-    e = table(spark, sf, "embeddings").where("label = 0").select(F.col("label").cast("int").alias("img"), F.col("vec_id").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("e"))
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("img"), F.col("vec_id").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("e"))
     z = e.select("img", "y", F.posexplode(F.zip_with("e", F.reverse("e"), lambda p, q: p + 2 * q)).alias("x", "v"))
     return z.where("x % 2 = 0").select("img", "y", "x", rnd("v").alias("value"))
 

@@ -13,6 +13,7 @@ from ..functions.scalar import rnd
 from ..operators import aggregates as A
 from ..operators import calibrate as K
 from ..operators import joins as J
+from ..operators import ordered as O  # noqa: E741
 from ..operators import select as P
 from ..sources.driver_tables import ctes, table
 from .registry import query, r
@@ -163,7 +164,8 @@ def imaging_advice(spark, sf):
 
 @query("w_percentile", ctes("vis") + f" SELECT pol, {r('quantile_cont(abs(w), 0.95)')} AS w95, {r('quantile_cont(abs(w), 0.5)')} AS w50 FROM vis WHERE NOT flag GROUP BY pol")
 def w_percentile(spark, sf):
-    return table(spark, sf, "vis").where("NOT flag").groupBy("pol").agg(*[rnd(F.percentile(F.abs("w"), q)).alias(n) for n, q in (("w95", 0.95), ("w50", 0.5))])
+    q = A.quantiles(table(spark, sf, "vis").where("NOT flag"), ["pol"], F.abs("w"), {"w95": 0.95, "w50": 0.5})
+    return q.select("pol", rnd("w95").alias("w95"), rnd("w50").alias("w50"))
 
 
 @query("spw_average", ctes("vis") + f", spw AS (SELECT DISTINCT chan, freq, 1e6 AS width FROM vis) SELECT CAST(floor(chan / 4) AS INTEGER) AS out_chan, {r('avg(freq)', 3)} AS freq, {r('sum(width)', 3)} AS width, {r('sum(width * 0.9)', 3)} AS eff_bw FROM spw GROUP BY 1")
@@ -221,9 +223,9 @@ def antenna_valid_data(spark, sf):
     return A.valid_antennas(table(spark, sf, "vis"), ["scan", "pol"])
 
 
-@query("flagged_antennas", ctes("vis") + ", v AS (SELECT * FROM vis WHERE scan < 6 AND chan = 3), a AS (SELECT scan, pol, antenna1 AS antenna FROM v WHERE NOT flag UNION SELECT scan, pol, antenna2 FROM v WHERE NOT flag), g AS (SELECT DISTINCT scan, pol, CAST(k AS INTEGER) AS antenna FROM v, range(40) t(k)) SELECT * FROM g EXCEPT SELECT * FROM a")
+@query("flagged_antennas", ctes("vis") + ", v AS (SELECT * FROM vis), a AS (SELECT scan, pol, antenna1 AS antenna FROM v WHERE NOT flag UNION SELECT scan, pol, antenna2 FROM v WHERE NOT flag), g AS (SELECT DISTINCT scan, pol, CAST(k AS INTEGER) AS antenna FROM v, range(40) t(k)) SELECT * FROM g EXCEPT SELECT * FROM a")
 def flagged_antennas(spark, sf):
-    return A.flagged_antennas(table(spark, sf, "vis").where("scan < 6 AND chan = 3"), ["scan", "pol"], 40)
+    return A.flagged_antennas(table(spark, sf, "vis"), ["scan", "pol"], 40)
 
 
 @query("spectrum_avg", ctes("vis") + f" SELECT antenna1, antenna2, CAST(floor(chan / 4) AS INTEGER) AS out_chan, {r('avg(re) FILTER (NOT flag)')} AS re, {r('avg(im) FILTER (NOT flag)')} AS im, count(*) FILTER (NOT flag) AS n_good FROM vis GROUP BY antenna1, antenna2, 3")
@@ -264,7 +266,7 @@ SELECT beam, island, min(time_s) AS begin_s, max(time_s) AS end_s, count(*) AS n
 def scan_sessions(spark, sf):
     """Gaps and islands per beam, then the records of an island merged."""
     rows = table(spark, sf, "ts").withColumn("field", F.col("antenna") % 3)
-    i = A.islands(rows, ["beam"], ["time_s", "event_id"], [("time_s", 1800.0), ("field", None)])
+    i = O.islands(rows, ["beam"], ["time_s", "event_id"], F.floor(F.col("time_s") / 86400), [("time_s", 1800.0), ("field", None)])
     return i.groupBy("beam", "island").agg(F.min("time_s").alias("begin_s"), F.max("time_s").alias("end_s"), F.count(F.lit(1)).alias("n_cycles"), F.countDistinct("antenna").alias("n_antennas"))
 
 
@@ -276,8 +278,8 @@ SELECT event_id, beam, hit IS NULL AS flag, coalesce(last_value(hit IGNORE NULLS
 def scan_range_join(spark, sf):
     scans = spark.range(15).select(F.col("id").cast("int").alias("scan_no"), (86400.0 * (2 * F.col("id") + 1)).alias("start_s"), (86400.0 * (2 * F.col("id") + 1) + 100000).alias("end_s"))
     j = J.first_interval(table(spark, sf, "ts").select("event_id", "beam", "time_s"), scans, "time_s", [], "start_s", "end_s", "scan_no")
-    w = Window.partitionBy("beam").orderBy("time_s", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select("event_id", "beam", F.col("scan_no").isNull().alias("flag"), F.coalesce(F.last("scan_no", ignorenulls=True).over(w), F.lit(0)).alias("scan_no"))
+    j = O.last_seen(j, ["beam"], ["time_s", "event_id"], F.floor(F.col("time_s") / 86400), F.col("scan_no"), "carried")
+    return j.select("event_id", "beam", F.col("scan_no").isNull().alias("flag"), F.coalesce("carried", F.lit(0)).alias("scan_no"))
 
 
 @query("scan_match", ctes("ts") + ", m AS (SELECT CAST(k AS INTEGER) AS scan_no, CAST(k % 7 AS INTEGER) AS beam, k * 1000 AS start_cycle, k * 1000 + 1500 AS end_cycle FROM range(0, 10) t(k)) SELECT m.scan_no, m.beam, count(*) AS n_cycles FROM ts t JOIN m ON t.beam = m.beam AND t.event_id BETWEEN m.start_cycle AND m.end_cycle GROUP BY m.scan_no, m.beam")
@@ -395,16 +397,20 @@ def cont_subtract_linear(spark, sf):
 SELECT v.antenna1, v.pol, count(*) FILTER (abs(re - q50) > 1.2 * (q75 - q25) / 1.35) AS n_clipped, {r('avg(re) FILTER (NOT abs(re - q50) > 1.2 * (q75 - q25) / 1.35)')} AS mean FROM vis v JOIN q USING (antenna1, pol) WHERE NOT flag GROUP BY v.antenna1, v.pol""")
 def sigma_clip_round(spark, sf):
     v = table(spark, sf, "vis").where("NOT flag")
-    q = v.groupBy("antenna1", "pol").agg(*[F.percentile("re", x).alias(n) for n, x in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    q = A.quantiles(v, ["antenna1", "pol"], F.col("re"), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     out = F.abs(F.col("re") - F.col("q50")) > 1.2 * (F.col("q75") - F.col("q25")) / 1.35
     return v.join(q, ["antenna1", "pol"]).groupBy("antenna1", "pol").agg(F.count_if(out).alias("n_clipped"), rnd(F.avg(F.when(~out, F.col("re")))).alias("mean"))
 
 
-@query("ms_merge_channels", ctes("ts") + f""", a AS (SELECT CAST(floor(time_s) AS BIGINT) AS bucket, antenna, beam, CAST(event_id % 2 AS INTEGER) AS chan, value AS re, value / 3 AS im, flag FROM ts WHERE event_id % 3 = 0), b AS (SELECT CAST(floor(time_s) AS BIGINT) AS bucket, antenna, beam, CAST(event_id % 2 + 2 AS INTEGER) AS chan, value AS re, value / 3 AS im, flag FROM ts WHERE event_id % 3 = 1),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b), d AS (SELECT bucket, antenna, beam, chan, sum(re) AS re, sum(im) AS im, min(flag) AS flag FROM u GROUP BY bucket, antenna, beam, chan), f AS (SELECT DISTINCT u.bucket, u.antenna, u.beam, CAST(k AS INTEGER) AS chan FROM u, range(4) t(k))
-SELECT f.bucket, f.antenna, f.beam, f.chan, {r('coalesce(d.re, 0)')} AS re, {r('coalesce(d.im, 0)')} AS im, coalesce(d.flag, TRUE) AS flag FROM f LEFT JOIN d USING (bucket, antenna, beam, chan)""")
+@query("ms_merge_channels", ctes("ts") + f""", t AS (SELECT time_s, lag(time_s) OVER (ORDER BY time_s) AS before FROM (SELECT DISTINCT time_s FROM ts)),
+k AS (SELECT time_s, max(CASE WHEN before IS NULL OR time_s - before > 1 THEN time_s END) OVER (ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS cluster FROM t),
+u AS (SELECT k.cluster AS time_s, antenna, beam, CAST(event_id // 2 % 2 + 2 * (event_id % 2) AS INTEGER) AS chan, value AS re, value / 3 AS im, flag FROM ts JOIN k USING (time_s)),
+d AS (SELECT time_s, antenna, beam, chan, sum(re) AS re, sum(im) AS im, min(flag) AS flag FROM u GROUP BY time_s, antenna, beam, chan), f AS (SELECT DISTINCT time_s, antenna, beam, CAST(k AS INTEGER) AS chan FROM u, range(4) t(k))
+SELECT f.time_s, f.antenna, f.beam, f.chan, {r('coalesce(d.re, 0)')} AS re, {r('coalesce(d.im, 0)')} AS im, coalesce(d.flag, TRUE) AS flag FROM f LEFT JOIN d USING (time_s, antenna, beam, chan)""")
 def ms_merge_channels(spark, sf):
-    ts = table(spark, sf, "ts").select("time_s", "antenna", "beam", (F.col("event_id") % 2).cast("int").alias("chan"), F.col("value").alias("re"), (F.col("value") / 3).alias("im"), "flag", (F.col("event_id") % 3).alias("k"))
+    """Events of even and odd number as two tables of two channels each; times within a second are one integration."""
+    e = F.col("event_id")
+    ts = table(spark, sf, "ts").select("time_s", "antenna", "beam", (F.floor(e / 2) % 2).cast("int").alias("chan"), F.col("value").alias("re"), (F.col("value") / 3).alias("im"), "flag", (e % 2).alias("k"))
     out = J.merge_channels([ts.where("k = 0").drop("k"), ts.where("k = 1").drop("k")], [2, 2], ["antenna", "beam"])
     return out.withColumns({"re": rnd("re"), "im": rnd("im")})
 

@@ -25,9 +25,9 @@ VIS_POL = """SELECT t.event_id AS row_id, CAST(t.event_id % 36 AS INT) AS antenn
  FROM ts t CROSS JOIN (SELECT 0 AS pol UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p"""
 GAINS = """SELECT antenna, CAST(FLOOR(time_s / 172800) * 172800 AS DOUBLE) AS time_s, CAST(1 + AVG(value) / 1000 AS DOUBLE) AS g_re,
  CAST(AVG(value) / 2000 AS DOUBLE) AS g_im, MAX(CASE WHEN flag THEN 0 ELSE 1 END) = 1 AS valid
- FROM ts WHERE event_id % 5 = 0 GROUP BY antenna, CAST(FLOOR(time_s / 172800) * 172800 AS DOUBLE)"""
+ FROM ts GROUP BY antenna, CAST(FLOOR(time_s / 172800) * 172800 AS DOUBLE)"""
 IMAGE_SPARK = "SELECT CAST(label AS INT) img, CAST(vec_id AS INT) y, CAST(p AS INT) x, CAST(e AS DOUBLE) value FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, e"
-IMAGE_SQL = "SELECT CAST(label AS INT) img, CAST(vec_id AS INT) y, CAST(p - 1 AS INT) x, CAST(embedding[p] AS DOUBLE) value FROM embeddings, generate_series(1, 64) g(p)"
+IMAGE_SQL = "SELECT CAST(label AS INT) img, CAST(vec_id AS INT) y, CAST(p - 1 AS INT) x, CAST(e AS DOUBLE) value FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS p FROM embeddings)"
 VIEWS = {"vis": (VIS, VIS), "ts": (TS, TS), "vis_pol": (VIS_POL, VIS_POL), "gains": (GAINS, GAINS), "image": (IMAGE_SPARK, IMAGE_SQL)}
 _NEEDS = {"vis_pol": ["ts"], "gains": ["ts"]}
 _BASE = {"vis": ["lineitem"], "ts": ["events"], "image": ["embeddings"]}

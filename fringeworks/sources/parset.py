@@ -87,3 +87,38 @@ def selection(parset: dict):
         return out if first is None else out.where(f"chan BETWEEN {int(first)} AND {int(first) + int(n) - 1}")
 
     return apply
+
+
+def antennas(parset: dict) -> list[dict]:
+    """name, x, y, z (metres, scaled), diameter, mount of an array definition: antennas.telescope names the subset that holds the rest."""
+    own = subset(parset, f"antennas.{parset['antennas.telescope']}.")
+    mount, frame = own.get("mount", "equatorial"), own.get("coordinates", "local")
+    if not own.get("names") or mount not in ("equatorial", "alt-az") or frame not in ("local", "global"):
+        raise ValueError("an array needs names, a mount of equatorial or alt-az, and local or global coordinates")
+    diameter, scale = quantity(str(own.get("diameter", "12m")), "m"), float(own.get("scale", 1.0))
+    if diameter <= 0:
+        raise ValueError("the diameter is not positive")
+    return [{"antenna": i, "name": str(n), **dict(zip("xyz", (scale * float(v) for v in own[str(n)]), strict=True)), "diameter": diameter, "mount": mount} for i, n in enumerate(own["names"])]
+
+
+def feeds(parset: dict) -> list[dict]:
+    """name, x, y (radians if feeds.spacing is given) and polarisations of the feeds."""
+    names = parset.get("feeds.names")
+    if not names:
+        raise ValueError("no feeds")
+    scale = quantity(str(parset["feeds.spacing"]), "rad") if "feeds.spacing" in parset else 1.0
+    return [{"feed": i, "name": str(n), "x": scale * float(parset[f"feeds.{n}"][0]), "y": scale * float(parset[f"feeds.{n}"][1]), "pol": "X Y"} for i, n in enumerate(names)]
+
+
+def spectral_windows(parset: dict) -> list[dict]:
+    """name, n_chan, first and step (Hz), polarisations: lists such as [16, 1.3GHz, -1MHz, "XX YY"]."""
+    out = []
+    for i, n in enumerate(parset.get("spws.names", [])):
+        count, first, step, pols = parset[f"spws.{n}"]
+        out.append({"spw": i, "name": str(n), "n_chan": int(count), "first": quantity(str(first), "Hz"), "step": quantity(str(step), "Hz"), "pol": str(pols)})
+    return out
+
+
+def sources(parset: dict) -> list[dict]:
+    """name, and right ascension, declination and frame as they are written."""
+    return [{"field": i, "name": str(n), "ra": str(d[0]), "dec": str(d[1]), "frame": str(d[2]) if len(d) > 2 else "J2000"} for i, n in enumerate(parset.get("sources.names", [])) for d in [parset[f"sources.{n}.direction"]]]

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the driver is the executor."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at.rstrip("/") if at else f"file://{tempfile.mkdtemp(prefix='fringeworks-')}"
+
+
 OPTIONAL = {"sigma_spectrum": "array<double>", "azimuth": "double", "elevation": "double", "polangle": "double"}
 
 
@@ -37,14 +48,13 @@ def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_cube(pixels: DataFrame, path: str) -> None:
-    """Pixels (image, chan, pol, x, y, value) as planes, one directory per channel."""
-    planes = pixels.groupBy("image", "pol", "chan").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "value"))), lambda p: p.value).alias("pixels"), (F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
+    """Pixels (image, chan, pol, x, y, value) as planes, one directory per channel; pixels know their place, so planes may be sparse."""
+    planes = pixels.groupBy("image", "pol", "chan").agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("pixels"), (F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
     planes.write.mode("overwrite").partitionBy("chan").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
-    p = spark.read.parquet(path).select("image", "pol", "chan", "nx", "ny", F.posexplode("pixels").alias("at", "value"))
-    return p.select("image", "pol", "chan", (F.col("at") % F.col("nx")).cast("int").alias("x"), F.floor(F.col("at") / F.col("nx")).cast("int").alias("y"), "value")
+    return spark.read.parquet(path).select("image", "pol", "chan", F.inline("pixels")).select("image", "pol", "chan", "x", "y", "value")
 
 
 def replaced_partition(new: DataFrame, path: str, by: str) -> None:

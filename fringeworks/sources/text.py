@@ -41,6 +41,21 @@ def write_statistics(stats: DataFrame, path: str) -> None:
     stats.select(F.format_string("%8d %15.6f" + " %10.5f" * len(names), "chan", "freq", *names).alias("value")).write.text(path)
 
 
+#: Columns and units of the table of statistics that goes beside an image.
+STATISTICS = {"Channel": ("chan", ""), "Frequency": ("freq", "MHz"), "Mean": ("mean", "mJy/beam"), "Std": ("std", "mJy/beam"), "Median": ("median", "mJy/beam"), "MADFM": ("madfm", "mJy/beam"), "1%ile": ("onepc", "mJy/beam"), "Min": ("min", "mJy/beam"), "Max": ("max", "mJy/beam"), "rms": ("rms", "mJy/beam")}
+
+
+def statistics_table(stats: DataFrame) -> DataFrame:
+    """Channel statistics (Hz, Jy) under the names and in the units of STATISTICS; units are kept as column metadata."""
+    scale = {"MHz": 1e-6, "mJy/beam": 1e3, "": None}
+    return stats.select(*[(F.col(c) if scale[u] is None else F.col(c) * scale[u]).alias(n, metadata={"unit": u}) for n, (c, u) in STATISTICS.items()])
+
+
+def write_statistics_table(stats: DataFrame, image: str) -> None:
+    """The table as part of a stored image: Parquet under its path."""
+    statistics_table(stats).write.mode("overwrite").parquet(f"{image.rstrip('/')}/_ImgStats")
+
+
 def sky_catalogue(components: DataFrame) -> DataFrame:
     """Type, Long, Lat, Annotation, Flux; an empty label becomes the component's number."""
     label = F.when(F.coalesce(F.col("label"), F.lit("")) == "", F.col("number").cast("string")).otherwise(F.col("label"))

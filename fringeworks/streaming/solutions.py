@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -21,31 +23,74 @@ def intervals(stream: DataFrame, length: str = "1 day", late: str = "2 hours") -
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(good).alias("n_good"), F.sum(F.when(good, F.col("value"))).alias("total"))
 
 
-def scan_sessions(stream: DataFrame, gap_s: float = 1800.0) -> DataFrame:
-    """Closed scans (beam, begin_s, end_s, n) per beam: a gap or a change of field ends a scan. State is the open scan."""
+SCANS = "beam int, begin_s double, end_s double, n long, closed boolean, version long"
+
+
+def scan_sessions(stream: DataFrame, gap_s: float = 1800.0, late: str = "2 hours") -> DataFrame:
+    """Scans (SCANS) per beam: a gap or a change of field ends a scan.
+
+    Rows are put in order before they count: those newer than the watermark wait
+    in the state. A scan is told as closed once no row can change it any more.
+    Each time a beam has news its other scans, as far as they are known, are
+    told as open with a higher version; latest_scans() keeps the last word.
+    State is the open scan and the rows of the time that late rows may take.
+    """
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = stream.select((F.col("user_id") % 7).cast("int").alias("beam"), (F.col("user_id") % 36 % 3).cast("int").alias("field"), F.unix_micros("ts").alias("us"), "event_id")
+    rows = stream.withWatermark("ts", late).select((F.col("user_id") % 7).cast("int").alias("beam"), (F.col("user_id") % 36 % 3).cast("int").alias("field"), "ts", F.unix_micros("ts").alias("us"), "event_id")
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        scan = list(state.get) if state.exists else None
-        closed = []
-        for x in pd.concat(list(batches)).sort_values(["us", "event_id"]).itertuples():
-            t = x.us / 1e6
-            if scan and (t - scan[1] > gap_s or x.field != scan[3]):
-                closed.append((key[0], scan[0], scan[1], scan[2]))
+    def grown(scan, waiting):
+        """(scans that end, the open one) after the waiting rows (us, event_id, field)."""
+        ended = []
+        for us, _, field in waiting:
+            t = us / 1e6
+            if scan and (t - scan[1] > gap_s or field != scan[3]):
+                ended.append(scan)
                 scan = None
-            scan = [scan[0], t, scan[2] + 1, x.field] if scan else [t, t, 1, x.field]
-        state.update(tuple(scan))
-        yield pd.DataFrame(closed, columns=["beam", "begin_s", "end_s", "n"])
+            scan = [scan[0], t, scan[2] + 1, field] if scan else [t, t, 1, field]
+        return ended, scan
 
-    return rows.groupBy("beam").applyInPandasWithState(run, "beam int, begin_s double, end_s double, n long", "a double, b double, n long, field int", "append", GroupStateTimeout.NoTimeout)
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        scan, waiting, version = json.loads(state.get[0]) if state.exists else (None, [], 0)
+        for pdf in batches:
+            waiting += zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["field"].tolist(), strict=True)
+        waiting = sorted(map(tuple, waiting))
+        mark = state.getCurrentWatermarkMs() * 1000
+        settled = [x for x in waiting if x[0] <= mark]
+        waiting = waiting[len(settled) :]
+        done, scan = grown(scan, settled)
+        if scan and scan[1] + gap_s < mark / 1e6 and (not waiting or waiting[0][0] / 1e6 - scan[1] > gap_s):
+            done, scan = [*done, scan], None
+        version += 1
+        later, last = grown(scan, waiting)
+        told = [(key[0], *x[:3], True, version) for x in done] + [(key[0], *x[:3], False, version) for x in [*later, *([last] if last else [])]]
+        state.update((json.dumps((scan, waiting, version)),))
+        if scan or waiting:
+            state.setTimeoutTimestamp(max(int((scan[1] + gap_s if scan else waiting[0][0] / 1e6) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(told, columns=["beam", "begin_s", "end_s", "n", "closed", "version"])
+
+    return rows.groupBy("beam").applyInPandasWithState(run, SCANS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_scans(told: DataFrame) -> DataFrame:
+    """beam, begin_s, end_s, n: all closed scans, and those that the last version of each beam holds as open."""
+    top = told.groupBy(F.col("beam").alias("_beam")).agg(F.max("version").alias("_top"))
+    return told.join(top, F.col("beam") == F.col("_beam")).where("closed OR version = _top").select("beam", "begin_s", "end_s", "n").distinct()
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and returns the result as a table in memory (for small results)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what there is; its batches are written to the shared folder and read as one table.
+
+    In complete mode only the last batch counts, since each holds the whole result.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/result/batch={0 if mode == 'complete' else n}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/result")

@@ -74,7 +74,9 @@ def test_fista_and_entropy_move_towards_the_source():
     truth[20, 9] = 1.0
     dirty = D.fft_convolve(truth, psf)
     assert D.peak_of(D.fista(dirty, psf, 1e-3, 100)) == (20, 9)
-    assert D.peak_of(D.maximum_entropy(dirty, psf, 0.05, 1e-3)) == (20, 9)
+    for kind in ("emptiness", "information"):
+        loose, tight = (D.maximum_entropy(dirty, psf, sigma, 0.05, 80, kind) for sigma in (0.1, 0.01))
+        assert D.peak_of(tight[0]) == (20, 9) and tight[1] < loose[1] and np.abs(tight[0] - loose[0]).max() > 1e-3
 
 
 def test_filters_keep_the_peak_and_beams_fit():
