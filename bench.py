@@ -1,13 +1,15 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query is timed on one run after the session is warm, written to the noop
-sink so that every row and column is made. grid_add_ns is the time of the
+Each query is the median of three runs after the session is warm (of one, when
+the first took over SLOW_S seconds), written to the noop sink so that every row
+and column is made. grid_add_ns is the time of the
 spheroidal gridding per (sample, kernel cell) addition, over all cores: the
 unit of the published micro-benchmarks.
 """
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -15,12 +17,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
 
 HEADLINE = [
-    "split_filter_avg", "vis_stats", "uv_cell_index", "grid_box", "grid_spheroidal", "degrid_box", "dft_image", "predict_points", "predict_gaussian",
+    "split_filter_avg", "vis_stats", "uv_cell_index", "grid_box", "grid_spheroidal", "grid_w_projection", "degrid_box", "dft_image", "predict_points", "predict_gaussian",
     "asof_gain", "apply_gain", "gain_interp_time", "preavg_products", "normal_equations", "scan_sessions", "scan_range_join", "ms_merge_channels",
-    "image_channel_stats", "mosaic_weighted", "hogbom_one_iteration", "clean_hogbom",
+    "image_channel_stats", "mosaic_weighted", "hogbom_one_iteration", "clean_hogbom", "apply_mueller", "cont_subtract_model",
 ]
 
 
+SLOW_S = 8
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -28,7 +33,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.files.openCostInBytes", "256k").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from fringeworks.plans.catalogue import QUERIES
@@ -36,9 +41,12 @@ def main() -> None:
     seconds = {}
     QUERIES["vis_stats"](spark, sf).collect()
     for name in HEADLINE:
-        began = time.time()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - began, 3)
+        runs = []
+        while len(runs) < (1 if runs and runs[0] > SLOW_S else 3):
+            began = time.time()
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        seconds[name] = round(statistics.median(runs), 3)
     samples = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag <> 'R'").count()
     out = {"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf.rstrip("/")), "grid_add_ns": round(seconds["grid_spheroidal"] / (samples * 25) * 1e9, 2)}
     spark.stop()

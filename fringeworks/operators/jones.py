@@ -49,29 +49,44 @@ def corrupted(v: Matrix, j1: Matrix, j2: Matrix) -> Matrix:
     return product(product(j1, v), adjoint(j2))
 
 
-def corrected(v: Matrix, j1: Matrix, j2: Matrix) -> tuple[Matrix, Column, list[Column]]:
-    """(visibilities, whether both matrices can be inverted, squared factors by which the noise of each polarisation enters each, row by row)."""
-    (a, da), (b, db) = inverse(j1), inverse(j2)
-    factors = [(a[2 * (i // 2) + k // 2] * b[2 * (i % 2) + k % 2].conj()).abs2() for i in range(4) for k in range(4)]
-    return product(product(a, v), adjoint(b)), (da > SINGULAR**2) & (db > SINGULAR**2), factors
+def staged(rows: DataFrame, name: str, m: Matrix) -> tuple[DataFrame, Matrix]:
+    """rows with the matrix as columns of their own, and the matrix of these: expressions that use it stay short."""
+    cols = {f"_{name}{i}_{p}": x for i, z in enumerate(m) for p, x in (("re", z.re), ("im", z.im))}
+    return rows.withColumns(cols), tuple(Cx.of(f"_{name}{i}_re", f"_{name}{i}_im") for i in range(4))
 
 
 def applied(rows: DataFrame, v: Matrix, j1: Matrix, j2: Matrix, valid: Column, flagged: Column, sigma: list[Column] | None = None, allow_flag: bool = True) -> DataFrame:
     """rows with v0_re .. v3_im, flag and, given sigma of the four polarisations, sigma0 .. sigma3.
 
-    A sample with any flagged polarisation, without valid solutions or with a
-    singular matrix is flagged as a whole and set to 0; without allow_flag it is
-    an error of the job, except where it is flagged already.
+    Visibilities go through the inverse matrices of both antennas, noise through
+    the squares of what they amount to. A sample with any flagged polarisation,
+    without valid solutions or with a singular matrix is flagged as a whole and
+    set to 0; without allow_flag it is an error of the job, except where it is
+    flagged already.
     """
-    out, regular, factors = corrected(v, j1, j2)
-    ok = F.coalesce(valid & regular & ~flagged, F.lit(False))
-    value = lambda c: F.when(ok, c).otherwise(F.lit(0.0) if allow_flag else F.when(flagged, F.lit(0.0)).otherwise(F.raise_error(F.lit("a sample has no valid calibration")).cast("double")))
+    kept = rows.columns
+    rows, v = staged(rows.withColumns({"_valid": valid, "_flagged": flagged, **{f"_sigma{k}": x for k, x in enumerate(sigma or [])}}), "v", v)
+    inverses, regular = [], F.lit(True)
+    for name, j in (("a", j1), ("b", j2)):
+        rows, j = staged(rows, f"{name}j", j)
+        inv, size = inverse(j)
+        rows, inv = staged(rows, f"{name}i", inv)
+        inverses.append(inv)
+        rows = rows.withColumn(f"_{name}size", size)
+        regular &= F.col(f"_{name}size") > SINGULAR**2
+    a, b = inverses
+    rows, left = staged(rows, "l", product(a, v))
+    rows, out = staged(rows, "o", product(left, adjoint(b)))
+    ok = F.coalesce(F.col("_valid") & regular & ~F.col("_flagged"), F.lit(False))
+    value = lambda c: F.when(ok, c).otherwise(F.lit(0.0) if allow_flag else F.when(F.col("_flagged"), F.lit(0.0)).otherwise(F.raise_error(F.lit("a sample has no valid calibration")).cast("double")))
     columns = {}
     for p, z in enumerate(out):
         columns |= {f"v{p}_re": value(z.re), f"v{p}_im": value(z.im)}
     for p in range(4 if sigma else 0):
-        columns[f"sigma{p}"] = F.when(ok, F.sqrt(sum((factors[4 * p + k] * sigma[k] * sigma[k] for k in range(1, 4)), factors[4 * p] * sigma[0] * sigma[0])))
-    return rows.withColumns(columns | {"flag": ~ok})
+        terms = [(a[2 * (p // 2) + k // 2].abs2() * b[2 * (p % 2) + k % 2].abs2()) * F.col(f"_sigma{k}") * F.col(f"_sigma{k}") for k in range(4)]
+        columns[f"sigma{p}"] = F.when(ok, F.sqrt(terms[0] + terms[1] + terms[2] + terms[3]))
+    rows = rows.withColumns(columns | {"flag": ~ok})
+    return rows.select(*[c for c in kept if c not in columns and c != "flag"], *columns, "flag")
 
 
 def solved_leakages(products: DataFrame, by: list[str]) -> DataFrame:

@@ -36,10 +36,10 @@ def apply_mueller(spark, sf):
     v = table(spark, sf, "vis_pol")
     cell = lambda c, k: F.max(F.when(F.col("pol") == k, F.col(c)))
     wide = v.groupBy("row_id", "antenna1", "antenna2").agg(F.max("flag").alias("bad"), *[cell(c, k).alias(f"{c}{k}") for k in range(4) for c in ("re", "im")])
-    j1, j2 = _jones("antenna1"), _jones("antenna2")
-    seen = Z.corrupted(tuple(Cx.of(f"re{k}", f"im{k}") for k in range(4)), j1, j2)
-    rows = wide.select("row_id", "antenna1", "antenna2", "bad", *[x.alias(f"c{k}{p}") for k, z in enumerate(seen) for p, x in (("r", z.re), ("i", z.im))])
-    out = Z.applied(rows, tuple(Cx.of(f"c{k}r", f"c{k}i") for k in range(4)), j1, j2, F.lit(True), F.col("bad"))
+    rows, j1 = Z.staged(wide, "j1", _jones("antenna1"))
+    rows, j2 = Z.staged(rows, "j2", _jones("antenna2"))
+    rows, seen = Z.staged(rows, "seen", Z.corrupted(tuple(Cx.of(f"re{k}", f"im{k}") for k in range(4)), j1, j2))
+    out = Z.applied(rows, seen, j1, j2, F.lit(True), F.col("bad"))
     cells = F.array(*[F.struct(F.lit(k).alias("pol"), rnd(f"v{k}_re", 4).alias("re"), rnd(f"v{k}_im", 4).alias("im")) for k in range(4)])
     return out.select("row_id", F.inline(cells), "flag").select("row_id", "pol", "re", "im", "flag")
 
