@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .functions.complexcols import Cx
 from .operators import aggregates as A
 from .operators import calibrate as K
+from .operators import cycle as Y
+from .operators import deconv as D
+from .operators import gridding as G
+from .operators import images as I  # noqa: E741
 from .operators import joins as J
 from .operators import ordered as O  # noqa: E741
 from .operators import select as P
@@ -65,11 +69,105 @@ def cube_statistics(spark: SparkSession, p: dict) -> DataFrame:
     return A.bad_channels(A.image_statistics(store.read_cube(spark, p["image"]), ["chan"]), float(p.get("threshold", 3)))
 
 
+def components(p: dict) -> list[dict]:
+    """components.names = [a, b], components.a.flux = 2, components.a.l = 0.001 and so on; kind is point unless given."""
+    out = []
+    for n in p["components.names"]:
+        own = C.subset(p, f"components.{n}.")
+        out.append({k: v if k == "kind" else C.quantity(str(v)) for k, v in own.items()})
+    return out
+
+
+def merged(spark: SparkSession, p: dict) -> DataFrame:
+    """Datasets of neighbouring channels side by side, their times matched within tolerance seconds."""
+    parts = [store.read_vis(spark, d) for d in _list(p["dataset"])]
+    return J.merge_channels(parts, _list(p["nchans"]), p.get("keys", ["antenna1", "antenna2", "feed1", "pol"]), float(p.get("tolerance", 1.0)))
+
+
+def without_model(spark: SparkSession, p: dict) -> DataFrame:
+    return Y.model_subtracted(store.read_vis(spark, p["dataset"]), components(p))
+
+
+def _cells(spark: SparkSession, p: dict) -> tuple[DataFrame, G.Kernel, int, object]:
+    """Unflagged samples with their cells, the kernel, the size and the taper that images are divided by."""
+    n, name = int(p.get("size", 64)), p.get("gridder", "box")
+    support, oversample = (0, 1) if name == "box" else (int(p.get("support", 3)), int(p.get("oversample", 8)))
+    rows = store.read_vis(spark, p["dataset"]).where("NOT flag AND sigma > 0").withColumn("plane", F.lit(0))
+    rows = P.with_uv_cells(rows, float(p["cell"]), oversample, n).where(P.on_grid("iu", "iv", support, n, n))
+    kernel = G.KERNELS[name]() if name == "box" else G.KERNELS[name](support, oversample)
+    return rows, G.kernel_table(spark, kernel), n, None if name == "box" else G.spheroidal_correction
+
+
+def imaged(spark: SparkSession, p: dict) -> DataFrame:
+    """Dirty image and point spread function of every key (keys, by default pol); cell is in wavelengths."""
+    rows, kernel, n, taper = _cells(spark, p)
+    keys = p.get("keys", ["pol"])
+    return G.images_of(G.gridded(rows, kernel, Cx.of("re", "im").conj(), P.noise_weight("sigma"), keys), keys, n, {"dirty": ("re", "im"), "psf": ("psf_re", "psf_im")}, taper)
+
+
+def cleaned(spark: SparkSession, p: dict) -> DataFrame:
+    """Model and residual after ncycles major cycles of niter components each."""
+    rows, kernel, n, taper = _cells(spark, p)
+    control = lambda: D.Control(int(p.get("niter", 100)), float(p.get("gain", 0.1)), fraction=float(p.get("fraction", 0.1)))
+    return Y.major_cycles(rows, kernel, n, p.get("keys", ["pol"]), P.noise_weight("sigma"), int(p.get("ncycles", 3)), control, float(p.get("threshold", 0.0)), taper, int(p.get("border", n // 4 if taper else 0)))[1]
+
+
+def gains(spark: SparkSession, p: dict) -> DataFrame:
+    """Gains of antennas per key (keys, by default chan) for a component model; amplitudes under minamplitude are not valid."""
+    v = store.read_vis(spark, p["dataset"]).where("NOT flag AND antenna1 <> antenna2")
+    keys, model = p.get("keys", ["chan"]), Y.predicted(components(p))
+    v = v.withColumns({"_m_re": model.re, "_m_im": model.im})
+    model = Cx.of("_m_re", "_m_im")
+    z = model.conj() * Cx.of("re", "im")
+    products = v.groupBy(*keys, "antenna1", "antenna2").agg(F.sum(z.re).alias("vm_re"), F.sum(z.im).alias("vm_im"), F.sum(model.abs2()).alias("mm_re"))
+    return K.solved_gains(products, keys, int(p["nantennas"]), float(p.get("minamplitude", 0.0)))
+
+
+def delays(spark: SparkSession, p: dict) -> DataFrame:
+    """Delays of baselines from the mean spectra of their samples; chanwidth is in Hz."""
+    keys = ["antenna1", "antenna2"]
+    v = store.read_vis(spark, p["dataset"]).where("NOT flag AND antenna1 <> antenna2")
+    return K.solved_delays(v.groupBy(*keys, "chan").agg(F.avg("re").alias("re"), F.avg("im").alias("im")), keys, C.quantity(str(p["chanwidth"]), "Hz"))
+
+
+def mosaic(spark: SparkSession, p: dict) -> DataFrame:
+    """Weighted mean of images (x, y, value, weight, and shift_x, shift_y where their grids differ) stored as Parquet."""
+    i = spark.read.parquet(*_list(p["image"]))
+    if {"shift_x", "shift_y"} <= set(i.columns):
+        i = I.regridded(i.withColumn("value", F.col("value") * F.col("weight")), ["shift_x", "shift_y"], "shift_x", "shift_y", ["value", "weight"]).withColumn("value", F.col("value") / F.col("weight"))
+    return A.mosaic(i, float(p.get("cutoff", 0.01)))
+
+
+def spectra(spark: SparkSession, p: dict) -> DataFrame:
+    """Mean spectra of baselines, padded and, with dofft, transformed."""
+    return I.extracted_spectra(store.read_vis(spark, p["dataset"]), p.get("keys", ["antenna1", "antenna2"]), int(p["nchan"]), int(p.get("padding", 1)), bool(p.get("dofft", False)))
+
+
+def simulated(spark: SparkSession, p: dict) -> DataFrame:
+    """Rows of an observation by the array and feeds that the file defines."""
+    a = spark.createDataFrame(C.antennas(p), "antenna int, name string, x double, y double, z double, diameter double, mount string")
+    return M.observed_rows(spark, a, int(p["ncycles"]), float(p.get("degrees", 1.0)), len(C.feeds(p)), C.quantity(str(p.get("declination", "-30deg"))))
+
+
+def errors(spark: SparkSession, p: dict) -> DataFrame:
+    """Random gains and leakages as lines of a gain file."""
+    return text.gain_lines(M.random_gains(spark, int(p["nantennas"]), int(p.get("nbeams", 1)), float(p.get("low", 0.7)), float(p.get("high", 1.3)), int(p.get("seed", 1)), float(p.get("leakage", 0.0))))
+
+
+def plane(spark: SparkSession, p: dict) -> DataFrame:
+    """Channels first .. last of a stored cube."""
+    first, last = p["channels"]
+    return store.read_cube(spark, p["image"]).where(F.col("chan").between(int(first), int(last)))
+
+
 def _list(x) -> list:
     return x if isinstance(x, list) else [x]
 
 
-TASKS = {"split": split, "advise": advise, "concat": concat, "apply": calibrated, "noise": noisy, "scans": scans, "statistics": cube_statistics}
+TASKS = {
+    "split": split, "advise": advise, "concat": concat, "merge": merged, "apply": calibrated, "noise": noisy, "scans": scans, "statistics": cube_statistics,
+    "contsub": without_model, "image": imaged, "clean": cleaned, "gains": gains, "delays": delays, "mosaic": mosaic, "spectra": spectra, "simulate": simulated, "errors": errors, "slice": plane,
+}
 
 
 def main(args: list[str]) -> int:

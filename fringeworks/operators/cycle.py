@@ -61,8 +61,8 @@ def predicted_from(samples: DataFrame, model: DataFrame, kernel: G.Kernel, n: in
     return reduce(lambda df, hook: hook(df), VISIBILITY_HOOKS, out)
 
 
-def _minor_cycle(keys: list[str], n: int, minor: Callable[[], D.Control] | None, stop: float):
-    """Cleans a plane (dirty, psf, model) of pixels; without minor it only tells the residual."""
+def _minor_cycle(keys: list[str], n: int, minor: Callable[[], D.Control] | None, stop: float, border: int):
+    """Cleans a plane (dirty, psf, model) of pixels; without minor it only tells the residual. The border is not searched."""
     import pandas as pd
 
     def run(key, pdf):
@@ -72,21 +72,24 @@ def _minor_cycle(keys: list[str], n: int, minor: Callable[[], D.Control] | None,
             a[c][pdf["x"].to_numpy(), pdf["y"].to_numpy()] = pdf[c].to_numpy()
         top = a["psf"][n // 2, n // 2]
         dirty, psf = (a["dirty"] / top, a["psf"] / top) if top > 0 else (a["dirty"] * 0, a["psf"])
-        peak, model = float(np.abs(dirty).max()), a["model"]
+        inner = np.zeros((n, n))
+        inner[border : n - border, border : n - border] = 1
+        peak, model = float(np.abs(dirty * inner).max()), a["model"]
         if minor and peak > stop:
-            model = model + D.hogbom(dirty, psf, minor())[0]
+            model = model + D.hogbom(dirty, psf, minor(), inner)[0]
         x, y = np.indices((n, n))
         return pd.DataFrame({**{k: [v] * n * n for k, v in zip(keys, key, strict=True)}, "x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "model": model.ravel(), "residual": dirty.ravel(), "peak": peak})
 
     return run
 
 
-def major_cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str], weight: Column, cycles: int, minor: Callable[[], D.Control], stop: float = 0.0, correct=None) -> tuple[DataFrame, DataFrame]:
+def major_cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str], weight: Column, cycles: int, minor: Callable[[], D.Control], stop: float = 0.0, correct=None, border: int = 0) -> tuple[DataFrame, DataFrame]:
     """(keys, cycle, peak, flux: largest residual before each cycle's clean and flux of the model after it; keys, x, y, model, residual at the end).
 
     samples have plane, fracu, fracv, iu, iv, re, im. Every cycle is one pass over
     the samples; the model planes, which are bounded, are checkpointed between
-    cycles. Planes whose residual is at most stop are cleaned no more.
+    cycles. Planes whose residual is at most stop are cleaned no more. Pixels
+    within border of the edge, where a kernel's correction blows up, are not searched.
     """
     state, log = None, None
     context = samples.sparkSession.sparkContext
@@ -100,7 +103,7 @@ def major_cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str],
         grid = G.gridded(rows, kernel, Cx.of("re", "im").conj(), weight, keys)
         planes = G.images_of(grid, keys, n, {"dirty": ("re", "im"), "psf": ("psf_re", "psf_im")}, correct)
         planes = planes.withColumn("model", F.lit(0.0)) if state is None else planes.join(state.select(*keys, "x", "y", "model"), [*keys, "x", "y"])
-        state = planes.groupBy(*keys).applyInPandas(_minor_cycle(keys, n, None if cycle == cycles else minor, stop), schema).checkpoint()
+        state = planes.groupBy(*keys).applyInPandas(_minor_cycle(keys, n, None if cycle == cycles else minor, stop, border), schema).checkpoint()
         one = state.groupBy(*keys).agg(F.lit(cycle).alias("cycle"), F.max("peak").alias("peak"), F.sum("model").alias("flux"))
         log = one if log is None else log.unionByName(one)
     return log, state.drop("peak")
