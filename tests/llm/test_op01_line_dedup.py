@@ -41,3 +41,11 @@ def test_empty_table(make_docs):
 def test_query_is_the_sql(spark, duck, sf_dir):
     a, b = rows_of(op.query(spark, sf_dir).toPandas()), rows_of(duck.sql(op.SQL).df())
     assert a == b
+
+
+def test_very_long_texts(make_docs, clash):
+    """A hundred thousand lines of which another document has the middle."""
+    lines = [f"line number {k} of a long text" for k in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["begin", *lines[40_000:60_000], "end"]))]
+    got = {r.doc_id: (r._fw_removed, r.text) for r in op.dedup_lines(make_docs(rows, clash)).collect()}
+    assert got[1][0] == 0 and got[2] == (20_000, "begin\nend")

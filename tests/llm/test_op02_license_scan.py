@@ -63,3 +63,25 @@ def test_query_equals_a_plain_scan(spark, sf_dir):
     want = {(d, n) for d, t in docs for n, x in notice.items() if f" {x} " in f" {t} "}
     got = {(r.doc_id, r.license) for r in op.query(spark, sf_dir).where("coverage = 1").collect()}
     assert got == want and want
+
+
+def test_words_far_apart_similar_notices_and_clashing_columns(make_docs, clash):
+    words = APACHE.split()
+    spaced = " ".join(w for i, x in enumerate(words) for w in (x, *(["lorem"] * 20 if i == 30 else [])))  # 20 words inserted in one place
+    header = op.TEMPLATES["gpl-3.0-header"]
+    rows = [(1, spaced), (2, header), (3, "x " * 700 + header + " y" * 700), (4, header + "\n" + op.TEMPLATES["agpl-3.0-header"])]
+    out = {(r.doc_id, r.license): r.coverage for r in op.scan_licenses(make_docs(rows, clash)).collect()}
+    assert out[1, "apache-2.0-header"] == 1.0
+    for d in (2, 3):  # the notices of its family are told as the one that fits best
+        assert {n for i, n in out if i == d} == {"gpl-3.0-header"} and out[d, "gpl-3.0-header"] == 1.0
+    assert {n for i, n in out if i == 4} >= {"gpl-3.0-header", "agpl-3.0-header"}
+
+
+def test_every_stretch_lies_whole_in_a_window():
+    own = op.Scanner({"t": "a b c d e f g h i j"}, 0.8)
+    t, count = own.templates["t"], own.count["t"]
+    for before in range(0, 70, 3):
+        words = (["a", "z"] * 50)[:before] + ["z"] * 3 + t[:5] + ["z"] * 20 + t[5:] + ["j"] * 9
+        at = [i for i, w in enumerate(words) if w != "z"]
+        start = before + 3
+        assert any(a <= start and b >= start + 30 for a, b in own.windows(words, t, count)), (before, at)

@@ -102,3 +102,11 @@ def test_a_vector_that_a_third_of_all_rows_share(spark):
 
 def test_query_is_the_sql(spark, duck, sf_dir):
     assert rows_of(op.query(spark, sf_dir).toPandas()) == rows_of(duck.sql(op.SQL).df())
+
+
+def test_extra_columns_with_names_used_inside(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, "s", 2.0) for r in rows], "vec_id long, embedding array<float>, cell int, dim string, score double")
+    v = op.vectors(df, "vec_id", "embedding")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op.top_k(v.where("id % 2 = 0"), v, 3).collect()) == brute(rows)

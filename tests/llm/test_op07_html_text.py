@@ -109,3 +109,10 @@ def test_query_gives_each_article(spark, sf_dir):
         words = r.text.split(" ")
         bodies += any(" ".join(words[k:]) in docs for k in range(1, min(len(words), 40)))
     assert bodies >= 0.8 * len(rows)
+
+
+def test_very_long_pages(spark):
+    """Thirty thousand blocks, nine in ten of them alike on both pages of a host."""
+    html = lambda w: "<body>" + "".join(f"<p>{'same' if k % 10 else f'{w} {k}'}</p>" for k in range(30_000)) + "</body>"
+    got = texts(spark, [page(1, "http://h/a", html("one")), page(2, "http://h/b", html("two"))])
+    assert got[1][0] == " ".join(f"one {k}" for k in range(0, 30_000, 10)) and got[2][0].startswith("two 0 two 10 ")

@@ -52,3 +52,22 @@ def test_odd_documents_pass_through(spark, make_docs, sf_dir):
     for _, stage in cp.STAGES:
         empty = Scratch(spark).save(stage(spark, empty, sf_dir))
     assert empty.count() == 0
+
+
+def test_clashing_columns_repeated_ids_and_long_texts(spark, make_docs, clash, sf_dir):
+    """Extra columns come through every stage; other texts of a doc_id are documents of their own; a text of a million words is one document."""
+    good = ["The quiet river moved slowly past the old mill house.", "Children walked along the narrow path towards the village.", "Later that evening the rain began to fall again."]
+    body = lambda seed: "\n".join(f"{s[:-1]} in the year {seed} number {k}." for k in range(6) for s in good)
+    long = "\n".join(f"The quiet river moved slowly past mill number {k} in the old valley of the north." for k in range(60_000))
+    rows = [(1, body(1)), (1, body(2)), (2, body(1)), (2, body(3)), (None, body(4)), (3, long), (3, long)]
+    docs = make_docs(rows, clash)
+    names = docs.columns
+    for name, stage in cp.STAGES[1:-1]:
+        docs = Scratch(spark).save(stage(spark, docs, sf_dir))
+        assert docs.columns == names, name
+    kept = docs.collect()
+    assert {r.doc_id for r in kept} == {1, 2, 3, None} and sum(r.doc_id == 3 for r in kept) == 1
+    assert all(r.n_chars == len(r.text) and r.label == "x" for r in kept)
+    assert next(r for r in kept if r.doc_id == 3).text.startswith("The quiet river moved slowly past mill number 0")
+    out = cp.packing(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, None}
