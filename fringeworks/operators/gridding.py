@@ -69,6 +69,16 @@ def w_kernels(cell: float, n_planes: int, w_max: float, support: int = 5, oversa
     return rows
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of int, double and string columns as a local relation: no tasks, and Spark knows the size, so that it broadcasts what is small by itself."""
+    import pyarrow as pa
+
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]), schema)
+
+
 class Kernel:
     """Kernel rows, as a table to join with and as dense arrays for Arrow batches."""
 
@@ -79,14 +89,7 @@ class Kernel:
         self.is_small = len(rows) <= KERNEL_ROWS
 
     def frame(self) -> DataFrame:
-        import pyarrow as pa
-
-        # an Arrow table becomes a local relation: no tasks, and Spark knows its size
-        kinds = [pa.int32()] * 5 + [pa.float64()] * 2
-        names = [x.split()[0] for x in KERNEL_SCHEMA.split(", ")]
-        columns = list(zip(*self.rows, strict=True)) or [()] * 7
-        df = self.spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names), KERNEL_SCHEMA)
-        return F.broadcast(df) if self.is_small else df
+        return local_rows(self.spark, self.rows, KERNEL_SCHEMA)
 
     def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row of each plane and step or -1, weights by row and cell, which cells are there, (du, dv) of the cells)."""

@@ -13,6 +13,7 @@ from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
 from ..operators import aggregates as A
 from ..operators import calibrate as K
+from ..operators import cycle as Y
 from ..operators import deconv as D
 from ..operators import gridding as G
 from ..operators import select as P
@@ -116,7 +117,7 @@ _PIX = ", px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i - 4
 
 @query("dft_image", ctes("vis") + _PIX + f" SELECT pol, x, y, {r(f'sum(re * cos({2 * math.pi!r} * (u * l + v * m)) + im * sin({2 * math.pi!r} * (u * l + v * m))) / count(*)')} AS value FROM vis, px WHERE NOT flag GROUP BY pol, x, y")
 def dft_image(spark, sf):
-    px = spark.createDataFrame([(i, j, (i - 4) * 0.0005, (j - 4) * 0.0005) for i in range(8) for j in range(8)], "x int, y int, l double, m double")
+    px = G.local_rows(spark, [(i, j, (i - 4) * 0.0005, (j - 4) * 0.0005) for i in range(8) for j in range(8)], "x int, y int, l double, m double")
     return G.direct_image(G.spread(table(spark, sf, "vis").where("NOT flag")), px, ["pol"]).withColumn("value", rnd("value"))
 
 
@@ -128,18 +129,12 @@ _UP, _VP = f"((cos(bpa) * u + sin(bpa) * v) / {C!r})", f"((cos(bpa) * v - sin(bp
 _DECAY = f"exp(-((bmaj * {_UP}) * (bmaj * {_UP}) + (bmin * {_VP}) * (bmin * {_VP})) * {math.pi**2 / (4 * math.log(2))!r} * freq * freq)"
 
 
-def _components(spark):
-    return F.broadcast(spark.createDataFrame(COMPONENTS, "flux double, l double, m double, bmaj double, bmin double, bpa double, alpha double, f0 double"))
-
-
 def _predicted(spark, sf, gaussian: bool):
     """Component models summed per distinct geometry: rows with equal u, v, w and frequency are predicted once."""
     geo = G.spread(table(spark, sf, "vis")).groupBy("u", "v", "w", "freq").agg(F.count(F.lit(1)).alias("n"))
-    z = S.point_source("freq", "u", "v", "w", "flux", "l", "m", "alpha", "f0")
-    if gaussian:
-        z = z * S.gaussian_taper("freq", "u", "v", "bmaj", "bmin", "bpa")
-    one = geo.crossJoin(_components(spark)).groupBy("u", "v", "w", "freq", "n").agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
-    return one.select("u", "v", "w", "freq", "n", rnd("re").alias("re"), rnd("im").alias("im"))
+    names = ("flux", "l", "m", "bmaj", "bmin", "bpa", "alpha", "f0")
+    z = Y.predicted([dict(zip(names, c, strict=True)) | {"kind": "gaussian" if gaussian else "point"} for c in COMPONENTS])
+    return geo.select("u", "v", "w", "freq", "n", rnd(z.re).alias("re"), rnd(z.im).alias("im"))
 
 
 @query("predict_points", ctes("vis") + _CV + f" SELECT u, v, w, freq, n, {r(f'sum({_FLUX} * cos({_PHASE}))')} AS re, {r(f'sum({_FLUX} * sin({_PHASE}))')} AS im FROM (SELECT u, v, w, freq, count(*) AS n FROM vis GROUP BY u, v, w, freq), c GROUP BY u, v, w, freq, n")
@@ -541,7 +536,7 @@ _PSF = ", k AS (SELECT CAST(a.d AS INTEGER) AS dx, CAST(b.d AS INTEGER) AS dy, e
 
 
 def _psf(spark):
-    return F.broadcast(spark.createDataFrame([(i, j, math.exp(-(i * i + j * j) / 2.0)) for i in range(-2, 3) for j in range(-2, 3)], "dx int, dy int, w double"))
+    return G.local_rows(spark, [(i, j, math.exp(-(i * i + j * j) / 2.0)) for i in range(-2, 3) for j in range(-2, 3)], "dx int, dy int, w double")
 
 
 @query("hogbom_one_iteration", ctes("image") + _PSF + f", p AS (SELECT img, x AS px, y AS py, value AS pv FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY abs(value) DESC, x, y) AS n FROM image) WHERE n = 1) SELECT i.img, i.x, i.y, {r('i.value - 0.1 * coalesce(k.w, 0) * p.pv')} AS residual, CASE WHEN i.x = p.px AND i.y = p.py THEN {r('0.1 * p.pv')} ELSE 0.0 END AS model FROM image i JOIN p USING (img) LEFT JOIN k ON k.dx = i.x - p.px AND k.dy = i.y - p.py")
