@@ -268,8 +268,9 @@ def kept_lines(lines: list[str], kinds: bytes, marked: bool, shared: set[int]) -
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, and the numbers of kept_lines()."""
-    scratch = Scratch(pages.sparkSession)
-    near = scratch.save(neighbours(scratch.save(parsed(pages, False)), scratch))
+    scratch, work = Scratch(pages.sparkSession), Scratch(pages.sparkSession)
+    near = scratch.save(neighbours(work.save(parsed(pages, False)), work))
+    work.close()
     scratch.free()
     pairs = parsed(pages, True).join(near, same(F.col("host"), F.col("_host")) & same(F.col("path"), F.col("_path")), "left")
 
