@@ -23,7 +23,7 @@ HEADLINE = [
 ]
 
 
-SLOW_S = 8
+SLOW_S = 4
 
 
 def main() -> None:
