@@ -23,7 +23,7 @@ HEADLINE = [
 ]
 
 
-SLOW_S = 4
+SLOW_S = 12
 
 
 def main() -> None:

@@ -73,7 +73,7 @@ _NAMES = ("flux", "l", "m", "bmaj", "bmin", "bpa", "alpha", "f0")
 SELECT scan, pol, {r('d.re - s.re', 3)} AS re, {r('d.im - s.im', 3)} AS im FROM d JOIN s USING (scan, pol)""")
 def cont_subtract_model(spark, sf):
     """A component model taken out of every sample, summed for the comparison."""
-    v = Y.model_subtracted(G.spread(table(spark, sf, "vis").where("NOT flag")), [dict(zip(_NAMES, c, strict=True)) for c in COMPONENTS])
+    v = Y.model_subtracted(table(spark, sf, "vis", G.spread).where("NOT flag"), [dict(zip(_NAMES, c, strict=True)) for c in COMPONENTS])
     return v.groupBy("scan", "pol").agg(rnd(F.sum("re"), 3).alias("re"), rnd(F.sum("im"), 3).alias("im"))
 
 

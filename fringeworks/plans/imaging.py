@@ -28,7 +28,7 @@ _BOX = f", s AS (SELECT *, {_I} AS gu, {_J} AS gv, 1.0 / (sigma * sigma) AS wt F
 
 def _samples(spark, sf, support: int = 0, oversample: int = 1):
     """Unflagged samples with their cells on a 64 x 64 grid of 50-wavelength cells, off-grid ones left out."""
-    rows = P.with_uv_cells(G.spread(table(spark, sf, "vis").where("NOT flag AND sigma > 0")).withColumn("plane", F.lit(0)), 50.0, oversample, 64, wavelengths=True)
+    rows = P.with_uv_cells(table(spark, sf, "vis", G.spread).where("NOT flag AND sigma > 0").withColumn("plane", F.lit(0)), 50.0, oversample, 64, wavelengths=True)
     return rows.where(P.on_grid("iu", "iv", support, 64, 64))
 
 
@@ -118,7 +118,7 @@ _PIX = ", px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i - 4
 @query("dft_image", ctes("vis") + _PIX + f" SELECT pol, x, y, {r(f'sum(re * cos({2 * math.pi!r} * (u * l + v * m)) + im * sin({2 * math.pi!r} * (u * l + v * m))) / count(*)')} AS value FROM vis, px WHERE NOT flag GROUP BY pol, x, y")
 def dft_image(spark, sf):
     px = G.local_rows(spark, [(i, j, (i - 4) * 0.0005, (j - 4) * 0.0005) for i in range(8) for j in range(8)], "x int, y int, l double, m double")
-    return G.direct_image(G.spread(table(spark, sf, "vis").where("NOT flag")), px, ["pol"]).withColumn("value", rnd("value"))
+    return G.direct_image(table(spark, sf, "vis", G.spread).where("NOT flag"), px, ["pol"]).withColumn("value", rnd("value"))
 
 
 COMPONENTS = [(float(i + 1), 0.001 * i - 0.003, 0.002 - 0.0007 * i, 0.002 + 0.0001 * i, 0.001, 0.3 * i, -0.7 if i % 2 else 0.0, 1.1e9) for i in range(8)]
@@ -131,7 +131,7 @@ _DECAY = f"exp(-((bmaj * {_UP}) * (bmaj * {_UP}) + (bmin * {_VP}) * (bmin * {_VP
 
 def _predicted(spark, sf, gaussian: bool):
     """Component models summed per distinct geometry: rows with equal u, v, w and frequency are predicted once."""
-    geo = G.spread(table(spark, sf, "vis")).groupBy("u", "v", "w", "freq").agg(F.count(F.lit(1)).alias("n"))
+    geo = table(spark, sf, "vis", G.spread).groupBy("u", "v", "w", "freq").agg(F.count(F.lit(1)).alias("n"))
     names = ("flux", "l", "m", "bmaj", "bmin", "bpa", "alpha", "f0")
     z = Y.predicted([dict(zip(names, c, strict=True)) | {"kind": "gaussian" if gaussian else "point"} for c in COMPONENTS])
     return geo.select("u", "v", "w", "freq", "n", rnd(z.re).alias("re"), rnd(z.im).alias("im"))

@@ -6,6 +6,8 @@ serves as common table expressions for the SQL twin of a query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIS = """SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 36 AS INT) AS antenna1, CAST(l_partkey % 36 AS INT) AS antenna2,
@@ -43,14 +45,14 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a view."""
+def table(spark: SparkSession, sf_dir: str, name: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A base table or a view; each is applied to the base tables, before the view's expressions."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return each(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     text = VIEWS[name][0]
     frames = {}
     for need in _NEEDS.get(name, []) + _BASE.get(name, []):
-        frames[need] = table(spark, sf_dir, need)
+        frames[need] = table(spark, sf_dir, need, each)
     for need, df in frames.items():
         alias = f"{{{need}}}"
         for word in ("FROM", "JOIN"):
