@@ -1,6 +1,6 @@
 """All queries of the catalogue."""
 
-from . import arrays, extras, imaging, rows  # noqa: F401
+from . import arrays, extras, imaging, rows, solvers  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
