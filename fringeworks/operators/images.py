@@ -9,9 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _cubic(t: np.ndarray) -> np.ndarray:
+    """The interpolating cubic that is right up to squares."""
+    t = np.abs(t)
+    return np.where(t < 1, (1.5 * t - 2.5) * t * t + 1, np.where(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2, 0.0))
+
+
+def _lanczos(t: np.ndarray, lobes: int = 3) -> np.ndarray:
+    return np.where(np.abs(t) < lobes, np.sinc(t) * np.sinc(t / lobes), 0.0)
+
+
+#: Method -> (kernel over distance in pixels, pixels that it reaches to either side).
+INTERPOLATION = {"cubic": (_cubic, 2), "lanczos": (_lanczos, 3)}
+
+
 def regrid(image: np.ndarray, x: np.ndarray, y: np.ndarray, method: str = "linear") -> np.ndarray:
-    """Values at fractional pixel places; 0 outside."""
+    """Values at fractional pixel places by nearest, linear, cubic or lanczos interpolation; 0 outside, and beyond the edge for what reaches there."""
     n, m = image.shape
+    if method in INTERPOLATION:
+        kernel, reach = INTERPOLATION[method]
+        i, j = np.floor(x).astype(int), np.floor(y).astype(int)
+        steps = range(1 - reach, reach + 1)
+        wx, wy = ([kernel(p - (q + s)) for s in steps] for p, q in ((x, i), (y, j)))
+        wx, wy = ([w / sum(ws) for w in ws] for ws in (wx, wy))
+        out = np.zeros(np.shape(x))
+        for a, u in zip(steps, wx, strict=True):
+            for b, v in zip(steps, wy, strict=True):
+                ok = (i + a >= 0) & (i + a < n) & (j + b >= 0) & (j + b < m)
+                out += np.where(ok, u * v * image[np.clip(i + a, 0, n - 1), np.clip(j + b, 0, m - 1)], 0.0)
+        return out
     if method == "nearest":
         i, j = np.floor(x + 0.5).astype(int), np.floor(y + 0.5).astype(int)
         ok = (i >= 0) & (i < n) & (j >= 0) & (j < m)

@@ -18,6 +18,7 @@ from ..operators import illumination as L
 from ..operators import images as I  # noqa: E741
 from ..operators import select as P
 from ..operators import simulate as M
+from ..operators import taylor as Y
 from ..sources import text as T
 from ..sources.driver_tables import ctes, table
 from ..streaming import solutions as Z
@@ -47,11 +48,19 @@ def clean_multi_scale(spark, sf):
 
 @query("clean_multi_term")
 def clean_multi_term(spark, sf):
-    def work(dirty, psf):
-        model, residual, _ = D.multi_term([dirty, dirty * 0.1], [psf, psf * 0.05, psf * 0.02], [0.0, 3.0], D.Control(8, 0.1), "MAXCHISQ")
-        return model[0], residual[0]
+    """The table's samples with wide channels: two terms cleaned on the equations that they have themselves."""
+    s = _samples(spark, sf).withColumn("freq", 1.4e9 + 4e7 * (F.col("chan") - 8))
+    cells = Y.equations(s, G.kernel_table(spark, G.box_kernel()), Cx.of("re", "im").conj(), Y.offset("freq", 1.4e9), P.noise_weight("sigma"), ["pol"], 2)
 
-    return _clean(spark, sf, work)
+    def work(a):
+        top = a["psf0"][32, 32]
+        if not top > 0:
+            return {"model": a["dirty0"] * 0, "model1": a["dirty0"] * 0, "residual": a["dirty0"]}
+        model, residual, _ = D.multi_term([a[f"dirty{t}"] / top for t in range(2)], [a[f"psf{t}"] / top for t in range(3)], [0.0, 3.0], D.Control(8, 0.1), "MAXCHISQ")
+        return {"model": model[0], "model1": model[1], "residual": residual[0]}
+
+    planes = Y.images(cells, ["pol"], 64, 2)
+    return D.per_plane(planes, ["pol"], 64, work, ["dirty0", "dirty1", "psf0", "psf1", "psf2"], ["model", "model1", "residual"]).withColumns({c: rnd(c) for c in ("model", "model1", "residual")})
 
 
 @query("deconvolve_fista")

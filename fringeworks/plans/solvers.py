@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
 from ..operators import ddcal as DD
+from ..operators import deconv as D
+from ..operators import gridding as G
 from ..operators import lsqr as L
 from ..operators import select as P
-from ..sources.driver_tables import table
-from .registry import query
+from ..operators import snapshot as N
+from ..operators import taylor as T
+from ..sources.driver_tables import ctes, table
+from .imaging import _BOX, _samples
+from .registry import query, r
 
 ANTENNAS, CHANNELS, NOISE = 36, 16, 0.3
 
@@ -69,3 +76,67 @@ def dd_gain_solve(spark, sf):
     v = table(spark, sf, "vis").where("NOT flag AND sigma > 0")
     sums = DD.products(v, ["pol"], seen_in_directions(), direction_models(), P.noise_weight("sigma"))
     return DD.solved(sums, ["pol"], ANTENNAS, len(DIRECTIONS)).withColumns({c: rnd(c, 4) for c in ("g_re", "g_im")})
+
+
+#: Wide channels, so that spectra show: reference frequency and width of a channel.
+F0, WIDTH = 1.4e9, 4e7
+#: x, y, flux and spectral index.
+TAYLOR_SKY = ((20, 40, 2.0, -0.8), (45, 30, 1.0, 0.5), (33, 12, 0.5, -2.0))
+
+
+def taylor_samples(spark, sf):
+    """The table's samples, seeing sources with spectra; each falls into its cell whatever its frequency."""
+    x = F.col("chan").cast("double") - CHANNELS / 2
+    s = _samples(spark, sf).withColumn("freq", F0 + WIDTH * x)
+    phase = lambda x, y: 2 * math.pi / 64 * ((F.col("iu") - 32) * (x - 32) + (F.col("iv") - 32) * (y - 32))
+    flux = lambda f, a: f * F.pow(F.col("freq") / F0, F.lit(a))
+    re, im = (sum(flux(f, a) * fn(phase(x, y)) for x, y, f, a in TAYLOR_SKY) for fn in (F.cos, F.sin))
+    return s.select("pol", "plane", "fracu", "fracv", "iu", "iv", "sigma", "freq", re.alias("re"), im.alias("im"))
+
+
+_X = f"(({F0!r} + {WIDTH!r} * (chan - {CHANNELS / 2!r})) / {F0!r} - 1)"
+_BOXES = _BOX.replace("sum(wt) AS weight", "sum(wt) AS pcf, " + ", ".join([f"sum(re * wt * x ** {t}) AS r{t}_re, sum(-im * wt * x ** {t}) AS r{t}_im" for t in range(2)] + [f"sum(wt * x ** {t}) AS p{t}_re" for t in range(3)])).replace("SELECT *,", f"SELECT *, {_X} AS x,")
+
+
+@query("taylor_equations", ctes("vis") + _BOXES + " SELECT pol, gu, gv, " + ", ".join(f"{r(c, 4)} AS {c}" for c in ("r0_re", "r0_im", "r1_re", "r1_im", "p0_re", "p1_re", "p2_re", "pcf")) + " FROM g")
+def taylor_equations(spark, sf):
+    """Residuals of two terms, three point-spread functions and the preconditioner function of every cell, from one pass."""
+    s = _samples(spark, sf).withColumn("freq", F0 + WIDTH * (F.col("chan").cast("double") - CHANNELS / 2))
+    e = T.equations(s, G.kernel_table(spark, G.box_kernel()), Cx.of("re", "im").conj(), T.offset("freq", F0), P.noise_weight("sigma"), ["pol"], 2)
+    return e.select("pol", "gu", "gv", *[rnd(c, 4).alias(c) for c in ("r0_re", "r0_im", "r1_re", "r1_im", "p0_re", "p1_re", "p2_re", "pcf")])
+
+
+def taylor_model(spark, sf, rounds: int = 3):
+    control = lambda: D.Control(60, 0.3, fraction=0.1)
+    return T.cycles(taylor_samples(spark, sf), G.kernel_table(spark, G.box_kernel()), 64, ["pol"], "freq", F0, P.noise_weight("sigma"), 2, rounds, control, stop=1e-4)
+
+
+@query("taylor_cycles")
+def taylor_cycles(spark, sf):
+    """Pixels with flux, their flux and spectral index, after cycles of cleaning two terms on their own equations."""
+    _, model = taylor_model(spark, sf)
+    return T.spectral_index(model, 0.05).where("alpha IS NOT NULL").select("pol", "x", "y", rnd("model0", 3).alias("flux"), rnd("alpha", 2).alias("alpha"))
+
+
+#: l, m of a source far from the middle of an image of one radian; wavelengths of a cell.
+WIDE, CELL = (0.3125, -0.25), 1.0
+
+
+def tilted_samples(spark, sf):
+    """The table's samples in smaller units, on a plane that differs from scan to scan, seeing one source."""
+    k = F.col("scan").cast("double")
+    v = table(spark, sf, "vis", G.spread).where("NOT flag AND sigma > 0").withColumns({"u": F.col("u") / 50, "v": F.col("v") / 50, "time_s": k * 100})
+    v = v.withColumn("w", 0.5 * F.sin(k) * F.col("u") + 0.5 * F.cos(k) * F.col("v"))
+    l, m = WIDE  # noqa: E741
+    phase = 2 * math.pi * (F.col("u") * l + F.col("v") * m + F.col("w") * (math.sqrt(1 - l * l - m * m) - 1))
+    v = v.withColumns({"re": F.cos(phase), "im": F.sin(phase), "plane": F.lit(0)})
+    v = N.segmented(v, ["pol"], 0.01, 400.0)
+    rows = P.with_uv_cells(v, CELL, 4, 64, wavelengths=True)
+    return rows.where(P.on_grid("iu", "iv", 2, 64, 64))
+
+
+@query("snapshot_image")
+def snapshot_image(spark, sf):
+    """All scans imaged on their own planes, reprojected and added: the source is one pixel."""
+    out = N.snapshot_image(tilted_samples(spark, sf), G.kernel_table(spark, G.spheroidal_kernel(2, 4)), ["pol"], 64, CELL, P.noise_weight("sigma"), correct=G.spheroidal_correction)
+    return out.withColumns({c: rnd(c, 4) for c in ("value", "weight")})
