@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
+from ..operators import apertures as AP
 from ..operators import ddcal as DD
 from ..operators import deconv as D
+from ..operators import delays as Y
 from ..operators import gridding as G
+from ..operators import illumination as L_
 from ..operators import lsqr as L
+from ..operators import opcal as OP
 from ..operators import select as P
 from ..operators import snapshot as N
 from ..operators import taylor as T
@@ -140,3 +144,82 @@ def snapshot_image(spark, sf):
     """All scans imaged on their own planes, reprojected and added: the source is one pixel."""
     out = N.snapshot_image(tilted_samples(spark, sf), G.kernel_table(spark, G.spheroidal_kernel(2, 4)), ["pol"], 64, CELL, P.noise_weight("sigma"), correct=G.spheroidal_correction)
     return out.withColumns({c: rnd(c, 4) for c in ("value", "weight")})
+
+
+def dish(wavelength: float):
+    """A 12 m dish with a blocked middle whose taper follows the wavelength, in cells of a metre."""
+    return L_.tapered(32, 1.0, 12.0, 2.0, edge_db=-10.0 * 0.25 / wavelength)
+
+
+def aperture_samples(spark, sf):
+    """The table's samples with the pointing of each field's feeds, which moves once, and w planes."""
+    late = F.col("time_s") >= 1998 * 12 * 31 * 86400.0
+    s = _samples(spark, sf, 2, 4).withColumnRenamed("feed1", "feed").withColumns({
+        "l": 0.004 * (F.col("feed") - 3) + F.when(late, 0.002).otherwise(0.0), "m": 0.001 * (F.col("field_id") % 5), "pa": F.lit(0.1) * (F.col("field_id") % 2),
+        "wp": P.w_plane("w", 50.0, 5, clip=True)})
+    return AP.with_bands(AP.with_epochs(s, 0.001, 0.05, 366 * 86400.0), 8e6)
+
+
+@query("grid_a_w_stack")
+def grid_a_w_stack(spark, sf):
+    """Kernels by field, feed, epoch of pointing and band, made where they are needed; one grid a w plane."""
+    s = aperture_samples(spark, sf).where("wp >= 0")
+    g = AP.gridded(s, AP.kernels(s, dish, 1.0, 2, 4), Cx.of("re", "im").conj(), P.noise_weight("sigma"), ["pol", "wp"])
+    return g.select("pol", "wp", "gu", "gv", *[rnd(c, 5).alias(c) for c in ("re", "im", "weight")])
+
+
+def delay_of(antenna):
+    """Delays (s) of the antennas in antenna_delay_solve."""
+    return ((antenna * 5) % 11 - 5) * 2e-8
+
+
+def delayed_samples(spark, sf):
+    v = table(spark, sf, "vis")
+    phase = 2 * math.pi * (F.col("freq") - 1.1e9) * (delay_of(F.col("antenna1")) - delay_of(F.col("antenna2")))
+    z = Cx.polar(F.lit(1.0), phase) + Cx.of("re", "im") * NOISE
+    return v.withColumns({"re": z.re, "im": z.im})
+
+
+@query("antenna_delay_solve")
+def antenna_delay_solve(spark, sf):
+    """Delays of all antennas from lags of baselines, with the table's values as noise."""
+    b = Y.baseline_delays(Y.spectra(delayed_samples(spark, sf), [], 1, 5.0), [], CHANNELS, 1e6).where("n_chan > 2")
+    return Y.antenna_delays(b, [], 0, 0.5).select("antenna", rnd(F.col("delay") * 1e9, 3).alias("delay_ns"), "n_baselines")
+
+
+_OP = f""", c AS (SELECT DISTINCT CAST(floor(time_s / 3600) AS BIGINT) AS cycle FROM ts), s AS (SELECT CAST(k % 7 AS INTEGER) AS beam, CAST(k AS INTEGER) AS scan, k * 30 AS first, k * 30 + 100 AS last FROM range(0, 25) t(k)),
+m AS (SELECT cycle, beam, min(scan) AS scan FROM c JOIN s ON cycle BETWEEN first AND last GROUP BY cycle, beam),
+p AS (SELECT c.cycle, coalesce(string_agg(beam || ':' || scan, ' ' ORDER BY beam), '') AS beams FROM c LEFT JOIN m USING (cycle) GROUP BY c.cycle),
+d AS (SELECT *, CASE WHEN lag(beams) OVER (ORDER BY cycle) = beams THEN 0 ELSE 1 END AS cut FROM p), o AS (SELECT cycle, beams, sum(cut) OVER (ORDER BY cycle) AS chunk FROM d)"""
+
+
+def _op_scans(spark):
+    k = F.col("id")
+    return spark.range(25).select(F.lit("events").alias("dataset"), (k % 7).cast("int").alias("beam"), k.cast("int").alias("scan"), (k * 30).alias("first"), (k * 30 + 100).alias("last"))
+
+
+def op_chunks(spark, sf):
+    cycles = table(spark, sf, "ts").select(F.lit("events").alias("dataset"), F.floor(F.col("time_s") / 3600).cast("long").alias("cycle"))
+    return OP.chunks(cycles, _op_scans(spark), 24 * 30)
+
+
+@query("opcal_chunks", ctes("ts") + _OP + " SELECT CAST(chunk AS INTEGER) AS chunk, min(cycle) AS first, max(cycle) AS last, count(*) AS n_cycles, any_value(beams) AS beams FROM o GROUP BY chunk")
+def opcal_chunks(spark, sf):
+    """Stretches of cycles over which every beam stays in its scan."""
+    beams = F.array_join(F.transform(F.sort_array(F.map_entries("beams")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
+    o = op_chunks(spark, sf).withColumn("beams", beams)
+    return o.groupBy("chunk").agg(F.min("cycle").alias("first"), F.max("cycle").alias("last"), F.count(F.lit(1)).alias("n_cycles"), F.first("beams").alias("beams"))
+
+
+def op_gain(antenna, beam) -> Cx:
+    return Cx.polar(1 + 0.03 * ((antenna + beam) % 4), 0.15 * ((antenna * 3 + beam) % 5) - 0.3)
+
+
+@query("opcal_gains")
+def opcal_gains(spark, sf):
+    """Gains of every beam's part of every chunk, from samples that went through known ones with the table's values as noise."""
+    v = table(spark, sf, "vis_pol").where("NOT flag AND pol = 0")
+    z = op_gain(F.col("antenna1"), F.col("beam")) * op_gain(F.col("antenna2"), F.col("beam")).conj() + Cx.of("re", "im") * 0.1
+    s = v.select(F.lit("events").alias("dataset"), F.floor(F.col("time_s") / 3600).cast("long").alias("cycle"), "beam", "antenna1", "antenna2", z.re.alias("re"), z.im.alias("im"), F.lit(1.0).alias("m_re"), F.lit(0.0).alias("m_im"))
+    out = OP.solved(s, op_chunks(spark, sf), F.lit(1.0), ANTENNAS)
+    return out.select("chunk", "beam", "scan", "antenna", rnd("amplitude", 3).alias("amplitude"), rnd("phase", 3).alias("phase"), "valid")
