@@ -8,6 +8,9 @@ A license is found where aligned words of a template lie within SPAN times its
 length plus SLACK words of the text (so many may be inserted) and cover enough
 of it. Windows twice as long follow at half their length, so every such stretch
 lies whole in one of them, wherever it is and however far the words are apart.
+Where notices repeat, such a window holds several and no word is unique in it:
+each place where a template may begin, told by the words that are unique in the
+template and by where they stand in it, gets a window of its own.
 
 Exact tests spare most texts and windows the alignment. A text can only reach
 the threshold if it holds one of any m + 1 template words, m being how many may
@@ -15,10 +18,13 @@ be missing; and a text or window only if the template words that it holds at
 all are enough. The scan is narrow: one row in, a row out for every license
 found, no shuffle.
 
-A license is reported once per document, by its window of best coverage, the
-first at a tie. Where templates resemble each other, a license whose words lie
-for the larger part in the stretch of a better covered one is not reported; at
-equal coverage both are. Null and empty texts give no rows, nor do texts
+Every occurrence of a license is a row. Occurrences of one license do not
+overlap: one that spans several others stays only if it has more words than
+they have together. Where templates resemble each other, a license whose words
+lie for the larger part in the stretch of another goes if that has as many
+words at least and covers more of its template; a template that is part of
+another never outdoes it. What lies in the stretch of a license with more words
+tells its name in within, null otherwise. Null and empty texts give no rows, nor do texts
 without a match; empty tables none. Repeated rows are reported each. A null
 doc_id stays null. Very long texts are scanned whole, one at a time. Extra
 columns are ignored, whatever their names.
@@ -154,8 +160,8 @@ class Scanner:
     def span(self, t: list[str]) -> int:
         return SPAN * len(t) + SLACK
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
-        """(license, coverage, matched, template words, first word, last word) of every license found."""
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int, int, str | None]]:
+        """(license, coverage, matched, template words, first word, last word, within) of every occurrence found."""
         low = text.lower()
         if not any(k in low for k in self.keys):
             return []
@@ -165,25 +171,61 @@ class Scanner:
             least, own = self.least(t), self.count[name]
             if sum(n for w, n in own.items() if w in have) < least:
                 continue
-            best = None
-            for a, b in self.windows(words, t, own):
-                pairs = self._dense(align(words[a:b], t), self.span(t))
-                if (rest := len(t) - len(pairs)) and pairs:  # words may have gone to chance places far off: once more, close by
-                    lo, hi = max(0, a + pairs[0][0] - rest), a + pairs[-1][0] + 1 + rest
-                    near = self._dense(align(words[lo:hi], t), self.span(t))
-                    if len(near) > len(pairs):
-                        a, pairs = lo, near
-                if len(pairs) >= least and (best is None or len(pairs) > best[2]):
-                    best = (name, len(pairs) / len(t), len(pairs), len(t), a + pairs[0][0], a + pairs[-1][0])
-            if best:
-                found.append(best)
-        return [x for x in found if not any(self._outdone(x, y) for y in found)]
+            close = self._apart([x for a, b in self.starts(words, t, own) if (x := self._found(words, a, b, t))], words, t)
+            wide = [x for a, b in self.windows(words, t, own) if (x := self._found(words, a, b, t))]
+            for x in sorted(wide, key=lambda x: (-x[0], x[1])):
+                met = [y for y in close if y[1] <= x[2] and x[1] <= y[2]]
+                if x[0] > sum(y[0] for y in met):
+                    close = [y for y in close if y not in met] + [x]
+            found += [(name, n / len(t), n, len(t), lo, hi) for n, lo, hi in sorted(close, key=lambda x: x[1])]
+        kept = [x for x in found if not any(self._outdone(x, y) for y in found)]
+        return [(*x, max((y for y in kept if y[2] > x[2] and self._inside(x, y)), key=lambda y: y[2], default=(None,))[0]) for x in kept]
+
+    def starts(self, words: list[str], t: list[str], own: Counter) -> list[tuple[int, int]]:
+        """Windows of about the template's length, one for each place where enough of its unique words say that it begins."""
+        place = {w: i for i, w in enumerate(t) if own[w] == 1}
+        missing = len(t) - self.least(t)
+        votes = sorted(i - place[w] for i, w in enumerate(words) if w in place)
+        enough, reach, out, i = max(1, len(place) - missing), max(3, missing), [], 0
+        for j in range(1, len(votes) + 1):
+            if j == len(votes) or votes[j] - votes[j - 1] > reach:
+                if j - i >= enough:
+                    out.append((max(0, votes[i] - 1), min(len(words), votes[j - 1] + len(t) + 1)))
+                i = j
+        return out
+
+    def _found(self, words: list[str], a: int, b: int, t: list[str], low: int = 0, high: int | None = None) -> tuple[int, int, int] | None:
+        """(matched, first word, last word) of the template in words[a:b], if it is covered enough; never outside of words[low:high]."""
+        pairs = self._dense(align(words[a:b], t), self.span(t))
+        if (rest := len(t) - len(pairs)) and pairs:  # words may have gone to chance places far off: once more, close by
+            lo, hi = max(low, a + pairs[0][0] - rest), min(len(words) if high is None else high, a + pairs[-1][0] + 1 + rest)
+            near = self._dense(align(words[lo:hi], t), self.span(t))
+            if len(near) > len(pairs):
+                a, pairs = lo, near
+        return (len(pairs), a + pairs[0][0], a + pairs[-1][0]) if len(pairs) >= self.least(t) else None
+
+    def _apart(self, found: list[tuple[int, int, int]], words: list[str], t: list[str]) -> list[tuple[int, int, int]]:
+        """Those that do not overlap, the ones with most words and then the shortest first; of the others what they have beside these."""
+        out: list[tuple[int, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            met = [y for y in out if y[1] <= x[2] and x[1] <= y[2]]
+            if met:
+                edges = sorted([(y[1], y[2]) for y in met])
+                free = [(a, b) for a, b in zip([x[1], *(hi + 1 for _, hi in edges)], [*(lo for lo, _ in edges), x[2] + 1], strict=True) if b > a]
+                x = max((z for a, b in free if (z := self._found(words, a, b, t, a, b))), default=None)
+            if x:
+                out.append(x)
+        return out
 
     @staticmethod
-    def _outdone(x, y) -> bool:
-        """Whether y covers its template better and most of x's stretch."""
-        shared = min(x[5], y[5]) - max(x[4], y[4]) + 1
-        return y[1] > x[1] and 2 * shared > x[5] - x[4] + 1
+    def _inside(x, y) -> bool:
+        """Whether the larger part of x's stretch is y's too."""
+        return 2 * (min(x[5], y[5]) - max(x[4], y[4]) + 1) > x[5] - x[4] + 1
+
+    @classmethod
+    def _outdone(cls, x, y) -> bool:
+        """Whether y, with as many words at least, covers its template better over most of x's stretch."""
+        return y[2] >= x[2] and y[1] > x[1] and cls._inside(x, y)
 
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
@@ -198,18 +240,18 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, n_matched, n_template, first_word, last_word."""
+    """doc_id, license, coverage, n_matched, n_template, first_word, last_word, within."""
     templates = templates or TEMPLATES
 
     def run(it):
         own = Scanner(templates, coverage)
         for b in pieces(it, 1):
             rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x in own.scan(t)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "license", "coverage", "n_matched", "n_template", "first_word", "last_word"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "license", "coverage", "n_matched", "n_template", "first_word", "last_word", "within"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, coverage double, n_matched long, n_template long, first_word long, last_word long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, coverage double, n_matched long, n_template long, first_word long, last_word long, within string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
