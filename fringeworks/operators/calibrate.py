@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.complexcols import Cx
 from ..functions.scalar import C_LIGHT
+from . import ordered as O  # noqa: E741
 
 
 def corrected(value: Cx, g1: Cx, g2: Cx) -> Cx:
@@ -199,12 +200,13 @@ def continuum_fit(spectra: DataFrame, by: list[str], order: int, x: str = "chan"
     return spectra.groupBy(*by).applyInPandas(run, schema)
 
 
-def unwrapped(rows: DataFrame, by: list[str], order: list[str], phase: str) -> DataFrame:
-    """Adds unwrapped: steps beyond 3 pi / 2 gain or lose a turn, summed over the order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    step = F.col(phase) - F.lag(phase).over(w)
+def unwrapped(rows: DataFrame, by: list[str], order: list[str], phase: str, bucket: Column) -> DataFrame:
+    """Adds unwrapped and step (from the row before): steps beyond 3 pi / 2 gain or lose a turn, summed over the order, bucket by bucket."""
+    seen = O.previous(rows, by, order, bucket, [phase])
+    step = F.col(phase) - F.col(f"_prev.{phase}")
     turn = F.when(step > 1.5 * math.pi, -2 * math.pi).when(step < -1.5 * math.pi, 2 * math.pi).otherwise(0.0)
-    return rows.withColumn("_turn", F.coalesce(turn, F.lit(0.0))).withColumn("unwrapped", F.col(phase) + F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
+    seen = O.running_sum(seen.withColumn("_turn", F.coalesce(turn, F.lit(0.0))), by, order, bucket, F.col("_turn"), "_turns")
+    return seen.withColumns({"unwrapped": F.col(phase) + F.col("_turns"), "step": step + F.col("_turn")}).drop("_prev", "_turn", "_turns")
 
 
 def eigen_weights(covariance: np.ndarray) -> np.ndarray:

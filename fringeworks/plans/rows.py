@@ -12,6 +12,7 @@ from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
 from ..operators import aggregates as A
 from ..operators import calibrate as K
+from ..operators import gridding as G
 from ..operators import joins as J
 from ..operators import ordered as O  # noqa: E741
 from ..operators import select as P
@@ -255,9 +256,8 @@ SELECT event_id, antenna, {r('unwrapped', 4)} AS unwrapped, {r('unwrapped - lag(
 def phase_unwrap(spark, sf):
     x = F.col("value") * 0.7
     p = table(spark, sf, "ts").withColumn("phase", x - F.floor(x / 6.25) * 6.25 - 3.125)
-    u = K.unwrapped(p, ["antenna"], ["time_s", "event_id"], "phase")
-    w = Window.partitionBy("antenna").orderBy("time_s", "event_id")
-    return u.select("event_id", "antenna", rnd("unwrapped", 4).alias("unwrapped"), rnd(F.col("unwrapped") - F.lag("unwrapped").over(w), 4).alias("step"))
+    u = K.unwrapped(p, ["antenna"], ["time_s", "event_id"], "phase", F.floor(F.col("time_s") / 86400))
+    return u.select("event_id", "antenna", rnd("unwrapped", 4).alias("unwrapped"), rnd("step", 4).alias("step"))
 
 
 @query("scan_sessions", ctes("ts") + """, b AS (SELECT *, CASE WHEN lag(event_id) OVER o IS NULL OR abs(time_s - lag(time_s) OVER o) > 1800 OR antenna % 3 <> lag(antenna % 3) OVER o THEN 1 ELSE 0 END AS cut FROM ts WINDOW o AS (PARTITION BY beam ORDER BY time_s, event_id)),
@@ -290,7 +290,7 @@ def scan_match(spark, sf):
 
 @query("asof_gain", ctes("ts", "vis_pol", "gains") + f" SELECT v.row_id, v.pol, {r('g.g_re')} AS g_re, {r('g.g_im')} AS g_im, g.time_s AS sol_s, g.valid FROM vis_pol v ASOF LEFT JOIN gains g ON v.antenna2 = g.antenna AND v.time_s >= g.time_s")
 def asof_gain(spark, sf):
-    v = table(spark, sf, "vis_pol").select("row_id", "pol", "antenna2", "time_s")
+    v = table(spark, sf, "vis_pol", G.spread).select("row_id", "pol", "antenna2", "time_s")
     g = table(spark, sf, "gains").withColumnRenamed("time_s", "sol_s")
     out = J.asof(v, g, {"antenna2": "antenna"}, "time_s", "sol_s", ["g_re", "g_im", "valid"])
     return out.select("row_id", "pol", rnd("g_re").alias("g_re"), rnd("g_im").alias("g_im"), "sol_s", "valid")
@@ -303,7 +303,7 @@ _G = "(v.re * gr + v.im * gi) / (gr * gr + gi * gi)", "(v.im * gr - v.re * gi) /
  FROM vis_pol v ASOF LEFT JOIN gains a ON v.antenna1 = a.antenna AND v.time_s >= a.time_s ASOF LEFT JOIN gains b ON v.antenna2 = b.antenna AND v.time_s >= b.time_s)
 SELECT row_id, pol, CASE WHEN ok THEN {r(_G[0])} ELSE 0.0 END AS re, CASE WHEN ok THEN {r(_G[1])} ELSE 0.0 END AS im, v.flag OR NOT ok AS flag FROM v""")
 def apply_gain(spark, sf):
-    v, g = table(spark, sf, "vis_pol"), table(spark, sf, "gains").withColumnRenamed("time_s", "sol_s")
+    v, g = table(spark, sf, "vis_pol", G.spread), table(spark, sf, "gains").withColumnRenamed("time_s", "sol_s")
     for antenna, n in (("antenna1", 1), ("antenna2", 2)):
         own = g.select("antenna", F.col("sol_s").alias(f"s{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"), F.col("valid").alias(f"ok{n}"))
         v = J.asof(v, own, {antenna: "antenna"}, "time_s", f"s{n}", [f"g{n}_re", f"g{n}_im", f"ok{n}"])
@@ -318,7 +318,7 @@ f AS (SELECT *, (time_s - tb) / (ta - tb) AS f, (ar * br + ai * bi) / (br * br +
 s AS (SELECT *, 1 + (sqrt(qr * qr + qi * qi) - 1) * f AS a, atan2(qi, qr) * f AS p FROM f)
 SELECT row_id, {r('CASE WHEN ta > tb THEN a * (br * cos(p) - bi * sin(p)) ELSE br END')} AS g_re, {r('CASE WHEN ta > tb THEN a * (br * sin(p) + bi * cos(p)) ELSE bi END')} AS g_im FROM s""")
 def gain_interp_time(spark, sf):
-    v = table(spark, sf, "vis_pol").select("row_id", "antenna2", "time_s").distinct()
+    v = table(spark, sf, "vis_pol", G.spread).select("row_id", "antenna2", "time_s").distinct()
     g = table(spark, sf, "gains")
     before = g.select("antenna", F.col("time_s").alias("tb"), F.col("g_re").alias("br"), F.col("g_im").alias("bi"))
     after = g.select("antenna", F.col("time_s").alias("ta"), F.col("g_re").alias("ar"), F.col("g_im").alias("ai"))
@@ -439,8 +439,8 @@ def baseline_match(spark, sf):
 @query("cycle_average", ctes("ts") + f", n AS (SELECT antenna, value, flag, CAST(floor((row_number() OVER (PARTITION BY antenna ORDER BY time_s, event_id) - 1) / 5) AS INTEGER) AS block FROM ts) SELECT antenna, block, {r('avg(CASE WHEN flag THEN 0 ELSE value END)')} AS value, count(*) AS n_cycles FROM n GROUP BY antenna, block")
 def cycle_average(spark, sf):
     """Every five consecutive cycles averaged, flagged samples as zero, the last group over its own count."""
-    block = F.floor((F.row_number().over(Window.partitionBy("antenna").orderBy("time_s", "event_id")) - 1) / 5).cast("int")
-    n = table(spark, sf, "ts").withColumn("block", block)
+    n = O.running_sum(table(spark, sf, "ts"), ["antenna"], ["time_s", "event_id"], F.floor(F.col("time_s") / 86400), F.lit(1), "place")
+    n = n.withColumn("block", F.floor((F.col("place") - 1) / 5).cast("int"))
     return n.groupBy("antenna", "block").agg(rnd(F.avg(F.when(F.col("flag"), 0.0).otherwise(F.col("value")))).alias("value"), F.count(F.lit(1)).alias("n_cycles"))
 
 
