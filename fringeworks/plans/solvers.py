@@ -10,6 +10,8 @@ from ..functions import scalar as S
 from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
 from ..operators import apertures as AP
+from ..operators import components as CO
+from ..operators import continuum as CN
 from ..operators import ddcal as DD
 from ..operators import deconv as D
 from ..operators import delays as Y
@@ -21,7 +23,7 @@ from ..operators import select as P
 from ..operators import snapshot as N
 from ..operators import taylor as T
 from ..sources.driver_tables import ctes, table
-from .imaging import _BOX, _samples
+from .imaging import _BOX, _planes, _samples
 from .registry import query, r
 
 ANTENNAS, CHANNELS, NOISE = 36, 16, 0.3
@@ -223,3 +225,54 @@ def opcal_gains(spark, sf):
     s = v.select(F.lit("events").alias("dataset"), F.floor(F.col("time_s") / 3600).cast("long").alias("cycle"), "beam", "antenna1", "antenna2", z.re.alias("re"), z.im.alias("im"), F.lit(1.0).alias("m_re"), F.lit(0.0).alias("m_im"))
     out = OP.solved(s, op_chunks(spark, sf), F.lit(1.0), ANTENNAS)
     return out.select("chunk", "beam", "scan", "antenna", rnd("amplitude", 3).alias("amplitude"), rnd("phase", 3).alias("phase"), "valid")
+
+
+#: A Gaussian and a point; where the fit begins.
+TRUE_SOURCES = [{"flux": 3.0, "l": 2e-4, "m": -1e-4, "alpha": 0.0, "f0": 1.1e9, "bmaj": 2e-4, "bmin": 1e-4, "bpa": 0.6}, {"flux": 1.0, "l": -3e-4, "m": 4e-4, "alpha": 0.0, "f0": 1.1e9}]
+FIRST_SOURCES = [{**TRUE_SOURCES[0], "flux": 2.5, "l": 2.1e-4, "m": -9e-5, "bmaj": 1.7e-4, "bmin": 1.2e-4, "bpa": 0.4}, {**TRUE_SOURCES[1], "flux": 1.3, "l": -3.1e-4}]
+FREE = [(0, n) for n in ("flux", "l", "m", "bmaj", "bmin", "bpa")] + [(1, n) for n in ("flux", "l", "m")]
+
+
+def component_samples(spark, sf):
+    z = Cx.of("re", "im") * NOISE
+    for c in TRUE_SOURCES:
+        z = z + CO.visibility(c)
+    return table(spark, sf, "vis", G.spread).where("NOT flag AND sigma > 0").select("u", "v", "w", "freq", "sigma", z.re.alias("re"), z.im.alias("im"))
+
+
+@query("component_fit")
+def component_fit(spark, sf):
+    """Fluxes, places and widths of two sources from samples with the table's values as noise, with their errors."""
+    fit = CO.fitted(component_samples(spark, sf), FIRST_SOURCES, FREE, P.noise_weight("sigma"), 12)
+    unit = {"flux": 1.0, "bpa": 1.0}  # directions and widths in microradians
+    rows = [(i, n, float(fit.components[i][n]) * unit.get(n, 1e6), fit.errors[i, n] * unit.get(n, 1e6)) for i, n in FREE]
+    return spark.createDataFrame(rows, "source int, parameter string, value double, error double").select("source", "parameter", rnd("value", 3).alias("value"), rnd("error", 3).alias("error"))
+
+
+def rippled_spectra(spark, sf):
+    """Spectra of 36 antennas and 2 polarisations with a slope and a ripple over the whole band, small noise of the table's and a line in two channels."""
+    c = F.col("chan") / F.lit(float(CHANNELS))
+    v = table(spark, sf, "vis").groupBy("antenna1", "pol", "chan").agg(F.avg(F.when(~F.col("flag"), F.col("re"))).alias("re"), F.avg(F.when(~F.col("flag"), F.col("im"))).alias("im"))
+    ripple = 2 + 0.5 * c + 0.4 * F.sin(math.pi * c) + F.when(F.col("chan").isin(6, 7), 3.0).otherwise(0.0)
+    noise = lambda x: 0.002 * F.coalesce(F.col(x), F.lit(0.0))
+    return v.select("antenna1", "pol", "chan", (ripple + noise("re")).alias("re"), (-ripple + noise("im")).alias("im"), F.col("re").isNull().alias("flag"))
+
+
+@query("vis_contsub_harmonic")
+def vis_contsub_harmonic(spark, sf):
+    """A slope and a ripple taken out of every spectrum by one robust fit; the line stays."""
+    return CN.subtracted(rippled_spectra(spark, sf), ["antenna1", "pol"], CHANNELS, 1, 1, threshold=2.5).withColumns({c: rnd(c, 4) for c in ("re", "im")})
+
+
+@query("deconvolve_fista_redundant")
+def deconvolve_fista_redundant(spark, sf):
+    """The planes deconvolved over resolutions, lambda falling by the gain."""
+
+    def work(a):
+        top = a["psf"][32, 32]
+        if not top > 0:
+            return {"model": a["dirty"] * 0, "residual": a["dirty"]}
+        model, residual, _, _ = D.fista_redundant(a["dirty"] / top, a["psf"] / top, [1.0, 2.0, 4.0], D.Control(30, 0.2, fraction=0.05))
+        return {"model": model, "residual": residual}
+
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["model", "residual"]).withColumns({c: rnd(c) for c in ("model", "residual")})
