@@ -234,7 +234,8 @@ FREE = [(0, n) for n in ("flux", "l", "m", "bmaj", "bmin", "bpa")] + [(1, n) for
 
 
 def component_samples(spark, sf):
-    z = Cx.of("re", "im") * NOISE
+    """Samples of two sources; the table's values with either sign are noise of mean 0."""
+    z = Cx.of("re", "im") * ((1.0 - 2.0 * F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(2))) * NOISE)
     for c in TRUE_SOURCES:
         z = z + CO.visibility(c)
     return table(spark, sf, "vis", G.spread).where("NOT flag AND sigma > 0").select("u", "v", "w", "freq", "sigma", z.re.alias("re"), z.im.alias("im"))
