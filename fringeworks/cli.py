@@ -151,7 +151,7 @@ def simulated(spark: SparkSession, p: dict) -> DataFrame:
 
 def errors(spark: SparkSession, p: dict) -> DataFrame:
     """Random gains and leakages as lines of a gain file."""
-    return text.gain_lines(M.random_gains(spark, int(p["nantennas"]), int(p.get("nbeams", 1)), float(p.get("low", 0.7)), float(p.get("high", 1.3)), int(p.get("seed", 1)), float(p.get("leakage", 0.0))))
+    return text.gain_lines(M.random_gains(spark.range(int(p["nantennas"]) * int(p.get("nbeams", 1))).selectExpr(f"cast(id div {int(p.get('nbeams', 1))} as int) AS antenna", f"cast(id % {int(p.get('nbeams', 1))} as int) AS beam"), int(p.get("nbeams", 1)), float(p.get("low", 0.7)), float(p.get("high", 1.3)), int(p.get("seed", 1)), float(p.get("leakage", 0.0))))
 
 
 def plane(spark: SparkSession, p: dict) -> DataFrame:

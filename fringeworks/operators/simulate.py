@@ -57,15 +57,14 @@ def with_noise(vis: DataFrame, sigma: float, seed: int, key: Column) -> DataFram
     return vis.withColumns({"re": F.col("re") + size * F.cos(turn), "im": F.when(auto, F.col("im")).otherwise(F.col("im") + size * F.sin(turn))})
 
 
-def random_gains(spark: SparkSession, n_antennas: int, n_beams: int, low: float, high: float, seed: int, leakage: float = 0.0) -> DataFrame:
-    """antenna, beam, kind, re, im: gains of amplitudes from low to high, leakages up to leakage, all of any phase."""
-    kinds = F.element_at(F.array(*map(F.lit, ("g11", "g22", "d12", "d21"))), (F.col("id") % 4 + 1).cast("int"))
-    rows = spark.range(n_antennas * n_beams * 4)
-    gain, turn = F.col("id") % 4 < 2, 2 * math.pi * uniform(F.col("id"), seed + 1)
-    u = uniform(F.col("id"), seed)
-    amp = F.when(gain, low + (high - low) * u).otherwise(leakage * u)
-    unit = F.floor(F.col("id") / 4)
-    return rows.select(F.floor(unit / n_beams).cast("int").alias("antenna"), (unit % n_beams).cast("int").alias("beam"), kinds.alias("kind"), (amp * F.cos(turn)).alias("re"), (amp * F.sin(turn)).alias("im"))
+def random_gains(seen: DataFrame, n_beams: int, low: float, high: float, seed: int, leakage: float = 0.0) -> DataFrame:
+    """antenna, beam, kind, re, im for the antennas and beams (under n_beams) in seen: gains of amplitudes from low to high, leakages up to leakage, all of any phase."""
+    kind = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(("g11", "g22", "d12", "d21"))])).alias("k")
+    rows = seen.select("antenna", "beam").distinct().select("antenna", "beam", kind)
+    rows = rows.withColumn("id", (F.col("antenna").cast("long") * n_beams + F.col("beam")) * 4 + F.col("k.i"))
+    u, turn = uniform(F.col("id"), seed), 2 * math.pi * uniform(F.col("id"), seed + 1)
+    amp = F.when(F.col("k.i") < 2, low + (high - low) * u).otherwise(leakage * u)
+    return rows.select("antenna", "beam", "k.kind", (amp * F.cos(turn)).alias("re"), (amp * F.sin(turn)).alias("im"))
 
 
 def channel_sigma(diameter1, diameter2, largest: float, rms: float):

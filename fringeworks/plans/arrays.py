@@ -234,12 +234,12 @@ def noise_added(spark, sf):
     return n.groupBy("beam", "pol").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.sum(re), 4).alias("re"), rnd(F.sum(im), 4).alias("im"), rnd(F.sqrt(F.avg(re * re)), 5).alias("rms"))
 
 
-@query("random_gains", f"""WITH k AS (SELECT CAST(a AS INTEGER) AS antenna, CAST(b AS INTEGER) AS beam, p, (a * 2 + b) * 4 + p AS id FROM range(36) x(a), range(2) y(b), range(4) z(p)),
+@query("random_gains", ctes("ts") + f""", k AS (SELECT antenna, beam, p, (antenna * 7 + beam) * 4 + p AS id FROM (SELECT DISTINCT antenna, beam FROM ts), range(4) z(p)),
 u AS (SELECT *, {M.uniform_sql('id', 5)} AS a, {M.uniform_sql('id', 6)} AS t FROM k)
 SELECT 'gain.' || CASE p WHEN 0 THEN 'g11' WHEN 1 THEN 'g22' WHEN 2 THEN 'd12' ELSE 'd21' END || '.' || antenna || '.' || beam AS name, {r(f'CASE WHEN p < 2 THEN 0.8 + 0.4 * a ELSE 0.05 * a END * cos({2 * math.pi!r} * t)')} AS re, {r(f'CASE WHEN p < 2 THEN 0.8 + 0.4 * a ELSE 0.05 * a END * sin({2 * math.pi!r} * t)')} AS im FROM u""")
 def random_gains(spark, sf):
-    """Gains between two amplitudes and leakages up to a third, of random phase."""
-    g = M.random_gains(spark, 36, 2, 0.8, 1.2, 5, leakage=0.05)
+    """Gains between two amplitudes and leakages up to a third, of random phase, for all antennas and beams seen."""
+    g = M.random_gains(table(spark, sf, "ts"), 7, 0.8, 1.2, 5, leakage=0.05)
     return g.select(gain_name("kind", "antenna", "beam").alias("name"), rnd("re").alias("re"), rnd("im").alias("im"))
 
 

@@ -77,12 +77,15 @@ def cont_subtract_model(spark, sf):
     return v.groupBy("scan", "pol").agg(rnd(F.sum("re"), 3).alias("re"), rnd(F.sum("im"), 3).alias("im"))
 
 
-@query("stokes_component", f"SELECT stokes, CASE WHEN stokes = 'I' THEN {r(repr(2 * math.cos(0.5)) + '::DOUBLE')} ELSE 0.0 END AS re FROM (VALUES ('I'), ('Q'), ('U'), ('V')) t(stokes)")
+_SP = f"({2 * math.pi!r} * freq / {S.C_LIGHT!r} * (u * 0.0001 + v * 0.0002 + w * ({math.sqrt(1 - 1e-8 - 4e-8)!r} - 1)))"
+
+
+@query("stokes_component", ctes("vis") + f", s AS (SELECT *, ['I', 'Q', 'U', 'V'][CAST(scan % 4 + 1 AS INTEGER)] AS stokes FROM vis) SELECT stokes, chan, count(*) AS n, CASE WHEN stokes = 'I' THEN {r(f'avg(2 * cos({_SP}))', 5)} ELSE 0.0 END AS re FROM s GROUP BY stokes, chan")
 def stokes_component(spark, sf):
-    """An unpolarised component has Stokes I only."""
-    v = spark.createDataFrame([(s,) for s in Y.STOKES], "stokes string").withColumns({"freq": F.lit(S.C_LIGHT), "u": F.lit(0.5 / (2 * math.pi)), "v": F.lit(0.0), "w": F.lit(0.0)})
-    z = Y.predicted([{"flux": 2.0, "l": 1.0 - 1e-12, "m": 0.0}], "stokes")
-    return v.select("stokes", rnd(z.re).alias("re"))
+    """An unpolarised component over all samples, a quarter for each Stokes parameter: it has I only."""
+    v = table(spark, sf, "vis").withColumn("stokes", F.element_at(F.array(*map(F.lit, Y.STOKES)), F.col("scan") % 4 + 1))
+    z = Y.predicted([{"flux": 2.0, "l": 0.0001, "m": 0.0002}], "stokes")
+    return v.groupBy("stokes", "chan").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(z.re), 5).alias("re"))
 
 
 _SKY = [(20, 40, 2.0), (45, 30, 1.0), (33, 12, 0.5)]
@@ -198,21 +201,13 @@ def formatted_observation(spark, sf):
     return table(spark, sf, "nation").select(n.alias("field_id"), S.time_text(5e9 + n * 12345.6).alias("time"), S.direction_text(n * 0.2, n * 0.1 - 1.2).alias("direction"))
 
 
-_ARRAY = """
-antennas.telescope = test
-antennas.test.names = [pad1, pad2, pad3]
-antennas.test.diameter = 15m   # a comment
-antennas.test.scale = 0.5
-antennas.test.pad1 = [0, 0, 2]
-antennas.test.pad2 = [100, -20, 0]
-antennas.test.pad3 = [-40, 60.5, 1]
-"""
-
-
-@query("array_definition", "SELECT * FROM (VALUES (0, 'pad1', 0.0, 0.0, 1.0, 15.0, 'equatorial'), (1, 'pad2', 50.0, -10.0, 0.0, 15.0, 'equatorial'), (2, 'pad3', -20.0, 30.25, 0.5, 15.0, 'equatorial')) t(antenna, name, x, y, z, diameter, mount)")
+@query("array_definition", "SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS antenna, 'pad' || k AS name, n * 0.5 AS x, hi * 0.5 AS y, lo * 0.5 AS z, 15.0 AS diameter, 'equatorial' AS mount FROM (SELECT s_suppkey % 36 AS k, count(*) AS n, max(s_suppkey) AS hi, min(s_suppkey) AS lo FROM supplier GROUP BY 1)")
 def array_definition(spark, sf):
-    """Antennas of an array definition."""
-    return spark.createDataFrame([tuple(a.values()) for a in C.antennas(C.parse(_ARRAY))], "antenna int, name string, x double, y double, z double, diameter double, mount string")
+    """Antennas of the definition that the 36 groups of suppliers make, written out and read again."""
+    pads = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 36).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("s_suppkey").alias("hi"), F.min("s_suppkey").alias("lo")).orderBy("k").collect()
+    text = ["antennas.telescope = test", f"antennas.test.names = [{', '.join(f'pad{p.k}' for p in pads)}]", "antennas.test.diameter = 15m   # a comment", "antennas.test.scale = 0.5"]
+    text += [f"antennas.test.pad{p.k} = [{p.n}, {p.hi}, {p.lo}]" for p in pads]
+    return spark.createDataFrame([tuple(a.values()) for a in C.antennas(C.parse("\n".join(text)))], "antenna int, name string, x double, y double, z double, diameter double, mount string")
 
 
 @query("smeared_image")

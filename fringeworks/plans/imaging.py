@@ -147,9 +147,11 @@ def predict_gaussian(spark, sf):
     return _predicted(spark, sf, True)
 
 
-@query("flux_1934", f"SELECT CAST(k AS INTEGER) AS mhz, {r('pow(10.0, ((0.605334 * log10(k) + -7.0977) * log10(k) + 26.4908) * log10(k) + -30.7667)')} AS flux FROM range(600, 9000, 100) t(k)")
+@query("flux_1934", ctes("vis") + f" SELECT mhz, count(*) AS n, {r('any_value(CASE WHEN mhz > 500 AND mhz < 10000 THEN pow(10.0, ((0.605334 * log10(mhz) + -7.0977) * log10(mhz) + 26.4908) * log10(mhz) + -30.7667) END)')} AS flux FROM (SELECT 1500 + u AS mhz FROM vis) GROUP BY mhz")
 def flux_1934(spark, sf):
-    return spark.range(600, 9000, 100).select(F.col("id").cast("int").alias("mhz"), rnd(S.flux_1934(F.col("id").cast("double"))).alias("flux"))
+    """The calibrator's flux at every frequency that samples have (here 500 to 2500 MHz, from u), and how many have it."""
+    v = table(spark, sf, "vis").groupBy((1500 + F.col("u")).alias("mhz")).agg(F.count(F.lit(1)).alias("n"))
+    return v.select("mhz", "n", rnd(S.flux_1934("mhz")).alias("flux"))
 
 
 @query("delay_correct", ctes("ts", "vis") + f" SELECT scan, chan, {r(f'sum(re * cos({2 * math.pi!r} * freq * w / 7 / {C!r}) + im * sin({2 * math.pi!r} * freq * w / 7 / {C!r}))', 3)} AS re, {r(f'sum(im * cos({2 * math.pi!r} * freq * w / 7 / {C!r}) - re * sin({2 * math.pi!r} * freq * w / 7 / {C!r}))', 3)} AS im FROM vis GROUP BY scan, chan")
@@ -176,11 +178,12 @@ def _share(own: str, other: str) -> str:
     return f"CASE WHEN {_GAP} >= r1 + r2 THEN 0.0 WHEN {_GAP} + least(r1, r2) <= greatest(r1, r2) THEN least(1.0, ({other} / {own}) * ({other} / {own})) ELSE {_LENS} / ({math.pi!r}::DOUBLE * {own} * {own}) END"
 
 
-@query("dish_blockage", f"WITH d AS (SELECT i, j, k, (i - 9) * 2.3::DOUBLE + 0.1::DOUBLE AS u, (j - 9) * 1.9::DOUBLE + 0.1::DOUBLE AS v, k - 1.0::DOUBLE AS w, 6.0::DOUBLE AS r1, 5.5::DOUBLE AS r2 FROM range(19) a(i), range(19) b(j), range(3) c(k)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, {r(f'CASE WHEN w < 0 THEN 0.0 ELSE {_share('r1', 'r2')} END')} AS f1, {r(f'CASE WHEN w > 0 THEN 0.0 ELSE {_share('r2', 'r1')} END')} AS f2 FROM d")
+@query("dish_blockage", ctes("vis") + f", d AS (SELECT antenna1, antenna2, u / 50 + 0.1 AS u, v / 40 + 0.1 AS v, w, 6.0::DOUBLE AS r1, 5.5::DOUBLE AS r2 FROM vis) SELECT antenna1, antenna2, {r(f'max(CASE WHEN w < 0 THEN 0.0 ELSE {_share('r1', 'r2')} END)')} AS f1, {r(f'max(CASE WHEN w > 0 THEN 0.0 ELSE {_share('r2', 'r1')} END)')} AS f2 FROM d GROUP BY antenna1, antenna2")
 def dish_blockage(spark, sf):
-    d = spark.range(19 * 19 * 3).select((F.col("id") % 19).cast("int").alias("i"), (F.floor(F.col("id") / 19) % 19).cast("int").alias("j"), F.floor(F.col("id") / 361).cast("int").alias("k"))
-    f1, f2 = S.blockage((F.col("i") - 9) * 2.3 + 0.1, (F.col("j") - 9) * 1.9 + 0.1, F.col("k") - 1.0, F.lit(12.0), F.lit(11.0))
-    return d.select("i", "j", "k", rnd(f1).alias("f1"), rnd(f2).alias("f2"))
+    """The largest shares of both dishes that the other one shades, over all samples of a baseline."""
+    f1, f2 = S.blockage(F.col("u") / 50 + 0.1, F.col("v") / 40 + 0.1, "w", F.lit(12.0), F.lit(11.0))
+    d = table(spark, sf, "vis").select("antenna1", "antenna2", f1.alias("f1"), f2.alias("f2"))
+    return d.groupBy("antenna1", "antenna2").agg(rnd(F.max("f1")).alias("f1"), rnd(F.max("f2")).alias("f2"))
 
 
 _LO, _LA = 2.03, -0.466
@@ -198,9 +201,10 @@ def thermal_noise(spark, sf):
     return table(spark, sf, "vis").select("chan").distinct().select("chan", rnd(S.thermal_noise(50 + F.col("chan"), F.lit(0.8), F.lit(113.1), F.lit(1e6), F.lit(5.0))).alias("noise"))
 
 
-@query("taper_sigmas", f"SELECT CAST(k AS INTEGER) AS fwhm, {r(f'512.0 / k * {4 * math.log(2) / math.pi!r} / {math.sqrt(8 * math.log(2))!r}')} AS sigma FROM range(1, 40) t(k)")
+@query("taper_sigmas", f"SELECT p_partkey, {r(f'512.0 / p_size * {4 * math.log(2) / math.pi!r} / {math.sqrt(8 * math.log(2))!r}')} AS sigma FROM part")
 def taper_sigmas(spark, sf):
-    return spark.range(1, 40).select(F.col("id").cast("int").alias("fwhm"), rnd(S.taper_sigma(F.lit(512.0), F.col("id"))).alias("sigma"))
+    """Widths in uv pixels of tapers whose widths in image pixels a table gives."""
+    return table(spark, sf, "part").select("p_partkey", rnd(S.taper_sigma(F.lit(512.0), "p_size")).alias("sigma"))
 
 
 def _spheroidal_sql(end, p, q) -> str:
@@ -208,19 +212,21 @@ def _spheroidal_sql(end, p, q) -> str:
     return f"greatest({poly(p)} / {poly(q)}, 0.0)"
 
 
-@query("spheroidal_table", f"SELECT nu, {r('CASE WHEN nu < 0.75 THEN ' + _spheroidal_sql(*S.SPHEROIDAL[0]) + ' ELSE ' + _spheroidal_sql(*S.SPHEROIDAL[1]) + ' END')} AS value FROM (SELECT id / 100.0::DOUBLE AS nu FROM range(101) t(id))")
+@query("spheroidal_table", ctes("vis") + f" SELECT nu, n, {r('CASE WHEN nu < 0.75 THEN ' + _spheroidal_sql(*S.SPHEROIDAL[0]) + ' ELSE ' + _spheroidal_sql(*S.SPHEROIDAL[1]) + ' END')} AS value FROM (SELECT abs(u) / 1000 AS nu, count(*) AS n FROM vis GROUP BY abs(u))")
 def spheroidal_table(spark, sf):
-    return spark.range(0, 101).select((F.col("id") / 100).alias("nu"), rnd(S.spheroidal(F.col("id") / 100)).alias("value"))
+    """The taper at every distance from the middle that samples have."""
+    d = table(spark, sf, "vis").groupBy(F.abs("u").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    return d.select((F.col("u") / 1000).alias("nu"), "n", rnd(S.spheroidal(F.col("u") / 1000)).alias("value"))
 
 
-_R2 = "((x - 32) * (x - 32) + (y - 32) * (y - 32)) * 0.0001"
+_R2 = "((x - 32) * (x - 32) + (y % 64 - 32) * (y % 64 - 32)) * 0.0001"
 
 
-@query("phase_screen", f"SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {r(f'cos({-2 * math.pi!r}::DOUBLE * 40.0 * (1 - sqrt(1 - {_R2})))')} AS re, {r(f'sin({-2 * math.pi!r}::DOUBLE * 40.0 * (1 - sqrt(1 - {_R2})))')} AS im FROM range(64) a(x), range(64) b(y)")
+@query("phase_screen", ctes("image") + f" SELECT img, x, y, {r(f'value * cos({-2 * math.pi!r}::DOUBLE * 40.0 * (1 - sqrt(1 - {_R2})))')} AS re, {r(f'value * sin({-2 * math.pi!r}::DOUBLE * 40.0 * (1 - sqrt(1 - {_R2})))')} AS im FROM image")
 def phase_screen(spark, sf):
-    px = spark.range(64 * 64).select((F.col("id") % 64).cast("int").alias("x"), F.floor(F.col("id") / 64).cast("int").alias("y"))
-    z = S.phase_screen(F.lit(40.0), (F.col("x") - 32) * 0.01, (F.col("y") - 32) * 0.01)
-    return px.select("x", "y", rnd(z.re).alias("re"), rnd(z.im).alias("im"))
+    """All pixels turned by the screen of a w plane."""
+    z = S.phase_screen(F.lit(40.0), (F.col("x") - 32) * 0.01, (F.col("y") % 64 - 32) * 0.01) * F.col("value")
+    return table(spark, sf, "image").select("img", "x", "y", rnd(z.re).alias("re"), rnd(z.im).alias("im"))
 
 
 _ION = f"({-2 * math.pi!r} * (u * 0.003 + v * 0.002) * ({C!r} / freq) * ({C!r} / freq))"
@@ -291,13 +297,15 @@ def sum_of_equations(spark, sf):
     return v.where("scan < 6").select("pol", "chan", "re").unionByName(v.where("scan >= 6").select("pol", "chan", (F.col("re") * 2).alias("re"))).groupBy("pol", "chan").agg(rnd(F.sum("re"), 4).alias("re"))
 
 
-@query("simulate_rows", "WITH t AS (SELECT CAST(k AS INTEGER) AS cycle, k * 10.0 AS ha FROM range(12) t(k)), a AS (SELECT CAST(k AS INTEGER) AS antenna, k * 17.0 AS x, (k * k) % 29 * 11.0 AS y, 3.0 * k AS z FROM range(9) t(k)), f AS (SELECT CAST(k AS INTEGER) AS feed FROM range(3) t(k)) SELECT cycle, feed, a.antenna AS antenna1, b.antenna AS antenna2, " + r("sin(radians(ha)) * (b.x - a.x) + cos(radians(ha)) * (b.y - a.y)") + " AS u, " + r("-sin(-0.5) * cos(radians(ha)) * (b.x - a.x) + sin(-0.5) * sin(radians(ha)) * (b.y - a.y) + cos(-0.5) * (b.z - a.z)") + " AS v FROM t, f, a JOIN a b ON a.antenna < b.antenna")
+@query("simulate_rows", "WITH t AS (SELECT CAST(k AS INTEGER) AS cycle, k * 10.0 AS ha FROM range(12) t(k)), a AS (SELECT CAST(s_suppkey % 36 AS INTEGER) AS antenna, avg(s_acctbal) AS x, avg(s_nationkey * 11.0) AS y, CAST(count(*) AS DOUBLE) AS z FROM supplier GROUP BY 1), f AS (SELECT CAST(k AS INTEGER) AS feed FROM range(3) t(k)) SELECT cycle, feed, a.antenna AS antenna1, b.antenna AS antenna2, " + r("sin(radians(ha)) * (b.x - a.x) + cos(radians(ha)) * (b.y - a.y)", 4) + " AS u, " + r("-sin(-0.5) * cos(radians(ha)) * (b.x - a.x) + sin(-0.5) * sin(radians(ha)) * (b.y - a.y) + cos(-0.5) * (b.z - a.z)", 4) + " AS v FROM t, f, a JOIN a b ON a.antenna < b.antenna")
 def simulate_rows(spark, sf):
+    """An array of 36 pads, placed by the suppliers of each, that tracks a source."""
     from ..operators.simulate import observed_rows
 
-    antennas = spark.range(9).select(F.col("id").cast("int").alias("antenna"), (F.col("id") * 17.0).alias("x"), ((F.col("id") * F.col("id")) % 29 * 11.0).alias("y"), (3.0 * F.col("id")).alias("z"))
+    s = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 36).cast("int").alias("antenna"))
+    antennas = s.agg(F.avg("s_acctbal").alias("x"), F.avg(F.col("s_nationkey") * 11.0).alias("y"), F.count(F.lit(1)).cast("double").alias("z"))
     out = observed_rows(spark, antennas, n_cycles=12, degrees_per_cycle=10.0, n_feeds=3, declination=-0.5)
-    return out.select("cycle", "feed", "antenna1", "antenna2", rnd("u").alias("u"), rnd("v").alias("v"))
+    return out.select("cycle", "feed", "antenna1", "antenna2", rnd("u", 4).alias("u"), rnd("v", 4).alias("v"))
 
 
 #: The transform row by row, then column by column, as sums of 64 terms each.
