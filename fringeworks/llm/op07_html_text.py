@@ -51,17 +51,27 @@ _CLASSES = frozenset("ad ads advert adverts advertisement adsense sponsor sponso
 _SPACE = re.compile(r"\s+")
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+#: Tags of text and its sections: in an article their ids and classes often come from what they are about.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th label caption figcaption blockquote pre section".split())
+
+
+def _boilerplate(tag: str, attributes: str, article: bool = False) -> bool:
+    """Whether a container is never main text. In an article a text tag is only if a whole class (or a section's whole id) says so: not for one word of it, nor for a heading's id."""
     if tag in _SKIP:
-        return True
+        return not (article and tag == "label")
     if tag in ("html", "body", "main") or not attributes.strip():
         return False
     for name, a, b, c in _ATTR.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and not _CLASSES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id"):
+            if not (article and tag in _TEXT):
+                said = re.split(r"[^a-z]+", value)
+            else:
+                said = value.split() if name == "class" or tag == "section" else ()
+            if not _CLASSES.isdisjoint(said):
+                return True
         if name == "aria-hidden" and value == "true":
             return True
     return False
@@ -117,7 +127,7 @@ def blocks(page: str) -> tuple[list[str], list[int], bool]:
             continue
         if tag in _VOID:
             continue
-        if _boilerplate(tag, attributes) and not (tag == "header" and article):
+        if _boilerplate(tag, attributes, article > 0) and not (tag == "header" and article):
             end()
             if not attributes.endswith("/"):
                 skip, depth = tag, 1

@@ -116,3 +116,15 @@ def test_very_long_pages(spark):
     html = lambda w: "<body>" + "".join(f"<p>{'same' if k % 10 else f'{w} {k}'}</p>" for k in range(30_000)) + "</body>"
     got = texts(spark, [page(1, "http://h/a", html("one")), page(2, "http://h/b", html("two"))])
     assert got[1][0] == " ".join(f"one {k}" for k in range(0, 30_000, 10)) and got[2][0].startswith("two 0 two 10 ")
+
+
+def test_what_an_article_is_about_is_no_boilerplate():
+    """Ids made from headings and odd classes on text tags keep their text; whole names of boilerplate do not."""
+    page = """<html><body><article><h2 id="search">On search</h2><p class="related-work">Work of others.</p>
+<section id="comments-on-method"><p>Remarks.</p></section><h2 id="copyright">Who owns it</h2><label>A label</label><ul><li id="menu">First item</li></ul>
+<p class="advert">Buy now</p><section id="comments"><p>First!</p></section><div class="share-bar">Tell others</div><form><label>Name</label></form></article>
+<p class="cookie-notice">We use cookies</p><nav><p>Menu</p></nav></body></html>"""
+    texts, kinds, marked = op.blocks(page)
+    kept = [t for t, k in zip(texts, kinds, strict=True) if k == op.ARTICLE]
+    assert marked and kept == ["On search", "Work of others.", "Remarks.", "Who owns it", "A label", "First item"]
+    assert [t for t, k in zip(texts, kinds, strict=True) if k != op.ARTICLE] == ["Buy now", "First!", "Tell others", "Name", "We use cookies", "Menu"]
