@@ -29,6 +29,19 @@ def tapered(n: int, cell: float, diameter: float, hole: float = 0.0, edge_db: fl
     return out
 
 
+def wedged(pattern: np.ndarray, cell: float, start: float, half_angle: float, legs: tuple[float, ...] = (0.0, math.pi / 2, math.pi, 1.5 * math.pi), turn: float = 0.0) -> np.ndarray:
+    """The pattern with the shadows that feed legs throw outwards: dark wedges from radius start on, to both sides of every leg's direction by half_angle.
+
+    turn rotates legs as the dish turns on the sky (parallactic angle); the pattern itself is taken as it is.
+    """
+    r, u, v = _radius(len(pattern), cell)
+    angle = np.arctan2(v, u)
+    dark = np.zeros(pattern.shape, bool)
+    for leg in legs:
+        dark |= np.abs((angle - leg - turn + math.pi) % (2 * math.pi) - math.pi) < half_angle
+    return np.where(dark & (r > start), 0, pattern)
+
+
 def offset(pattern: np.ndarray, cell: float, l: float, m: float, wavelength: float) -> np.ndarray:  # noqa: E741
     """The pattern of a feed that looks off axis: a phase slope over the aperture."""
     _, u, v = _radius(len(pattern), cell)
@@ -40,7 +53,7 @@ def composite(pattern: Callable[[], np.ndarray], cell: float, wavelength: float,
     return sum(w * offset(pattern(), cell, l, m, wavelength) for l, m, w in elements)
 
 
-PATTERNS: dict[str, Callable[..., np.ndarray]] = {"disk": disk, "tapered": tapered}
+PATTERNS: dict[str, Callable[..., np.ndarray]] = {"disk": disk, "tapered": tapered, "wedged": lambda n, cell, diameter, hole, start, half_angle, turn=0.0, edge_db=-10.0: wedged(tapered(n, cell, diameter, hole, edge_db), cell, start, half_angle, turn=turn)}
 
 
 def aw_kernel_rows(patterns: dict[int, np.ndarray], w_planes: list[float], field: float, support: int, oversample: int = 4) -> list[tuple]:

@@ -21,6 +21,7 @@ from ..operators import lsqr as L
 from ..operators import opcal as OP
 from ..operators import select as P
 from ..operators import snapshot as N
+from ..operators import tapers as TP
 from ..operators import taylor as T
 from ..sources.driver_tables import ctes, table
 from .imaging import _BOX, _planes, _samples
@@ -277,3 +278,25 @@ def deconvolve_fista_redundant(spark, sf):
         return {"model": model, "residual": residual}
 
     return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["model", "residual"]).withColumns({c: rnd(c) for c in ("model", "residual")})
+
+
+@query("precondition_tuned_taper")
+def precondition_tuned_taper(spark, sf):
+    """The planes with a taper that makes their beam 8 by 6 pixels, where it isn't wider already."""
+
+    def work(a):
+        out = TP.tuned_taper(a["psf"], a["dirty"], (8.0, 6.0, 0.5)) if a["psf"].max() > 0 else None
+        return {"psf_out": a["psf"] if out is None else out.psf, "dirty_out": a["dirty"] if out is None else out.dirty}
+
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["psf_out", "dirty_out"]).withColumns({c: rnd(c) for c in ("psf_out", "dirty_out")})
+
+
+@query("precondition_norm_wiener")
+def precondition_norm_wiener(spark, sf):
+    """The planes through the normalised Wiener filter."""
+
+    def work(a):
+        psf, dirty = TP.normalised_wiener(a["psf"], a["dirty"], -0.5) if a["psf"].max() > 0 else (a["psf"], a["dirty"])
+        return {"psf_out": psf, "dirty_out": dirty}
+
+    return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["psf_out", "dirty_out"]).withColumns({c: rnd(c) for c in ("psf_out", "dirty_out")})
