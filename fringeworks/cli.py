@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from .functions.complexcols import Cx
 from .operators import aggregates as A
 from .operators import calibrate as K
+from .operators import components as CO
+from .operators import continuum as CN
 from .operators import cycle as Y
+from .operators import ddcal as DD
 from .operators import deconv as D
+from .operators import delays as L
 from .operators import gridding as G
 from .operators import images as I  # noqa: E741
 from .operators import joins as J
+from .operators import lsqr
 from .operators import ordered as O  # noqa: E741
 from .operators import select as P
 from .operators import simulate as M
+from .operators import snapshot, taylor
 from .sources import parset as C
 from .sources import store, text
 
@@ -130,6 +136,69 @@ def delays(spark: SparkSession, p: dict) -> DataFrame:
     return K.solved_delays(v.groupBy(*keys, "chan").agg(F.avg("re").alias("re"), F.avg("im").alias("im")), keys, C.quantity(str(p["chanwidth"]), "Hz"))
 
 
+def bandpass(spark: SparkSession, p: dict) -> DataFrame:
+    """Gains of antennas and channels per key (keys, by default feed1 and pol) for a component model, with damping and smoothing over channels."""
+    keys, model = p.get("keys", ["feed1", "pol"]), Y.predicted(components(p))
+    v = store.read_vis(spark, p["dataset"]).where("NOT flag AND sigma > 0 AND antenna1 <> antenna2").withColumns({"_m_re": model.re, "_m_im": model.im})
+    m, w = Cx.of("_m_re", "_m_im"), P.noise_weight("sigma")
+    z = m.conj() * Cx.of("re", "im")
+    products = v.groupBy(*keys, "antenna1", "antenna2", "chan").agg(F.sum(z.re * w).alias("vm_re"), F.sum(z.im * w).alias("vm_im"), F.sum(m.abs2() * w).alias("mm_re"))
+    rules = lsqr.Rules(float(p.get("damping", 0)), float(p.get("smoothing", 0)), order=int(p.get("order", 2)), outer=int(p.get("ncycles", 8)), inner=int(p.get("niter", 25)))
+    return lsqr.solved_bandpass(products, keys, int(p["nantennas"]), int(p["nchan"]), rules, int(p.get("refant", 0)))
+
+
+def direction_gains(spark: SparkSession, p: dict) -> DataFrame:
+    """Gains of antennas towards every component, per key (keys, by default feed1 and pol)."""
+    keys, own = p.get("keys", ["feed1", "pol"]), components(p)
+    v = store.read_vis(spark, p["dataset"]).where("NOT flag AND sigma > 0")
+    sums = DD.products(v, keys, Cx.of("re", "im"), [Y.predicted([c]) for c in own], P.noise_weight("sigma"))
+    return DD.solved(sums, keys, int(p["nantennas"]), len(own), int(p.get("refant", 0)))
+
+
+def antenna_delays(spark: SparkSession, p: dict) -> DataFrame:
+    """Delays of antennas, per key (keys, by default none), from lags of baselines; chanwidth is in Hz, average in channels."""
+    keys, n = p.get("keys", []), int(p.get("average", 1))
+    v = store.read_vis(spark, p["dataset"])
+    mean = L.spectra(v, keys, n, float(p["ampcutoff"]) if "ampcutoff" in p else None)
+    found = L.baseline_delays(mean, keys, -(-int(p["nchan"]) // n), n * C.quantity(str(p["chanwidth"]), "Hz"))
+    return L.antenna_delays(found, keys, int(p.get("refant", 0)), float(p.get("quality", 0)))
+
+
+def taylor_models(spark: SparkSession, p: dict) -> DataFrame:
+    """Models of nterms Taylor terms, the residual and spectral indices where there is flux; frequency is the reference in Hz."""
+    rows, kernel, n, taper = _cells(spark, p)
+    control = lambda: D.Control(int(p.get("niter", 100)), float(p.get("gain", 0.1)), fraction=float(p.get("fraction", 0.1)))
+    out = taylor.cycles(rows, kernel, n, p.get("keys", ["pol"]), "freq", C.quantity(str(p["frequency"]), "Hz"), P.noise_weight("sigma"), int(p.get("nterms", 2)), int(p.get("ncycles", 3)), control, p.get("scales", [0.0]), p.get("criterion", "MAXBASE"), float(p.get("threshold", 0)), taper)[1]
+    return taylor.spectral_index(out, float(p.get("minflux", 0.01)))
+
+
+def snapshots(spark: SparkSession, p: dict) -> DataFrame:
+    """Integrations imaged on planes of their own (tolerance in wavelengths of w), reprojected (method cubic, lanczos or linear) and added."""
+    from .functions.scalar import C_LIGHT
+
+    rows, kernel, n, taper = _cells(spark, p)
+    keys = p.get("keys", ["pol"])
+    rows = rows.withColumns({c: F.col(c) * F.col("freq") / C_LIGHT for c in "uvw"})
+    rows = snapshot.segmented(rows, keys, float(p.get("tolerance", 1.0)), float(p.get("restart", 86400)))
+    return snapshot.snapshot_image(rows, kernel, keys, n, float(p["cell"]), P.noise_weight("sigma"), p.get("method", "cubic"), taper)
+
+
+def component_fit(spark: SparkSession, p: dict) -> DataFrame:
+    """Components moved in their free parameters (free = [a.flux, a.l]) to fit the samples, with errors."""
+    names = p["components.names"]
+    free = [(names.index(x.split(".")[0]), x.split(".")[1]) for x in p["free"]]
+    v = store.read_vis(spark, p["dataset"]).where("NOT flag AND sigma > 0")
+    fit = CO.fitted(v, components(p), free, P.noise_weight("sigma"), int(p.get("niter", 20)))
+    return spark.createDataFrame([(names[i], n, float(fit.components[i][n]), fit.errors[i, n]) for i, n in free], "component string, parameter string, value double, error double")
+
+
+def without_continuum(spark: SparkSession, p: dict) -> DataFrame:
+    """Samples less a robust fit of order powers and harmonics over the channels of each row (keys)."""
+    keys = p.get("keys", ["time_s", "antenna1", "antenna2", "feed1", "pol"])
+    v = store.read_vis(spark, p["dataset"])
+    return CN.subtracted(v, keys, int(p["nchan"]), int(p.get("order", 2)), int(p.get("harmonic", 0)), width=int(p.get("width", 0)), offset=int(p.get("offset", 0)), threshold=float(p.get("threshold", 2.5)))
+
+
 def mosaic(spark: SparkSession, p: dict) -> DataFrame:
     """Weighted mean of images (x, y, value, weight, and shift_x, shift_y where their grids differ) stored as Parquet."""
     i = spark.read.parquet(*_list(p["image"]))
@@ -167,6 +236,7 @@ def _list(x) -> list:
 TASKS = {
     "split": split, "advise": advise, "concat": concat, "merge": merged, "apply": calibrated, "noise": noisy, "scans": scans, "statistics": cube_statistics,
     "contsub": without_model, "image": imaged, "clean": cleaned, "gains": gains, "delays": delays, "mosaic": mosaic, "spectra": spectra, "simulate": simulated, "errors": errors, "slice": plane,
+    "bandpass": bandpass, "directions": direction_gains, "antennadelays": antenna_delays, "taylor": taylor_models, "snapshot": snapshots, "fit": component_fit, "contfit": without_continuum,
 }
 
 

@@ -78,6 +78,28 @@ def test_the_other_tasks_give_rows(spark, data, tmp_path):
     assert [(r.x, r.y, r.value) for r in cli.mosaic(spark, {"image": str(tmp_path / "m")}).collect()] == [(0, 0, 2.5)]
 
 
+def test_solves(spark, data):
+    p = {"dataset": data[0], "nantennas": N_ANT, "nchan": N_CHAN, **SOURCE}
+    for r in cli.bandpass(spark, {**p, "ncycles": 4, "niter": 10}).collect():
+        assert r.valid and (r.g_re, r.g_im) == pytest.approx((1 + r.antenna / 10, 0), abs=1e-3)
+    for r in cli.direction_gains(spark, p).collect():
+        assert r.converged and r.direction == 0 and (r.g_re, r.g_im) == pytest.approx((1 + r.antenna / 10, 0), abs=1e-6)
+    assert cli.antenna_delays(spark, {"dataset": data[0], "nchan": N_CHAN, "chanwidth": "10MHz"}).count() == N_ANT
+    free = {"free": ["s.l", "s.m"], "components.s.l": 0.0021, "components.s.m": 0.0009, "components.s.flux": 3}
+    got = {r.parameter: r.value for r in cli.component_fit(spark, {**p, **free}).collect()}
+    assert got == {"l": pytest.approx(0.002, abs=1e-4), "m": pytest.approx(0.001, abs=1e-4)}
+
+
+def test_imaging_with_terms_and_snapshots(spark, data):
+    p = {"dataset": data[0], "cell": 10.0, "size": 64}
+    t = cli.taylor_models(spark, {**p, "frequency": "1015MHz", "ncycles": 1, "niter": 10, "minflux": 0.05})
+    assert t.count() == 64 * 64 and t.where("alpha IS NOT NULL").count() > 0
+    top = max(cli.snapshots(spark, {**p, "tolerance": 0.5}).collect(), key=lambda r: r.value)
+    assert abs(top.x - 33) <= 1 and abs(top.y - 33) <= 1
+    c = cli.without_continuum(spark, {"dataset": data[0], "nchan": N_CHAN, "order": 0, "threshold": 0})
+    assert c.count() == data[1].count() and abs(c.agg(F.avg("re")).first()[0]) < 1e-9
+
+
 def test_main_runs_a_file_and_rejects_unknown_tasks(spark, data, tmp_path, monkeypatch):
     (tmp_path / "p.in").write_text(f'dataset = "{data[0]}"\nout = "{tmp_path}/out"\nrms = 0.1\n')
     monkeypatch.setattr(type(spark), "stop", lambda self: None)
