@@ -89,6 +89,36 @@ def applied(rows: DataFrame, v: Matrix, j1: Matrix, j2: Matrix, valid: Column, f
     return rows.select(*[c for c in kept if c not in columns and c != "flag"], *columns, "flag")
 
 
+#: Columns of a solution: gains of both receptors and leakages between them.
+PARAMETERS = ("g11", "g22", "d12", "d21")
+
+
+def with_solutions(rows: DataFrame, solutions: DataFrame, beam: str = "beam", chan: str = "chan", beam_independent: bool = False, channel_independent: bool = False) -> tuple[DataFrame, Matrix, Matrix, Column]:
+    """(rows with both antennas' parameters, their matrices, whether both are valid).
+
+    solutions: antenna, beam, chan, g11_re .. d21_im, valid. Beam-independent
+    ones are beam 0's for every beam, channel-independent ones channel 0's for
+    every channel; a sample whose antennas have no solution is not valid. Rows
+    meet solutions twice, by antenna; solutions are few and Spark sends what it
+    knows to be small.
+    """
+    keys = []
+    for column, name, alike in ((beam, "beam", beam_independent), (chan, "chan", channel_independent)):
+        if alike:
+            solutions = solutions.where(F.col(name) == 0)
+        else:
+            keys.append((column, name))
+    found = []
+    for n, antenna in ((1, "antenna1"), (2, "antenna2")):
+        own = solutions.select(F.col("antenna").alias(f"_a{n}"), *[F.col(name).alias(f"_{name}{n}") for _, name in keys], F.col("valid").alias(f"_ok{n}"), *[F.col(f"{p}_{c}").alias(f"_{p}{n}_{c}") for p in PARAMETERS for c in ("re", "im")])
+        cond = F.col(antenna) == F.col(f"_a{n}")
+        for column, name in keys:
+            cond &= F.col(column) == F.col(f"_{name}{n}")
+        rows = rows.join(own, cond, "left").drop(f"_a{n}", *[f"_{name}{n}" for _, name in keys])
+        found.append(jones(*[Cx.of(f"_{p}{n}_re", f"_{p}{n}_im") for p in PARAMETERS]))
+    return rows, found[0], found[1], F.coalesce(F.col("_ok1") & F.col("_ok2"), F.lit(False))
+
+
 def solved_leakages(products: DataFrame, by: list[str]) -> DataFrame:
     """Leakages (by, antenna, d12, d21 as re and im) from mean cross polarisations of a source of unit flux (antenna1, antenna2, xy_re, xy_im, yx_re, yx_im).
 

@@ -16,6 +16,7 @@ from ..operators import ddcal as DD
 from ..operators import deconv as D
 from ..operators import delays as Y
 from ..operators import gridding as G
+from ..operators import jones as Z
 from ..operators import illumination as L_
 from ..operators import lsqr as L
 from ..operators import opcal as OP
@@ -300,3 +301,58 @@ def precondition_norm_wiener(spark, sf):
         return {"psf_out": psf, "dirty_out": dirty}
 
     return D.per_plane(_planes(spark, sf), ["pol"], 64, work, ["dirty", "psf"], ["psf_out", "dirty_out"]).withColumns({c: rnd(c) for c in ("psf_out", "dirty_out")})
+
+
+def _jones_sql(a: str) -> str:
+    """The columns of an antenna's matrix, row by row: gains on the diagonal, each receptor's leakage through its gain."""
+    amp, turn = (f"(1 + 0.02 * ({a} % 5))", f"(0.9 + 0.01 * ({a} % 3))"), (f"(0.1 * ({a} % 7))", f"(-0.05 * ({a} % 4))")
+    g = [(f"{x} * cos({t})", f"{x} * sin({t})") for x, t in zip(amp, turn, strict=True)]
+    d12, d21 = (f"(0.01 * ({a} % 5))", f"(0.02 * ({a} % 3))"), (f"(-0.015 * ({a} % 4))", f"(0.01 * ({a} % 2))")
+    out = {"0": g[0], "1": _times(g[0], d12), "2": tuple(f"-({x})" for x in _times(g[1], d21)), "3": g[1]}
+    return ", ".join(f"{x} AS {a[0]}{a[-1]}{k}{c}" for k, z in out.items() for c, x in zip("ri", z, strict=True))
+
+
+def _times(x, y) -> tuple[str, str]:
+    return f"({x[0]}) * ({y[0]}) - ({x[1]}) * ({y[1]})", f"({x[0]}) * ({y[1]}) + ({x[1]}) * ({y[0]})"
+
+
+def _sum(*z) -> tuple[str, str]:
+    return " + ".join(f"({x[0]})" for x in z), " + ".join(f"({x[1]})" for x in z)
+
+
+_col = lambda name: (f"{name}r", f"{name}i")
+_conj = lambda z: (z[0], f"-({z[1]})")
+#: Of two-by-two matrices in rows: first the left product, then with the conjugate transpose of the right one.
+_LEFT = ", ".join(f"{x} AS l{2 * i + k}{c}" for i in (0, 1) for k in (0, 1) for c, x in zip("ri", _sum(_times(_col(f"a1{2 * i}"), _col(f"v{k}")), _times(_col(f"a1{2 * i + 1}"), _col(f"v{2 + k}"))), strict=True))
+_RIGHT = ", ".join(f"{x} AS o{2 * i + k}{c}" for i in (0, 1) for k in (0, 1) for c, x in zip("ri", _sum(_times(_col(f"l{2 * i}"), _conj(_col(f"a2{2 * k}"))), _times(_col(f"l{2 * i + 1}"), _conj(_col(f"a2{2 * k + 1}")))), strict=True))
+_WIDE = ", ".join(f"max({n}) FILTER (pol = {k}) AS v{k}{c}" for k in range(4) for n, c in (("re", "r"), ("im", "i")))
+
+
+@query("mueller_corrupted", ctes("ts", "vis_pol") + f", w AS (SELECT row_id, antenna1, antenna2, {_WIDE} FROM vis_pol GROUP BY row_id, antenna1, antenna2), j AS (SELECT *, {_jones_sql('antenna1')}, {_jones_sql('antenna2')} FROM w), l AS (SELECT *, {_LEFT} FROM j), o AS (SELECT row_id, {_RIGHT} FROM l) "
+       + " UNION ALL ".join(f"SELECT row_id, {k} AS pol, {r(f'o{k}r', 4)} AS re, {r(f'o{k}i', 4)} AS im FROM o" for k in range(4)))
+def mueller_corrupted(spark, sf):
+    """All four polarisations through the gains and leakages of both antennas; the other side is the products written out."""
+    from .extras import _jones
+
+    cell = lambda c, k: F.max(F.when(F.col("pol") == k, F.col(c)))
+    wide = table(spark, sf, "vis_pol").groupBy("row_id", "antenna1", "antenna2").agg(*[cell(c, k).alias(f"{c}{k}") for k in range(4) for c in ("re", "im")])
+    rows, j1 = Z.staged(wide, "j1", _jones("antenna1"))
+    rows, j2 = Z.staged(rows, "j2", _jones("antenna2"))
+    seen = Z.corrupted(tuple(Cx.of(f"re{k}", f"im{k}") for k in range(4)), j1, j2)
+    cells = F.array(*[F.struct(F.lit(k).alias("pol"), rnd(z.re, 4).alias("re"), rnd(z.im, 4).alias("im")) for k, z in enumerate(seen)])
+    return rows.select("row_id", F.inline(cells))
+
+
+_BEAM_GAINS = ", g AS (SELECT antenna, beam, 1 + avg(value) / 1000 AS gr, avg(value) / 2000 AS gi, count(*) FILTER (NOT flag) > 0 AS ok FROM ts GROUP BY antenna, beam)"
+
+
+@query("apply_beam_independent", ctes("ts", "vis_pol") + _BEAM_GAINS + f""", v AS (SELECT v.*, coalesce(a.ok AND b.ok, FALSE) AS good, a.gr * b.gr + a.gi * b.gi AS gr, a.gi * b.gr - a.gr * b.gi AS gi FROM vis_pol v LEFT JOIN g a ON a.antenna = v.antenna1 AND a.beam = 0 LEFT JOIN g b ON b.antenna = v.antenna2 AND b.beam = 0 WHERE v.pol = 0)
+SELECT row_id, beam, CASE WHEN good AND NOT flag THEN {r('(re * gr + im * gi) / (gr * gr + gi * gi)')} ELSE 0.0 END AS re, CASE WHEN good AND NOT flag THEN {r('(im * gr - re * gi) / (gr * gr + gi * gi)')} ELSE 0.0 END AS im, flag OR NOT good AS flag FROM v""")
+def apply_beam_independent(spark, sf):
+    """Beam 0's gains applied to the samples of all beams; samples without them are flagged."""
+    g = table(spark, sf, "ts").groupBy("antenna", "beam").agg((1 + F.avg("value") / 1000).alias("g11_re"), (F.avg("value") / 2000).alias("g11_im"), (F.count_if(~F.col("flag")) > 0).alias("valid"))
+    g = g.withColumns({"chan": F.lit(0), "g22_re": F.col("g11_re"), "g22_im": F.col("g11_im"), **{f"{d}_{c}": F.lit(0.0) for d in ("d12", "d21") for c in ("re", "im")}})
+    rows, j1, j2, ok = Z.with_solutions(table(spark, sf, "vis_pol").where("pol = 0"), g, beam_independent=True, channel_independent=True)
+    none = Cx.of(0.0)
+    out = Z.applied(rows, (Cx.of("re", "im"), none, none, none), j1, j2, ok, F.col("flag"))
+    return out.select("row_id", "beam", rnd("v0_re").alias("re"), rnd("v0_im").alias("im"), "flag")
