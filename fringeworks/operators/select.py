@@ -65,6 +65,11 @@ def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
     return F.when(plane.between(0, n - 1), plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
 
 
+def nearest(x: Column) -> Column:
+    """The nearest whole number, halves away from zero, as a double: what round gives, without its decimal arithmetic."""
+    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+
+
 def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavelengths: bool = False, freq: str = "freq") -> DataFrame:
     """Adds iu, iv (nearest cell of size cells) and fracu, fracv (oversampling step 0..oversample-1) for u and v.
 
@@ -75,8 +80,8 @@ def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavele
     out = {}
     for c in "uv":
         s = F.col(c) / cell if wavelengths else F.col(freq) * F.col(c) / (C_LIGHT * cell)
-        i = F.round(s)  # halves away from zero
-        f = F.round(oversample * (i - s))
+        i = nearest(s)  # halves away from zero
+        f = nearest(oversample * (i - s))
         out |= {f"i{c}": (i - F.floor(f / oversample) + size // 2).cast("int"), f"frac{c}": F.pmod(f, F.lit(float(oversample))).cast("int")}
     return df.withColumns(out)
 
