@@ -61,7 +61,7 @@ def near_pointing(vis: DataFrame, lon: str, lat: str, ref: tuple[float, float],
 
 def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
     """Plane of a linear sampling; outside the planes -1 if clip, else an error in the job."""
-    plane = (F.round(F.col(w) / scale) + (n - 1) // 2).cast("int")
+    plane = (nearest(F.col(w) / scale) + (n - 1) // 2).cast("int")
     return F.when(plane.between(0, n - 1), plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
 
 
