@@ -215,15 +215,11 @@ def degridded(samples: DataFrame, kernel: Kernel, grid: DataFrame, keys: list[st
 
     Samples of one cell and step get one value, so the fan-out is over distinct
     bins and the samples only look theirs up; a box looks up its cell itself. A
-    grid of at most CELLS cells, which are counted, goes to the tasks: samples
-    stay where they are. A sample without any cell is left out.
+    sample without any cell is left out.
     """
     at = [*keys, "plane", "fracu", "fracv", "iu", "iv"]
     if kernel.is_box:
         cells = grid.select(*keys, F.col("gu").alias("iu"), F.col("gv").alias("iv"), F.col("re").alias("_g_re"), (-F.col("im")).alias("_g_im"))
-        few = cells.limit(CELLS + 1).toArrow()
-        small = few.num_rows <= CELLS
-        cells = F.broadcast(grid.sparkSession.createDataFrame(few, cells.schema)) if small else cells
         own = samples.where("plane = 0 AND fracu = 0 AND fracv = 0").select(*dict.fromkeys([*row, *keys, "iu", "iv"]))
         return own.join(cells, [*keys, "iu", "iv"]).select(*row, F.col("_g_re").alias("re"), F.col("_g_im").alias("im"))
     bins = _with_kernel(samples.select(*at).distinct(), kernel)
@@ -233,9 +229,6 @@ def degridded(samples: DataFrame, kernel: Kernel, grid: DataFrame, keys: list[st
     return samples.select(*row, *[c for c in at if c not in row]).join(values, at).select(*row, "re", "im")
 
 
-#: Cells of a grid that goes to the tasks whole: some 10 MB.
-CELLS = 1 << 18
-
 #: Pixels of a direct image, at most; phases that NumPy works out at once.
 PIXELS, PHASES = 1 << 20, 1 << 20
 
