@@ -60,20 +60,24 @@ def oversampled(image: np.ndarray, factor: int) -> np.ndarray:
     return np.fft.ifft2(np.fft.ifftshift(big)).real * factor * factor
 
 
-def radially_smeared(image: np.ndarray, steps: int = 10, width: float = 0.005) -> np.ndarray:
-    """The image as if its transform were averaged along the radius: 2 * steps + 1 scales within width / 2 either way, on a grid twice as large."""
+def radially_smeared(image: np.ndarray, scales: int = 21, width: float = 0.005) -> np.ndarray:
+    """The image whose transform is the mean of the image's own over a band of radial scales.
+
+    A band of relative width seen as one channel: V(u) becomes the mean of
+    V(s u), s by the midpoint rule over 1 - width / 2 to 1 + width / 2. V at
+    scaled frequencies is the sum over pixels itself, as a matrix an axis, so
+    nothing is interpolated; a source at x is spread over s x from the centre.
+    """
+    def frequencies(size: int) -> np.ndarray:
+        return np.fft.fftshift(np.fft.fftfreq(size))
+
+    def phases(size: int, s: float) -> np.ndarray:
+        return np.exp(-2j * np.pi * s * np.outer(frequencies(size), np.arange(size) - size // 2))
+
     n, m = image.shape
-    big = np.zeros((2 * n, 2 * m), complex)
-    big[n // 2 : n // 2 + n, m // 2 : m // 2 + m] = image
-    z = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(big)))
-    i, j = np.indices(z.shape)
-    out = np.zeros_like(z)
-    for k in range(-steps, steps + 1):
-        scale = 1 + k / (2 * steps + 1) * width
-        x, y = np.trunc(n + (i - n + 0.5) * scale).astype(int), np.trunc(m + (j - m + 0.5) * scale).astype(int)
-        inside = (x >= 0) & (y >= 0) & (x < 2 * n) & (y < 2 * m)
-        out += np.where(inside, z[np.clip(x, 0, 2 * n - 1), np.clip(y, 0, 2 * m - 1)], 0) / (2 * steps + 1)
-    return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(out))).real[n // 2 : n // 2 + n, m // 2 : m // 2 + m]
+    band = 1 + width * ((np.arange(scales) + 0.5) / scales - 0.5)
+    mean = sum(phases(n, s) @ image @ phases(m, s).T for s in band) / scales
+    return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(mean))).real
 
 
 def regridded(pixels: DataFrame, by: list[str], shift_x: str, shift_y: str, values: list[str]) -> DataFrame:

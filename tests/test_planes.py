@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fringeworks.operators import deconv as D
+from fringeworks.operators import images
 from fringeworks.plans.catalogue import QUERIES
 from fringeworks.sources.driver_tables import table
 
@@ -209,3 +210,15 @@ def test_smearing_keeps_the_centre_and_blurs_the_edge(spark, sf_dir, planes):
     for pol, (dirty, _) in planes.items():
         a = got[pol]["value"]
         assert a.shape == dirty.shape and np.corrcoef(a.ravel(), dirty.ravel())[0, 1] > 0.5
+
+
+def test_smearing_of_a_gaussian_is_the_mean_of_scaled_gaussians():
+    """Against a sum over the analytic source: g(x / s) / s^2 for every scale s."""
+    x, y = np.indices((64, 48)) - np.array([32, 24])[:, None, None]
+    gaussian = lambda s: np.exp(-(((x / s - 17) ** 2 + (y / s + 9) ** 2) / (2 * 2.0**2))) / s**2
+    for scales, width in ((21, 0.005), (5, 0.2), (1, 0.3)):
+        want = np.mean([gaussian(1 + width * ((k + 0.5) / scales - 0.5)) for k in range(scales)], axis=0)
+        assert np.allclose(images.radially_smeared(gaussian(1.0), scales, width), want, atol=1e-6)
+    spot = np.zeros((64, 48))
+    spot[32, 24] = 1.0
+    assert np.allclose(images.radially_smeared(spot), spot)
