@@ -20,12 +20,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows of one Arrow batch, unless the session says otherwise; bytes of text that Python works on at once.
 BATCH_ROWS, PIECE_BYTES = 1000, 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one Arrow batch, whatever its number of rows: beyond them a batch is sent at once, so only a single long text exceeds them.
+BATCH_BYTES = 16 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a Python worker holds few texts at a time; a value that the caller set stays."""
-    if _BATCH not in spark.conf.getAll:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Arrow batches of few rows and bytes, so that a Python worker holds little text at a time; values that the caller set stay."""
+    had = spark.conf.getAll
+    for key, most in ((_BATCH, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        if key not in had:
+            spark.conf.set(key, str(most))
     return spark
 
 
