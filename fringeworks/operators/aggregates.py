@@ -38,14 +38,17 @@ def advice(stats: DataFrame, dish: float = 12.0) -> DataFrame:
 
 #: Accuracy of the first pass of quantiles(): its ranks are right to a share of 1 / ACCURACY.
 ACCURACY = 1000
+#: Parts by value that a bracket is cut into; only those that hold the quantile are ranked.
+PARTS = 4096
 
 
 def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
     """by and the exact quantiles of value, linear between neighbours as SQL's; nulls and NaN left out.
 
-    A sketch brackets each quantile by values that hold its ranks for certain;
-    then values below are counted and only those inside the bracket are ranked,
-    as distinct values with their numbers. No group is ordered as a whole.
+    A sketch brackets each quantile by values that hold its ranks for certain.
+    Values below are counted as one, those inside by PARTS parts, and only the
+    part that holds the rank, with the next one, is ranked, as distinct values
+    with their numbers. No group is ordered as a whole, nor is a bracket.
     """
     v = rows.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     wide = 2.0 / ACCURACY
@@ -58,14 +61,22 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, f
     cond = F.lit(True)
     for i, k in enumerate(by):
         cond &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    # nothing above the bracket is needed; all that is below counts as one value
-    near = v.join(bounds, cond).where("_v <= _z").withColumn("_v", F.when(F.col("_v") >= F.col("_a"), F.col("_v")))
-    counts = near.groupBy(*by, "_q", "_at", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    # nothing above the bracket is needed; all that is below counts as one value, in a part of its own
+    width = F.col("_z") - F.col("_a")
+    inside = F.least(F.floor(F.nanvl((F.col("_v") - F.col("_a")) / width, F.lit(0.0)) * PARTS), F.lit(PARTS - 1))
+    part = F.when(F.col("_v") < F.col("_a"), -1).otherwise(F.when(width > 0, inside).otherwise(0)).cast("int")
+    near = v.join(bounds, cond).where("_v <= _z").withColumn("_p", part).withColumn("_v", F.when(F.col("_p") >= 0, F.col("_v")))
+    counts = near.groupBy(*by, "_q", "_at", "_p", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    floor, rest = F.floor("_at"), F.col("_at") - F.floor("_at")
+    w = Window.partitionBy(*by, "_q").orderBy("_p")
+    parts = counts.groupBy(*by, "_q", "_at", "_p").agg(F.sum("_m").alias("_c")).withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("_holds", (F.col("_upto") > floor) & (F.col("_upto") - F.col("_c") <= floor)).withColumn("_after", F.lag("_holds", 1, False).over(w))
+    held = parts.where("_holds OR _after").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_q").alias("_hq"), F.col("_p").alias("_hp"), (F.col("_upto") - F.col("_c")).alias("_before"))
     w = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v"))
-    ranked = counts.withColumns({"_last": F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_next": F.lead("_v").over(w)})
-    floor, part = F.floor("_at"), F.col("_at") - F.floor("_at")
+    ranked = counts.join(held, cond & (F.col("_q") == F.col("_hq")) & (F.col("_p") == F.col("_hp")))
+    ranked = ranked.withColumns({"_last": F.first("_before").over(w) + F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_next": F.lead("_v").over(w)})
     hit = ranked.where((F.col("_last") >= floor) & (F.col("_last") - F.col("_m") < floor))
-    out = hit.withColumn("_x", F.when((part > 0) & (F.col("_last") == floor), F.col("_v") + part * (F.col("_next") - F.col("_v"))).otherwise(F.col("_v")))
+    out = hit.withColumn("_x", F.when((rest > 0) & (F.col("_last") == floor), F.col("_v") + rest * (F.col("_next") - F.col("_v"))).otherwise(F.col("_v")))
     return out.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == n, F.col("_x"))).alias(n) for n in names])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -143,32 +144,55 @@ def snapshot_segments(samples: DataFrame, by: list[str], tolerance: float) -> Da
     return s.groupBy(*by).applyInPandas(run, schema)
 
 
-def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float = 2.0, block: int = 0, interleave: bool = False) -> DataFrame:
+def shifted_blocks(n: int, block: int, interleave: bool = False, shift: Sequence[int] = ()) -> list[tuple[int, int, int, int]]:
+    """(first, end) of the channels that a block's fit sees, and of those that it is taken from; the latter cover 0..n once.
+
+    Blocks are steps of the observed spectrum: in a cube whose channels lie
+    shift[chan] beyond it, their borders move along. Interleaved blocks overlap
+    by halves and serve their middle. The last shift holds for channels after it.
+    """
+    block = block or n
+    step = max(1, block // 2) if interleave and block < n else block
+    moved = lambda c: min(n, max(0, c + (shift[min(c, len(shift) - 1)] if len(shift) else 0))) if 0 < c < n else c
+    out, done = [], 0
+    for a in range(0, n, step):
+        first, end = moved(a), moved(min(n, a + block))
+        last = a + step >= n
+        serve = n if last else max(done, min(n, moved(a + step) + (step // 2 if step < block else 0)))
+        if serve > done:
+            out.append((min(first, done), n if last else max(end, serve), done, serve))
+        done = max(done, serve)
+    return out
+
+
+def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float = 2.0, block: int = 0, interleave: bool = False, shift: Sequence[int] = ()) -> DataFrame:
     """Polynomial continuum taken out of every pixel's spectrum (x, y, chan, value), over blocks of channels.
 
     Fit points lie within threshold * 2 * (q50 - q15) / 1.35 of the median of
-    what a line through the trimmed spectrum leaves.
+    what a line through the trimmed spectrum leaves; the line takes every k-th
+    channel of long spectra. shift, one number a channel, moves the blocks of a
+    cube in another frame (frames.channel_shift).
     """
     import pandas as pd
 
+    def left(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        good = np.isfinite(v)
+        if good.sum() <= order + 1:
+            return v
+        few = np.zeros(len(v), bool)
+        few[:: max(1, min(10, len(v) // 100))] = True
+        few = few & good if (few & good).sum() > 2 else good
+        low, high = np.quantile(v[few], [0.05, 0.95])
+        trim = few & (v >= low) & (v <= high)
+        line = v - np.polyval(np.polyfit(x[trim], v[trim], 1), x) if trim.sum() > 2 else v
+        q15, q50 = np.quantile(line[good], [0.15, 0.5])
+        use = good & (np.abs(line - q50) <= max(threshold * 2 * (q50 - q15) / 1.35, 1e-12))
+        return v - np.polyval(np.polyfit(x[use], v[use], order), x) if use.sum() > order else v
+
     def fitted(t: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = y.copy()
-        size = block or len(t)
-        step = size // 2 if interleave and block else size
-        for a in range(0, len(t), max(1, step)):
-            part = slice(a, min(len(t), a + size))
-            x, v = t[part] - t[part][0], y[part]
-            good = np.isfinite(v)
-            if good.sum() > order + 1:
-                low, high = np.quantile(v[good], [0.05, 0.95])
-                trim = good & (v >= low) & (v <= high)
-                line = v - np.polyval(np.polyfit(x[trim], v[trim], 1), x) if trim.sum() > 2 else v
-                q15, q50 = np.quantile(line[good], [0.15, 0.5])
-                use = good & (np.abs(line - q50) <= max(threshold * 2 * (q50 - q15) / 1.35, 1e-12))
-                if use.sum() > order:
-                    fit = v - np.polyval(np.polyfit(x[use], v[use], order), x)
-                    edge = step // 2 if interleave and block and a else 0
-                    out[part.start + edge : part.stop] = fit[edge:]
+        for first, end, a, z in shifted_blocks(len(t), block, interleave, shift):
+            out[a:z] = left(t[first:end] - t[first], y[first:end])[a - first : z - first]
         return out
 
     def run(it):

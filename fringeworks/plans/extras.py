@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import frames as V
 from ..functions import scalar as S
 from ..functions.complexcols import Cx
 from ..functions.scalar import rnd
@@ -216,3 +217,44 @@ def smeared_image(spark, sf):
     from .imaging import _planes
 
     return D.per_plane(_planes(spark, sf), ["pol"], 64, lambda a: {"value": I.radially_smeared(a["dirty"])}, ["dirty"], ["value"]).withColumn("value", rnd("value"))
+
+
+@query("time_string_split", "SELECT CAST(user_id % 36 AS INTEGER) AS antenna, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_flagged FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 10:30:00' AND TIMESTAMP '2024-01-20 18:00:00.5' GROUP BY 1")
+def time_string_split(spark, sf):
+    """Rows between two times that a configuration gives as calendar strings."""
+    ts = F.col("ts")
+    seconds = F.date_diff(F.to_date(ts), F.lit("1858-11-17").cast("date")) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.expr("EXTRACT(SECOND FROM ts)").cast("double")
+    rows = table(spark, sf, "events").select((F.col("user_id") % 36).cast("int").alias("antenna"), (F.col("event_type") == "error").alias("flag"), seconds.alias("time_s"))
+    rows = C.selection({"timebegin": "5jan2024/10:30:00", "timeend": "2024-01-20/18:00:00.5"})(rows)
+    return rows.groupBy("antenna").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("flag").alias("n_flagged"))
+
+
+#: The place of the observer in frequency_frames and the step of its channels: metres from the axis, Hz.
+_SITE, _STEP = (-2.55e6, 5.1e6), 18500.0
+_TILT, _APEX = math.radians(V.OBLIQUITY), [V.LSRK[0] * c for c in (math.cos(math.radians(V.LSRK[2])) * math.cos(math.radians(V.LSRK[1])), math.cos(math.radians(V.LSRK[2])) * math.sin(math.radians(V.LSRK[1])), math.sin(math.radians(V.LSRK[2])))]
+_FRAMES_SQL = ctes("vis") + f""", a AS (SELECT field_id, scan, freq, field_id * 0.2 AS ra, field_id * 0.1 - 1.2 AS de, (time_s - 5.9e10) / 86400e0 - {V.J2000!r} AS n FROM vis),
+ b AS (SELECT *, radians({V.SUN_ANOMALY[0]!r} + {V.SUN_ANOMALY[1]!r} * n) AS g, radians({V.SUN_LONGITUDE[0]!r} + {V.SUN_LONGITUDE[1]!r} * n) AS mean, radians({V.EARTH_TURN[0]!r} + {V.EARTH_TURN[1]!r} * n) AS th FROM a),
+ c AS (SELECT *, mean + radians({V.CENTRE[0]!r} * sin(g) + {V.CENTRE[1]!r} * sin(2 * g)) AS lam, {V.DISTANCE[0]!r} + {V.DISTANCE[1]!r} * cos(g) + {V.DISTANCE[2]!r} * cos(2 * g) AS r,
+  radians({V.SUN_LONGITUDE[1]!r} + radians({V.SUN_ANOMALY[1]!r}) * ({V.CENTRE[0]!r} * cos(g) + 2 * {V.CENTRE[1]!r} * cos(2 * g))) AS dlam, -radians({V.SUN_ANOMALY[1]!r}) * ({V.DISTANCE[1]!r} * sin(g) + 2 * {V.DISTANCE[2]!r} * sin(2 * g)) AS dr FROM b),
+ d AS (SELECT *, -(dr * cos(lam) - r * dlam * sin(lam)) * {V.AU / 86400!r} AS ex, -(dr * sin(lam) + r * dlam * cos(lam)) * {V.AU / 86400!r} AS ey FROM c),
+ e AS (SELECT *, (ex - {V.EARTH_RATE!r} * ({_SITE[0]!r} * sin(th) + {_SITE[1]!r} * cos(th)) + {_APEX[0]!r}) * cos(de) * cos(ra) + (ey * {math.cos(_TILT)!r} + {V.EARTH_RATE!r} * ({_SITE[0]!r} * cos(th) - {_SITE[1]!r} * sin(th)) + {_APEX[1]!r}) * cos(de) * sin(ra) + (ey * {math.sin(_TILT)!r} + {_APEX[2]!r}) * sin(de) AS vel FROM d)
+SELECT field_id, scan, {r("avg(vel)", 3)} AS velocity, {r(f"avg(freq * (sqrt((1 - vel / {S.C_LIGHT!r}) / (1 + vel / {S.C_LIGHT!r})) - 1))", 2)} AS moved_hz,
+ CAST(sum(round((freq - freq * sqrt((1 + vel / {S.C_LIGHT!r}) / (1 - vel / {S.C_LIGHT!r}))) / {_STEP!r})) AS BIGINT) AS shifts FROM e GROUP BY field_id, scan"""
+
+
+@query("frequency_frames", _FRAMES_SQL)
+def frequency_frames(spark, sf):
+    """Mean velocity of the observer and shift of frequencies in the local standard of rest, per field and scan."""
+    field = F.col("field_id")
+    v = table(spark, sf, "vis").withColumn("vel", V.observer_velocity("LSRK", F.col("time_s") - 5.9e10, field * 0.2, field * 0.1 - 1.2, *_SITE))
+    moved = V.to_frame("freq", F.col("vel")) - F.col("freq")
+    out = v.groupBy("field_id", "scan").agg(F.avg("vel").alias("velocity"), F.avg(moved).alias("moved_hz"), F.sum(V.channel_shift("freq", F.col("vel"), _STEP)).alias("shifts"))
+    return out.withColumns({"velocity": rnd("velocity", 3), "moved_hz": rnd("moved_hz", 2)})
+
+
+@query("image_contsub_frame")
+def image_contsub_frame(spark, sf):
+    """Continuum taken out of a cube in the local standard of rest, over blocks that were steps of the observed spectrum."""
+    rows = spark.range(256).select("id", V.channel_shift(1.4e9 + 1e4 * F.col("id"), V.observer_velocity("LSRK", F.lit(5.2e9), F.lit(0.4), F.lit(-0.9)), 1e4).alias("shift")).orderBy("id").collect()
+    cube = table(spark, sf, "image").select("x", F.col("img").alias("y"), F.col("y").alias("chan"), "value")
+    return I.image_continuum_subtracted(cube, 1, block=16, shift=[r.shift for r in rows]).withColumn("value", rnd("value"))

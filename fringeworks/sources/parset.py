@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import re
 
@@ -24,6 +25,29 @@ def quantity(text: str, kind: str | None = None) -> float:
     return float(m[1]) * UNITS.get(m[2], 1.0)
 
 
+_CLOCK = r"(?:[/T ](\d{1,2})(?::(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?)?Z?$"
+_NUMERIC = re.compile(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _CLOCK)
+_NAMED = re.compile(r"^(\d{1,2})[-/ ]?([A-Za-z]{3,9})[-/ ]?(\d{4})" + _CLOCK)
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def moment(text: str | float) -> float:
+    """Seconds since MJD 0 of a time: 2024-01-05/10:30:00, 2024-01-05T10:30, 5jan2024/10:30:00.5, 5-Jan-2024; else a quantity (60314.5d, or seconds)."""
+    t = str(text).strip().strip('"')
+    if m := _NUMERIC.match(t):
+        year, month, day = int(m[1]), int(m[2]), int(m[3])
+    elif m := _NAMED.match(t):
+        if m[2][:3].lower() not in _MONTHS:
+            raise ValueError(f"not a month: {m[2]!r}")
+        year, month, day = int(m[3]), _MONTHS.index(m[2][:3].lower()) + 1, int(m[1])
+    else:
+        return quantity(t, "s")
+    hour, minute, second = int(m[4] or 0), int(m[5] or 0), float(m[6] or 0)
+    if hour > 23 or minute > 59 or second >= 60:
+        raise ValueError(f"not a time of day: {text!r}")
+    return (datetime.date(year, month, day) - datetime.date(1858, 11, 17)).days * 86400.0 + hour * 3600 + minute * 60 + second
+
+
 def _dimension(unit: str) -> str:
     for name, members in {"angle": "deg arcmin arcsec mas rad", "frequency": "Hz kHz MHz GHz", "length": "m km cm", "time": "s min h d", "flux": "Jy mJy uJy", "ratio": "%", "speed": "km/s m/s", "temperature": "K"}.items():
         if unit in members.split():
@@ -76,10 +100,12 @@ def subset(parset: dict, prefix: str) -> dict:
 
 
 def selection(parset: dict):
-    """A predicate builder from selection keys: beams, scans, fields, timerange, channels."""
+    """A predicate builder from selection keys: beams, scans, fields, channels, and timerange or timebegin and timeend, which moment() reads."""
     from ..operators.select import split_rows
 
-    begin, end = parset.get("timerange", [None, None])
+    begin, end = (None if t is None else moment(t) for t in parset.get("timerange", [parset.get("timebegin"), parset.get("timeend")]))
+    if begin is not None and end is not None and begin > end:
+        raise ValueError("the time range ends before it begins")
     first, n = parset.get("channels", [None, None])
 
     def apply(vis):
