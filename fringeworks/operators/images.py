@@ -144,6 +144,10 @@ def snapshot_segments(samples: DataFrame, by: list[str], tolerance: float) -> Da
     return s.groupBy(*by).applyInPandas(run, schema)
 
 
+#: Cells of spectra that image_continuum_subtracted gives out at once, or one longer spectrum.
+CELLS = 1 << 16
+
+
 def shifted_blocks(n: int, block: int, interleave: bool = False, shift: Sequence[int] = ()) -> list[tuple[int, int, int, int]]:
     """(first, end) of the channels that a block's fit sees, and of those that it is taken from; the latter cover 0..n once.
 
@@ -171,9 +175,10 @@ def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float =
     Fit points lie within threshold * 2 * (q50 - q15) / 1.35 of the median of
     what a line through the trimmed spectrum leaves; the line takes every k-th
     channel of long spectra. shift, one number a channel, moves the blocks of a
-    cube in another frame (frames.channel_shift).
+    cube in another frame (frames.channel_shift). Spectra stay Arrow arrays, and
+    some CELLS cells at a time are told: Python holds a batch and one spectrum.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     def left(x: np.ndarray, v: np.ndarray) -> np.ndarray:
         good = np.isfinite(v)
@@ -189,23 +194,38 @@ def image_continuum_subtracted(pixels: DataFrame, order: int, threshold: float =
         use = good & (np.abs(line - q50) <= max(threshold * 2 * (q50 - q15) / 1.35, 1e-12))
         return v - np.polyval(np.polyfit(x[use], v[use], order), x) if use.sum() > order else v
 
+    blocks: dict[int, list[tuple[int, int, int, int]]] = {}
+
     def fitted(t: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = y.copy()
-        for first, end, a, z in shifted_blocks(len(t), block, interleave, shift):
+        if len(t) not in blocks:
+            blocks.clear()
+            blocks[len(t)] = shifted_blocks(len(t), block, interleave, shift)
+        for first, end, a, z in blocks[len(t)]:
             out[a:z] = left(t[first:end] - t[first], y[first:end])[a - first : z - first]
         return out
 
+    def told(b: pa.RecordBatch, rows: list[int], chans: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        of = pa.array(np.repeat(rows, [len(c) for c in chans]))
+        return pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(chans)), pa.array(np.concatenate(values), from_pandas=True)], ["x", "y", "chan", "value"])
+
     def run(it):
-        for pdf in it:
-            out = []
-            for x, y, cells in zip(pdf["x"], pdf["y"], pdf["cells"], strict=True):
-                t, v = np.array([c["chan"] for c in cells], float), np.array([c["value"] for c in cells], float)
-                out.append(pd.DataFrame({"x": x, "y": y, "chan": t.astype("int32"), "value": fitted(t, v)}))
-            if out:
-                yield pd.concat(out)
-
-    cells = pixels.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("chan", "value"))).alias("cells"))
-    return cells.mapInPandas(run, "x int, y int, chan int, value double")
+        for b in it:
+            ends, cells = b.column(2).offsets.to_numpy(), b.column(2).values
+            rows, chans, values, held = [], [], [], 0
+            for i in range(b.num_rows):
+                own = cells.slice(ends[i], ends[i + 1] - ends[i])
+                chan, value = (own.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                rows.append(i)
+                chans.append(chan.astype("int32"))
+                values.append(fitted(chan.astype(float), value.astype(float)))
+                held += len(chan)
+                if held >= CELLS or i == b.num_rows - 1:
+                    yield told(b, rows, chans, values)
+                    rows, chans, values, held = [], [], [], 0
+
+    cells = pixels.select("x", "y", F.col("chan").cast("int").alias("chan"), F.col("value").cast("double").alias("value")).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("chan", "value"))).alias("cells"))
+    return cells.mapInArrow(run, "x int, y int, chan int, value double")
 
 
 def beamforming_weights(samples: DataFrame, by: list[str], n: int) -> DataFrame:

@@ -222,3 +222,20 @@ def test_smearing_of_a_gaussian_is_the_mean_of_scaled_gaussians():
     spot = np.zeros((64, 48))
     spot[32, 24] = 1.0
     assert np.allclose(images.radially_smeared(spot), spot)
+
+
+def test_spectra_are_told_a_few_at_a_time(spark, monkeypatch):
+    """A batch of many spectra leaves Python in parts; what is not finite comes back as null."""
+    px = [(x, 0, c, None if (x, c) == (3, 2) else float(c * x + (c == 5))) for x in range(12) for c in range(8)]
+    df, seen = spark.createDataFrame(px, "x int, y int, chan int, value double"), {}
+    want = sorted(tuple(r) for r in images.image_continuum_subtracted(df, 1).where("value IS NOT NULL").collect())
+    monkeypatch.setattr(images, "CELLS", 20, raising=False)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda cells, run, schema: seen.update(cells=cells, run=run))
+    images.image_continuum_subtracted(df, 1)
+    out = list(seen["run"](seen["cells"].toArrow().combine_chunks().to_batches()))
+    assert len(out) >= 4 and max(b.num_rows for b in out) <= 24
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert [r[:3] for r in rows if r[3] is None] == [(3, 0, 2)]
+    got = sorted(r for r in rows if r[3] is not None)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(want) == 95
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
