@@ -61,6 +61,20 @@ def predicted_from(samples: DataFrame, model: DataFrame, kernel: G.Kernel, n: in
     return reduce(lambda df, hook: hook(df), VISIBILITY_HOOKS, out)
 
 
+def binned(samples: DataFrame, keys: list[str], weight: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """samples with one row a bin (keys, plane, fracu, fracv, iu, iv, also): the weighted mean of re, im, and the sum of weights as _wt.
+
+    Samples of one bin see one model value and one kernel, so the sums of their
+    residuals are those of the mean. Rows without a visibility are bins of their own.
+    """
+    at = [*keys, "plane", "fracu", "fracv", "iu", "iv", *also]
+    whole = F.col("_re").isNotNull() & F.col("_im").isNotNull()
+    s = samples.select(*at, F.col("re").alias("_re"), F.col("im").alias("_im"), weight.cast("double").alias("_w")).withColumn("_whole", whole)
+    sums = s.groupBy(*at, "_whole").agg(F.sum("_w").alias("_wt"), *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("_re", "_im")])
+    mean = lambda c: F.when(F.col("_whole"), F.when(F.col("_wt") == 0, 0.0).otherwise(F.col(c) / F.col("_wt")))
+    return sums.select(*at, mean("_re").alias("re"), mean("_im").alias("im"), "_wt")
+
+
 def _minor_cycle(keys: list[str], n: int, minor: Callable[[], D.Control] | None, stop: float, border: int):
     """Cleans a plane (dirty, psf, model) of pixels; without minor it only tells the residual. The border is not searched."""
     import pandas as pd
@@ -86,9 +100,10 @@ def _minor_cycle(keys: list[str], n: int, minor: Callable[[], D.Control] | None,
 def major_cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str], weight: Column, cycles: int, minor: Callable[[], D.Control], stop: float = 0.0, correct=None, border: int = 0) -> tuple[DataFrame, DataFrame]:
     """(keys, cycle, peak, flux: largest residual before each cycle's clean and flux of the model after it; keys, x, y, model, residual at the end).
 
-    samples have plane, fracu, fracv, iu, iv, re, im. Every cycle is one pass over
-    the samples; the model planes, which are bounded, are checkpointed between
-    cycles. Planes whose residual is at most stop are cleaned no more. Pixels
+    samples have plane, fracu, fracv, iu, iv, re, im. They are read once and summed
+    into bins, which are checkpointed, and every cycle is one pass over the bins;
+    VISIBILITY_HOOKS may look at a sample's columns, so with hooks it is one over
+    the samples. The model planes, which are bounded, are checkpointed between cycles. Planes whose residual is at most stop are cleaned no more. Pixels
     within border of the edge, where a kernel's correction blows up, are not searched.
     """
     state, log = None, None
@@ -96,6 +111,8 @@ def major_cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str],
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(samples.sparkSession))
     schema = ", ".join(f"{k} {dict(samples.dtypes)[k]}" for k in keys) + ", x int, y int, model double, residual double, peak double"
+    if not VISIBILITY_HOOKS:
+        samples, weight = binned(samples, keys, weight).checkpoint(), F.col("_wt")
     for cycle in range(cycles + 1):
         rows = samples
         if state is not None:
