@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.complexcols import Cx
 from ..sources.store import shared_dir
+from . import cycle as Y
 from . import deconv as D
 from . import gridding as G
 
@@ -119,12 +120,15 @@ def cycles(samples: DataFrame, kernel: G.Kernel, n: int, keys: list[str], freq:
     """(keys, cycle, peak; keys, x, y, model0.., residual): predict, subtract, all equations in one pass, clean all terms, again.
 
     A cycle more than rounds is run without cleaning: its residual is what the last model leaves.
+    Samples are read once and summed into bins of one cell, step and frequency,
+    which are checkpointed; every cycle is one pass over the bins.
     """
     context = samples.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(samples.sparkSession))
     schema = ", ".join([f"{k} {dict(samples.dtypes)[k]}" for k in keys] + ["x int, y int"] + [f"model{t} double" for t in range(terms)] + ["residual double, peak double"])
     state, log, names = None, None, [f"model{t}" for t in range(terms)]
+    samples, weight = Y.binned(samples, keys, weight, (freq,)).checkpoint(), F.col("_wt")
     for cycle in range(rounds + 1):
         rows = samples
         if state is not None:

@@ -132,3 +132,31 @@ def test_a_source_off_axis_lands_on_one_pixel(spark):
     assert image(s, None).max() < 0.4
     for segment in ("0.0", "1.0"):
         assert where(image(s.where(F.col("segment") == segment), "cubic")) == true
+
+
+@pytest.mark.parametrize("kind", ["major", "taylor"])
+def test_cycles_read_the_samples_once(kind, spark):
+    """Samples are summed into bins before the first cycle; the bins' sums are the samples' own."""
+    from fringeworks.operators import cycle as Y
+    from fringeworks.operators import deconv as D
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    rows = [("XX", 0, 0, 0, 3 + i % 2, 4, float(i), float(-i), 1.0 + i % 3, 1.4e9 + 1e7 * (i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "pol string, plane int, fracu int, fracv int, iu int, iv int, re double, im double, sigma double, freq double")
+    s, weight, control = df.withColumn("re", told("re")), 1 / (F.col("sigma") * F.col("sigma")), lambda: D.Control(5, 0.3)
+    if kind == "major":
+        Y.major_cycles(s, G.kernel_table(spark, G.box_kernel()), 8, ["pol"], weight, 1, control)[0].collect()
+    else:
+        T.cycles(s, G.kernel_table(spark, G.box_kernel()), 8, ["pol"], "freq", 1.4e9, weight, 2, 1, control)[0].collect()
+    assert seen.value == len(rows)
+    b = Y.binned(df, ["pol"], weight, ("freq",)).collect()
+    for r in b:
+        own = [x for x in rows if x[4] == r.iu and x[9] == r.freq]
+        assert r._wt == pytest.approx(sum(1 / x[8] ** 2 for x in own)) and r._wt * r.re == pytest.approx(sum(x[6] / x[8] ** 2 for x in own))
+    assert len(b) == len({(x[4], x[9]) for x in rows})
