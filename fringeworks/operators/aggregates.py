@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C_LIGHT
+from . import joins as J
 
 SUMMARY = ["n_vis", "max_u", "max_v", "max_w", "min_freq", "max_freq", "n_antennas", "n_beams"]
 
@@ -49,6 +50,8 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, f
     Values below are counted as one, those inside by PARTS parts, and only the
     part that holds the rank, with the next one, is ranked, as distinct values
     with their numbers. No group is ordered as a whole, nor is a bracket.
+    Brackets are counted: up to joins.SMALL go to the tasks, so values meet theirs
+    where they lie; else groups are that many, and values are joined by group.
     """
     v = rows.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     wide = 2.0 / ACCURACY
@@ -58,6 +61,8 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, f
     bounds = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), *ends)
     one = F.array(*[F.struct(F.lit(n).alias("_q"), (F.lit(shares[n]) * (F.col("_n") - 1)).alias("_at"), a.alias("_a"), z.alias("_z")) for n, a, z in zip(names, low, high, strict=True)])
     bounds = bounds.select(*by, F.explode(one).alias("_b")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_b.*")
+    if (few := J._few(bounds, J.SMALL)) is not None:
+        bounds = F.broadcast(rows.sparkSession.createDataFrame(few, bounds.schema))
     cond = F.lit(True)
     for i, k in enumerate(by):
         cond &= F.col(k).eqNullSafe(F.col(f"_k{i}"))

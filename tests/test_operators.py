@@ -178,3 +178,22 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
     plan = P.cross_correlations(table(spark, sf_dir, "vis").where("NOT flag")).groupBy("scan").count()._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and plan.count("Exchange") <= 1
+
+
+def test_quantiles_of_few_groups_do_not_move_the_values(spark):
+    """Values meet the brackets of their group where they lie; joined by group, each group would be one task's."""
+    df = spark.createDataFrame([("XX" if i % 3 else None, float(i % 50)) for i in range(600)], "pol string, w double")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        q = A.quantiles(df, ["pol"], F.col("w"), {"half": 0.5, "top": 1.0})
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        got = {r.pol: (r.half, r.top) for r in q.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" in plan
+    for k in ("XX", None):
+        own = [float(i % 50) for i in range(600) if (i % 3 > 0) == (k == "XX")]
+        assert got[k] == (np.quantile(own, 0.5), 49.0)
