@@ -23,6 +23,8 @@ def intervals(stream: DataFrame, length: str = "1 day", late: str = "2 hours") -
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(good).alias("n_good"), F.sum(F.when(good, F.col("value"))).alias("total"))
 
 
+#: Scans that a beam tells at once.
+TOLD = 1 << 16
 SCANS = "beam int, begin_s double, end_s double, n long, closed boolean, version long"
 
 
@@ -33,46 +35,64 @@ def scan_sessions(stream: DataFrame, gap_s: float = 1800.0, late: str = "2 hours
     in the state. A scan is told as closed once no row can change it any more.
     Each time a beam has news its other scans, as far as they are known, are
     told as open with a higher version; latest_scans() keeps the last word.
-    State is the open scan and the rows of the time that late rows may take.
+    State is the open scan and the rows of the time that late rows may take, which
+    are 24 bytes each in Python: time, event and field as arrays of whole numbers.
     """
     import json
 
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = stream.withWatermark("ts", late).select((F.col("user_id") % 7).cast("int").alias("beam"), (F.col("user_id") % 36 % 3).cast("int").alias("field"), "ts", F.unix_micros("ts").alias("us"), "event_id")
-
-    def grown(scan, waiting):
-        """(scans that end, the open one) after the waiting rows (us, event_id, field)."""
-        ended = []
-        for us, _, field in waiting:
-            t = us / 1e6
-            if scan and (t - scan[1] > gap_s or field != scan[3]):
-                ended.append(scan)
-                scan = None
-            scan = [scan[0], t, scan[2] + 1, field] if scan else [t, t, 1, field]
-        return ended, scan
+    rows = stream.withWatermark("ts", late).select((F.col("user_id") % 7).cast("int").alias("beam"), F.coalesce((F.col("user_id") % 36 % 3).cast("int"), F.lit(-1)).alias("field"), F.unix_micros("ts").alias("us"), "event_id", "ts")
+
+    def grown(scan, rows):
+        """(scans that end: begin, end, n as arrays, the open one) after the ordered rows, an array of us, event_id, field a row."""
+        us, field = rows[0], rows[2]
+        if not len(us):
+            return None, scan
+        t = us / 1e6
+        cut = np.flatnonzero((np.diff(t) > gap_s) | (np.diff(field) != 0)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(t)]])
+        begin, end, n = t[first], t[last - 1], last - first
+        if scan and not (t[0] - scan[1] > gap_s or field[0] != scan[3]):
+            begin[0], n[0] = scan[0], n[0] + scan[2]
+        elif scan:
+            begin, end, n = (np.concatenate([[x], y]) for x, y in zip(scan[:3], (begin, end, n), strict=True))
+        return (begin[:-1], end[:-1], n[:-1]), [float(begin[-1]), float(end[-1]), int(n[-1]), int(field[-1])]
+
+    def told(beam, ended, closed, version):
+        for lo in range(0, len(ended[0]) if ended else 0, TOLD):
+            begin, end, n = (x[lo : lo + TOLD] for x in ended)
+            yield pd.DataFrame({"beam": beam, "begin_s": begin, "end_s": end, "n": n, "closed": closed, "version": version})
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        scan, waiting, version = json.loads(state.get[0]) if state.exists else (None, [], 0)
+        scan, version, held = (*json.loads(state.get[0]), state.get[1]) if state.exists else (None, 0, b"")
+        parts = [np.frombuffer(held, np.int64).reshape(3, -1)]
+        del held
         for pdf in batches:
-            waiting += zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["field"].tolist(), strict=True)
-        waiting = sorted(map(tuple, waiting))
+            parts.append(np.stack([pdf[c].to_numpy(np.int64) for c in ("us", "event_id", "field")]))
+        waiting = np.concatenate(parts, axis=1)
+        del parts
+        waiting = waiting[:, np.lexsort(waiting[::-1])]
         mark = state.getCurrentWatermarkMs() * 1000
-        settled = [x for x in waiting if x[0] <= mark]
-        waiting = waiting[len(settled) :]
-        done, scan = grown(scan, settled)
-        if scan and scan[1] + gap_s < mark / 1e6 and (not waiting or waiting[0][0] / 1e6 - scan[1] > gap_s):
-            done, scan = [*done, scan], None
+        settled = int(np.searchsorted(waiting[0], mark, "right"))
+        done, scan = grown(scan, waiting[:, :settled])
+        waiting = waiting[:, settled:]
+        closed = None
+        if scan and scan[1] + gap_s < mark / 1e6 and (not waiting.shape[1] or waiting[0, 0] / 1e6 - scan[1] > gap_s):
+            closed, scan = [[x] for x in scan[:3]], None
         version += 1
+        state.update((json.dumps((scan, version)), waiting.tobytes()))
+        if scan or waiting.shape[1]:
+            state.setTimeoutTimestamp(max(int((scan[1] + gap_s if scan else waiting[0, 0] / 1e6) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield from told(key[0], done, True, version)
+        yield from told(key[0], closed, True, version)
         later, last = grown(scan, waiting)
-        told = [(key[0], *x[:3], True, version) for x in done] + [(key[0], *x[:3], False, version) for x in [*later, *([last] if last else [])]]
-        state.update((json.dumps((scan, waiting, version)),))
-        if scan or waiting:
-            state.setTimeoutTimestamp(max(int((scan[1] + gap_s if scan else waiting[0][0] / 1e6) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(told, columns=["beam", "begin_s", "end_s", "n", "closed", "version"])
+        yield from told(key[0], later, False, version)
+        yield from told(key[0], [[x] for x in last[:3]] if last else None, False, version)
 
-    return rows.groupBy("beam").applyInPandasWithState(run, SCANS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("beam").applyInPandasWithState(run, SCANS, "held string, waiting binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_scans(told: DataFrame) -> DataFrame:

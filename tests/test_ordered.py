@@ -215,3 +215,35 @@ def test_images_move_by_fractions(spark):
     df = spark.createDataFrame([(0, 3, 5, 1.0)], "k int, x int, y int, v double").withColumns({"sx": F.lit(0.25), "sy": F.lit(-1.5)})
     got = {(r.x, r.y): r.v for r in I.regridded(df, ["k", "sx", "sy"], "sx", "sy", ["v"]).collect()}
     assert got == pytest.approx({(3, 3): 0.375, (4, 3): 0.125, (3, 4): 0.375, (4, 4): 0.125})
+
+
+def test_waiting_rows_are_held_as_arrays(spark, tmp_path, monkeypatch):
+    """The state holds 24 bytes a waiting row, and scans are told some TOLD at a time."""
+    import pandas as pd
+    from pyspark.sql import GroupedData
+
+    class State:
+        exists, get, mark = False, None, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, values):
+            self.exists, self.get = True, values
+
+        def setTimeoutTimestamp(self, ms):
+            pass
+
+    seen, state = {}, State()
+    monkeypatch.setattr(S, "TOLD", 50, raising=False)
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, run, *a: seen.update(run=run))
+    (tmp_path / "in").mkdir()
+    S.scan_sessions(spark.readStream.schema(S.EVENTS).parquet(str(tmp_path / "in")))
+    n = 300
+    rows = pd.DataFrame({"us": [(n - i) * 10**6 for i in range(n)], "event_id": range(n), "field": [i // 2 % 3 for i in range(n)]})
+    first = list(seen["run"]((4,), iter([rows[:100], rows[100:]]), state))
+    assert max(map(len, first)) <= 50 and sum(x["n"].sum() for x in first) == n and not any(x["closed"].any() for x in first)
+    assert isinstance(state.get[1], bytes) and len(state.get[1]) == 24 * n
+    state.mark = 10**9
+    last = pd.concat(seen["run"]((4,), iter([]), state))
+    assert len(state.get[1]) == 0 and last["n"].sum() == n and len(last[last["closed"]]) == 150 and last["begin_s"].min() == 1.0
