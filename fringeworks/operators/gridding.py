@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def w_kernels(cell: float, n_planes: int, w_max: float, support: int = 5, oversa
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of int, double and string columns as a local relation: no tasks, and Spark knows the size, so that it broadcasts what is small by itself."""
-    import pyarrow as pa
-
     fields = [x.split() for x in schema.split(", ")]
     kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
@@ -80,21 +79,27 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 
 
 class Kernel:
-    """Kernel rows, as a table to join with and as dense arrays for Arrow batches."""
+    """Kernel rows (tuples, or an Arrow table of the same columns), as a table to join with and as dense arrays for Arrow batches."""
 
-    def __init__(self, spark: SparkSession, rows: list[tuple]):
+    def __init__(self, spark: SparkSession, rows: list[tuple] | pa.Table):
         self.spark, self.rows = spark, rows
         #: One cell of weight 1 for plane 0: nothing to look up.
-        self.is_box = [tuple(map(float, r)) for r in rows] == [(0, 0, 0, 0, 0, 1, 0)]
+        self.is_box = not isinstance(rows, pa.Table) and [tuple(map(float, r)) for r in rows] == [(0, 0, 0, 0, 0, 1, 0)]
         self.is_small = len(rows) <= KERNEL_ROWS
 
     def frame(self) -> DataFrame:
-        return local_rows(self.spark, self.rows, KERNEL_SCHEMA)
+        return self.spark.createDataFrame(self.rows, KERNEL_SCHEMA) if isinstance(self.rows, pa.Table) else local_rows(self.spark, self.rows, KERNEL_SCHEMA)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """(plane, fracu, fracv, du, dv of each row, its weight)."""
+        if isinstance(self.rows, pa.Table):
+            c = [x.to_numpy() for x in self.rows.columns]
+            return np.stack(c[:5], 1).astype(np.int64), c[5] + 1j * c[6]
+        return np.array([r[:5] for r in self.rows], np.int64).reshape(-1, 5), np.array([complex(r[5], r[6]) for r in self.rows])
 
     def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row of each plane and step or -1, weights by row and cell, which cells are there, (du, dv) of the cells)."""
-        whole = np.array([r[:5] for r in self.rows], np.int64).reshape(-1, 5)
-        weight = np.array([complex(r[5], r[6]) for r in self.rows])
+        whole, weight = self.columns()
         keys, at = np.unique(whole[:, :3], axis=0, return_inverse=True)
         cells, cell = np.unique(whole[:, 3:], axis=0, return_inverse=True)
         lookup = np.full(whole[:, :3].max(axis=0, initial=0) + 1, -1, np.int64)
@@ -136,8 +141,6 @@ ADDITIONS = 1 << 20
 
 def _batch_sums(kernel: Kernel, keys: list[str], schema: str):
     """Arrow batches of samples (keys, plane, fracu, fracv, iu, iv, _re, _im, _wt) summed over their cells: a batch leaves a row for each cell that it touches."""
-    import pyarrow as pa
-
     lookup, table, there, cells = kernel.dense()
     n_keys, shape = len(keys), np.array(lookup.shape)
 
@@ -239,8 +242,6 @@ def direct_image(samples: DataFrame, pixels: DataFrame, keys: list[str]) -> Data
     The pixel list goes to the tasks, so it must not have more than PIXELS rows.
     A batch of samples leaves one row a pixel and key.
     """
-    import pyarrow as pa
-
     px = pixels.select("x", "y", "l", "m").limit(PIXELS + 1).collect()
     if len(px) > PIXELS:
         raise ValueError("too many pixels for a direct image: grid and transform instead")

@@ -60,9 +60,14 @@ def near_pointing(vis: DataFrame, lon: str, lat: str, ref: tuple[float, float],
 
 
 def w_plane(w, scale: float, n: int, clip: bool = False) -> Column:
-    """Plane of a linear sampling; outside the planes -1 if clip, else an error in the job."""
-    plane = (nearest(F.col(w) / scale) + (n - 1) // 2).cast("int")
-    return F.when(plane.between(0, n - 1), plane).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
+    """Plane of a linear sampling; outside the planes -1 if clip, else an error in the job.
+
+    The bounds are put to w, not to the plane: a filter on the plane is pushed
+    down as a copy of all this, and long methods are not compiled.
+    """
+    x, first = F.col(w) / scale, (n - 1) // 2
+    inside = F.abs(x) + 0.5 < (first + 1.0 if n % 2 else F.when(x < 0, first + 1.0).otherwise(n - first + 0.0))
+    return F.when(inside, (nearest(x) + first).cast("int")).otherwise(F.lit(-1) if clip else F.raise_error(F.lit("w is outside of the planes")).cast("int"))
 
 
 def nearest(x: Column) -> Column:
@@ -87,8 +92,9 @@ def with_uv_cells(df: DataFrame, cell: float, oversample: int, size: int, wavele
 
 
 def on_grid(iu: str, iv: str, support: int, nu: int, nv: int) -> Column:
-    """Strictly inside by the support on both axes."""
-    return F.col(iu).between(support + 1, nu - support - 1) & F.col(iv).between(support + 1, nv - support - 1)
+    """Strictly inside by the support on both axes: from support + 1 to n - support - 1, with one use of each cell (see with_uv_cells)."""
+    inside = lambda c, n: F.abs(2 * F.col(c).cast("long") - n) <= n - 2 * support - 2
+    return inside(iu, nu) & inside(iv, nv)
 
 
 def taylor_weight(freq: str, ref: float, order: int) -> Column:
