@@ -242,7 +242,7 @@ _PH = ", s AS (SELECT antenna1, antenna2, chan, atan2(avg(im) FILTER (NOT flag),
 def phase_fill(spark, sf):
     good = ~F.col("flag")
     s = table(spark, sf, "vis").groupBy("antenna1", "antenna2", "chan").agg(F.atan2(F.avg(F.when(good, F.col("im"))), F.avg(F.when(good, F.col("re")))).alias("phase"))
-    w = Window.partitionBy("antenna1", "antenna2").orderBy("chan").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("antenna1", "antenna2").orderBy(F.asc_nulls_last("chan")).rowsBetween(Window.unboundedPreceding, 0)
     return s.withColumn("phase", rnd(F.coalesce(F.last("phase", ignorenulls=True).over(w), F.lit(0.0))))
 
 

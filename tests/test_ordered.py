@@ -19,6 +19,7 @@ from fringeworks.operators import images as I  # noqa: E741
 from fringeworks.operators import jones as Z
 from fringeworks.operators import joins as J
 from fringeworks.operators import ordered as O  # noqa: E741
+from fringeworks.plans.catalogue import QUERIES, SQL
 from fringeworks.sources import parset as C
 from fringeworks.sources import store, text
 from fringeworks.streaming import solutions as S
@@ -247,3 +248,17 @@ def test_waiting_rows_are_held_as_arrays(spark, tmp_path, monkeypatch):
     state.mark = 10**9
     last = pd.concat(seen["run"]((4,), iter([]), state))
     assert len(state.get[1]) == 0 and last["n"].sum() == n and len(last[last["closed"]]) == 150 and last["begin_s"].min() == 1.0
+
+
+def test_phases_are_not_filled_from_samples_without_a_channel(spark, tmp_path):
+    """Null channels come last, as in SQL: they take the phase of the last good channel and give none to the first."""
+    duckdb = pytest.importorskip("duckdb")
+    cells = [(1, 16.0, 0.09, 0.09, "R"), (1, 1.0, 0.09, 0.05, "N"), (1, None, 0.02, 0.07, "N"), (2, 3.0, 0.06, 0.08, "A"), (2, None, 0.06, 0.01, "R")]
+    lines = [(i, 4, k, 1, q, 1.0, d, t, f, "O", "1996-01-02") for i, (k, q, d, t, f) in enumerate(cells)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    spark.createDataFrame(lines, names).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["phase_fill"](spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(SQL["phase_fill"]).fetchall())
+    assert (1, 4, 0, 0.0) in got
